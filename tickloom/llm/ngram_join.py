@@ -238,7 +238,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     placed = candidates.join(size, "component").select(F.col("v").alias("id"), "component", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     groups = max(1, math.ceil(candidates.count() / TILE))
-    loaded = placed.join(rows, "id").select("id", "component", "tile", "tiles", "text").mapInArrow(_load(words), "id long, component long, tile int, tiles int, hashes binary, sig binary")
+    loaded = placed.join(rows.hint("merge"), "id").select("id", "component", "tile", "tiles", "text").mapInArrow(_load(words), "id long, component long, tile int, tiles int, hashes binary, sig binary")
     # small components share groups; a large one meets itself tile by tile
     spread = loaded.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     keyed = spread.select(
@@ -267,7 +267,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = similar_documents(docs, id_col, text_col, threshold)
     gone = found.filter(F.col(id_col).isNotNull() & (F.col("class_id") != F.col(id_col))).select(F.col(id_col).alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    kept = docs.join(gone.hint("merge"), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
     first = Window.partitionBy(id_col).orderBy(id_col)
     return kept.withColumn("__n", F.row_number().over(first)).filter((F.col("__n") == 1) | F.col(id_col).isNull()).drop("__n")
 
