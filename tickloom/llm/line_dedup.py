@@ -1 +1,140 @@
-QUERIES = {}
+"""Fuzzy line deduplication by MinHash (DataFrame functions only).
+
+Lines are compared by their sets of 8-character shingles (UTF-16 units; a shorter line is one shingle). Of
+each component of lines linked by a Jaccard similarity of 0.8 or more, the first occurrence stays, by
+(document id, place); blank lines are never removed.
+
+1. One pass makes a row for each shingle, within generated code, and aggregates 24 MinHash values for each
+   distinct line before any shuffle: copies of a line combine in the map tasks. The values are minima of a 32-bit
+   hash under 24 masks.
+2. 12 bands of 4 values, the rows and the transversals of a 6 x 4 grid: a pair at 0.8 misses all with a
+   probability below 0.01, a pair at 0.9 with one below 0.0002.
+3. Every line of a band is verified, exactly, against the band's smallest and largest line; the links' components are found
+   by distributed union-find. Where a band still holds lines of several components, all pairs across
+   its components are verified, too: a link that any band shows is never lost, and a band whose lines
+   are one component, such as a large group of near copies, costs a row for each line and not for each pair.
+4. Components' first occurrences stay.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .components import connected_components
+from .shared import saved, table
+
+SHINGLE, THRESHOLD = 8, 0.8
+GRID = (6, 4)
+#: Masks of the MinHash values: the fractional parts of multiples of the golden ratio, as 32-bit numbers.
+MASKS = [((i + 1) * 0x9E3779B97F4A7C15 >> 20) % (1 << 32) - (1 << 31) for i in range(GRID[0] * GRID[1])]
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`doc`, `at` (from 0), `line` and its hash `k` for every line that is not blank."""
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
+    return rows.filter(F.col("line").rlike("\\S")).withColumn("k", F.xxhash64("line"))
+
+
+def _last(units: str) -> Column:
+    return F.greatest(F.floor(F.octet_length(units) / 2).cast("int") - SHINGLE, F.lit(0))
+
+
+def _shingle(units: str, i: str) -> str:
+    return f"hash(substring({units}, {i} * 2 + 1, {2 * SHINGLE}))"
+
+
+def _bands() -> list[list[int]]:
+    rows, cols = GRID
+    return [[r * cols + c for c in range(cols)] for r in range(rows)] + [[(r + c) % rows * cols + c for c in range(cols)] for r in range(rows)]
+
+
+def _sketches(lines: DataFrame) -> DataFrame:
+    """`k`, `n` (occurrences), `doc` (the smallest that has it) and `mins` of every distinct line.
+
+    Two lines with one hash `k` (expected for one pair in 2**64) are told by a second hash and left out: they stay.
+    """
+    units = lines.select("doc", "k", F.xxhash64(F.lit(1), "line").alias("k2"), F.encode("line", "UTF-16BE").alias("u"))
+    placed = units.select("doc", "k", "k2", "u", F.explode(F.sequence(F.lit(0), _last("u"))).alias("i"))
+    hashed = placed.select("doc", "k", "k2", (F.col("i") == 0).cast("long").alias("one"), F.expr(_shingle("u", "i")).alias("h"))
+    mins = [F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{j}") for j, m in enumerate(MASKS)]
+    out = hashed.groupBy("k").agg(F.sum("one").alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), *mins)
+    return out.filter("lo = hi").select("k", "n", "doc", F.array(*[f"m{j}" for j in range(len(MASKS))]).alias("mins"))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (`a`, `b`) of line hashes whose shingle sets reach the threshold."""
+    ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
+    where = ends.join(sketches.select("k", "doc"), "k").hint("merge")  # one document that has the line: no hot key
+    sets = F.array_distinct(F.transform(F.sequence(F.lit(0), _last("u")), lambda i: F.hash(F.substring(F.col("u"), i * 2 + 1, F.lit(2 * SHINGLE)))))
+    texts = saved(lines.join(where, ["k", "doc"]).groupBy("k").agg(F.first("line").alias("line")).select("k", F.encode("line", "UTF-16BE").alias("u")).select("k", sets.alias("s")), "line-sets")
+    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    # sizes bound the similarity: no intersection where it can't reach the threshold
+    near = both.filter(F.least(F.size("sa"), F.size("sb")) >= F.lit(THRESHOLD) * F.greatest(F.size("sa"), F.size("sb")))
+    return saved(near.filter(common >= F.lit(THRESHOLD) * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "line-links")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`doc`, `at`, `component` of every line that goes: it is a copy, exact or near, of a line that comes first.
+
+    `component` is the hash of one of its lines. Null texts have no lines; lines of documents with a null id stay;
+    rows that repeat an id are one document whose lines repeat: the lines at equal places have one fate.
+    """
+    lines = _lines(docs, id_col, text_col)
+    sketches = saved(_sketches(lines), "line-sketches")
+    m = F.col("mins")
+    bands = sketches.select("k", F.explode(F.array(*[F.xxhash64(F.lit(j), *[m[i] for i in band]) for j, band in enumerate(_bands())])).alias("band"))
+    shared = saved(bands.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi"), "line-bands")
+    members = saved(bands.join(shared.hint("merge"), "band"), "line-members")
+    first = members.filter("k > lo").select(*_ordered("k", "lo")).union(members.filter("k < hi").select(*_ordered("k", "hi"))).distinct()
+    first = saved(first, "line-pairs")
+    links = _verified(first, lines, sketches)
+    found = connected_components(links)
+    # bands that still hold several components
+    known = members.join(found.withColumnRenamed("v", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("c"))
+    open_ = known.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band")
+    known = saved(known.join(open_, "band"), "line-open")
+    x, y = known.select("band", F.col("k").alias("x"), F.col("c").alias("cx")), known.select("band", F.col("k").alias("y"), F.col("c").alias("cy"))
+    across = x.join(y, "band").filter("cx < cy").select(*_ordered("x", "y")).distinct()
+    more = saved(across.join(first, ["a", "b"], "left_anti"), "line-pairs")
+    links = links.union(_verified(more, lines, sketches))
+    found = connected_components(links).withColumnRenamed("v", "k")
+    # every line that is not alone in its component
+    groups = sketches.select("k", "n").join(found, "k", "left").filter("n > 1 or component is not null").select("k", F.coalesce("component", "k").alias("component"))
+    placed = lines.select("doc", "at", "k").join(groups.hint("merge"), "k").select("component", "doc", "at")
+    keep = placed.groupBy("component").agg(F.min("doc").alias("d"))
+    keep = placed.join(keep, "component").filter("doc = d").groupBy("component").agg(F.min("doc").alias("d"), F.min("at").alias("p"))
+    return placed.join(keep, "component").filter("doc <> d or at <> p").select("doc", "at", "component")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, with texts that lack repeated lines; a row left without any line that is not blank goes.
+
+    Rows that had no such line before (null, empty or blank texts) stay as they are, and so do rows with a null id.
+    """
+    gone = repeated_lines(docs, id_col, text_col).groupBy("doc").agg(F.collect_set("at").alias("__gone"))
+    both = docs.join(gone.select(F.col("doc").alias("__doc"), "__gone").hint("merge"), docs[id_col] == F.col("__doc"), "left")
+    parts = F.split(F.col(text_col), "\n")
+    # the places that stay, in order: array_except keeps the order of its first argument
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone")
+    rest = F.array_join(F.transform(stay, lambda i: F.get(F.col("__parts"), i)), "\n")
+    cut = both.withColumn("__parts", parts).withColumn("__rest", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest))
+    cut = cut.filter(F.col("__gone").isNull() | F.col("__rest").rlike("\\S"))
+    return cut.select([F.col("__rest").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines every document has, and which of them go as copies of lines elsewhere."""
+    docs = table(spark, sf_dir, "documents")
+    gone = repeated_lines(docs).groupBy("doc").agg(F.count(F.lit(1)).alias("n_removed"), F.sort_array(F.collect_set("at")).alias("removed"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    counts = docs.select("doc_id", n_lines.cast("long").alias("n_lines"))
+    return counts.join(gone, counts["doc_id"] == gone["doc"], "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+
+
+QUERIES = {"op5_line_dedup": op5_line_dedup}
