@@ -4,11 +4,12 @@ Lines are compared by their sets of 8-character shingles (UTF-16 units; a shorte
 each component of lines linked by a Jaccard similarity of 0.8 or more, the first occurrence stays, by
 (document id, place); blank lines are never removed.
 
-1. One pass makes a row for each shingle, within generated code, and aggregates 24 MinHash values for each
+1. One pass makes a row for each shingle, within generated code, and aggregates 21 MinHash values for each
    distinct line before any shuffle: copies of a line combine in the map tasks. The values are minima of a 32-bit
-   hash under 24 masks.
-2. 12 bands of 4 values, the rows and the transversals of a 6 x 4 grid: a pair at 0.8 misses all with a
-   probability below 0.01, a pair at 0.9 with one below 0.0002.
+   hash under 21 masks. A line of 128 shingles or more signs with the quarter of its shingles whose hash is
+   divisible by 4, one below 100 with all of them, one between with both, apart: two lines whose
+   similarity is 0.8 or more always have a kind of signature in common.
+2. 7 bands of 3 values: with full signatures a pair at 0.8 misses all with a probability of 0.007, a pair at 0.9 with one of 0.0001.
 3. Every line of a band is verified, exactly, against the band's smallest and largest line; the links' components are found
    by distributed union-find. Where a band still holds lines of several components, all pairs across
    its components are verified, too: a link that any band shows is never lost, and a band whose lines
@@ -25,9 +26,11 @@ from .components import connected_components
 from .shared import saved, table
 
 SHINGLE, THRESHOLD = 8, 0.8
-GRID = (6, 4)
+BANDS, ROWS = 7, 3
+#: Shingles from which a line has a sparse signature, and up to which (not included) it has a full one.
+SPARSE_FROM, FULL_BELOW, SPARSE = 100, 128, 4
 #: Masks of the MinHash values: the fractional parts of multiples of the golden ratio, as 32-bit numbers.
-MASKS = [((i + 1) * 0x9E3779B97F4A7C15 >> 20) % (1 << 32) - (1 << 31) for i in range(GRID[0] * GRID[1])]
+MASKS = [((i + 1) * 0x9E3779B97F4A7C15 >> 20) % (1 << 32) - (1 << 31) for i in range(BANDS * ROWS)]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,31 +47,37 @@ def _shingle(units: str, i: str) -> str:
     return f"hash(substring({units}, {i} * 2 + 1, {2 * SHINGLE}))"
 
 
-def _bands() -> list[list[int]]:
-    rows, cols = GRID
-    return [[r * cols + c for c in range(cols)] for r in range(rows)] + [[(r + c) % rows * cols + c for c in range(cols)] for r in range(rows)]
-
-
 def _sketches(lines: DataFrame) -> DataFrame:
-    """`k`, `n` (occurrences), `doc` (the smallest that has it) and `mins` of every distinct line.
+    """`k`, `n` (occurrences), `doc` (the smallest that has it) and `bands` of every distinct line, a row for each kind of signature.
 
     Two lines with one hash `k` (expected for one pair in 2**64) are told by a second hash and left out: they stay.
     """
-    units = lines.select("doc", "k", F.xxhash64(F.lit(1), "line").alias("k2"), F.encode("line", "UTF-16BE").alias("u"))
-    placed = units.select("doc", "k", "k2", "u", F.explode(F.sequence(F.lit(0), _last("u"))).alias("i"))
-    hashed = placed.select("doc", "k", "k2", (F.col("i") == 0).cast("long").alias("one"), F.expr(_shingle("u", "i")).alias("h"))
-    mins = [F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{j}") for j, m in enumerate(MASKS)]
-    out = hashed.groupBy("k").agg(F.sum("one").alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), *mins)
-    return out.filter("lo = hi").select("k", "n", "doc", F.array(*[f"m{j}" for j in range(len(MASKS))]).alias("mins"))
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, sketches: DataFrame) -> DataFrame:
+    units = lines.select("doc", "k", F.xxhash64(F.lit(1), "line").alias("k2"), F.encode("line", "UTF-16BE").alias("u")).withColumn("last", _last("u"))
+    size = F.col("last") + 1
+    kinds = F.sequence(F.when(size < FULL_BELOW, 0).otherwise(1), F.when(size < SPARSE_FROM, 0).otherwise(1))
+    placed = units.select("*", F.explode(kinds).alias("kind")).select("doc", "k", "k2", "u", "kind", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    hashed = placed.select("doc", "k", "k2", "kind", (F.col("i") == 0).cast("long").alias("one"), F.expr(_shingle("u", "i")).alias("h"))
+    # the first shingle counts the line, whether it signs or not
+    signs = (F.col("kind") == 0) | (F.col("h").bitwiseAND(F.lit(SPARSE - 1)) == 0)
+    rows = hashed.filter(signs | (F.col("one") == 1)).select("*", F.when(signs, F.col("h")).alias("s"))
+    mins = [F.min(F.col("s").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{j}") for j, m in enumerate(MASKS)]
+    out = rows.groupBy("k", "kind").agg(F.sum("one").alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), *mins)
+    bands = [F.xxhash64(F.lit(b), "kind", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
+    return out.filter("lo = hi").select("k", "kind", "n", "doc", F.when(F.col("m0").isNotNull(), F.array(*bands)).otherwise(F.array().cast("array<long>")).alias("bands"))
+
+
+def _sets(members: DataFrame, lines: DataFrame, sketches: DataFrame) -> DataFrame:
+    """`k`, `s`: the distinct shingle hashes of every line that shares a band."""
+    # one document that has the line: no hot key, whatever the copies
+    where = members.select("k").distinct().join(sketches.select("k", "doc").distinct(), "k").hint("merge")
+    texts = lines.join(where, ["k", "doc"]).groupBy("k").agg(F.first("line").alias("line")).select("k", F.encode("line", "UTF-16BE").alias("u"))
+    placed = texts.select("k", "u", F.explode(F.sequence(F.lit(0), _last("u"))).alias("i"))
+    return saved(placed.select("k", F.expr(_shingle("u", "i")).alias("h")).groupBy("k").agg(F.collect_set("h").alias("s")), "line-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (`a`, `b`) of line hashes whose shingle sets reach the threshold."""
-    ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    where = ends.join(sketches.select("k", "doc"), "k").hint("merge")  # one document that has the line: no hot key
-    sets = F.array_distinct(F.transform(F.sequence(F.lit(0), _last("u")), lambda i: F.hash(F.substring(F.col("u"), i * 2 + 1, F.lit(2 * SHINGLE)))))
-    texts = saved(lines.join(where, ["k", "doc"]).groupBy("k").agg(F.first("line").alias("line")).select("k", F.encode("line", "UTF-16BE").alias("u")).select("k", sets.alias("s")), "line-sets")
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     # sizes bound the similarity: no intersection where it can't reach the threshold
     near = both.filter(F.least(F.size("sa"), F.size("sb")) >= F.lit(THRESHOLD) * F.greatest(F.size("sa"), F.size("sb")))
@@ -87,13 +96,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     lines = _lines(docs, id_col, text_col)
     sketches = saved(_sketches(lines), "line-sketches")
-    m = F.col("mins")
-    bands = sketches.select("k", F.explode(F.array(*[F.xxhash64(F.lit(j), *[m[i] for i in band]) for j, band in enumerate(_bands())])).alias("band"))
+    bands = sketches.select("k", F.explode("bands").alias("band"))
     shared = saved(bands.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi"), "line-bands")
     members = saved(bands.join(shared.hint("merge"), "band"), "line-members")
     first = members.filter("k > lo").select(*_ordered("k", "lo")).union(members.filter("k < hi").select(*_ordered("k", "hi"))).distinct()
     first = saved(first, "line-pairs")
-    links = _verified(first, lines, sketches)
+    sets = _sets(members, lines, sketches)
+    links = _verified(first, sets)
     found = connected_components(links)
     # bands that still hold several components
     known = members.join(found.withColumnRenamed("v", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("c"))
@@ -102,10 +111,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     x, y = known.select("band", F.col("k").alias("x"), F.col("c").alias("cx")), known.select("band", F.col("k").alias("y"), F.col("c").alias("cy"))
     across = x.join(y, "band").filter("cx < cy").select(*_ordered("x", "y")).distinct()
     more = saved(across.join(first, ["a", "b"], "left_anti"), "line-pairs")
-    links = links.union(_verified(more, lines, sketches))
+    links = links.union(_verified(more, sets))
     found = connected_components(links).withColumnRenamed("v", "k")
     # every line that is not alone in its component
-    groups = sketches.select("k", "n").join(found, "k", "left").filter("n > 1 or component is not null").select("k", F.coalesce("component", "k").alias("component"))
+    groups = sketches.select("k", "n").distinct().join(found, "k", "left").filter("n > 1 or component is not null").select("k", F.coalesce("component", "k").alias("component"))
     placed = lines.select("doc", "at", "k").join(groups.hint("merge"), "k").select("component", "doc", "at")
     keep = placed.groupBy("component").agg(F.min("doc").alias("d"))
     keep = placed.join(keep, "component").filter("doc = d").groupBy("component").agg(F.min("doc").alias("d"), F.min("at").alias("p"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -30,30 +29,28 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{(base or _own_folder()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark 4.1 and later: shuffle files go at the end of the execution that made them.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write `df` below the shared folder and read it back: this cuts its lineage.
 
-    The files outlive any executor. The shuffle files of the jobs that made them are not needed
-    any more; asking for a collection lets Spark's cleaner drop them before the next phase.
+    The files outlive any executor. `df` is not executed again, so the shuffle files of the write go
+    as soon as it ends, rather than when the driver happens to collect garbage.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.option("compression", compression).parquet(path)
-    schema = df.schema
-    del df
-    free(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def free(spark: SparkSession) -> None:
-    """Let Spark's context cleaner see the shuffles that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    """Number of shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unit_hash(*cols) -> F.Column:
