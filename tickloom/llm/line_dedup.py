@@ -4,29 +4,32 @@ Lines are compared by their sets of 8-character shingles (UTF-16 units; a shorte
 each component of lines linked by a Jaccard similarity of 0.8 or more, the first occurrence stays, by
 (document id, place); blank lines are never removed.
 
-1. One pass makes a row for each shingle, within generated code, and aggregates 21 MinHash values for each
+1. One pass makes a row for each shingle, within generated code, and aggregates 18 MinHash values for each
    distinct line before any shuffle: copies of a line combine in the map tasks. The values are minima of a 32-bit
-   hash under 21 masks. A line of 128 shingles or more signs with the quarter of its shingles whose hash is
+   hash under 18 masks. A line of 128 shingles or more signs with the quarter of its shingles whose hash is
    divisible by 4, one below 100 with all of them, one between with both, apart: two lines whose
    similarity is 0.8 or more always have a kind of signature in common.
-2. 7 bands of 3 values: with full signatures a pair at 0.8 misses all with a probability of 0.007, a pair at 0.9 with one of 0.0001.
-3. Every line of a band is verified, exactly, against the band's smallest and largest line; the links' components are found
-   by distributed union-find. Where a band still holds lines of several components, all pairs across
-   its components are verified, too: a link that any band shows is never lost, and a band whose lines
-   are one component, such as a large group of near copies, costs a row for each line and not for each pair.
+2. 6 bands of 3 values: with full signatures a pair at 0.8 misses all with a probability of 0.014, a pair at 0.9 with one of 0.0004.
+3. Every line of a band is verified, exactly, against two centres: the band's most frequent line (often what the others are
+   edits of) and its smallest. The links' components are found by distributed union-find. Where a band still holds
+   lines of several components, pairs across them are verified, too: all of them in a band of up to 16 lines,
+   and in a larger one each line with its next 8 in the order of a hash that differs by band. No band costs
+   more than some rows for each of its lines, however large a group of near copies is.
 4. Components' first occurrences stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import saved, table
 
 SHINGLE, THRESHOLD = 8, 0.8
-BANDS, ROWS = 7, 3
+BANDS, ROWS = 6, 3
+#: Bands of up to SMALL lines are compared whole, in larger ones a line meets its NEAR next.
+SMALL, NEAR = 16, 8
 #: Shingles from which a line has a sparse signature, and up to which (not included) it has a full one.
 SPARSE_FROM, FULL_BELOW, SPARSE = 100, 128, 4
 #: Masks of the MinHash values: the fractional parts of multiples of the golden ratio, as 32-bit numbers.
@@ -69,10 +72,10 @@ def _sketches(lines: DataFrame) -> DataFrame:
 def _sets(members: DataFrame, lines: DataFrame, sketches: DataFrame) -> DataFrame:
     """`k`, `s`: the distinct shingle hashes of every line that shares a band."""
     # one document that has the line: no hot key, whatever the copies
-    where = members.select("k").distinct().join(sketches.select("k", "doc").distinct(), "k").hint("merge")
-    texts = lines.join(where, ["k", "doc"]).groupBy("k").agg(F.first("line").alias("line")).select("k", F.encode("line", "UTF-16BE").alias("u"))
+    where = members.select("k").distinct().join(sketches.select("k", "doc").distinct(), "k").hint("shuffle_hash")
+    texts = lines.select("k", "doc", F.encode("line", "UTF-16BE").alias("u")).join(where, ["k", "doc"]).groupBy("k").agg(F.first("u").alias("u"))
     placed = texts.select("k", "u", F.explode(F.sequence(F.lit(0), _last("u"))).alias("i"))
-    return saved(placed.select("k", F.expr(_shingle("u", "i")).alias("h")).groupBy("k").agg(F.collect_set("h").alias("s")), "line-sets")
+    return saved(placed.select("k", F.expr(_shingle("u", "i")).alias("h")).groupBy("k").agg(F.collect_list("h").alias("s")).select("k", F.array_distinct("s").alias("s")), "line-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -96,21 +99,28 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     lines = _lines(docs, id_col, text_col)
     sketches = saved(_sketches(lines), "line-sketches")
-    bands = sketches.select("k", F.explode("bands").alias("band"))
-    shared = saved(bands.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi"), "line-bands")
-    members = saved(bands.join(shared.hint("merge"), "band"), "line-members")
-    first = members.filter("k > lo").select(*_ordered("k", "lo")).union(members.filter("k < hi").select(*_ordered("k", "hi"))).distinct()
+    bands = sketches.select("k", "n", F.explode("bands").alias("band"))
+    # frequency first; the low bits of the hash decide ties
+    weight = F.shiftleft(F.least("n", F.lit((1 << 31) - 1)), 31) + F.col("k").bitwiseAND(F.lit((1 << 31) - 1))
+    shared = bands.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max_by("k", weight).alias("top"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+    members = saved(bands.select("k", "band").join(saved(shared.drop("hi"), "line-bands").hint("shuffle_hash"), "band"), "line-members")
+    first = members.filter("k <> top").select(*_ordered("k", "top")).union(members.filter("k <> lo").select(*_ordered("k", "lo"))).distinct()
     first = saved(first, "line-pairs")
     sets = _sets(members, lines, sketches)
     links = _verified(first, sets)
     found = connected_components(links)
     # bands that still hold several components
-    known = members.join(found.withColumnRenamed("v", "k"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("c"))
+    known = members.join(found.withColumnRenamed("v", "k"), "k", "left").select("band", "k", "size", F.coalesce("component", "k").alias("c"))
     open_ = known.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band")
     known = saved(known.join(open_, "band"), "line-open")
-    x, y = known.select("band", F.col("k").alias("x"), F.col("c").alias("cx")), known.select("band", F.col("k").alias("y"), F.col("c").alias("cy"))
-    across = x.join(y, "band").filter("cx < cy").select(*_ordered("x", "y")).distinct()
-    more = saved(across.join(first, ["a", "b"], "left_anti"), "line-pairs")
+    x, y = known.filter(F.col("size") <= SMALL).select("band", F.col("k").alias("x"), F.col("c").alias("cx")), known.filter(F.col("size") <= SMALL).select("band", F.col("k").alias("y"), F.col("c").alias("cy"))
+    across = x.join(y, "band").filter("cx < cy").select("x", "y")
+    # a large band: neighbours by hash; the order is over parts of the band, so that no task sorts a hot one alone
+    salted = known.filter(F.col("size") > SMALL).withColumn("order", F.xxhash64("k", "band")).withColumn("part", F.pmod(F.col("order"), F.ceil(F.col("size") / 1024)))
+    by = Window.partitionBy("band", "part").orderBy("order")
+    beside = salted.select("k", "c", F.explode(F.array(*[F.struct(F.lead("k", i).over(by).alias("k2"), F.lead("c", i).over(by).alias("c2")) for i in range(1, NEAR + 1)])).alias("o"))
+    across = across.union(beside.filter("o.k2 is not null and o.c2 <> c").select(F.col("k").alias("x"), F.col("o.k2").alias("y")))
+    more = saved(across.select(*_ordered("x", "y")).distinct().join(first, ["a", "b"], "left_anti"), "line-pairs")
     links = links.union(_verified(more, sets))
     found = connected_components(links).withColumnRenamed("v", "k")
     # every line that is not alone in its component
