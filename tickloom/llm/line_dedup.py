@@ -118,7 +118,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a large band: neighbours by hash; the order is over parts of the band, so that no task sorts a hot one alone
     salted = known.filter(F.col("size") > SMALL).withColumn("order", F.xxhash64("k", "band")).withColumn("part", F.pmod(F.col("order"), F.ceil(F.col("size") / 1024)))
     by = Window.partitionBy("band", "part").orderBy("order")
-    beside = salted.select("k", "c", F.explode(F.array(*[F.struct(F.lead("k", i).over(by).alias("k2"), F.lead("c", i).over(by).alias("c2")) for i in range(1, NEAR + 1)])).alias("o"))
+    ahead = {f"{c}{i}": F.lead(c, i).over(by) for i in range(1, NEAR + 1) for c in ("k", "c")}
+    beside = salted.withColumns(ahead).select("k", "c", F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("k2"), F.col(f"c{i}").alias("c2")) for i in range(1, NEAR + 1)])).alias("o"))
     across = across.union(beside.filter("o.k2 is not null and o.c2 <> c").select(F.col("k").alias("x"), F.col("o.k2").alias("y")))
     more = saved(across.select(*_ordered("x", "y")).distinct().join(first, ["a", "b"], "left_anti"), "line-pairs")
     links = links.union(_verified(more, sets))
