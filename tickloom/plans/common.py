@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SHIFT = 3e-8
+
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that engines that sum in another order agree; -0.0 becomes 0.0."""
-    return df.select([(F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded, so that engines that sum in another order agree; -0.0 becomes 0.0.
+
+    Prices have few decimals, so that exact halves at the last digit are common; a small shift decides them alike.
+    """
+    return df.select([(F.round(F.col(c) + SHIFT, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def duck_rounded(body: str, columns: str, digits: int = 6) -> str:
     """SELECT of `columns` from `body` (a FROM clause); names after `~` are rounded like `rounded` does."""
-    out = [f"round({c[1:]}, {digits}) + 0.0 AS {c[1:]}" if c.startswith("~") else c for c in columns.split()]
+    out = [f"round({c[1:]} + {SHIFT}, {digits}) + 0.0 AS {c[1:]}" if c.startswith("~") else c for c in columns.split()]
     return f"SELECT {', '.join(out)} FROM {body}"

@@ -38,7 +38,7 @@ def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("strategy_id"), F.col("p_name").alias("name"),
         F.when(key > 0, F.expr("p_partkey div 2")).alias("parent_id"),
         _pick(MUTATIONS, key % 5 + 1).alias("mutation_type"), F.col("p_brand").alias("hypothesis_id"),
-        F.floor(F.log2(key + 1.0)).cast("long").alias("level"), _pick(ORIGINS, key % 3 + 1).alias("origin"),
+        F.when(key > 0, F.length(F.bin(key))).otherwise(0).cast("long").alias("level"), _pick(ORIGINS, key % 3 + 1).alias("origin"),
         F.when(key % 7 == 0, "promoted").when(key % 11 == 0, "retired").otherwise("active").alias("status"), F.col("p_retailprice").alias("cost"),
     )
 
@@ -64,19 +64,20 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A backtest result for each strategy and symbol, with the metrics of its trades."""
+    """A backtest result for each strategy and symbol, with the metrics of its trades, rounded so that ties are ties in any engine."""
     run = Window.partitionBy("strategy_id", "symbol").orderBy(*TRADE_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = trades(spark, sf_dir).withColumn("equity", INITIAL_CASH + F.sum("pnl").over(run))
     t = t.withColumn("peak", F.greatest(F.lit(INITIAL_CASH), F.max("equity").over(run)))
     g = t.groupBy("strategy_id", "symbol").agg(
         F.count(F.lit(1)).alias("total_trades"), (F.sum("pnl") / INITIAL_CASH * 100).alias("total_return_pct"),
-        F.try_divide(F.avg("return_pct"), F.stddev_samp("return_pct")).alias("sharpe_raw"), F.max((F.col("peak") - F.col("equity")) / F.col("peak") * 100).alias("max_drawdown_pct"),
+        F.when(F.stddev_samp("return_pct") > 1e-9, F.avg("return_pct") / F.stddev_samp("return_pct")).alias("sharpe_raw"), F.max((F.col("peak") - F.col("equity")) / F.col("peak") * 100).alias("max_drawdown_pct"),
         (100.0 * F.count_if(F.col("pnl") > 0) / F.count(F.lit(1))).alias("win_rate"), F.try_divide(F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), -F.sum(F.when(F.col("pnl") < 0, F.col("pnl")))).alias("profit_factor"),
         F.sum("days").alias("bars_tested"), F.min("entry_ts").alias("start_ts"), F.max("exit_ts").alias("end_ts"),
     )
     k = F.col("strategy_id")
+    g = g.select([F.round(F.col(c) + 3e-11, 9).alias(c) if t == "double" else F.col(c) for c, t in g.dtypes])
     return g.select(
         "strategy_id", F.concat(F.lit("strategy_"), k.cast("string")).alias("strategy_name"), F.when(k % 4 != 0, F.concat(F.lit("variant_"), F.lpad((k % 15 + 1).cast("string"), 2, "0"))).alias("variant_id"),
         "symbol", _pick(TIMEFRAMES, k % 4 + 1).alias("timeframe"), "start_ts", "end_ts", "bars_tested", F.lit(INITIAL_CASH).alias("initial_cash"), (INITIAL_CASH * (1 + F.col("total_return_pct") / 100)).alias("final_value"),
-        "total_return_pct", (F.col("sharpe_raw") * F.sqrt(F.lit(252.0))).alias("sharpe_ratio"), "max_drawdown_pct", "total_trades", "win_rate", "profit_factor",
+        "total_return_pct", F.round(F.col("sharpe_raw") * F.sqrt(F.lit(252.0)) + 3e-8, 6).alias("sharpe_ratio"), "max_drawdown_pct", "total_trades", "win_rate", "profit_factor",
     )

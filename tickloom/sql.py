@@ -16,7 +16,7 @@ VIEWS = {
     "bars": """SELECT symbol, date_trunc('hour', ts) AS ts, first(price ORDER BY ts, tick_id) AS open, max(price) AS high, min(price) AS low,
       last(price ORDER BY ts, tick_id) AS close, sum(volume) AS volume FROM ticks GROUP BY ALL""",
     "strategies": f"""SELECT p_partkey AS strategy_id, p_name AS name, CASE WHEN p_partkey > 0 THEN p_partkey // 2 END AS parent_id,
-      {_list(MUTATIONS)}[p_partkey % 5 + 1] AS mutation_type, p_brand AS hypothesis_id, CAST(floor(log2(p_partkey + 1.0)) AS BIGINT) AS level,
+      {_list(MUTATIONS)}[p_partkey % 5 + 1] AS mutation_type, p_brand AS hypothesis_id, CAST(CASE WHEN p_partkey > 0 THEN length(bin(p_partkey)) ELSE 0 END AS BIGINT) AS level,
       {_list(ORIGINS)}[p_partkey % 3 + 1] AS origin, CASE WHEN p_partkey % 7 = 0 THEN 'promoted' WHEN p_partkey % 11 = 0 THEN 'retired' ELSE 'active' END AS status, p_retailprice AS cost FROM part""",
     "trades": f"""SELECT *, (exit_price - entry_price) * size AS pnl, 100 * sign(size) * (exit_price / entry_price - 1) AS return_pct, date_diff('day', entry_ts, exit_ts) AS days FROM (
       SELECT l_partkey AS strategy_id, l_suppkey AS variant_key, l_orderkey AS order_key, l_linenumber AS line, {_list(SYMBOLS)}[l_linenumber] AS symbol,
@@ -25,10 +25,10 @@ VIEWS = {
     "returns": f"SELECT strategy_id, row_number() OVER (PARTITION BY strategy_id ORDER BY {ORDER}) AS t, return_pct / 100 AS r FROM trades",
     "results": f"""SELECT strategy_id, 'strategy_' || strategy_id AS strategy_name, CASE WHEN strategy_id % 4 <> 0 THEN 'variant_' || lpad(CAST(strategy_id % 15 + 1 AS VARCHAR), 2, '0') END AS variant_id,
       symbol, {_list(TIMEFRAMES)}[strategy_id % 4 + 1] AS timeframe, start_ts, end_ts, bars_tested, 100000.0::DOUBLE AS initial_cash, 100000.0 * (1 + total_return_pct / 100) AS final_value,
-      total_return_pct, sharpe_raw * sqrt(252.0::DOUBLE) AS sharpe_ratio, max_drawdown_pct, total_trades, win_rate, profit_factor FROM (
-      SELECT strategy_id, symbol, count(*) AS total_trades, sum(pnl) / 100000.0 * 100 AS total_return_pct, avg(return_pct) / nullif(stddev_samp(return_pct), 0) AS sharpe_raw,
-      max((peak - equity) / peak * 100) AS max_drawdown_pct, 100.0::DOUBLE * count(*) FILTER (pnl > 0) / count(*) AS win_rate,
-      sum(pnl) FILTER (pnl > 0) / nullif(-sum(pnl) FILTER (pnl < 0), 0) AS profit_factor, CAST(sum(days) AS BIGINT) AS bars_tested, min(entry_ts) AS start_ts, max(exit_ts) AS end_ts FROM (
+      total_return_pct, round(sharpe_raw * sqrt(252.0::DOUBLE) + 3e-8, 6) AS sharpe_ratio, max_drawdown_pct, total_trades, win_rate, profit_factor FROM (
+      SELECT strategy_id, symbol, count(*) AS total_trades, round(sum(pnl) / 100000.0 * 100 + 3e-11, 9) AS total_return_pct, round(CASE WHEN stddev_samp(return_pct) > 1e-9 THEN avg(return_pct) / stddev_samp(return_pct) END + 3e-11, 9) AS sharpe_raw,
+      round(max((peak - equity) / peak * 100) + 3e-11, 9) AS max_drawdown_pct, round(100.0::DOUBLE * count(*) FILTER (pnl > 0) / count(*) + 3e-11, 9) AS win_rate,
+      round(sum(pnl) FILTER (pnl > 0) / nullif(-sum(pnl) FILTER (pnl < 0), 0) + 3e-11, 9) AS profit_factor, CAST(sum(days) AS BIGINT) AS bars_tested, min(entry_ts) AS start_ts, max(exit_ts) AS end_ts FROM (
       SELECT *, greatest(100000.0, max(equity) OVER w) AS peak FROM (SELECT *, 100000.0 + sum(pnl) OVER w AS equity FROM trades WINDOW w AS (PARTITION BY strategy_id, symbol ORDER BY {ORDER} ROWS UNBOUNDED PRECEDING))
       WINDOW w AS (PARTITION BY strategy_id, symbol ORDER BY {ORDER} ROWS UNBOUNDED PRECEDING)) GROUP BY ALL)""",
 }
