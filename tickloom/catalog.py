@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tickloom.plans.market",)
+MODULES = ("tickloom.plans.market", "tickloom.plans.results_queries", "tickloom.plans.trading_queries", "tickloom.plans.stats_queries")
 
 
 def queries() -> dict:
