@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import saved, table
+from .shared import saved, setting, table
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 6, 3
@@ -51,31 +51,34 @@ def _shingle(units: str, i: str) -> str:
 
 
 def _sketches(lines: DataFrame) -> DataFrame:
-    """`k`, `n` (occurrences), `doc` (the smallest that has it) and `bands` of every distinct line, a row for each kind of signature.
+    """`k`, `n` (occurrences), `doc` (the smallest that has it) and `bands` of every distinct line, a row for each kind of signature; one of them is `main`.
 
     Two lines with one hash `k` (expected for one pair in 2**64) are told by a second hash and left out: they stay.
     """
     units = lines.select("doc", "k", F.xxhash64(F.lit(1), "line").alias("k2"), F.encode("line", "UTF-16BE").alias("u")).withColumn("last", _last("u"))
     size = F.col("last") + 1
     kinds = F.sequence(F.when(size < FULL_BELOW, 0).otherwise(1), F.when(size < SPARSE_FROM, 0).otherwise(1))
-    placed = units.select("*", F.explode(kinds).alias("kind")).select("doc", "k", "k2", "u", "kind", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    hashed = placed.select("doc", "k", "k2", "kind", (F.col("i") == 0).cast("long").alias("one"), F.expr(_shingle("u", "i")).alias("h"))
+    placed = units.select("*", F.explode(kinds).alias("kind")).select("doc", "k", "k2", "u", "kind", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    hashed = placed.select("doc", "k", "k2", "kind", "last", (F.col("i") == 0).cast("long").alias("one"), F.expr(_shingle("u", "i")).alias("h"))
     # the first shingle counts the line, whether it signs or not
     signs = (F.col("kind") == 0) | (F.col("h").bitwiseAND(F.lit(SPARSE - 1)) == 0)
     rows = hashed.filter(signs | (F.col("one") == 1)).select("*", F.when(signs, F.col("h")).alias("s"))
     mins = [F.min(F.col("s").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{j}") for j, m in enumerate(MASKS)]
-    out = rows.groupBy("k", "kind").agg(F.sum("one").alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), *mins)
+    out = rows.groupBy("k", "kind").agg(F.sum("one").alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), F.max("last").alias("last"), *mins)
     bands = [F.xxhash64(F.lit(b), "kind", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return out.filter("lo = hi").select("k", "kind", "n", "doc", F.when(F.col("m0").isNotNull(), F.array(*bands)).otherwise(F.array().cast("array<long>")).alias("bands"))
+    main = (F.col("kind") == 0) | (F.col("last") + 1 >= FULL_BELOW)  # one row of each line
+    return out.filter("lo = hi").select("k", "kind", main.alias("main"), "n", "doc", F.when(F.col("m0").isNotNull(), F.array(*bands)).otherwise(F.array().cast("array<long>")).alias("bands"))
 
 
 def _sets(members: DataFrame, lines: DataFrame, sketches: DataFrame) -> DataFrame:
     """`k`, `s`: the distinct shingle hashes of every line that shares a band."""
     # one document that has the line: no hot key, whatever the copies
-    where = members.select("k").distinct().join(sketches.select("k", "doc").distinct(), "k").hint("shuffle_hash")
-    texts = lines.select("k", "doc", F.encode("line", "UTF-16BE").alias("u")).join(where, ["k", "doc"]).groupBy("k").agg(F.first("u").alias("u"))
+    where = members.select("k").distinct().join(sketches.filter("main").select("k", "doc"), "k").hint("shuffle_hash")
+    texts = lines.join(where, ["k", "doc"]).groupBy("k").agg(F.first("line").alias("line")).select("k", F.encode("line", "UTF-16BE").alias("u"))
     placed = texts.select("k", "u", F.explode(F.sequence(F.lit(0), _last("u"))).alias("i"))
-    return saved(placed.select("k", F.expr(_shingle("u", "i")).alias("h")).groupBy("k").agg(F.collect_list("h").alias("s")).select("k", F.array_distinct("s").alias("s")), "line-sets")
+    # rows come sorted by k, so that a sorted aggregate collects one line at a time; a hashed one would sort and spill
+    with setting(members.sparkSession, "spark.sql.execution.useObjectHashAggregateExec", "false"):
+        return saved(placed.select("k", F.expr(_shingle("u", "i")).alias("h")).groupBy("k").agg(F.collect_list("h").alias("s")).select("k", F.array_distinct("s").alias("s")), "line-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -125,8 +128,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = links.union(_verified(more, sets))
     found = connected_components(links).withColumnRenamed("v", "k")
     # every line that is not alone in its component
-    groups = sketches.select("k", "n").distinct().join(found, "k", "left").filter("n > 1 or component is not null").select("k", F.coalesce("component", "k").alias("component"))
-    placed = lines.select("doc", "at", "k").join(groups.hint("merge"), "k").select("component", "doc", "at")
+    groups = sketches.filter("main").select("k", "n").join(found, "k", "left").filter("n > 1 or component is not null").select("k", F.coalesce("component", "k").alias("component"))
+    placed = saved(lines.select("doc", "at", "k").join(groups.hint("shuffle_hash"), "k").select("component", "doc", "at"), "line-places")
     keep = placed.groupBy("component").agg(F.min("doc").alias("d"))
     keep = placed.join(keep, "component").filter("doc = d").groupBy("component").agg(F.min("doc").alias("d"), F.min("at").alias("p"))
     return placed.join(keep, "component").filter("doc <> d or at <> p").select("doc", "at", "component")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,20 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{(base or _own_folder()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the jobs inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 #: Spark 4.1 and later: shuffle files go at the end of the execution that made them.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -41,15 +56,8 @@ def saved(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
+    with setting(spark, CLEAN_UP, "true"):
         df.write.option("compression", compression).parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEAN_UP)
-        else:
-            spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
