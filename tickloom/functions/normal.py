@@ -7,16 +7,17 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _N = NormalDist()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def norm_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: _N.cdf(v) if pd.notna(v) else None).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def norm_ppf(p: pd.Series) -> pd.Series:
     return p.map(lambda v: _N.inv_cdf(v) if pd.notna(v) and 0 < v < 1 else None).astype("float64")
 
