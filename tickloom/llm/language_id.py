@@ -32,7 +32,8 @@ HELD_BACK = 5
 MARGIN, SPREADS = 1.0, 6.0
 SPACE, ASTRAL = 32, 0xFFFF
 SYMBOLS = 1 << 16
-_PART = 1 << 21
+#: Symbols and texts that a task looks at together: a worker's memory stays small.
+_PART, _TEXTS = 1 << 18, 512
 
 
 @lru_cache(maxsize=1)
@@ -133,7 +134,7 @@ class _Scorer:
 
     def __init__(self, languages: Languages):
         self.languages, n = languages, max(1, len(languages.names))
-        self.bits = max(10, min(21, int(np.log2((96 << 20) / (4 * n)))))
+        self.bits = max(10, min(19, int(np.log2((24 << 20) / (4 * n)))))
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.rows = np.zeros((1 << self.bits, n), np.float32)
 
@@ -264,7 +265,7 @@ def _predict(languages: Languages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _Scorer(languages) if languages.names else None
         limits = np.array(languages.limits).reshape(-1, 2)
-        for batch in batches:
+        for batch in (b.slice(i, _TEXTS) for b in batches for i in range(0, b.num_rows, _TEXTS)):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             if score is None:
                 lang, sure, entropy, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), bool)
