@@ -12,15 +12,15 @@ each component of lines linked by a Jaccard similarity of 0.8 or more, the first
 2. 6 bands of 3 values: with full signatures a pair at 0.8 misses all with a probability of 0.014, a pair at 0.9 with one of 0.0004.
 3. Every line of a band is verified, exactly, against two centres: the band's most frequent line (often what the others are
    edits of) and its smallest. The links' components are found by distributed union-find. Where a band still holds
-   lines of several components, pairs across them are verified, too: all of them in a band of up to 16 lines,
-   and in a larger one each line with its next 8 in the order of a hash that differs by band. No band costs
-   more than some rows for each of its lines, however large a group of near copies is.
+   lines of several components, all pairs across them are verified, too, so no link that a band shows is lost: as rows in a
+   band of up to 16 lines; in a larger one tile by tile, 256 lines against 256 inside one expression, which gives
+   links and never pairs, and a pair only in the first band that it shares.
 4. Components' first occurrences stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -28,8 +28,8 @@ from .shared import saved, table
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 6, 3
-#: Bands of up to SMALL lines are compared whole, in larger ones a line meets its NEAR next.
-SMALL, NEAR = 16, 8
+#: Bands of up to SMALL lines are compared by rows, larger ones in tiles of about TILE lines.
+SMALL, TILE = 16, 256
 #: Shingles from which a line has a sparse signature, and up to which (not included) it has a full one.
 SPARSE_FROM, FULL_BELOW, SPARSE = 100, 128, 4
 #: Masks of the MinHash values: the fractional parts of multiples of the golden ratio, as 32-bit numbers.
@@ -89,6 +89,26 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return saved(near.filter(common >= F.lit(THRESHOLD) * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "line-links")
 
 
+def _across_tiles(known: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links (`a`, `b`) between components of large bands: `known` has band, k, size and component c."""
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    one = known.join(sets, "k").join(sketches.select("k", "kind", "bands"), "k").filter(F.array_contains("bands", F.col("band")))
+    item = F.struct("k", "c", "s", "bands", F.array_position("bands", F.col("band")).cast("int").alias("place"))
+    dealt = one.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("k"), tiles).cast("int"))
+    packed = saved(dealt.groupBy("band", "tile", "tiles").agg(F.collect_list(item).alias("items")), "line-tiles")
+    other = packed.select("band", F.col("tile").alias("tile2"), F.col("items").alias("items2"))
+
+    def linked(x, y):
+        small, large = F.least(F.size(x["s"]), F.size(y["s"])), F.greatest(F.size(x["s"]), F.size(y["s"]))
+        first = ~F.arrays_overlap(F.slice(x["bands"], F.lit(1), x["place"] - 1), F.slice(y["bands"], F.lit(1), x["place"] - 1))
+        common = F.size(F.array_intersect(x["s"], y["s"]))
+        return (x["c"] != y["c"]) & (small >= F.lit(THRESHOLD) * large) & first & (common >= F.lit(THRESHOLD) / (1 + THRESHOLD) * (small + large) - 1e-9)
+
+    met = packed.join(other, "band").filter("tile <= tile2")
+    pairs = F.flatten(F.transform("items", lambda x: F.transform(F.filter("items2", lambda y: linked(x, y)), lambda y: F.struct(x["k"].alias("x"), y["k"].alias("y")))))
+    return saved(met.select(F.explode(pairs).alias("p")).select(*_ordered("p.x", "p.y")).distinct(), "line-links")
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -117,14 +137,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = saved(known.join(open_, "band"), "line-open")
     x, y = known.filter(F.col("size") <= SMALL).select("band", F.col("k").alias("x"), F.col("c").alias("cx")), known.filter(F.col("size") <= SMALL).select("band", F.col("k").alias("y"), F.col("c").alias("cy"))
     across = x.join(y, "band").filter("cx < cy").select("x", "y")
-    # a large band: neighbours by hash; the order is over parts of the band, so that no task sorts a hot one alone
-    salted = known.filter(F.col("size") > SMALL).withColumn("order", F.xxhash64("k", "band")).withColumn("part", F.pmod(F.col("order"), F.ceil(F.col("size") / 1024)))
-    by = Window.partitionBy("band", "part").orderBy("order")
-    ahead = {f"{c}{i}": F.lead(c, i).over(by) for i in range(1, NEAR + 1) for c in ("k", "c")}
-    beside = salted.withColumns(ahead).select("k", "c", F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("k2"), F.col(f"c{i}").alias("c2")) for i in range(1, NEAR + 1)])).alias("o"))
-    across = across.union(beside.filter("o.k2 is not null and o.c2 <> c").select(F.col("k").alias("x"), F.col("o.k2").alias("y")))
     more = saved(across.select(*_ordered("x", "y")).distinct().join(first, ["a", "b"], "left_anti"), "line-pairs")
-    links = links.union(_verified(more, sets))
+    links = links.union(_verified(more, sets)).union(_across_tiles(known.filter(F.col("size") > SMALL), sets, sketches))
     found = connected_components(links).withColumnRenamed("v", "k")
     # every line that is not alone in its component
     groups = sketches.filter("main").select("k", "n").join(found, "k", "left").filter("n > 1 or component is not null").select("k", F.coalesce("component", "k").alias("component"))
