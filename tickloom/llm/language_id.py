@@ -241,14 +241,18 @@ def _entropies(languages: Languages):
 
 def calibrated(languages: Languages, rows: list[tuple[str, int, list[float]]]) -> Languages:
     """Set the limits of rejection, and the temperature of scores, from (language, length, cross-entropies) of texts held back."""
+    right_ones = [(languages.names[int(np.argmin(e))], n, min(e)) for lang, n, e in rows if languages.names[int(np.argmin(e))] == lang]
+
+    def limit(own: list[tuple[int, float]]) -> tuple[float, float]:
+        n, e = np.array(own).T
+        middle = float(np.median(e))
+        return middle, float(1.4826 * np.median(np.abs(e - middle) * np.sqrt(n)))
+
+    pooled = limit([(n, e) for _, n, e in right_ones]) if right_ones else (0.0, float("inf"))
     limits = []
-    for i, name in enumerate(languages.names):
-        own = np.array([(n, e[i]) for lang, n, e in rows if lang == name and int(np.argmin(e)) == i]).reshape(-1, 2)
-        if len(own) < 5:
-            limits.append((0.0, float("inf")))
-            continue
-        middle = float(np.median(own[:, 1]))
-        limits.append((middle, float(1.4826 * np.median(np.abs(own[:, 1] - middle) * np.sqrt(own[:, 0])))))
+    for name in languages.names:
+        own = [(n, e) for lang, n, e in right_ones if lang == name]
+        limits.append(limit(own) if len(own) >= 5 else pooled)  # too few to tell: those of all languages
     best, found = 1.0, -np.inf
     if rows:
         right = np.array([languages.names.index(lang) for lang, _, _ in rows])
