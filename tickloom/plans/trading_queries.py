@@ -86,10 +86,10 @@ def _marked(s, d):
     exits = t.select("strategy_id", "symbol", F.col("exit_ts").alias("ts"), F.col("exit_price").alias("price"), *[F.col(c).alias(f"x_{c}") for c in ("order_key", "line", "variant_key")], month("exit_ts").alias("m"))
     open_ = t.select("strategy_id", "symbol", "entry_ts", F.col("exit_ts").alias("until"), "entry_price", "size", F.explode(F.sequence(month("entry_ts"), month("exit_ts"))).alias("m"))
     both = exits.join(open_, ["strategy_id", "symbol", "m"], "left").withColumn("on", (F.col("entry_ts") <= F.col("ts")) & (F.col("ts") < F.col("until")))
-    return both.groupBy("strategy_id", "symbol").agg(F.sum(F.when(F.col("on"), (F.col("price") - F.col("entry_price")) * F.col("size")).otherwise(0.0)).alias("unrealised"), F.count_if(F.col("on")).alias("marks"))
+    return both.groupBy("strategy_id", "symbol").agg((F.sum(F.when(F.col("on"), (F.col("price") - F.col("entry_price")) * F.col("size")).otherwise(0.0)) / 100_000).alias("unrealised"), F.count_if(F.col("on")).alias("marks"))
 
 
-add("K4_unrealised", _marked, "trades", f"SELECT a.strategy_id, a.symbol, {r('coalesce(sum((a.exit_price - b.entry_price) * b.size) FILTER (b.size IS NOT NULL), 0) AS unrealised')}, count(b.size) AS marks FROM trades a LEFT JOIN trades b ON a.strategy_id = b.strategy_id AND a.symbol = b.symbol AND b.entry_ts <= a.exit_ts AND a.exit_ts < b.exit_ts GROUP BY ALL")
+add("K4_unrealised", _marked, "trades", f"SELECT a.strategy_id, a.symbol, {r('coalesce(sum((a.exit_price - b.entry_price) * b.size) FILTER (b.size IS NOT NULL), 0) / 100000.0 AS unrealised')}, count(b.size) AS marks FROM trades a LEFT JOIN trades b ON a.strategy_id = b.strategy_id AND a.symbol = b.symbol AND b.entry_ts <= a.exit_ts AND a.exit_ts < b.exit_ts GROUP BY ALL")
 QUERIES["W21_equity_events"], ORACLE["W21_equity_events"] = QUERIES["K4_unrealised"], ORACLE["K4_unrealised"]
 add("A19_daily_equity", lambda s, d: comp.daily_stats(comp.equity_events(fees(s, d))).groupBy("strategy_id").agg(F.count(F.lit(1)).alias("days"), F.max("loss_pct").alias("worst")), "trades", EVENTS + f"SELECT strategy_id, count(*) AS days, {r('max(loss_pct) AS worst')} FROM d3 GROUP BY 1")
 QUERIES["K5_daily_loss"], ORACLE["K5_daily_loss"] = QUERIES["A19_daily_equity"], ORACLE["A19_daily_equity"]
