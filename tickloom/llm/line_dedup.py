@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import saved, table
+from .shared import saved, setting, table
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 6, 3
@@ -74,10 +74,11 @@ def _sets(members: DataFrame, lines: DataFrame, sketches: DataFrame) -> DataFram
     """`k`, `s`: the distinct shingle hashes of every line that shares a band."""
     # one document that has the line: no hot key, whatever the copies
     where = members.select("k").distinct().join(sketches.filter("main").select("k", "doc"), "k").hint("shuffle_hash")
-    # the encoding is an aggregate's result, so that the lambda below reads it and does not repeat it
-    texts = lines.join(where, ["k", "doc"]).groupBy("k").agg(F.first(F.encode("line", "UTF-16BE")).alias("u"))
-    sets = F.array_distinct(F.transform(F.sequence(F.lit(1), 2 * _last("u") + 1, F.lit(2)), lambda i: F.hash(F.substring(F.col("u"), i, F.lit(2 * SHINGLE)))))
-    return saved(texts.select("k", sets.alias("s")), "line-sets")
+    texts = lines.join(where, ["k", "doc"]).groupBy("k").agg(F.first("line").alias("line")).select("k", F.encode("line", "UTF-16BE").alias("u"))
+    placed = texts.select("k", "u", F.explode(F.sequence(F.lit(0), _last("u"))).alias("i"))
+    # a sorted aggregate collects one line at a time; a hashed one would fall back to sorting, later
+    with setting(members.sparkSession, "spark.sql.execution.useObjectHashAggregateExec", "false"):
+        return saved(placed.select("k", F.expr(_shingle("u", "i")).alias("h")).groupBy("k").agg(F.collect_list("h").alias("s")).select("k", F.array_distinct("s").alias("s")), "line-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
