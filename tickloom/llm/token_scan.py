@@ -141,7 +141,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat files that hold all of them."""
     manifest = write_token_files(table(spark, sf_dir, "documents"))
     counts = count_tokens(manifest.select("file"))
-    return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return manifest.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 QUERIES = {"op9_token_counts": op9_token_counts}
