@@ -260,6 +260,18 @@ def test_large_bands_keep_most_links(spark):
     assert removed >= 0.97 * len(brute_lines(rows))
 
 
+def test_repetitive_lines_of_all_lengths(spark):
+    """Rules and repeated phrases have few shingles at many places: lengths across 100 and 128 shingles are one group each."""
+    from tickloom.llm.line_dedup import repeated_lines
+
+    long = words(random.Random(10), 30)
+    lines = [c * n for c in "=-*#.~" for n in (80, 104, 107, 120, 134, 135, 140, 600)]
+    lines += [(phrase * 400)[:n] for phrase in ("to be or not ", "la ", "all work and no play makes a dull day; ") for n in (90, 106, 108, 130, 136, 150, 900)]
+    lines += [long, long + " end"]
+    rows = [(i, line, "a") for i, line in enumerate(lines)]
+    assert {(r["doc"], r["at"]) for r in repeated_lines(table(spark, rows)).collect()} == brute_lines(rows)
+
+
 # -- 6: language ID --------------------------------------------------------------------------------
 
 

@@ -6,10 +6,8 @@ each component of lines linked by a Jaccard similarity of 0.8 or more, the first
 
 1. One pass makes a row for each shingle, within generated code, and aggregates 18 MinHash values for each
    distinct line before any shuffle: copies of a line combine in the map tasks. The values are minima of a 32-bit
-   hash under 18 masks. A line of 128 shingles or more signs with the quarter of its shingles whose hash is
-   divisible by 4, one below 100 with all of them, one between with both, apart: two lines whose
-   similarity is 0.8 or more always have a kind of signature in common.
-2. 6 bands of 3 values: with full signatures a pair at 0.8 misses all with a probability of 0.014, a pair at 0.9 with one of 0.0004.
+   hash under 18 masks, over all shingles of a line, whatever its length and however it repeats itself.
+2. 6 bands of 3 values: a pair at 0.8 misses all with a probability of 0.014, a pair at 0.9 with one of 0.0004, equal sets never.
 3. Every line of a band is verified, exactly, against two centres: the band's most frequent line (often what the others are
    edits of) and its smallest. The links' components are found by distributed union-find. Where a band still holds
    lines of several components, all pairs across them are verified, too, so no link that a band shows is lost: as rows in a
@@ -30,8 +28,6 @@ SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 6, 3
 #: Bands of up to SMALL lines are compared by rows, larger ones in tiles of about TILE lines.
 SMALL, TILE = 16, 256
-#: Shingles from which a line has a sparse signature, and up to which (not included) it has a full one.
-SPARSE_FROM, FULL_BELOW, SPARSE = 100, 128, 4
 #: Masks of the MinHash values: the fractional parts of multiples of the golden ratio, as 32-bit numbers.
 MASKS = [((i + 1) * 0x9E3779B97F4A7C15 >> 20) % (1 << 32) - (1 << 31) for i in range(BANDS * ROWS)]
 
@@ -51,29 +47,23 @@ def _shingle(units: str, i: str) -> str:
 
 
 def _sketches(lines: DataFrame) -> DataFrame:
-    """`k`, `n` (occurrences), `doc` (the smallest that has it) and `bands` of every distinct line, a row for each kind of signature; one of them is `main`.
+    """`k`, `n` (occurrences), `doc` (the smallest that has it) and `bands` of every distinct line.
 
     Two lines with one hash `k` (expected for one pair in 2**64) are told by a second hash and left out: they stay.
     """
-    units = lines.select("doc", "k", F.xxhash64(F.lit(1), "line").alias("k2"), F.encode("line", "UTF-16BE").alias("u")).withColumn("last", _last("u"))
-    size = F.col("last") + 1
-    kinds = F.sequence(F.when(size < FULL_BELOW, 0).otherwise(1), F.when(size < SPARSE_FROM, 0).otherwise(1))
-    placed = units.select("*", F.explode(kinds).alias("kind")).select("doc", "k", "k2", "u", "kind", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    hashed = placed.select("doc", "k", "k2", "kind", "last", (F.col("i") == 0).cast("long").alias("one"), F.expr(_shingle("u", "i")).alias("h"))
-    # the first shingle counts the line, whether it signs or not
-    signs = (F.col("kind") == 0) | (F.col("h").bitwiseAND(F.lit(SPARSE - 1)) == 0)
-    rows = hashed.filter(signs | (F.col("one") == 1)).select("*", F.when(signs, F.col("h")).alias("s"))
-    mins = [F.min(F.col("s").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{j}") for j, m in enumerate(MASKS)]
-    out = rows.groupBy("k", "kind").agg(F.sum("one").alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), F.max("last").alias("last"), *mins)
-    bands = [F.xxhash64(F.lit(b), "kind", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    main = (F.col("kind") == 0) | (F.col("last") + 1 >= FULL_BELOW)  # one row of each line
-    return out.filter("lo = hi").select("k", "kind", main.alias("main"), "n", "doc", F.when(F.col("m0").isNotNull(), F.array(*bands)).otherwise(F.array().cast("array<long>")).alias("bands"))
+    units = lines.select("doc", "k", F.xxhash64(F.lit(1), "line").alias("k2"), F.encode("line", "UTF-16BE").alias("u"))
+    placed = units.select("doc", "k", "k2", "u", F.explode(F.sequence(F.lit(0), _last("u"))).alias("i"))
+    hashed = placed.select("doc", "k", "k2", (F.col("i") == 0).cast("long").alias("one"), F.expr(_shingle("u", "i")).alias("h"))
+    mins = [F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{j}") for j, m in enumerate(MASKS)]
+    out = hashed.groupBy("k").agg(F.sum("one").alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), *mins)
+    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
+    return out.filter("lo = hi").select("k", "n", "doc", F.array(*bands).alias("bands"))
 
 
 def _sets(members: DataFrame, lines: DataFrame, sketches: DataFrame) -> DataFrame:
     """`k`, `s`: the distinct shingle hashes of every line that shares a band."""
     # one document that has the line: no hot key, whatever the copies
-    where = members.select("k").distinct().join(sketches.filter("main").select("k", "doc"), "k").hint("shuffle_hash")
+    where = members.select("k").distinct().join(sketches.select("k", "doc"), "k").hint("shuffle_hash")
     texts = lines.join(where, ["k", "doc"]).groupBy("k").agg(F.first("line").alias("line")).select("k", F.encode("line", "UTF-16BE").alias("u"))
     placed = texts.select("k", "u", F.explode(F.sequence(F.lit(0), _last("u"))).alias("i"))
     # a sorted aggregate collects one line at a time; a hashed one would fall back to sorting, later
@@ -93,7 +83,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _across_tiles(known: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (`a`, `b`) between components of large bands: `known` has band, k, size and component c."""
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    one = known.join(sets, "k").join(sketches.select("k", "kind", "bands"), "k").filter(F.array_contains("bands", F.col("band")))
+    one = known.join(sets, "k").join(sketches.select("k", "bands"), "k")
     item = F.struct("k", "c", "s", "bands", F.array_position("bands", F.col("band")).cast("int").alias("place"))
     dealt = one.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("k"), tiles).cast("int"))
     packed = saved(dealt.groupBy("band", "tile", "tiles").agg(F.collect_list(item).alias("items")), "line-tiles")
@@ -142,7 +132,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = links.union(_verified(more, sets)).union(_across_tiles(known.filter(F.col("size") > SMALL), sets, sketches))
     found = connected_components(links).withColumnRenamed("v", "k")
     # every line that is not alone in its component
-    groups = sketches.filter("main").select("k", "n").join(found, "k", "left").filter("n > 1 or component is not null").select("k", F.coalesce("component", "k").alias("component"))
+    groups = sketches.select("k", "n").join(found, "k", "left").filter("n > 1 or component is not null").select("k", F.coalesce("component", "k").alias("component"))
     placed = saved(lines.select("doc", "at", "k").join(groups.hint("shuffle_hash"), "k").select("component", "doc", "at"), "line-places")
     keep = placed.groupBy("component").agg(F.min("doc").alias("d"))
     keep = placed.join(keep, "component").filter("doc = d").groupBy("component").agg(F.min("doc").alias("d"), F.min("at").alias("p"))
