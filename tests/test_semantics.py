@@ -235,3 +235,32 @@ def test_cycles_end(spark):
 
     s = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "strategy_id long, parent_id long")
     assert sorted(r["node"] for r in ancestors(spark, s, s.filter("strategy_id = 3")).collect()) == [1, 2, 3]
+
+
+def test_semantic_duplicates_are_all_found_in_order(spark, tmp_path):
+    """T9 against a loop: near copies of 64 dimensions, chains whose middle goes, large ids, zeros; and blocks of any size."""
+    import numpy as np
+
+    from tickloom import catalog
+    from tickloom.operators.selection import semantic_duplicates
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 64))
+    x = [b + 0.5 * rng.normal(size=64) for b in base for _ in range(4)]
+    for a in (0, 25, 50, 75, 100):
+        x.append(10 * (np.cos(np.radians(a)) * np.eye(64)[0] + np.sin(np.radians(a)) * np.eye(64)[1]))
+    x += [np.zeros(64), np.zeros(64), x[3], x[3]]
+    order = rng.permutation(len(x) - 9).tolist() + list(range(len(x) - 9, len(x)))
+    rows = [(n + (100_000_000 if n > 200 else 0), [float(v) for v in x[i]]) for n, i in enumerate(order)]
+    accepted, want = [], {}
+    for k, v in rows:
+        near = [(-round(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w)), 9), j) for j, w in accepted if any(v) and any(w)]
+        s, j = min(near, default=(0, None))
+        want[k] = j if -s >= 0.85 else None
+        if want[k] is None:
+            accepted.append((k, v))
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(0))
+    docs.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.queries()["T9_semantic_near_duplicates"](spark, str(tmp_path))
+    assert dict(map(tuple, got.select("vec_id", "duplicate_of").collect())) == want
+    assert dict(map(tuple, semantic_duplicates(docs, block=40).select("vec_id", "duplicate_of").collect())) == want

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut
+
 #: Metric, weight, least and greatest, whether high is good.
 SCORE = [("sharpe_ratio", 1.0, 0.0, 3.0, True), ("max_drawdown_pct", 0.8, 0.0, 50.0, False), ("profit_factor", 0.6, 0.0, 3.0, True), ("win_rate", 0.3, 0.0, 100.0, True), ("total_trades", 0.2, 0.0, 500.0, True)]
 
@@ -202,3 +205,65 @@ def portfolios(returns: DataFrame, ids: list[int], most: float = 0.4) -> DataFra
         for s, x, rc in zip(ids, w, w * (cov @ w) / max(total**2, 1e-18), strict=True):
             rows.append((m, s, float(x), float(rc), float(w @ np.sqrt(np.diag(cov)) / max(total, 1e-12)), float(1 / (w * w).sum())))
     return returns.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["method", "strategy_id", "weight", "risk_share", "diversification", "effective_n"]))
+
+
+def _units(embeddings) -> np.ndarray:
+    """Rows of length 1; a vector that is zero or has a null or no finite length becomes zeros, which are similar to nothing."""
+    x = np.array(embeddings.to_pylist(), dtype=np.float64)
+    norm = np.sqrt((x * x).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    return np.where(good[:, None], x / np.where(good, norm, 1.0)[:, None], 0.0)
+
+
+def _similar(x: np.ndarray, ids: np.ndarray, refs: np.ndarray, ref_ids: np.ndarray, threshold: float) -> np.ndarray:
+    """Cosines to 9 digits where the reference comes earlier and reaches the threshold, else -1."""
+    sim = np.round(x @ refs.T + 3e-11, 9)
+    return np.where((sim >= threshold) & (ref_ids[None, :] < ids[:, None]), sim, -1.0)
+
+
+def semantic_duplicates(vectors: DataFrame, threshold: float = 0.85, block: int = 8192) -> DataFrame:
+    """`vec_id`, `duplicate_of` of every row (vec_id, embedding): in the order of ids, an item goes if an accepted one is similar.
+
+    `duplicate_of` is the most similar accepted item before it, the first of equals, or null for what stays. Exact: the driver
+    decides a block of items that no earlier block has removed, the executors compare all later rows with what it accepted;
+    pairs are never rows. Only vectors of one length are compared; rows without id or vector stay.
+    """
+    usable = vectors.filter("vec_id is not null and size(embedding) > 0").select(F.col("vec_id").cast("long"), "embedding", F.lit(-1.0).alias("sim"), F.lit(None).cast("long").alias("duplicate_of"))
+    done = vectors.filter("vec_id is null or embedding is null or size(embedding) <= 0").select(F.col("vec_id").cast("long"), F.lit(None).cast("long").alias("duplicate_of"))
+    kind = usable.schema["embedding"].dataType.simpleString()
+    for n in sorted(x[0] for x in usable.select(F.size("embedding")).distinct().collect()):
+        rest = usable.filter(F.size("embedding") == n)
+        while True:
+            open_ = rest.filter("duplicate_of is null")
+            last = open_.select("vec_id").orderBy("vec_id").limit(block).agg(F.max("vec_id")).first()[0]
+            if last is None:
+                break
+            items = open_.filter(F.col("vec_id") <= last).select("vec_id", "embedding").orderBy("vec_id").toArrow()
+            ids, x = items.column(0).to_numpy(), _units(items.column(1))
+            kept = np.zeros(0, int)
+            for i in range(0, len(ids), 512):
+                part = np.arange(i, min(i + 512, len(ids)))
+                free = (_similar(x[part], ids[part], x[kept], ids[kept], threshold) < 0).all(1)
+                within = _similar(x[part], ids[part], x[part], ids[part], threshold) >= 0
+                for j in range(len(part)):
+                    free[j] = free[j] and not (within[j] & free).any()
+                kept = np.concatenate([kept, part[free]])
+            rest = cut(rest.mapInArrow(_nearest_of(x[kept], ids[kept], threshold), f"vec_id long, embedding {kind}, sim double, duplicate_of long"))
+            done = done.union(rest.filter(F.col("vec_id") <= last).select("vec_id", "duplicate_of"))
+            rest = rest.filter(F.col("vec_id") > last)
+        done = done.union(rest.select("vec_id", "duplicate_of"))
+    return done
+
+
+def _nearest_of(refs: np.ndarray, ref_ids: np.ndarray, threshold: float):
+    def run(batches):
+        for whole in batches:
+            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                sim = _similar(_units(batch.column(1)), batch.column(0).to_numpy(), refs, ref_ids, threshold)
+                best, old = sim.argmax(1), batch.column(2).to_numpy()
+                top = sim[np.arange(len(sim)), best]
+                better = top > old  # of equals the one found first, which comes earlier
+                of = [int(ref_ids[b]) if new else was for b, new, was in zip(best.tolist(), better.tolist(), batch.column(3).to_pylist(), strict=True)]
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.where(better, top, old)), pa.array(of, pa.int64())], names=["vec_id", "embedding", "sim", "duplicate_of"])
+
+    return run

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.selection import semantic_duplicates
 from ..sources.views import strategies, table
 from ..sql import with_views
 from .common import SHIFT, rounded
@@ -92,15 +93,4 @@ def _tf(s, d):
 add("T10_hashed_tf", _tf, "SELECT doc_id, 1.0::DOUBLE AS squared FROM documents")
 
 
-def _near(s, d):
-    """Greedy near-duplicates over the conflict graph of random-projection buckets: an item goes if an earlier accepted one is similar."""
-    e = _embeddings(s, d)
-    planes = [[((i * 2654435761 + j * 40503) % 1000) / 500.0 - 1 for j in range(64)] for i in range(8)]
-    keyed = [F.concat_ws("", *[F.when(F.aggregate(F.zip_with("embedding", F.array(*[F.lit(x) for x in p]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x) > 0, "1").otherwise("0") for p in planes[k : k + 4]]) for k in (0, 4)]
-    b = e.withColumn("key", F.explode(F.array(*[F.concat(F.lit(f"{i}:"), k) for i, k in enumerate(keyed)])))
-    pairs = b.select("key", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(b.select("key", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "key").filter("a < b").dropDuplicates(["a", "b"]).filter(tx.cosine("x", "y") >= 0.85)
-    earlier = pairs.groupBy(F.col("b").alias("vec_id")).agg(F.min("a").alias("duplicate_of"))
-    return e.join(earlier, "vec_id", "left").select("vec_id", "duplicate_of")
-
-
-add("T9_semantic_near_duplicates", _near)
+add("T9_semantic_near_duplicates", lambda s, d: semantic_duplicates(table(s, d, "embeddings")))
