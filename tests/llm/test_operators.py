@@ -301,6 +301,25 @@ def test_language_id(spark, data):
     assert lid.identify(table(spark, [(1, "漢字仮名交文" * 50, "a")]), model).first()["rejected"]
 
 
+def test_rare_languages_keep_their_models(spark):
+    """A language trains on all its few documents, though all of them have the hash that holds back."""
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import language_id as lid
+
+    ids = spark.range(2000).withColumnRenamed("id", "doc_id").filter(lid.may_train())
+    held = F.pmod(F.xxhash64(F.lit(7), F.xxhash64(F.col("doc_id").cast("string"))), F.lit(lid.HELD_BACK)) == 0
+    rare = [r[0] for r in ids.filter(held).orderBy("doc_id").limit(2).collect()]
+    others = [r[0] for r in ids.orderBy("doc_id").limit(150).collect() if r[0] not in rare]
+    rng = random.Random(11)
+    rows = [(i, words(rng, 40), "en") for i in others] + [(i, "сто слов о погоде и море " * 8, "ru") for i in rare]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lid.train(docs)
+    assert model.names == ["en", "ru"]
+    got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in lid.identify(docs, model).collect()}
+    assert all(got[i] == ("ru", False) for i in rare)
+
+
 def test_model_is_a_distribution():
     import numpy as np
 

@@ -212,13 +212,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     usable = docs.filter(may_train(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    n = {r["lang"]: r["count"] for r in usable.groupBy(F.col(lang_col).alias("lang")).count().collect()}
+    back = F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(HELD_BACK)) == 0
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(~back).alias("free")).collect()
+    n = {r["lang"]: r["n"] for r in found}
     if not n:
         return Languages([], [], [])
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, most_docs / v))])
     sample = rows.filter(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.element_at(share, F.col("lang")))
-    back = F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(HELD_BACK)) == 0
-    learn = sample.filter(~back) if sum(min(most_docs, v) for v in n.values()) >= 10 * HELD_BACK else sample
+    # a language with few documents trains on all of them, and its limits are those of the others
+    enough = [r["lang"] for r in found if min(most_docs, r["n"]) >= 2 * HELD_BACK and r["free"]]
+    if sum(min(most_docs, v) for v in n.values()) >= 10 * HELD_BACK and enough:
+        back = back & F.col("lang").isin(enough)
+        learn = sample.filter(~back)
+    else:
+        learn = sample
     models = {r["lang"]: pickle.loads(r["model"]) for r in learn.groupBy("lang").applyInArrow(_train_one, "lang string, model binary").collect()}
     names = sorted(models)
     out = Languages(names, [models[k] for k in names], [(0.0, float("inf"))] * len(names))
