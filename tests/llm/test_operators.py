@@ -345,10 +345,11 @@ def test_warc(spark):
     captures = warc.write_archives(pages)
     index = warc.build_index(captures, block_lines=2)
     got = {r["page_id"]: r for r in warc.lookup(index, captures).collect()}
-    for p, _, h in rows[:-1]:
+    for p, u, h in rows[:-1]:
         payload = (h or "").encode()
         assert (got[p]["payload_bytes"], got[p]["payload_digest"]) == (len(payload), hashlib.sha256(payload).hexdigest())
         assert (got[p]["record_type"], got[p]["refers_to"]) == (("revisit", 3) if h == big and p != 3 else ("response", None))
+        assert got[p]["target_uri"] == warc.escaped(u)
     assert set(got) == {p for p, _, _ in rows[:-1]}
     missing = spark.createDataFrame([("zzz)/", 1), ("", 1), (warc.url_key(rows[0][1]), 77)], "key string, page_id long")
     assert warc.lookup(index, missing).count() == 0
@@ -357,6 +358,29 @@ def test_warc(spark):
     assert warc.url_key("http://WWW.Example.com/A?b#c") == "com,example)/A?b" and warc.url_key(None).endswith(")/")
 
 
+def test_warc_odd_urls_and_repeated_ids(spark, monkeypatch):
+    """White space and line ends of any alphabet in URLs; rows that repeat an id with other payloads and URLs; many of them, over several blocks."""
+    from tickloom.llm import warc
+
+    p, q = "<p>" + "a" * 200, "<q>" + "b" * 300
+    rows = [(1, "http://a.com/x\ty  z", p), (2, "http://b.com/line\u2028and\u0085next", p), (3, "http://c.com/\r\n", q), (4, "http://d.com/é ü", q), (2, "http://b.com/line\u2028and\u0085next", q), (5, " http://e.com/ ", q), (6, "http://f.com/\u3000\x00", None)]
+    rows += [(7, "http://same.com/", f"<r>{i % 5}" + "c" * 150) for i in range(15)] + [(8, "http://same.com/", "<r>0" + "c" * 150)] + [(9, f"http://g.com/{i}", "<s>" + "d" * 200) for i in range(3)]
+    first = {}
+    for i, _, h in rows:
+        first[h] = min(first.get(h, i), i)
+    want = collections.Counter()
+    for i, u, h in rows:
+        revisit = len((h or "").encode()) >= 100 and first[h] < i
+        want[(i, warc.escaped(u), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if revisit else "response", first[h] if revisit else None)] += 1
+    pages = spark.createDataFrame([(i, u, h, "k") for i, u, h in rows], "page_id long, url string, html string, digest string")
+    for hot in (10_000, 2):
+        monkeypatch.setattr(warc, "HOT_ROWS", hot)
+        captures = warc.write_archives(pages)
+        index = warc.build_index(captures, block_lines=2)
+        found = warc.lookup(index, captures).collect()
+        assert collections.Counter((r["page_id"], r["target_uri"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found) == want
+
+
 # -- 8: mixing -------------------------------------------------------------------------------------
 
 

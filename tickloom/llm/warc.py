@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
+import unicodedata
 import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,34 +33,45 @@ from .files import create, open_random
 from .shared import saved, scratch, table
 
 BLOCK_LINES, ARCHIVE = 512, 256 << 20
+#: Blocks that a task writes, and records that a task looks up.
+BLOCKS_A_TASK, LOOKUPS_A_TASK = 64, 8192
+#: Payloads of at least this many rows, and a thousandth of all, meet them by broadcast.
+HOT_ROWS = 10_000
 #: Payloads below this many bytes are always responses.
 SMALLEST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
 CAPTURES = "key string, page_id long, file string, offset long, length long"
 
 
+def escaped(url: str | None) -> str:
+    """The URL with white space, line ends and control characters of any alphabet as percent codes: it fits a header line and an index line."""
+    return "".join(quote(c) if c.isspace() or not (c.isprintable() or unicodedata.category(c) in ("Co", "Cn")) else c for c in url or "")
+
+
 def url_key(url: str | None) -> str:
-    """Reversed-host key of a URL: host labels from the right, no scheme, `www.`, port or fragment; path and query as they are."""
+    """Reversed-host key of a URL, escaped: host labels from the right, no scheme, `www.`, port or fragment; path and query as they are."""
+    url = escaped(url)
     try:
-        parts = urlsplit(url or "")
+        parts = urlsplit(url)
         host = (parts.hostname or "").removeprefix("www.")
     except ValueError:
         return f"){url}"
     query = f"?{parts.query}" if parts.query else ""
-    return f"{','.join(reversed(host.split('.')))}){parts.path or '/'}{query}".replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D")
+    return f"{','.join(reversed(host.split('.')))}){parts.path or '/'}{query}"
 
 
-def _clean(text: str | None) -> str:
-    return " ".join((text or "").split())
+def _record_id(page_id: int, digest: str) -> str:
+    return f"<urn:page:{page_id}:{digest}>"
 
 
 def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
     """A WARC record, not compressed: a response with its payload, or a revisit that names a response."""
     kind = "response" if refers_to is None else "revisit"
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {_clean(url)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page_id, digest)}", f"WARC-Target-URI: {escaped(url)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Refers-To-Target-URI: {_clean(refers_url)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"WARC-Refers-To-Target-URI: {escaped(refers_url)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
@@ -73,7 +86,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _page_of(record_id: str) -> int:
-    return int(record_id.rsplit(":", 1)[1].rstrip(">"))
+    return int(record_id.split(":")[2])
 
 
 def _gzip(data: bytes, level: int = 6) -> bytes:
@@ -116,21 +129,42 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, _ARROW[k]) for c, k in zip(cols, kinds, strict=True)], names=list(names))
 
 
+def _payloads(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`digest`, `refers_to`, `refers_url` of payloads that several page ids have: those of very many rows, and the others.
+
+    Only payloads of at least a thousandth of the rows are in the first table, so it has 1000 rows at most.
+    """
+    big = keys.filter("big")
+    found = big.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    found = saved(found.filter("refers_to < last").drop("last"), "warc-payloads")
+    many = max(HOT_ROWS, keys.count() / 1000)
+
+    def with_url(part: DataFrame, hint: str) -> DataFrame:
+        # of rows that repeat the first page id the smallest URL: combined in the map tasks
+        wanted = part.select("digest", F.col("refers_to").alias("page_id"))
+        urls = big.select("digest", "page_id", "url").join(wanted.hint(hint), ["digest", "page_id"]).groupBy("digest").agg(F.min("url").alias("refers_url"))
+        return part.drop("n").join(urls.hint(hint), "digest", "left")
+
+    return saved(with_url(found.filter(F.col("n") >= many), "broadcast"), "warc-hot"), saved(with_url(found.filter(F.col("n") < many), "merge"), "warc-repeated")
+
+
 def write_archives(pages: DataFrame) -> DataFrame:
     """Write a record for every row of (`page_id`, `url`, `html`); returns the captures (key, page_id, file, offset, length), stored.
 
     Of rows with equal payloads of 100 bytes or more that with the smallest page_id is the response. Null html is
-    an empty payload; a null url has the key of an empty one. Rows that repeat a page_id with one payload
-    are responses all; a null page_id is left out.
+    an empty payload; a null url has the key of an empty one; white space and control characters of a url are percent
+    codes in headers and keys. Rows that repeat a page_id are records of their own, each with its own payload;
+    if one of them is the first of its payload, so are its copies with that id. A null page_id is left out; an
+    empty table gives no rows; other columns are ignored. A payload that very many rows share meets them by
+    broadcast, so that no task gathers its rows; all others meet theirs in a join by digest.
     """
     rows = pages.filter("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     rows = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256)).withColumn("big", F.coalesce(F.octet_length("html"), F.lit(0)) >= SMALLEST_REVISIT)
-    # first and last id of each payload combine in the map tasks; only payloads that repeat go on
-    first = rows.filter("big").groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to < last").select("digest", "refers_to")
-    revisits = rows.filter("big").select("page_id", "digest").join(first, "digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    urls = pages.select(F.col("page_id").cast("long").alias("refers_to"), F.col("url").alias("refers_url")).join(first.select("refers_to").distinct(), "refers_to", "left_semi").dropDuplicates(["refers_to"])
-    revisits = revisits.join(urls, "refers_to", "left")
-    full = rows.drop("big").join(revisits.hint("merge"), "page_id", "left")
+    hot, repeated = _payloads(saved(rows.select("page_id", "url", "digest", "big"), "warc-keys"))
+    hot_rows = rows.filter("big").join(F.broadcast(hot), "digest")
+    others = rows.join(F.broadcast(hot.select("digest", F.lit(True).alias("big"))), ["digest", "big"], "left_anti")
+    others = others.join(repeated.withColumn("big", F.lit(True)).hint("merge"), ["digest", "big"], "left")
+    full = hot_rows.unionByName(others).drop("big").withColumn("refers_to", F.when(F.col("page_id") != F.col("refers_to"), F.col("refers_to")))
     return saved(full.mapInArrow(_writer(scratch(pages.sparkSession, "warc")), CAPTURES), "warc-captures")
 
 
@@ -199,7 +233,8 @@ def build_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
     tasks. The directory is dealt likewise; its parts are a row each, as many as there are partitions.
     """
     spark = captures.sparkSession
-    in_order = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
+    tasks = max(1, math.ceil(captures.count() / (BLOCKS_A_TASK * block_lines)))
+    in_order = captures.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
     blocks = saved(in_order.mapInArrow(_block_writer(scratch(spark, "cdx"), block_lines), DIRECTORY), "cdx-blocks")
     parts = max(1, blocks.count() // 100_000)
     sparse = blocks.repartitionByRange(parts, "first", "page_id").sortWithinPartitions("first", "page_id")
@@ -238,42 +273,60 @@ class Reader:
         a, b = (int.from_bytes(x, "little") for x in (lambda r: (r[:8], r[8:]))(self._range(name, base + 8 * i, 16)))
         return self._range(name, a, b - a).decode().rstrip("\n").split("\t")
 
-    def _block(self, key: str, page_id: int) -> list[tuple]:
-        """The index lines of the block that holds (key, page_id), or would."""
-        p = bisect.bisect_right(self.firsts, (key, page_id)) - 1
-        if p < 0:
-            return []
-        part, lo, hi = self.parts[p], 0, self.parts[p][4] - 1
-        while lo < hi:  # the last block that begins at or before
+    def _first_block(self, wanted: tuple[str, int]) -> tuple[int, int]:
+        """Part and place of the last block that begins before `wanted`: its captures begin there or in the next one."""
+        p = max(0, bisect.bisect_left(self.firsts, wanted) - 1)
+        lo, hi = 0, self.parts[p][4] - 1
+        while lo < hi:
             mid = (lo + hi + 1) // 2
-            entry = self._cached(self.entries, (part[2], mid), lambda: self._entry(part, mid), 4096)  # noqa: B023
-            lo, hi = (mid, hi) if (entry[0], int(entry[1])) <= (key, page_id) else (lo, mid - 1)
-        _, _, name, at, n = self._cached(self.entries, (part[2], lo), lambda: self._entry(part, lo), 4096)
-        return self._cached(self.blocks, (name, at), lambda: _lines(zlib.decompress(self._range(name, int(at), int(n)), 31)))
+            lo, hi = (mid, hi) if self._begins(p, mid) < wanted else (lo, mid - 1)
+        return p, lo
 
-    def find(self, key: str, page_id: int) -> tuple | None:
-        lines = self._block(key, page_id)
-        i = bisect.bisect_left(lines, (key, page_id))
-        return lines[i] if i < len(lines) and lines[i][:2] == (key, page_id) else None
+    def _read_entry(self, p: int, i: int) -> list[str]:
+        part = self.parts[p]
+        return self._cached(self.entries, (part[2], i), lambda: self._entry(part, i), 4096)
+
+    def _begins(self, p: int, i: int) -> tuple[str, int]:
+        entry = self._read_entry(p, i)
+        return entry[0], int(entry[1])
+
+    def find(self, key: str, page_id: int) -> list[tuple]:
+        """All captures (key, page_id, file, offset, length) of a key and page id; several if rows repeat them."""
+        if not self.parts:
+            return []
+        wanted, out = (key, page_id), []
+        p, i = self._first_block(wanted)
+        while p < len(self.parts) and self._begins(p, i) <= wanted:
+            _, _, name, at, n = self._read_entry(p, i)
+            lines = self._cached(self.blocks, (name, at), lambda: _lines(zlib.decompress(self._range(name, int(at), int(n)), 31)))  # noqa: B023
+            out += lines[bisect.bisect_left(lines, wanted) : bisect.bisect_right(lines, wanted, key=lambda x: x[:2])]
+            p, i = (p, i + 1) if i + 1 < self.parts[p][4] else (p + 1, 0)
+        return out
 
     def read(self, file: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
         return parse_record(zlib.decompress(self._range(file, offset, length), 31))
 
-    def fetch(self, key: str, page_id: int) -> tuple[dict[str, str], bytes] | None:
-        """Headers and full payload; a revisit gets the payload of the response that it names."""
-        at = self.find(key, page_id)
-        if at is None:
-            return None
-        headers, payload = self.read(*at[2:])
-        if headers["WARC-Type"] == "revisit":
-            other = _page_of(headers["WARC-Refers-To"])
-            made = self._cached(self.records, other, lambda: self.fetch(url_key(headers["WARC-Refers-To-Target-URI"]), other))
-            payload = made[1]
-        return headers, payload
+    def _response(self, record_id: str, url: str) -> bytes:
+        for at in self.find(url_key(url), _page_of(record_id)):
+            headers, payload = self.read(*at[2:])
+            if headers["WARC-Record-ID"] == record_id and headers["WARC-Type"] == "response":
+                return payload
+        raise ValueError(f"no response {record_id}")
+
+    def fetch(self, key: str, page_id: int) -> list[tuple[dict[str, str], bytes]]:
+        """Headers and full payload of all captures; a revisit gets the payload of the response that it names."""
+        out = []
+        for at in self.find(key, page_id):
+            headers, payload = self.read(*at[2:])
+            if headers["WARC-Type"] == "revisit":
+                named = headers["WARC-Refers-To"], headers["WARC-Refers-To-Target-URI"]
+                payload = self._cached(self.records, named[0], lambda: self._response(*named))  # noqa: B023
+            out.append((headers, payload))
+        return out
 
 
 def _lines(raw: bytes) -> list[tuple]:
-    return [(k, int(p), f, int(o), int(n)) for k, p, f, o, n in (x.split("\t") for x in raw.decode().splitlines())]
+    return [(k, int(p), f, int(o), int(n)) for k, p, f, o, n in (x.split("\t") for x in raw.decode().split("\n") if x)]
 
 
 FOUND = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
@@ -281,28 +334,32 @@ FOUND = "page_id long, payload_bytes long, payload_digest string, record_type st
 
 def _lookup(parts: list[tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(parts)
+        reader, before = Reader(parts), None
         for batch in batches:
             rows = []
-            for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if (got := reader.fetch(key, page_id)) is None:
+            for wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if wanted == before:  # sorted: repeated queries are neighbours
                     continue
-                headers, payload = got
-                refers = _page_of(headers["WARC-Refers-To"]) if headers["WARC-Type"] == "revisit" else None
-                rows.append((page_id, len(payload), hashlib.sha256(payload).hexdigest(), headers["WARC-Type"], refers, headers["WARC-Target-URI"]))
+                before = wanted
+                for headers, payload in reader.fetch(*wanted):
+                    refers = _page_of(headers["WARC-Refers-To"]) if headers["WARC-Type"] == "revisit" else None
+                    rows.append((wanted[1], len(payload), hashlib.sha256(payload).hexdigest(), headers["WARC-Type"], refers, headers["WARC-Target-URI"]))
             yield _table(rows, FOUND)
 
     return run
 
 
 def lookup(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """The capture of each row of `queries` (`key`, `page_id`): sizes and digest of the full payload, read from the archives.
+    """The captures of each distinct row of `queries` (`key`, `page_id`): sizes and digest of the full payload, read from the archives.
 
-    Rows that are not in the index give no row. The directory's parts (their first keys and files, one for
-    each 100,000 blocks) go to the tasks; entries, blocks and records are range reads.
+    Rows that are not in the index give no row; a key and page id that several captures have give them all. Nulls
+    find nothing. The directory's parts (their first keys and files, one for each 100,000 blocks) go to the tasks;
+    entries, blocks and records are range reads. The number of tasks follows the number of queries.
     """
     parts = [tuple(r) for r in index.collect()]
-    in_order = queries.select("key", "page_id").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    asked = queries.select("key", "page_id").na.drop()
+    tasks = max(1, math.ceil(asked.count() / LOOKUPS_A_TASK))
+    in_order = asked.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
     return in_order.mapInArrow(_lookup(parts), FOUND)
 
 
