@@ -413,6 +413,22 @@ def test_mixing(spark):
     assert mix(empty(spark)).count() == 0 and targets([]) == [] and targets([("a", 0)])[0][2] == 0
 
 
+def test_mixing_takes_repeated_rows_one_by_one(spark, monkeypatch):
+    from tickloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "PORTION", 300)
+    same = [(1, "five words are in here", "a")] * 1000
+    for rows, share in ((same, 0.5), (same, 1.5), (same + [(2, "x y", "a")] * 10 + [(3, "z " * 40, "b")], 0.7), ([(None, "a b c", None)] * 50, 1.1)):
+        sizes = collections.Counter()
+        for _, t, s in rows:
+            sizes[s] += len(t.split())
+        out = mixing.mix(table(spark, rows), share=share).collect()
+        assert collections.Counter((r["doc_id"], r["size"]) for r in out) == collections.Counter((i, len(t.split())) for i, t, _ in rows)
+        for s, n, target in mixing.targets(list(sizes.items()), share=share):
+            taken = sum(r["taken"] for r in out if r["source_size"] == n)
+            assert target - 40 < taken <= target + 1e-6 and all(r["taken"] <= 2 * r["size"] for r in out), (s, taken, target)
+
+
 def test_larger_budgets_take_supersets(spark):
     from tickloom.llm.mixing import mix
 

@@ -4,7 +4,8 @@ Every document has a fixed hash of its id. A source that gives `b` words gives t
 documents that come first in the order of (hash, id) as long as their sizes sum to at most `b`.
 That prefix is found without sorting: sum sizes by (source, bucket of the hash), find the bucket
 in which the budget ends, and refine only that bucket, three times by 1024. What remains of the
-boundary bucket after that is a 2**30-th of the source, a document or two; only those are ordered.
+boundary bucket after that is a 2**30-th of the source, a document or two; only those are ordered, after
+rows that are equal have been counted.
 
 A larger budget always takes a superset (the thresholds are nested), and reruns agree, as nothing
 depends on partitioning or on random numbers.
@@ -12,6 +13,8 @@ depends on partitioning or on random numbers.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from .shared import saved, table, unit_hash
 BITS, LEVELS = 10, 3
 #: Per-source tables up to this many rows (a few MB) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Equal rows that a task makes again.
+PORTION = 100_000
 #: ASCII white space as `[\x20\x09-\x0D]`.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -59,9 +64,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     target t and size s takes every document floor(t / s) times and the hash-first documents once more.
 
     Null and empty texts have size 0 and are taken 0 times; a null source is a source of its own, after
-    the others; repeated rows are taken or left one by one; an empty table gives no rows. Other columns
-    of the input are ignored. The table of sources goes through the driver: it has one row for each
-    distinct source, a name and a sum.
+    the others; rows that are equal in id and size are taken or left one by one: as many of them as the budget holds; an
+    empty table gives no rows. Other columns of the input are ignored. The targets are worked out in the driver, from one row
+    for each distinct source (a name and a sum); all else stays in tables.
     """
     spark = docs.sparkSession
     base = saved(
@@ -70,38 +75,44 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "mixing",
     )
     rows = [(r["__src"], r["s"]) for r in base.groupBy("__src").agg(F.sum("size").alias("s")).collect()]
-    # The key of a source is its place in the order, so that null joins as well.
-    plan = [(i, s, size, t, int(t // size) if size else 0, t - (t // size) * size if size else 0.0) for i, (s, size, t) in enumerate(targets(rows, weights, share, most))]
-    frame = spark.createDataFrame(plan, "__k int, __src string, source_size long, target double, __times int, __budget double")
-    docs_k = base.join(F.broadcast(frame) if len(plan) <= BROADCAST_ROWS else frame, base["__src"].eqNullSafe(frame["__src"])).drop("__src")
+    # The key of a source is its place in the order, so that null joins as well. Sums are whole, and so may be the budgets.
+    plan = [(i, s, size, t, int(t // size) if size else 0, math.floor(t - (t // size) * size) if size else 0) for i, (s, size, t) in enumerate(targets(rows, weights, share, most))]
+    frame = spark.createDataFrame(plan, "__k int, __src string, source_size long, target double, __times int, __budget long")
+    by_source = lambda df: F.broadcast(df) if len(plan) <= BROADCAST_ROWS else df
+    docs_k = base.join(by_source(frame), base["__src"].eqNullSafe(frame["__src"])).drop("__src")
 
-    # level by level: (source, bucket) sums, the boundary bucket, what is left of the budget in it
+    # level by level: (source, bucket) sums, the boundary bucket, and what comes before it
     shift = 40
-    inside = docs_k.select("__k", "__h", "__id", "size", "__budget")
-    known: dict[int, tuple[int, int]] = {}
+    inside, state = docs_k.select("__k", "__h", "__id", "size"), frame.select("__k", "__budget", F.lit(0).cast("long").alias("__before"))
     for _ in range(LEVELS):
         shift -= BITS
-        hist = inside.withColumn("__b", F.shiftright("__h", shift)).groupBy("__k", "__b").agg(F.sum("size").alias("s"), F.first("__budget").alias("__budget"))
-        upto = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cut = hist.withColumn("c", F.sum("s").over(upto)).filter("c > __budget").groupBy("__k").agg(F.min("__b").alias("__cut"), F.min(F.col("c") - F.col("s")).alias("__before"))
-        found = cut.select("__k", "__cut", "__before").collect()  # at most one row a source
-        known = {r["__k"]: (r["__cut"], r["__before"]) for r in found}
-        cuts = spark.createDataFrame([(k, c, float(b)) for k, (c, b) in known.items()], "__k int, __cut long, __before double")
-        inside = inside.join(F.broadcast(cuts) if len(known) <= BROADCAST_ROWS else cuts, "__k").filter(F.shiftright("__h", shift) == F.col("__cut")).select("__k", "__h", "__id", "size", (F.col("__budget") - F.col("__before")).alias("__budget"))
-    # the last boundary buckets hold a document or two for each source
-    order = Window.partitionBy("__k").orderBy("__h", "__id", "size")  # peers together: all rows that are equal, or none
-    last = inside.withColumn("c", F.sum("size").over(order)).filter("c <= __budget").groupBy("__k").agg(F.max(F.struct("__h", "__id", "size")).alias("m")).select("__k", F.col("m.__h").alias("__lh"), F.col("m.__id").alias("__lid"), F.col("m.size").alias("__ls"))
-    ends = {r["__k"]: (r["__lh"], r["__lid"], r["__ls"]) for r in last.collect()}
-    shift = 40 - BITS * LEVELS
-    final = [(k, known.get(k, (1 << 40, 0))[0], *ends.get(k, (None, None, None))) for k, *_ in plan]
-    id_type = base.schema["__id"].dataType.simpleString()
-    edge = spark.createDataFrame(final, f"__k int, __cut long, __lh long, __lid {id_type}, __ls long")
-    place, end = F.struct("__h", "__id", "size"), F.struct("__lh", "__lid", "__ls")
-    chosen = (F.shiftright("__h", shift) < F.col("__cut")) | ((F.shiftright("__h", shift) == F.col("__cut")) & F.coalesce(F.col("__lh").isNotNull() & (place <= end), F.lit(False)))
-    taken = F.col("size") * F.col("__times") + F.when(chosen, F.col("size")).otherwise(F.lit(0))
-    return docs_k.join(F.broadcast(edge) if len(final) <= BROADCAST_ROWS else edge, "__k").select(
-        F.col("__id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken")
-    )
+        hist = inside.groupBy("__k", F.shiftright("__h", shift).alias("__cut")).agg(F.sum("size").alias("s"))
+        upto = Window.partitionBy("__k").orderBy("__cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = hist.withColumn("c", F.sum("s").over(upto)).join(by_source(state.select("__k", "__budget", "__before")), "__k")
+        beyond = summed.filter(F.col("__before") + F.col("c") > F.col("__budget"))
+        state = saved(beyond.groupBy("__k", "__budget").agg(F.min("__cut").alias("__cut"), F.min(F.col("__before") + F.col("c") - F.col("s")).alias("__before")), "mixing-cuts")
+        inside = inside.join(by_source(state.select("__k", "__cut")), "__k").filter(F.shiftright("__h", shift) == F.col("__cut")).drop("__cut")
+    # the last boundary buckets hold a document or two for each source; equal rows are counted first
+    peers = inside.groupBy("__k", "__h", "__id", "size").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("__k").orderBy("__h", "__id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = peers.withColumn("c", F.sum(F.col("size") * F.col("n")).over(upto)).join(by_source(state), "__k").filter(F.col("__before") + F.col("c") > F.col("__budget"))
+    last = last.groupBy("__k", "__budget", "__before", "__cut").agg(F.min(F.struct("__h", "__id", "size", "n", "c")).alias("__end"))
+    rest = F.col("__budget") - F.col("__before") - (F.col("__end.c") - F.col("__end.n") * F.col("__end.size"))
+    edge = saved(last.select("__k", "__cut", "__end", F.floor(rest / F.col("__end.size")).alias("__some")), "mixing-ends")
+
+    met = docs_k.join(by_source(edge), "__k", "left")
+    place, end = F.struct("__h", "__id", "size"), F.struct("__end.__h", "__end.__id", "__end.size")
+    top = F.shiftright("__h", shift)
+    chosen = F.coalesce((top < F.col("__cut")) | ((top == F.col("__cut")) & (place < end)), F.lit(False))
+    again = lambda take: F.col("size") * (F.col("__times") + take.cast("int"))
+    columns = [F.col("__id").alias(id_col), "size", "source_size", "target"]
+    plain = met.filter(~F.coalesce((F.col("__some") > 0) & place.eqNullSafe(end), F.lit(False)))
+    out = plain.select(*columns, again(chosen).cast("long").alias("taken"))
+    # equal rows of which the budget holds some: made again from their number, in portions
+    some = edge.filter("__some > 0").join(by_source(frame), "__k").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__end.n") - 1) / PORTION))))
+    some = some.repartition("__k", "__part").withColumn("__i", F.explode(F.sequence(F.col("__part") * PORTION, F.least((F.col("__part") + 1) * PORTION, F.col("__end.n")) - 1)))
+    some = some.withColumns({"__id": F.col("__end.__id"), "size": F.col("__end.size")})
+    return out.unionByName(some.select(*columns, again(F.col("__i") < F.col("__some")).cast("long").alias("taken")))
 
 
 #: The same mix, by a running sum over the documents of each source.
@@ -117,7 +128,7 @@ l AS (SELECT greatest(max(b / tw), max(CASE WHEN tw > cw THEN (b - cs) / (tw - c
 t AS (SELECT source, ss, least(2.0::DOUBLE * ss, w * l) AS target FROM w, l),
 u AS (SELECT *, CASE WHEN ss > 0 THEN CAST(floor(target / ss) AS BIGINT) ELSE 0 END AS times FROM t)
 SELECT doc_id, CAST(size AS BIGINT) AS size, ss AS source_size, target,
-  CAST(size * times + CASE WHEN sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size) <= target - times * ss THEN size ELSE 0 END AS BIGINT) AS taken
+  CAST(size * times + CASE WHEN sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) <= target - times * ss THEN size ELSE 0 END AS BIGINT) AS taken
 FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
 """
 
