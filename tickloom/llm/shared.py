@@ -61,6 +61,23 @@ def saved(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key of at least this many rows, and a thousandth of all, is joined by broadcast.
+HOT_ROWS = 10_000
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: str, total: int, n: str = "n") -> DataFrame:
+    """Inner join of `rows` with one row of `keys` for each value of `on`, where a value may have a third of all rows.
+
+    `keys` says in column `n` (dropped) how many rows a value has, and `total` bounds their sum. Values of at least a
+    thousandth of `total`, 1000 at most, meet their rows by broadcast, so that no task gathers them; all others by shuffle.
+    The columns of `keys` must be numbers, which bounds the broadcast in bytes.
+    """
+    many = max(HOT_ROWS, total / 1000)
+    hot, cold = keys.filter(F.col(n) >= many).drop(n), keys.filter(F.col(n) < many).drop(n)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold.hint("shuffle_hash"), on))
+
+
 def unit_hash(*cols) -> F.Column:
     """A hash in [0, 2**40) that DuckDB computes alike: the first ten hex digits of an MD5."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 10), 16, 10).cast("long")
