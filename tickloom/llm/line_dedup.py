@@ -1,182 +1,40 @@
-"""Fuzzy line deduplication by MinHash.
+"""Fuzzy line deduplication by MinHash (DataFrame functions only).
 
 Lines are compared by their sets of 8-character shingles (UTF-16 units; a shorter line is one shingle). Of
 each component of lines linked by a Jaccard similarity of 0.8 or more, the first occurrence stays, by
 (document id, place); blank lines are never removed.
 
-1. Spark splits texts into lines; one Arrow pass hashes all shingles of every distinct line of a batch and takes 18
-   MinHash values. Occurrences are stored with their line's hash, signatures are combined by line.
-2. 6 bands of 3 values: a pair at 0.8 misses all with a probability of 0.014, a pair at 0.9 with one of 0.0004, equal sets never.
+1. One pass makes a row for each shingle, within generated code, and aggregates 12 MinHash values for each
+   distinct line before any shuffle: copies of a line combine in the map tasks. The values are minima of a 32-bit
+   hash under 12 masks, over all shingles of a line, whatever its length and however it repeats itself.
+2. 9 bands of 3 of the values each: a pair at 0.8 misses all with a probability of 0.013, a pair at 0.9 with one of 0.0006, equal
+   sets never.
 3. Every line of a band is verified, exactly, against two centres: the band's most frequent line (often what the others are
-   edits of) and its smallest. The links' components are found by distributed union-find. Where a band still holds
-   lines of several components, all pairs across them are verified, too, in tiles of 512 lines against 512, so no
-   link that a band shows is lost; a tile gives a tree of its links, never all pairs.
+   edits of) and its smallest. The links' components are found by distributed union-find. Where a band of four lines or
+   more still holds several components, every two of them are verified, too, line by line until a link is found, tile by tile (256
+   lines against 256) inside one expression: no component that a band shows stays apart, and no pair is a row.
 4. Components' first occurrences stay.
 
-Lines, bands, centres and components that hold many rows are joined by broadcast of those few keys, or salted.
+Lines, bands, centres and tiles that hold many rows are joined by broadcast of those few keys, or salted, so that no task
+gathers them. Verification compares sets of 32-bit hashes.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ngram_join import _overlaps, _roots
-from .shared import saved, spread_join, table
-from .shingles import mixed
+from .shared import forget, saved, setting, spread_join, table
 
 SHINGLE, THRESHOLD = 8, 0.8
-BANDS, ROWS = 6, 3
+VALUES = 12
+#: Which values make a band: triples that share few values with each other, so that 12 values serve 9 bands.
+BANDS = [(0, 2, 8), (6, 9, 11), (0, 9, 10), (1, 3, 6), (3, 5, 9), (2, 7, 10), (1, 4, 5), (3, 4, 8), (0, 7, 11)]
 #: Lines of a tile, and rows that one copy of a centre meets.
-TILE, FAN = 512, 4096
-#: Characters of a line, and of lines together, that are hashed at once.
-_LONG, _TOGETHER = 1 << 20, 1 << 17
-_PAD, _BASE = "\uffff" * SHINGLE, np.uint64(0x9E3779B97F4A7C15)
-_MASKS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32)
-_FACTORS = mixed(np.arange(101, BANDS * ROWS + 101, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-
-
-# -- shingles --------------------------------------------------------------------------------------
-
-
-def _units(text: str) -> int:
-    return len(text) if text.isascii() or max(text) < "\U00010000" else len(text.encode("utf-16-le", "surrogatepass")) // 2
-
-
-def _hash_together(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows at all places of the texts, laid out with padding, and (start, end) of each text's own."""
-    sizes = np.array([_units(t) for t in texts], np.int64)
-    x = np.frombuffer((_PAD.join(texts) + _PAD).encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64)
-    span, factor = 1, _BASE
-    while span < SHINGLE:  # a window of twice the length from two
-        x = x[:-span] * factor + x[span:]
-        span, factor = 2 * span, factor * factor
-    starts = np.cumsum(sizes + SHINGLE) - sizes - SHINGLE
-    short = sizes < SHINGLE
-    x[starts[short]] += sizes[short].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mixed(x), np.stack([starts, starts + np.maximum(sizes - SHINGLE + 1, 1)], axis=1)
-
-
-def _portions(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Texts, or overlapping pieces of very long ones, in portions of bounded size, with the text that each belongs to."""
-    owners, pieces, size = [], [], 0
-    for i, text in enumerate(texts):
-        for at in range(0, max(1, len(text) - SHINGLE + 1), _LONG):
-            owners.append(i)
-            pieces.append(text[at : at + _LONG + SHINGLE - 1])
-            size += len(pieces[-1])
-            if size >= _TOGETHER:
-                yield owners, pieces
-                owners, pieces, size = [], [], 0
-    if pieces:
-        yield owners, pieces
-
-
-def signatures(texts: list[str]) -> np.ndarray:
-    """A row of MinHash values for each text."""
-    out = np.full((len(texts), BANDS * ROWS), 0xFFFFFFFF, np.uint32)
-    for owners, pieces in _portions(texts):
-        h, places = _hash_together(pieces)
-        h = (h >> np.uint64(32)).astype(np.uint32)
-        edges, part = places.ravel(), np.empty((len(pieces), BANDS * ROWS), np.uint32)
-        for j in range(BANDS * ROWS):
-            part[:, j] = np.minimum.reduceat((h ^ _MASKS[j]) * _FACTORS[j], edges)[::2]
-        np.minimum.at(out, owners, part)
-    return out
-
-
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's shingles."""
-    parts: list[list[np.ndarray]] = [[] for _ in texts]
-    for owners, pieces in _portions(texts):
-        h, places = _hash_together(pieces)
-        for i, (lo, hi) in zip(owners, places.tolist(), strict=True):
-            parts[i].append(h[lo:hi])
-    return [np.unique(p[0] if len(p) == 1 else np.concatenate(p)) for p in parts]
-
-
-# -- tasks -----------------------------------------------------------------------------------------
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bands of the first occurrence of every line of a batch; null for the others."""
-    for batch in batches:
-        doc, at, k, line = batch.columns
-        first = np.sort(np.unique(k.to_numpy(), return_index=True)[1])
-        values = signatures(line.take(pa.array(first)).to_pylist()).astype(np.uint64)
-        none = np.ones(batch.num_rows, bool)
-        none[first] = False
-        second, bands = np.zeros(batch.num_rows, np.int64), []
-        second[first] = mixed(values @ (_MASKS.astype(np.uint64) * _BASE | np.uint64(1))).view(np.int64)
-        for b in range(BANDS):
-            h = np.full(len(first), b + 1, np.uint64)
-            for r in range(ROWS):
-                h = mixed(h ^ (values[:, b * ROWS + r] * np.uint64(0xD6E8FEB86659FD93)))
-            bands.append(np.zeros(batch.num_rows, np.int64))
-            bands[-1][first] = h.view(np.int64)
-        yield pa.record_batch([doc, at, k, *(pa.array(x, mask=none) for x in (second, *bands))], names=["doc", "at", "k", "k2", *(f"b{b}" for b in range(BANDS))])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) whose texts reach the threshold; rows come by b."""
-    for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.ones(len(b), bool)
-        new[1:] = b[1:] != b[:-1]
-        texts = batch.column(3).take(pa.array(np.flatnonzero(new))).to_pylist()
-        centre = np.cumsum(new) - 1
-        sets, centres, ok = shingle_sets(batch.column(2).to_pylist()), shingle_sets(texts), np.zeros(len(a), bool)
-        for i, (x, c) in enumerate(zip(sets, centre.tolist(), strict=True)):
-            y = centres[c]
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            if len(small) >= THRESHOLD * len(large):
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                common = int((large[at] == small).sum())
-                ok[i] = common >= THRESHOLD * (len(x) + len(y) - common)
-        yield pa.record_batch([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
-
-
-def _compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """A tree of the links across components, of the bands of a group, between two tiles."""
-    tile_a, tile_b = key[1].as_py(), key[2].as_py()
-    band, k, c, tile = (group[x].to_numpy() for x in ("band", "k", "c", "tile"))
-    # a line of several bands of the group is hashed once
-    ks, own = np.unique(k, return_index=True)
-    sets = shingle_sets(group["line"].take(pa.array(own)).to_pylist())
-    mine = np.searchsorted(ks, k)
-    size = np.array([len(s) for s in sets], np.int64)[mine]
-    out_a, out_b = [], []
-    order = np.argsort(band, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
-        ra = part[tile[part] == tile_a]
-        rb = ra if tile_a == tile_b else part[tile[part] == tile_b]
-        ok = c[ra][:, None] != c[rb][None, :]
-        ok &= np.minimum(size[ra][:, None], size[rb][None, :]) >= THRESHOLD * np.maximum(size[ra][:, None], size[rb][None, :])
-        if tile_a == tile_b:
-            ok = np.triu(ok)
-        i, j = np.nonzero(ok)
-        if not len(i):
-            continue
-        both = _overlaps([sets[x] for x in mine[ra]], [sets[x] for x in mine[rb]], i, j)
-        near = both >= THRESHOLD * (size[ra[i]] + size[rb[j]] - both)
-        i, j = k[ra[i[near]]], k[rb[j[near]]]
-        if len(i):
-            used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-            roots = _roots(len(used), place[: len(i)].tolist(), place[len(i) :].tolist())
-            out_a.append(used)
-            out_b.append(used[roots])
-    cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.table({"a": cat(out_a), "b": cat(out_b)})
-
-
-# -- plan ------------------------------------------------------------------------------------------
+TILE, FAN = 256, 4096
+#: Masks of the MinHash values: the fractional parts of multiples of the golden ratio, as 32-bit numbers.
+MASKS = [((i + 1) * 0x9E3779B97F4A7C15 >> 20) % (1 << 32) - (1 << 31) for i in range(VALUES)]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -185,71 +43,110 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.filter(F.col("line").rlike("\\S")).select("doc", "at", F.xxhash64("line").alias("k"), "line")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (`a`, `b`) among `pairs` (`a`, its centre `b`, `salt`): a centre is copied once for each salt."""
-    centres = pairs.select("b", "salt").distinct().join(texts.select(F.col("k").alias("b"), F.col("line").alias("tb")), "b")
-    met = pairs.join(texts.select(F.col("k").alias("a"), F.col("line").alias("ta")), "a").join(centres.hint("merge"), ["b", "salt"])
-    return met.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
+def _hashed(lines: DataFrame) -> DataFrame:
+    """`k`, `h`: a row for each place of a line, with the hash of the shingle there."""
+    units = lines.select("k", F.encode("line", "UTF-16BE").alias("u"))
+    last = F.greatest(F.floor(F.octet_length("u") / 2).cast("int") - SHINGLE, F.lit(0))
+    placed = units.select("k", "u", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    return placed.select("k", F.expr(f"hash(substring(u, i * 2 + 1, {2 * SHINGLE}))").alias("h"))
 
 
-def _across(known: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (`a`, `b`) between components of bands: `known` has band, k, size and component c."""
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = known.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("k"), tiles).cast("int"))
-    groups = max(1, math.ceil(known.count() / TILE))
-    # small bands share groups; a large one meets itself tile by tile
-    spread = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    keyed = spread.select(
-        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("band"), F.lit(groups)).cast("string")).otherwise(F.concat(F.lit("b"), "band")).alias("g"),
-        F.least("tile", "with").alias("ta"), F.greatest("tile", "with").alias("tb"), "band", "k", "c", "tile",
-    )
-    return keyed.join(texts, "k").groupBy("g", "ta", "tb").applyInArrow(_compare, "a long, b long")
-
-
-def _members(sketches: DataFrame, n_lines: int) -> DataFrame:
+def _sketches(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """`k`, `n` (occurrences), `doc` (the smallest that has it) and `bands` of every distinct line.
+
+    Two lines with one hash `k` (expected for one pair in 2**64) are told by a second hash and left out: they stay.
+    """
+    mins = [F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{j}") for j, m in enumerate(MASKS)]
+    bands = [F.xxhash64(F.lit(b), *[f"m{v}" for v in values]) for b, values in enumerate(BANDS)]
+    signed = _hashed(lines).groupBy("k").agg(*mins).select("k", F.array(*bands).alias("bands"))
+    known = places.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"))
+    return signed.join(known.filter("lo = hi").drop("lo", "hi").hint("shuffle_hash"), "k")
+
+
+def _members(sketches: DataFrame) -> DataFrame:
     """`band`, `k`, `top`, `lo`, `size` of every line of a band with others."""
-    bands = sketches.select("k", "n", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band"))
+    bands = sketches.select("k", "n", F.explode("bands").alias("band"))
     # frequency first; the low bits of the hash decide ties
     weight = F.shiftleft(F.least("n", F.lit((1 << 31) - 1)), 31) + F.col("k").bitwiseAND(F.lit((1 << 31) - 1))
     found = bands.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max_by("k", weight).alias("top"), F.count(F.lit(1)).alias("size"))
     shared = saved(found.filter("lo < hi").drop("hi").withColumn("n", F.col("size")), "line-bands")
-    return saved(spread_join(bands.select("k", "band"), shared, "band", BANDS * n_lines), "line-members")
+    members = saved(spread_join(bands.select("k", "band"), shared, "band", len(BANDS) * sketches.count()), "line-members")
+    forget(shared)
+    return members
 
 
 def _salted(members: DataFrame, centre: str) -> DataFrame:
     return members.filter(F.col("k") != F.col(centre)).select(F.col("k").alias("a"), F.col(centre).alias("b"), F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / FAN)).alias("salt"))
 
 
+def _sets(members: DataFrame, lines: DataFrame, sketches: DataFrame) -> DataFrame:
+    """`k`, `s`: the distinct shingle hashes of every line that shares a band."""
+    # one document that has the line: no hot key, whatever the copies
+    where = members.select("k").distinct().join(sketches.select("k", "doc"), "k").hint("shuffle_hash")
+    texts = lines.join(where, ["k", "doc"]).groupBy("k").agg(F.first("line").alias("line"))
+    # a sorted aggregate collects one line at a time; a hashed one would fall back to sorting, later
+    with setting(members.sparkSession, "spark.sql.execution.useObjectHashAggregateExec", "false"):
+        return saved(_hashed(texts).groupBy("k").agg(F.collect_list("h").alias("s")).select("k", F.array_distinct("s").alias("s")), "line-sets")
+
+
+def _near(x: Column, y: Column) -> Column:
+    """Whether two sets reach the threshold: their sizes bound the similarity, so most intersections are not made."""
+    small, both = F.least(F.size(x), F.size(y)), F.size(x) + F.size(y)
+    common = F.size(F.array_intersect(x, y))
+    return (small >= F.lit(THRESHOLD) * (both - small)) & (common >= F.lit(THRESHOLD) * (both - common))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (`a`, `b`) among `pairs` (`a`, its centre `b`, `salt`): a centre is copied once for each salt."""
+    centres = pairs.select("b", "salt").distinct().join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    met = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(centres, ["b", "salt"])
+    return met.filter(_near(F.col("sa"), F.col("sb"))).select("a", "b")
+
+
+def _across(known: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (`a`, `b`) between components of bands: `known` has band, k, size and component c."""
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    dealt = known.join(sets, "k").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("k"), tiles).cast("int"))
+    of_one = dealt.groupBy("band", "tile", "tiles", "c").agg(F.collect_list("s").alias("m"))
+    packed = saved(of_one.groupBy("band", "tile", "tiles").agg(F.collect_list(F.struct("c", "m")).alias("g")), "line-tiles")
+    # every two tiles of a band meet under a key of their own
+    left = packed.select("band", F.col("tile").alias("ta"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tb"), "g")
+    right = packed.select("band", F.explode(F.sequence(F.lit(0), "tile")).alias("ta"), F.col("tile").alias("tb"), F.col("g").alias("g2"))
+    linked = lambda p, q: F.exists(p["m"], lambda x: F.exists(q["m"], lambda y: _near(x, y)))
+    apart = lambda p, q: (p["c"] != q["c"]) & ((F.col("ta") < F.col("tb")) | (p["c"] < q["c"]))
+    links = F.flatten(F.transform("g", lambda p: F.transform(F.filter("g2", lambda q: apart(p, q) & linked(p, q)), lambda q: F.struct(p["c"].alias("a"), q["c"].alias("b")))))
+    return left.join(right, ["band", "ta", "tb"]).select(F.explode(links).alias("p")).select("p.a", "p.b")
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc`, `at`, `component` of every line that goes: it is a copy, exact or near, of a line that comes first.
 
     `component` is the hash of one of its lines. Null texts have no lines; lines of documents with a null id stay;
     rows that repeat an id are one document whose lines repeat: the lines at equal places have one fate. Lines of any
-    length are hashed whole, in pieces; an empty table gives no rows; other columns are ignored. Two lines with one
-    hash `k` (expected for one pair in 2**64) but other signatures stay.
+    length are hashed whole; an empty table gives no rows; other columns are ignored.
     """
     lines = _lines(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    places = saved(lines.mapInArrow(_sketch, f"doc {kind}, at int, k long, k2 long, " + ", ".join(f"b{b} long" for b in range(BANDS))), "line-places")
-    bands = [F.min(f"b{b}").alias(f"b{b}") for b in range(BANDS)]
-    distinct = places.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), *bands)
-    sketches = saved(distinct.filter("lo = hi").drop("lo", "hi"), "line-sketches")
-    members = _members(sketches, sketches.count())
-    pairs = _salted(members, "top").union(_salted(members, "lo")).groupBy("a", "b").agg(F.min("salt").alias("salt"))
-    # the text of one occurrence of every member
-    where = members.select("k").distinct().join(sketches.select("k", "doc"), "k")
-    texts = saved(lines.join(where.hint("shuffle_hash"), ["k", "doc"]).groupBy("k").agg(F.first("line").alias("line")), "line-texts")
-    links = saved(_verified(pairs, texts), "line-links")
-    found = connected_components(links)
-    # bands that still hold several components
-    known = members.join(found.withColumnRenamed("v", "k"), "k", "left").select("band", "k", "size", F.coalesce("component", "k").alias("c"))
+    places = saved(lines.select("doc", "at", "k", F.xxhash64(F.lit(1), "line").alias("k2")), "line-places")
+    sketches = saved(_sketches(lines, places), "line-sketches")
+    members = _members(sketches)
+    pairs = saved(_salted(members, "top").union(_salted(members, "lo")).groupBy("a", "b").agg(F.min("salt").alias("salt")), "line-pairs")
+    sets = _sets(members, lines, sketches)
+    links = saved(_verified(pairs, sets), "line-links")
+    found = saved(connected_components(links).withColumnRenamed("v", "k"), "line-components")
+    forget(pairs, links)
+    # bands that still hold several components; of three lines or fewer all pairs are verified
+    known = members.filter("size > 3").join(found, "k", "left").select("band", "k", "size", F.coalesce("component", "k").alias("c"))
     open_ = known.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 < c1").select("band", "n")
-    known = saved(spread_join(known, saved(open_, "line-open-bands"), "band", members.count()), "line-open")
-    links = saved(links.union(_across(known, texts)), "line-links")
-    found = connected_components(links).withColumnRenamed("v", "k")
-    # every line that is not alone in its component
-    groups = sketches.select("k", "n").join(found, "k", "left").filter("n > 1 or component is not null").select("k", F.coalesce("component", "k").alias("component"), "n")
-    placed = saved(spread_join(places.select("doc", "at", "k"), saved(groups, "line-groups"), "k", places.count()).select("component", "doc", "at"), "line-grouped")
+    open_ = saved(open_, "line-open-bands")
+    across = saved(_across(spread_join(known, open_, "band", members.count()), sets), "line-links")
+    forget(members, sets, open_)
+    joined = connected_components(across).select(F.col("v").alias("component"), F.col("component").alias("whole"))
+    # every line that is not alone in its component; one without links of its own may be whole with others
+    named = sketches.select("k", "n").join(found, "k", "left").withColumn("near", F.col("component").isNotNull())
+    named = named.withColumn("component", F.coalesce("component", "k")).join(joined, "component", "left").filter("n > 1 or near or whole is not null")
+    groups = saved(named.select("k", "n", F.coalesce("whole", "component").alias("component")), "line-groups")
+    placed = saved(spread_join(places.select("doc", "at", "k"), groups, "k", places.count()).select("component", "doc", "at"), "line-grouped")
+    forget(sketches, places, groups, found, across)
     keep = placed.groupBy("component").agg(F.min("doc").alias("doc"))
     keep = placed.join(keep, ["component", "doc"]).groupBy("component", "doc").agg(F.min("at").alias("at"))
     return placed.join(keep, ["component", "doc", "at"], "left_anti").select("doc", "at", "component")
@@ -275,7 +172,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines every document has, and which of them go as copies of lines elsewhere."""
     docs = table(spark, sf_dir, "documents")
     gone = repeated_lines(docs).groupBy("doc").agg(F.count(F.lit(1)).alias("n_removed"), F.sort_array(F.collect_set("at")).alias("removed"))
-    n_lines: Column = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     counts = docs.select("doc_id", n_lines.cast("long").alias("n_lines"))
     return counts.join(gone, counts["doc_id"] == gone["doc"], "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 

@@ -24,9 +24,11 @@ def _own_folder() -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared folder of the cluster (`spark.checkpoint.dir`).
 
-    Only a session without that setting (as in tests on one machine) gets a temporary folder.
+    Only a session on one machine may do without that setting, and gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return f"{(base or _own_folder()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -58,24 +60,39 @@ def saved(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     path = scratch(spark, label)
     with setting(spark, CLEAN_UP, "true"):
         df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `saved` wrote: all that reads them must be stored itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: A key of at least this many rows, and a thousandth of all, is joined by broadcast.
 HOT_ROWS = 10_000
 
 
-def spread_join(rows: DataFrame, keys: DataFrame, on: str, total: int, n: str = "n") -> DataFrame:
+def spread_join(rows: DataFrame, keys: DataFrame, on: str | list[str], total: int, n: str = "n") -> DataFrame:
     """Inner join of `rows` with one row of `keys` for each value of `on`, where a value may have a third of all rows.
 
     `keys` says in column `n` (dropped) how many rows a value has, and `total` bounds their sum. Values of at least a
     thousandth of `total`, 1000 at most, meet their rows by broadcast, so that no task gathers them; all others by shuffle.
-    The columns of `keys` must be numbers, which bounds the broadcast in bytes.
+    The columns of `keys` must be of bounded size, which bounds the broadcast in bytes.
     """
-    many = max(HOT_ROWS, total / 1000)
+    return spread_split(rows, keys, on, total, n)[0]
+
+
+def spread_split(rows: DataFrame, keys: DataFrame, on: str | list[str], total: int, n: str = "n") -> tuple[DataFrame, DataFrame]:
+    """The rows joined as by `spread_join`, and the rows whose value `keys` lacks."""
+    many, names = max(HOT_ROWS, total / 1000), [on] if isinstance(on, str) else on
     hot, cold = keys.filter(F.col(n) >= many).drop(n), keys.filter(F.col(n) < many).drop(n)
-    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold.hint("shuffle_hash"), on))
+    rest = rows.join(F.broadcast(hot.select(*names)), names, "left_anti")
+    matched = rows.join(F.broadcast(hot), names).unionByName(rest.join(cold.hint("shuffle_hash"), names))
+    return matched, rest.join(cold.select(*names).hint("shuffle_hash"), names, "left_anti")
 
 
 def unit_hash(*cols) -> F.Column:
