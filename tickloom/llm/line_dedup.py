@@ -4,11 +4,10 @@ Lines are compared by their sets of 8-character shingles (UTF-16 units; a shorte
 each component of lines linked by a Jaccard similarity of 0.8 or more, the first occurrence stays, by
 (document id, place); blank lines are never removed.
 
-1. One pass makes a row for each shingle, within generated code, and aggregates 12 MinHash values for each
+1. One pass makes a row for each shingle, within generated code, and aggregates 18 MinHash values for each
    distinct line before any shuffle: copies of a line combine in the map tasks. The values are minima of a 32-bit
-   hash under 12 masks, over all shingles of a line, whatever its length and however it repeats itself.
-2. 9 bands of 3 of the values each: a pair at 0.8 misses all with a probability of 0.013, a pair at 0.9 with one of 0.0006, equal
-   sets never.
+   hash under 18 masks, over all shingles of a line, whatever its length and however it repeats itself.
+2. 6 bands of 3 values: a pair at 0.8 misses all with a probability of 0.014, a pair at 0.9 with one of 0.0004, equal sets never.
 3. Every line of a band is verified, exactly, against two centres: the band's most frequent line (often what the others are
    edits of) and its smallest. The links' components are found by distributed union-find. Where a band of four lines or
    more still holds several components, every two of them are verified, too, line by line until a link is found, tile by tile (256
@@ -28,9 +27,8 @@ from .components import connected_components
 from .shared import forget, saved, setting, spread_join, table
 
 SHINGLE, THRESHOLD = 8, 0.8
-VALUES = 12
-#: Which values make a band: triples that share few values with each other, so that 12 values serve 9 bands.
-BANDS = [(0, 2, 8), (6, 9, 11), (0, 9, 10), (1, 3, 6), (3, 5, 9), (2, 7, 10), (1, 4, 5), (3, 4, 8), (0, 7, 11)]
+BANDS, ROWS = 6, 3
+VALUES = BANDS * ROWS
 #: Lines of a tile, and rows that one copy of a centre meets.
 TILE, FAN = 256, 4096
 #: Masks of the MinHash values: the fractional parts of multiples of the golden ratio, as 32-bit numbers.
@@ -57,7 +55,7 @@ def _sketches(lines: DataFrame, places: DataFrame) -> DataFrame:
     Two lines with one hash `k` (expected for one pair in 2**64) are told by a second hash and left out: they stay.
     """
     mins = [F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{j}") for j, m in enumerate(MASKS)]
-    bands = [F.xxhash64(F.lit(b), *[f"m{v}" for v in values]) for b, values in enumerate(BANDS)]
+    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     signed = _hashed(lines).groupBy("k").agg(*mins).select("k", F.array(*bands).alias("bands"))
     known = places.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"))
     return signed.join(known.filter("lo = hi").drop("lo", "hi").hint("shuffle_hash"), "k")
@@ -70,7 +68,7 @@ def _members(sketches: DataFrame) -> DataFrame:
     weight = F.shiftleft(F.least("n", F.lit((1 << 31) - 1)), 31) + F.col("k").bitwiseAND(F.lit((1 << 31) - 1))
     found = bands.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max_by("k", weight).alias("top"), F.count(F.lit(1)).alias("size"))
     shared = saved(found.filter("lo < hi").drop("hi").withColumn("n", F.col("size")), "line-bands")
-    members = saved(spread_join(bands.select("k", "band"), shared, "band", len(BANDS) * sketches.count()), "line-members")
+    members = saved(spread_join(bands.select("k", "band"), shared, "band", BANDS * sketches.count()), "line-members")
     forget(shared)
     return members
 
