@@ -61,6 +61,8 @@ def test_suffix_dedup(spark, block):
     from tickloom.llm.suffix_dedup import remove_repeats
 
     rows = [(i, (t[:3000] if t else t), s) for i, t, s in odd_rows()]
+    if block > 4000:  # whole long texts, of 200,000 bytes
+        rows = odd_rows()
     got = collections.Counter((r["doc_id"], r["n_bytes"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in remove_repeats(table(spark, rows), block_bytes=block).collect())
     assert got == brute_repeats(rows)
     assert remove_repeats(empty(spark)).count() == 0
@@ -112,6 +114,21 @@ def test_topk(spark):
     assert search_index(index, shards, none).count() == 0
 
 
+def test_topk_of_queries_that_share_an_id(spark):
+    from tickloom.llm.topk_index import build_index, search_index
+
+    rng = random.Random(21)
+    rows = [(i, [rng.randrange(-90, 90) for _ in range(8)]) for i in range(40)] + [(0, [9] * 8), (0, [9] * 8)]
+    v = spark.createDataFrame(rows, "id long, v array<long>")
+    index, shards = build_index(v, 16)
+    out = search_index(index, shards, v.filter("id % 20 = 0")).collect()
+    want = collections.Counter()
+    for q in {(i, tuple(x)) for i, x in rows if i % 20 == 0}:
+        scores = sorted(((sum(a * b for a, b in zip(q[1], w)), i) for i, w in rows if i != q[0]), key=lambda x: (-x[0], x[1]))[:5]
+        want.update((q[0], n + 1, i, s) for n, (s, i) in enumerate(scores))
+    assert collections.Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == want
+
+
 # -- 3: decontamination ----------------------------------------------------------------------------
 
 
@@ -144,9 +161,15 @@ def test_decontamination(spark, monkeypatch):
 # -- 4: n-gram join --------------------------------------------------------------------------------
 
 
+def runs_of_five(text):
+    """Distinct runs of five words, of all words if there are fewer; any character beyond ASCII is part of a word."""
+    w = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (text or "").lower()).split(" ")
+    w = [x for x in w if x]
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
 def test_ngram_join(spark, monkeypatch):
     from tickloom.llm import ngram_join as join
-    from tickloom.llm.shingles import shingle_set
 
     rng = random.Random(6)
     rows = odd_rows()
@@ -157,8 +180,8 @@ def test_ngram_join(spark, monkeypatch):
             for _ in range(rng.randrange(4)):
                 v[rng.randrange(len(v))] = f"edit{rng.randrange(1000)}"
             rows.append((1000 + 10 * g + k, " ".join(v), "a"))
-    sets = {i: frozenset(shingle_set(t).tolist()) for i, t, _ in rows if i is not None}
-    copies = collections.Counter(frozenset(shingle_set(t).tolist()) for i, t, _ in rows if i is not None)
+    sets = {i: runs_of_five(t) for i, t, _ in rows if i is not None}
+    copies = collections.Counter(runs_of_five(t) for i, t, _ in rows if i is not None)
     rep = {}
     for i in sorted(sets):
         rep.setdefault(sets[i], i)
@@ -186,6 +209,51 @@ def test_ngram_join(spark, monkeypatch):
     assert join.similar_documents(empty(spark)).count() == 0 and join.one_of_each(empty(spark)).count() == 0
 
 
+def edited(rng, w, share):
+    """A copy of the words with edits in a row, so that the Jaccard similarity of 5-grams comes near `share`."""
+    n = len(w) - 4
+    lost = round((1 - share) / (1 + share) * n)
+    at = rng.randrange(len(w) - max(lost - 4, 1))
+    return w[:at] + [f"e{rng.randrange(10**6)}" for _ in range(max(lost - 4, 1))] + w[at + max(lost - 4, 1) :]
+
+
+def test_ngram_join_finds_isolated_pairs(spark):
+    from tickloom.llm import ngram_join as join
+
+    rng, rows = random.Random(16), []
+    for i in range(300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows += [(2 * i, " ".join(w), "a"), (2 * i + 1, " ".join(edited(rng, w, 0.815)), "a")]
+    near = {2 * i for i in range(300) if len(runs_of_five(rows[2 * i][1]) & runs_of_five(rows[2 * i + 1][1])) >= 0.8 * len(runs_of_five(rows[2 * i][1]) | runs_of_five(rows[2 * i + 1][1]))}
+    linked = {r["doc_id"] for r in join.similar_documents(table(spark, rows)).collect() if r["n_links"] and r["doc_id"] % 2 == 0}
+    assert len(near) > 250 and linked <= near and len(linked) >= 0.99 * len(near)
+
+
+def test_chains_of_bands_are_compared_band_by_band(spark, monkeypatch):
+    """Neighbours at 0.83 and texts at 0.6: one long component of bands, whose classes and links are those of brute force."""
+    from tickloom.llm import ngram_join as join
+
+    rng, rows = random.Random(17), []
+    w = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    for i in range(60):
+        rows.append((i, " ".join(w), "a"))
+        w = edited(rng, w, 0.83 if i % 4 else 0.6)
+    rows += [(5, rows[5][1], "a"), (5, rows[5][1], "b"), (None, "a b c d e f", "a")] + [(None, rows[5][1], "a")] * 2
+    sets = {i: runs_of_five(t) for i, t, _ in rows if i is not None}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    up = {i: i for i in sets}
+    for _ in range(60):
+        for a, b in near:
+            up[a] = up[b] = min(up[a], up[b])
+    links = collections.Counter(x for p in near for x in p)
+    for tile in (1024, 4):
+        monkeypatch.setattr(join, "TILE", tile)
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in join.similar_documents(table(spark, rows)).collect() if r["doc_id"] is not None}
+        assert got == {i: (up[i], links[i]) for i in sets}
+    kept = [r["doc_id"] for r in join.one_of_each(table(spark, rows)).collect()]
+    assert sorted(x for x in kept if x is not None) == sorted(i for i in sets if up[i] == i) and kept.count(None) == 3
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     from tickloom.llm.ngram_join import fewest_matches
 
@@ -244,6 +312,25 @@ def test_line_dedup(spark):
     assert repeated_lines(empty(spark)).count() == 0 and without_copies(empty(spark)).count() == 0
 
 
+def test_isolated_pairs_of_lines(spark):
+    """Recall at similarities just above the threshold; what is found reaches it."""
+    from tickloom.llm.line_dedup import repeated_lines
+
+    rng, rows, near = random.Random(18), [], set()
+    grams = lambda t: {t[i : i + 8] for i in range(len(t) - 7)}
+    for i in range(400):
+        t = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.choice([90, 150, 400])))
+        n = len(t) - 7
+        cut = max(1, round((1 - 0.82) / (1 + 0.82) * n) - 7)
+        at = rng.randrange(len(t) - cut)
+        u = t[:at] + "".join(rng.choice("ABCDEFGHIJK") for _ in range(cut)) + t[at + cut :]
+        rows += [(2 * i, t, "a"), (2 * i + 1, u, "a")]
+        if len(grams(t) & grams(u)) >= 0.8 * len(grams(t) | grams(u)):
+            near.add(2 * i + 1)
+    got = {r["doc"] for r in repeated_lines(table(spark, rows)).collect()}
+    assert len(near) > 300 and got <= near and len(got) >= 0.97 * len(near)
+
+
 def test_large_bands_keep_most_links(spark):
     """A group of several hundred near copies without a common centre is still one component, but for a few lines."""
     from tickloom.llm.line_dedup import repeated_lines
@@ -260,6 +347,16 @@ def test_large_bands_keep_most_links(spark):
     assert removed >= 0.97 * len(brute_lines(rows))
 
 
+def test_very_long_lines(spark):
+    """Lines of 200,000 characters: near copies go, others stay."""
+    from tickloom.llm.line_dedup import repeated_lines
+
+    rng = random.Random(19)
+    long, other = words(rng, 30_000, 5000), words(rng, 30_000, 5000)
+    rows = [(1, long, "a"), (2, "short\n" + long + " end", "a"), (3, other, "a"), (4, long[:150_000], "a")]
+    assert {(r["doc"], r["at"]) for r in repeated_lines(table(spark, rows)).collect()} == brute_lines(rows)
+
+
 def test_repetitive_lines_of_all_lengths(spark):
     """Rules and repeated phrases have few shingles at many places: lengths across 100 and 128 shingles are one group each."""
     from tickloom.llm.line_dedup import repeated_lines
@@ -320,6 +417,71 @@ def test_rare_languages_keep_their_models(spark):
     assert all(got[i] == ("ru", False) for i in rare)
 
 
+def test_languages_without_a_model(spark):
+    """Twenty languages of one document each, and texts without letters: no crash, und or a known language."""
+    from tickloom.llm import language_id as lid
+
+    rng = random.Random(12)
+    letters = lambda: "".join(rng.choice("abcdefghijklm ") for _ in range(200))
+    rows = [(i, letters(), "en") for i in range(120)] + [(200 + i, f"{chr(0x430 + i) * 3} слово {i} " * 5, f"r{i}") for i in range(20)]
+    rows += [(300 + i, "12 34 ...", "digits") for i in range(40)] + [(400, None, "r1"), (401, "", "r2"), (402, "abc", None), (None, "abc", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lid.train(docs)
+    assert "digits" not in model.names and "en" in model.names
+    got = lid.identify(docs, model).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got} <= {*model.names, "und"}
+    assert all(r["lang_pred"] == "und" and r["rejected"] for r in got if r["doc_id"] and (r["doc_id"] in (400, 401) or 300 <= r["doc_id"] < 340))
+    few = lid.train(docs, most_docs=5, most_chars=200)
+    assert "en" in few.names and sum(len(h) for h, _ in few.models[few.names.index("en")].grams) < sum(len(h) for h, _ in model.models[model.names.index("en")].grams)
+
+
+def kneser_ney(texts):
+    """Interpolated Kneser-Ney of order 4 by plain counting: a function of (history, symbol)."""
+    show = lambda t: " " * 3 + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+    top = collections.Counter(t[i : i + 4] for t in map(show, texts) for i in range(len(t) - 3))
+    counts = {4: top}
+    for n in (3, 2, 1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+
+    def probability(history, symbol, n=4):
+        if not n:
+            return 1 / 65536
+        c, h = counts[n], history[len(history) - n + 1 :]
+        n1, n2 = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+        d = n1 / (n1 + 2 * n2) if n1 else 0.5
+        after = [x for g, x in c.items() if g[:-1] == h]
+        lower = probability(history, symbol, n - 1)
+        return (max(c[h + symbol] - d, 0) + d * len(after) * lower) / sum(after) if after else lower
+
+    def entropy(text):
+        t = show(text)
+        return -sum(math.log(probability(t[i - 3 : i], t[i])) for i in range(3, len(t))) / (len(t) - 3)
+
+    return entropy
+
+
+def test_models_against_plain_counting(spark):
+    """Cross-entropies and predictions of the operator equal those of Kneser-Ney by dictionaries."""
+    from tickloom.llm import language_id as lid
+
+    texts = {"en": ["the cat sat on the mat", "a dog, and the other dog", "it was there then"], "de": ["der hund und die katze", "das ist ein Haus - dort", "über den Fluß"], "ru": ["кот сидит на окне", "собака и дом", "это был он"]}
+    n, rows = 0, []
+    for lang, own in texts.items():
+        for t in own:
+            while __import__("zlib").crc32(str(n).encode()) % 4 == 2:
+                n += 1
+            rows.append((n, t, lang))
+            n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lid.train(docs)
+    brute = {k: kneser_ney(v) for k, v in texts.items()}
+    probe = ["the dog there", "die katze dort", "кот и собака", "zzz", "the кот", "über 12 the!"] + [t for own in texts.values() for t in own]
+    got = {r["doc_id"]: r for r in lid.identify(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(probe):
+        e = {k: f(t) for k, f in brute.items()}
+        assert abs(got[i]["cross_entropy"] - min(e.values())) < 1e-4 and abs(e[got[i]["lang_pred"]] - min(e.values())) < 1e-4
+
+
 def test_model_is_a_distribution():
     import numpy as np
 
@@ -529,3 +691,40 @@ def test_pipeline(spark, data):
             ids = now
     rows = out.collect()
     assert rows and {r["doc_id"] for r in rows} <= ids and all(r["taken"] > 0 for r in rows)
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Odd rows through every stage, each judged on its own input by plain loops; then the stages on an empty table."""
+    import corpus_pipeline as p
+
+    rng = random.Random(31)
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    item = letters(20)
+    rows = [(i, "\n".join(letters(12) for _ in range(4)), f"s{i % 3}") for i in range(60)]
+    rows += [(100, rows[0][1], "s0"), (101, rows[1][1] + " more", "s1"), (102, f"{letters(30)} {item} {letters(9)}", "s2"), (103, None, "s0"), (104, "", None), (105, "12 34", "s0"), (106, letters(9) + "\n" + rows[2][1].split("\n")[0], "s1")]
+    rows += [(107, letters(40), None)] * 2 + [(None, letters(30), "s1"), (108, "漢字仮名交" * 40, "s0"), (109, letters(4000), "s2")]
+    docs = table(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(p.STAGES)
+    of = lambda df: collections.Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
+    own = collections.Counter(rows)
+    kept = of(stages["language ID"](spark, docs, str(tmp_path)))
+    assert kept == collections.Counter({r: n for r, n in own.items() if r[1] and any(c.isalpha() for c in r[1]) and r[0] != 108})
+    gone = brute_lines(rows)
+    want = collections.Counter()
+    for i, t, s in rows:
+        rest = t if i is None or not t or not t.strip() else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)
+        if i is None or not t or not t.strip() or rest.strip():
+            want[(i, rest, s)] += 1
+    assert of(stages["line dedup"](spark, docs, str(tmp_path))) == want
+    sets = {i: runs_of_five(t) for i, t, _ in rows if i is not None}
+    near = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near and of(stages["n-gram Jaccard join"](spark, docs, str(tmp_path))) == collections.Counter({r: (1 if r[0] is not None else n) for r, n in own.items() if r[0] not in {b for _, b in near}})
+    held = {i for i, t, _ in rows if i is not None and len(shingles_of(t) & shingles_of(item)) >= 0.8 * len(shingles_of(item))}
+    assert held == {102} and of(stages["benchmark decontamination"](spark, docs, str(tmp_path))) == collections.Counter({r: n for r, n in own.items() if r[0] not in held})
+    mixed = stages["mixing sources"](spark, docs, str(tmp_path)).collect()
+    assert mixed and all(0 < r["taken"] <= 2 * r["size"] for r in mixed) and {r["doc_id"] for r in mixed} <= {r[0] for r in rows}
+    assert len(p.run(spark, str(tmp_path)).collect()) > 10
+    for name, stage in p.STAGES:
+        assert stage(spark, empty(spark), str(tmp_path)).count() == 0, name

@@ -8,8 +8,9 @@ similarity of a pair is near 0 and plain banding would miss it. Instead:
   k = n - ceil(t n) + 1. A document that holds ceil(t n) of the n shingles lacks at most k - 1 of
   them, so it holds one of the sketch: the search misses nothing.
 * Items are partitioned by size, in powers of two. A partition's items can only be in documents with
-  enough shingles, and a document's shingle is looked up in a partition only if its hash
-  is not above the largest hash in that partition's sketches: large items have low sketches.
+  enough shingles, and a document's shingle is looked up only if its hash is not above the largest hash in the
+  sketches of the partitions that the document is large enough for: large items have low sketches. Items below five words
+  are a partition of their own, which only documents below five words look up.
 * Documents that meet a sketch are verified: distinct shingles of the item that the document has are
   counted exactly.
 
@@ -27,6 +28,7 @@ from .shared import saved, table
 WORDS, CONTAINMENT = 5, 0.8
 #: Sketches and item shingles up to this many rows (16 bytes each, some MB) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+SALTS = 64
 
 
 def _words(text: str) -> F.Column:
@@ -43,8 +45,13 @@ def shingles(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
     return placed.filter(F.get("w", F.col("i")) != "").select("id", F.xxhash64(*parts).alias("h"))
 
 
-def _joined(left: DataFrame, right: DataFrame, rows: int, on: str = "h") -> DataFrame:
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on)
+def _joined(left: DataFrame, right: DataFrame, rows: int) -> DataFrame:
+    """Rows of documents (`id`, `h`, ...) with those of items: by broadcast, or by shuffle with `SALTS` copies of the items' rows."""
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), "h")
+    # a shingle that very many documents share is dealt to as many tasks as there are salts
+    salted = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(salted, ["h", "salt"]).drop("salt")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
@@ -58,22 +65,24 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     items = items.filter(F.col(item_id).isNotNull())
     docs = docs.filter(F.col(id_col).isNotNull())
     known = shingles(items, item_id, item_text).distinct().select(F.col("id").alias("item"), "h")
-    sizes = known.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("h")).alias("hs"))
+    brief = items.select(F.col(item_id).alias("item"), F.size(_words(item_text)).alias("w")).groupBy("item").agg(F.max("w").alias("w"))
+    sizes = known.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("h")).alias("hs")).join(brief, "item")
     # an item is bounded by its own text; 1e-9 guards the product against rounding
     need = F.ceil(F.col("n") * F.lit(containment) - 1e-9)
-    sized = saved(sizes.select("item", "n", "hs", need.alias("need"), F.floor(F.log2(F.col("n"))).cast("int").alias("part")), "item-shingles")
+    sized = saved(sizes.select("item", "n", "hs", need.alias("need"), F.when(F.col("w") < WORDS, -1).otherwise(F.floor(F.log2(F.col("n")))).cast("int").alias("part")), "item-shingles")
     sketch = sized.select("part", F.explode(F.slice("hs", F.lit(1), (F.col("n") - F.col("need") + 1).cast("int"))).alias("h"), "item", "need")
     n_sketch, n_all = sketch.count(), sized.agg(F.sum("n")).first()[0] or 0
     if not n_sketch:
         kind = items.schema[item_id].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"{id_col} {kind[1]}, {item_id} {kind[0]}, n_shingles long, n_found long, containment double")
     # by partition: the least words a document must have, and the highest hash worth a lookup
-    parts = sketch.groupBy("part").agg(F.min("need").alias("need"), F.max("h").alias("top")).collect()  # at most 64 rows
+    parts = sketch.groupBy("part").agg(F.min("need").alias("need"), F.max("h").alias("top")).collect()  # at most 65 rows
     base = docs.select(F.col(id_col).alias("id"), _words(text_col).alias("w"))
     places = F.greatest(F.size("w") - WORDS + 1, F.lit(1))
     top = F.lit(None).cast("long")
     for p in sorted(parts, key=lambda p: p["need"]):
-        top = F.when(places >= p["need"], F.greatest(top, F.lit(p["top"]))).otherwise(top)
+        able = F.size("w") < WORDS if p["part"] < 0 else (places >= p["need"]) & (F.size("w") >= WORDS)
+        top = F.when(able, F.greatest(top, F.lit(p["top"]))).otherwise(top)
     row = base.select("id", "w", places.alias("places"), top.alias("top")).filter("top is not null")
     row = row.select("id", "w", "places", "top", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("i")).filter(F.get("w", F.col("i")) != "")
     probes = row.select("id", "places", "top", F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(WORDS)]).alias("h")).filter("h <= top")

@@ -8,7 +8,7 @@ if even that cross-entropy lies beyond what held-back training texts of the lang
 median, plus a margin, plus a spread that shrinks with the square root of the text's length.
 
 Training takes a bounded sample: at most about `MOST_DOCS` documents and `MOST_CHARS` characters for each
-language, chosen by hash of the id. Prediction reads every text whole.
+language (both are parameters of `train`), chosen by hash of the id. Prediction reads every text whole.
 """
 
 from __future__ import annotations
@@ -179,21 +179,24 @@ class _Scorer:
         np.add.at(sums, [i for i, _ in pending], np.add.reduceat(values, starts, axis=0, dtype=np.float64))
 
 
-def _train_one(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    import pickle
+def _train_one(most_chars: int):
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        import pickle
+
+        rows = sorted(zip(group["h"].to_pylist(), group["text"].to_pylist(), strict=True))
+        parts, size = [], 0
+        for _, text in rows:
+            if size >= most_chars:
+                break
+            s = symbols(text)
+            if len(s):
+                parts.append(grams(s))
+                size += len(s)
+        if not parts:
+            return pa.table({"lang": pa.array([], pa.string()), "model": pa.array([], pa.binary())})
+        return pa.table({"lang": [key[0].as_py()], "model": pa.array([pickle.dumps(fit(np.concatenate(parts)))], pa.binary())})
 
-    rows = sorted(zip(group["h"].to_pylist(), group["text"].to_pylist(), strict=True))
-    parts, size = [], 0
-    for _, text in rows:
-        if size >= MOST_CHARS:
-            break
-        s = symbols(text)
-        if len(s):
-            parts.append(grams(s))
-            size += len(s)
-    if not parts:
-        return pa.table({"lang": pa.array([], pa.string()), "model": pa.array([], pa.binary())})
-    return pa.table({"lang": [key[0].as_py()], "model": pa.array([pickle.dumps(fit(np.concatenate(parts)))], pa.binary())})
+    return run
 
 
 def may_train(id_col: str = "doc_id") -> F.Column:
@@ -201,12 +204,14 @@ def may_train(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS) -> Languages:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS, most_chars: int = MOST_CHARS) -> Languages:
     """Models from a bounded sample of the documents that may train and have text and language.
 
     The sample takes the documents whose hash lies below a threshold that leaves about `most_docs` of
-    each language. It passes by the executors, one task for each language; models come to the driver
-    (their size is bounded by the sample).
+    each language, and of those the first by hash that reach `most_chars` characters. It passes by the executors, one
+    task for each language; a model has at most 64 bytes for each character of the sample, and models come to the
+    driver. A language whose training texts have no letter has no model. Rows that repeat a document weigh
+    as often; rows with a null id, text or language do not train; an empty table gives no models.
     """
     import pickle
 
@@ -226,7 +231,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         learn = sample.filter(~back)
     else:
         learn = sample
-    models = {r["lang"]: pickle.loads(r["model"]) for r in learn.groupBy("lang").applyInArrow(_train_one, "lang string, model binary").collect()}
+    models = {r["lang"]: pickle.loads(r["model"]) for r in learn.groupBy("lang").applyInArrow(_train_one(most_chars), "lang string, model binary").collect()}
     names = sorted(models)
     out = Languages(names, [models[k] for k in names], [(0.0, float("inf"))] * len(names))
     if not names:
@@ -247,7 +252,11 @@ def _entropies(languages: Languages):
 
 
 def calibrated(languages: Languages, rows: list[tuple[str, int, list[float]]]) -> Languages:
-    """Set the limits of rejection, and the temperature of scores, from (language, length, cross-entropies) of texts held back."""
+    """Set the limits of rejection, and the temperature of scores, from (language, length, cross-entropies) of texts held back.
+
+    Texts of a language without a model tell nothing and are left out.
+    """
+    rows = [r for r in rows if r[0] in languages.names]
     right_ones = [(languages.names[int(np.argmin(e))], n, min(e)) for lang, n, e in rows if languages.names[int(np.argmin(e))] == lang]
 
     def limit(own: list[tuple[int, float]]) -> tuple[float, float]:

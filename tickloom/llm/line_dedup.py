@@ -10,8 +10,9 @@ each component of lines linked by a Jaccard similarity of 0.8 or more, the first
 2. 6 bands of 3 values: a pair at 0.8 misses all with a probability of 0.014, a pair at 0.9 with one of 0.0004, equal sets never.
 3. Every line of a band is verified, exactly, against two centres: the band's most frequent line (often what the others are
    edits of) and its smallest. The links' components are found by distributed union-find. Where a band of four lines or
-   more still holds several components, every two of them are verified, too, line by line until a link is found, tile by tile (256
-   lines against 256) inside one expression: no component that a band shows stays apart, and no pair is a row.
+   more still holds several components, they are verified across, too: as pairs of rows in a band of up to 16 lines; in a larger
+   one line by line until a link is found, tile by tile (256 lines against 256) inside one expression. No two components
+   that a band shows to be linked stay apart.
 4. Components' first occurrences stay.
 
 Lines, bands, centres and tiles that hold many rows are joined by broadcast of those few keys, or salted, so that no task
@@ -29,8 +30,8 @@ from .shared import forget, saved, setting, spread_join, table
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 6, 3
 VALUES = BANDS * ROWS
-#: Lines of a tile, and rows that one copy of a centre meets.
-TILE, FAN = 256, 4096
+#: Bands of up to SMALL lines give pairs as rows; lines of a tile; rows that one copy of a centre meets.
+SMALL, TILE, FAN = 16, 256, 4096
 #: Masks of the MinHash values: the fractional parts of multiples of the golden ratio, as 32-bit numbers.
 MASKS = [((i + 1) * 0x9E3779B97F4A7C15 >> 20) % (1 << 32) - (1 << 31) for i in range(VALUES)]
 
@@ -133,11 +134,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = saved(connected_components(links).withColumnRenamed("v", "k"), "line-components")
     forget(pairs, links)
     # bands that still hold several components; of three lines or fewer all pairs are verified
-    known = members.filter("size > 3").join(found, "k", "left").select("band", "k", "size", F.coalesce("component", "k").alias("c"))
+    known = members.filter("size > 3").join(found, "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
     open_ = known.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 < c1").select("band", "n")
     open_ = saved(open_, "line-open-bands")
-    across = saved(_across(spread_join(known, open_, "band", members.count()), sets), "line-links")
-    forget(members, sets, open_)
+    known = saved(spread_join(known, open_, "band", members.count()), "line-open")
+    # a band of a few lines gives pairs as rows, a larger one is compared tile by tile
+    few = known.filter((F.col("size") <= SMALL) & (F.col("k") != F.col("lo")) & (F.col("k") != F.col("top")))
+    x, y = few.select("band", F.col("k").alias("x"), F.col("c").alias("cx")), few.select("band", F.col("k").alias("y"), F.col("c").alias("cy"))
+    more = x.join(y, "band").filter("cx < cy").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("long").alias("salt"), "cx", "cy").distinct()
+    more = saved(more, "line-pairs")
+    whole = _verified(more.drop("cx", "cy"), sets).join(more, ["a", "b"]).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
+    across = saved(whole.union(_across(known.filter(F.col("size") > SMALL).select("band", "k", "size", "c"), sets)), "line-links")
+    forget(members, sets, open_, known, more)
     joined = connected_components(across).select(F.col("v").alias("component"), F.col("component").alias("whole"))
     # every line that is not alone in its component; one without links of its own may be whole with others
     named = sketches.select("k", "n").join(found, "k", "left").withColumn("near", F.col("component").isNotNull())

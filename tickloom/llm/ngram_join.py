@@ -6,7 +6,8 @@
    smallest id there: the components of these links hold every candidate pair. At a similarity of
    0.8, a pair meets in no band with a probability of (1 - 0.8**5)**32 = 3e-6.
 3. Components are compared in tiles of at most 1024 x 1024 documents; a larger component is many
-   tiles, for as many tasks. In a tile, signatures are compared 32 values at a time. After each step
+   tiles, for as many tasks. A large component that hangs together by chains, so that its bands have fewer pairs than
+   itself, is compared band by band instead, each pair in the first band that it shares. In a tile, signatures are compared 32 values at a time. After each step
    a pair goes if the posterior probability that its similarity reaches the threshold, given its
    matches so far and a uniform prior, is below `tolerance`. All pairs left are verified exactly.
 4. A tile gives, for each document, its number of links and a root among the documents that links
@@ -21,11 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import saved, table
+from .shared import saved, spread_join, spread_split, table
 from .shingles import WORDS, mixed, shingle_set
 
 BANDS, ROWS, STEP, TILE = 32, 5, 32, 1024
@@ -62,6 +63,10 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 _SKETCH = "id long, n int, k1 long, k2 long, bands array<long>"
 
 
+def _sum(h: np.ndarray) -> int:
+    return int(h.sum().view(np.int64))
+
+
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,8 +74,8 @@ def _sketch(words: int):
             for text in batch.column(1).to_pylist():
                 h = shingle_set(text, words)
                 n.append(len(h))
-                k1.append(int(h.sum().view(np.int64)) if len(h) else 0)
-                k2.append(int(mixed(h).sum().view(np.int64)) if len(h) else 0)
+                k1.append(_sum(h) if len(h) else 0)
+                k2.append(_sum(mixed(h)) if len(h) else 0)
                 bands.append(_bands(signature(h)) if len(h) else None)
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "bands"])
 
@@ -82,8 +87,11 @@ def _load(words: int):
         for batch in batches:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             sets = [shingle_set(t, words) for t in col["text"].to_pylist()]
-            cols = [col["id"], col["component"], col["tile"], col["tiles"], pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([signature(h).tobytes() for h in sets], pa.binary())]
-            yield pa.record_batch(cols, names=["id", "component", "tile", "tiles", "hashes", "sig"])
+            own = [n for n in batch.schema.names if n != "text"]
+            mine = [i for i, (h, k) in enumerate(zip(sets, col["k1"].to_pylist(), strict=True)) if len(h) and _sum(h) == k]
+            sets = [sets[i] for i in mine]
+            cols = [*(col[n].take(pa.array(mine, pa.int64())) for n in own), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([signature(h).tobytes() for h in sets], pa.binary())]
+            yield pa.record_batch(cols, names=[*own, "hashes", "sig"])
 
     return run
 
@@ -130,6 +138,15 @@ def _survivors(a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float,
     return pairs
 
 
+def _first_band(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first band that each pair of signatures shares; a number beyond all bands if none."""
+    out = np.full(len(i), BANDS)
+    for s in range(0, len(i), 16384):
+        same = (a[i[s : s + 16384]] == b[j[s : s + 16384]]).reshape(-1, BANDS, ROWS).all(2)
+        out[s : s + 16384] = np.where(same.any(1), same.argmax(1), BANDS)
+    return out
+
+
 def _overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact size of the intersection of each pair."""
     if not len(i):
@@ -182,18 +199,22 @@ def _roots(n: int, i: list[int], j: list[int]) -> list[int]:
 def _compare(threshold: float, tolerance: float):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         tile_a, tile_b = key[1].as_py(), key[2].as_py()
-        component, ids, tile = (group[c].to_numpy() for c in ("component", "id", "tile"))
+        component, ids, tile, band = (group[c].to_numpy() for c in ("component", "id", "tile", "band"))
         hashes = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
         sigs = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(len(ids), HASHES)
         out_id, out_links, out_root = [], [], []
-        order = np.lexsort((ids, component))
-        cuts = np.flatnonzero(np.diff(component[order])) + 1
+        order = np.lexsort((ids, component, band))
+        cuts = np.flatnonzero((np.diff(component[order]) != 0) | (np.diff(band[order]) != 0)) + 1
         for part in np.split(order, cuts):
+            part = part[np.unique(ids[part], return_index=True)[1]]  # rows that repeat a document
             ra = part[tile[part] == tile_a]
             rb = ra if tile_a == tile_b else part[tile[part] == tile_b]
             if not len(ra) or not len(rb):
                 continue
             i, j = _survivors(sigs[ra], sigs[rb], threshold, tolerance, tile_a == tile_b)
+            if (b := band[part[0]]) >= 0:  # a pair of a band group is compared in the first band that it shares
+                keep = _first_band(sigs[ra], sigs[rb], i, j) == b
+                i, j = i[keep], j[keep]
             sa, sb = [hashes[k] for k in ra], [hashes[k] for k in rb]
             size_a, size_b = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
             both = _overlaps(sa, sb, i, j)
@@ -222,54 +243,78 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     `copy_of` (the smallest id with the same set), `n_copies` (rows with the same set, itself too) and
     `n_links` (other sets similar to its own). Words are runs of letters and digits in lower case; a text of one to four
     words is one shingle; null texts and texts without words have no links and are classes of their own.
-    An id stands for one document: rows that repeat an id are taken for copies. A null id is a class of its own (null).
+    An id stands for one document: rows that repeat an id have one class, and where their texts differ, one of them, by
+    the smallest hash, is compared. A null id is a class of its own (null). Texts are read whole.
     An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = saved(rows.mapInArrow(_sketch(words), _SKETCH), "ngram-sketches")
-    with_id = sketch.filter("n > 0 and id is not null")
-    copies = with_id.groupBy("k1", "k2").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"))
-    reps = with_id.join(copies.select(F.col("copy_of").alias("id")).distinct(), "id", "left_semi")
-    met = reps.select("id", F.explode("bands").alias("band"))
-    least = met.groupBy("band").agg(F.min("id").alias("m"), F.max("id").alias("most")).filter("m < most").select("band", "m")
-    candidates = connected_components(met.join(least, "band").filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")))
-
-    size = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = candidates.join(size, "component").select(F.col("v").alias("id"), "component", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    groups = max(1, math.ceil(candidates.count() / TILE))
-    loaded = placed.join(rows.hint("merge"), "id").select("id", "component", "tile", "tiles", "text").mapInArrow(_load(words), "id long, component long, tile int, tiles int, hashes binary, sig binary")
-    # small components share groups; a large one meets itself tile by tile
+    known = (F.col("n") > 0) & F.col("id").isNotNull()
+    with_id = sketch.filter(known)
+    copies = saved(with_id.groupBy("k1", "k2").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies")), "ngram-copies")
+    # of an id that rows of several texts repeat, one text stands for it
+    reps = copies.groupBy(F.col("copy_of").alias("id")).agg(F.min("k1").alias("k1"))
+    bands = with_id.join(reps, ["id", "k1"], "left_semi").select("id", F.posexplode("bands").alias("b", "band")).distinct()
+    least = bands.groupBy("band").agg(F.min("id").alias("m"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).filter("m < most").select("band", "m", "n")
+    met = saved(spread_join(bands, saved(least.withColumn("size", F.col("n")), "ngram-bands"), "band", BANDS * copies.count()), "ngram-members")
+    candidates = saved(connected_components(met.filter("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b"))).withColumnRenamed("v", "id"), "ngram-components")
+
+    total = candidates.count()
+    placed = _placed(candidates, met, total).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).join(reps, "id")
+    kept = "id long, component long, band int, tile int, tiles int, k1 long"
+    loaded = placed.join(rows.hint("merge"), "id").select(*(x.split()[0] for x in kept.split(", ")), "text").mapInArrow(_load(words), f"{kept}, hashes binary, sig binary")
+    # small components and bands share groups; a large one meets itself tile by tile
+    groups = max(1, math.ceil(total / TILE))
     spread = loaded.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    alone = F.concat(F.when(F.col("band") < 0, "c").otherwise("b"), F.col("component").cast("string"))
     keyed = spread.select(
-        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(-1 - F.col("component")).alias("g"),
-        F.least("tile", "with").alias("ta"), F.greatest("tile", "with").alias("tb"), "component", "id", "tile", "hashes", "sig",
+        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(groups)).cast("string")).otherwise(alone).alias("g"),
+        F.least("tile", "with").alias("ta"), F.greatest("tile", "with").alias("tb"), "component", "band", "id", "tile", "hashes", "sig",
     )
     found = saved(keyed.groupBy("g", "ta", "tb").applyInArrow(_compare(threshold, tolerance), "id long, links long, root long"), "ngram-links")
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     classes = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     linked = links.join(classes.withColumnRenamed("v", "id"), "id").select(F.col("id").alias("copy_of"), "n_links", "component")
-    out = sketch.select("id", "n", "k1", "k2").join(copies, ["k1", "k2"], "left").join(linked, "copy_of", "left")
-    known = F.col("n") > 0
-    return out.select(
-        F.col("id").alias(id_col),
-        F.when(known & F.col("id").isNotNull(), F.coalesce("component", "copy_of")).otherwise(F.col("id")).alias("class_id"),
-        F.when(known & F.col("id").isNotNull(), F.col("copy_of")).otherwise(F.col("id")).alias("copy_of"),
-        F.when(known & F.col("id").isNotNull(), F.col("n_copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"),
-        F.when(known & F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
-    )
+    # copies learn of their class one by one, the rows with a set from their copies: no group gathers
+    judged = saved(copies.join(linked, "copy_of", "left").withColumn("n", F.col("n_copies")), "ngram-classes")
+    out = spread_join(with_id.select("id", "k1", "k2"), judged, ["k1", "k2"], sketch.count())
+    out = out.select(F.col("id").alias(id_col), F.coalesce("component", "copy_of").alias("class_id"), "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alone = sketch.filter(~F.coalesce(known, F.lit(False)))
+    return out.unionByName(alone.select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")))
+
+
+def _placed(candidates: DataFrame, met: DataFrame, total: int) -> DataFrame:
+    """`id`, `component`, `band`, `size`: where every candidate is compared, in its component (band -1) or in all its bands."""
+    size = saved(candidates.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("n", F.col("size")), "ngram-sizes")
+    whole = F.lit(-1).alias("band")
+    large = size.filter(F.col("size") > TILE).select("component", "size")
+    if large.isEmpty():
+        return spread_join(candidates, size, "component", total).select("id", "component", whole, "size")
+    # a component held together by chains has bands with fewer pairs than itself
+    bands = met.filter("id = m").select("id", F.col("size").alias("of_band"))
+    work = candidates.join(bands, "id").join(large, "component").groupBy("component", "size").agg(F.sum(F.col("of_band") * F.col("of_band").cast("double")).alias("work"))
+    loose = work.filter(F.col("work") < F.col("size") * F.col("size").cast("double")).select("component", F.lit(True).alias("loose"))
+    sized = saved(size.join(loose, "component", "left").select("component", "size", "n", F.coalesce("loose", F.lit(False)).alias("loose")), "ngram-sizes")
+    told = saved(spread_join(candidates, sized, "component", total), "ngram-placed")
+    by_band = met.join(told.filter("loose").select("id"), "id").select("id", F.col("band").alias("component"), F.col("b").alias("band"), "size")
+    return told.filter("not loose").select("id", "component", whole, "size").unionByName(by_band)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those that are similar to one with a smaller id: one of each class stays, with all its columns.
 
-    Rows with a null id stay; of rows that repeat an id, one stays.
+    Rows with a null id stay; of rows that repeat an id, one stays: that with the smallest hash of all its columns.
     """
-    found = similar_documents(docs, id_col, text_col, threshold)
-    gone = found.filter(F.col(id_col).isNotNull() & (F.col("class_id") != F.col(id_col))).select(F.col(id_col).alias("__gone")).distinct()
-    kept = docs.join(gone.hint("merge"), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
-    first = Window.partitionBy(id_col).orderBy(id_col)
-    return kept.withColumn("__n", F.row_number().over(first)).filter((F.col("__n") == 1) | F.col(id_col).isNull()).drop("__n")
+    found = similar_documents(docs, id_col, text_col, threshold).filter(F.col(id_col).isNotNull())
+    ids = saved(found.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"), F.max(F.col("class_id") != F.col(id_col)).alias("__gone")), "ngram-ids")
+    rows = docs.withColumn("__id", F.col(id_col).cast("long"))
+    total = ids.agg(F.sum("__n")).first()[0] or 0
+    matched, others = spread_split(rows.filter("__id is not null"), ids.filter("__gone or __n > 1"), "__id", total, "__n")
+    # equal rows combine in the map tasks; then the smallest hash of an id decides
+    hashed = matched.filter(~F.col("__gone")).withColumn("__h", F.xxhash64(F.to_json(F.struct(*docs.columns)))).dropDuplicates(["__id", "__h"])
+    one = hashed.join(hashed.groupBy("__id").agg(F.min("__h").alias("__h")), ["__id", "__h"], "left_semi")
+    return others.select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
