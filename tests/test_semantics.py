@@ -102,11 +102,63 @@ def test_exit_rules():
     assert walk([], RULES["hold"]) == []
 
 
-def test_netting():
-    from tickloom.operators.simulate import net
-
-    fills, realised, position, average, rejected = net([(10, 100.0), (10, 110.0), (-30, 120.0), (1e9, 100.0)])
-    assert (fills, realised, position, average, rejected) == (3, 20 * 15.0, -10, 120.0, 1)
+def test_paper_broker(spark):
+    """Buys, closes, shorts, reversals and rejects of a broker without slippage and with it."""
+    from tickloom.operators.accounts import Rules, broker, quote
+
+    orders = [("a", 1, 1.0, 50_000.0), ("a", 2, -1.0, 55_000.0), ("b", 1, -10.0, 3000.0), ("c", 1, 10.0, 100.0), ("c", 2, 10.0, 110.0), ("c", 3, -30.0, 120.0), ("d", 1, 0.0, 5.0), ("d", 2, 1.0, None)]
+    df = spark.createDataFrame(orders, "symbol string, n long, size double, price double")
+    got = {r["symbol"]: r for r in broker(df, ["symbol"], ["n"], rules=Rules(slippage_bps=0.0)).collect()}
+    assert (got["a"]["side"], got["a"]["position"]) == ("flat", 0) and math.isclose(got["a"]["realised"], 5000 - 55) and got["a"]["balance"] > 100_000
+    assert (got["b"]["side"], got["b"]["position"], got["b"]["average"]) == ("short", -10, 3000)
+    assert (got["c"]["side"], got["c"]["position"], got["c"]["average"]) == ("short", -10, 120) and math.isclose(got["c"]["realised"], 20 * 15 - 30 * 120 * 0.001)
+    assert (got["d"]["fills"], got["d"]["rejected"], got["d"]["side"], got["d"]["equity"]) == (0, 2, "flat", 100_000)
+    slipped = {r["symbol"]: r for r in broker(df, ["symbol"], ["n"]).collect()}
+    assert math.isclose(slipped["b"]["average"], 3000 * (1 - 1e-4)) and slipped["a"]["realised"] < got["a"]["realised"]
+    q = spark.createDataFrame([(50_000.0,), (0.0,), (None,)], "p double").select(*[c.alias(n) for n, c in quote(F.col("p")).items()]).collect()
+    assert q[0]["bid"] < q[0]["mid"] < q[0]["ask"] and math.isclose(q[0]["spread_bps"], 1.0, abs_tol=1e-9) and q[1]["mid"] is None and q[2]["bid"] is None
+
+
+def test_risk_gate_and_account(spark):
+    """Each rule alone rejects; the account's sums hold whatever the orders."""
+    from tickloom.operators.accounts import REASONS, Rules, risk_gate, run_account
+
+    rows = [(1.0, 10.0, 1e5, 1e5, 1e5, 0.0, 0.0), (2e5, 0.1, 1e5, 1e5, 1e5, 0.0, 0.0), (1.0, 10.0, 1e5, 1e5, 1e5, -5000.0, 0.0), (1.0, 10.0, 1e5, 1e5, 1e5, 0.0, 10.0), (1000.0, 1001.0, 1e5, 1e5, 1e5, 0.0, 0.0), (-1000.0, 1001.0, 1e5, 1e5, 1e5, 0.0, 0.0), (-1.0, 10.0, 1e5, 4999.0, 1e5, 0.0, 0.0)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, size double, price double, cash double, equity double, start double, pnl double, dd double")
+    got = [r[0] for r in df.orderBy("i").select(risk_gate(*[F.col(c) for c in ("size", "price", "cash", "equity", "start", "pnl", "dd")])).collect()]
+    assert got == [None, REASONS[0], REASONS[1], REASONS[2], REASONS[3], None, REASONS[4]]
+    rng = np.random.default_rng(11)
+    free = Rules(most_size=1e12, daily_loss_pct=1e9, drawdown_pct=1e9, margin=0.0, floor=-1e9)
+    orders = [(i // 7, str(rng.choice(["x", "y"])), float(rng.integers(-9, 10)) or 1.0, float(rng.uniform(5, 15))) for i in range(200)]
+    fills, rejected, cash, equity, realised, fees, open_, _ = run_account(orders, free)
+    want_cash, held, last = 100_000.0, {"x": 0.0, "y": 0.0}, {}
+    for _, s, q, p in orders:
+        fill = p * (1.0001 if q > 0 else 0.9999)
+        want_cash -= q * fill + abs(q) * fill * 0.001
+        held[s] += q
+        last[s] = p
+    assert (fills, rejected) == (200, 0) and math.isclose(cash, want_cash, rel_tol=1e-12) and math.isclose(equity, want_cash + sum(held[s] * last[s] for s in held), rel_tol=1e-9)
+    assert run_account([(0, "x", 1000.0, 1001.0)])[:3] == (0, 1, 100_000.0) and run_account([])[:3] == (0, 0, 100_000.0)
+    lost = run_account([(0, "x", 500.0, 100.0), (0, "x", -500.0, 85.0), (0, "x", 1.0, 85.0), (1, "x", 1.0, 85.0)])
+    assert lost[0] == 3 and lost[1] == 1  # the day's loss stops the third order, not the next day's
+
+
+def test_hooks_and_stored_steps(spark, tmp_path):
+    from tickloom.operators import hooks
+    from tickloom.sources import files
+
+    bars = walk(spark, 80)
+    assert hooks.run_callbacks(bars, "symbol", {}).count() == 0
+    with pytest.raises(KeyError):
+        hooks.run_registered(bars, "unknown")
+    with pytest.raises(ValueError):
+        hooks.register("above_mean", lambda: F.lit(True), lambda: F.lit(False))
+    made = []
+    first = lambda: spark.createDataFrame([(1, 0)], "k long, v long")
+    step = lambda df, i: (made.append(i), df.withColumn("v", F.col("v") + i))[1]
+    assert files.resumable(spark, str(tmp_path / "s"), 2, first, step).first()["v"] == 3
+    assert files.resumable(spark, str(tmp_path / "s"), 4, first, step).first()["v"] == 10 and made == [1, 2, 3, 4]
+    assert files.cached(spark, str(tmp_path / "c"), first).count() == 1 and files.clear_cache(spark, str(tmp_path / "c")) and not files.clear_cache(spark, str(tmp_path / "c"))
 
 
 def test_pareto_greedy_and_weights(spark):
@@ -114,9 +166,20 @@ def test_pareto_greedy_and_weights(spark):
 
     df = spark.createDataFrame([(1, 3.0, 1.0), (2, 2.0, 2.0), (3, 4.0, 3.0), (4, 3.0, 1.0), (5, None, 0.0)], "k long, a double, b double")
     assert sorted(r["k"] for r in sel.pareto_front(df, ["a"], ["b"], "k").collect()) == [1, 3, 4]
-    scored = spark.createDataFrame([(1, 0.9), (2, 0.8), (3, 0.7)], "strategy_id long, score double")
-    pairs = spark.createDataFrame([(1, 2, 0.8), (2, 3, 0.1)], "a long, b long, similarity double")
-    assert [r["strategy_id"] for r in sel.greedy(scored, pairs, 0.5, least=1).orderBy("pick").collect()] == [1, 3]
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, 1, (4, 40))
+    series = [base[0], base[0] + 0.1 * rng.normal(0, 1, 40), base[1], base[2], base[1] * 2, base[3], base[3]]
+    profiles = spark.createDataFrame([(i, [float(v) for v in x], [i]) for i, x in enumerate(series)], "strategy_id long, r array<double>, days array<int>")
+    scored = spark.createDataFrame([(i, 1 - i / 10) for i in range(7)], "strategy_id long, score double")
+    for block in (256, 2, 1):
+        assert [r["strategy_id"] for r in sel.greedy(scored, profiles, 0.5, least=1, block=block).orderBy("pick").collect()] == [0, 2, 3, 5]
+    assert [r["strategy_id"] for r in sel.greedy(scored, profiles, 0.5, most=2, least=1).orderBy("pick").collect()] == [0, 2]
+    assert [r["strategy_id"] for r in sel.greedy(scored, profiles, 0.5, least=6).orderBy("pick").collect()] == [0, 2, 3, 5, 1, 4]
+    pts = rng.integers(0, 6, (200, 3)).astype(float)
+    three = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "k long, a double, b double, c double")
+    o = pts * [1, 1, -1]
+    want = [i for i in range(200) if not any((o[j] >= o[i]).all() and (o[j] > o[i]).any() for j in range(200))]
+    assert sorted(r["k"] for r in sel.pareto_front(three, ["a", "b"], ["c"], "k", block=7).collect()) == want
     cov = np.array([[0.04, 0.006, 0.0], [0.006, 0.09, 0.01], [0.0, 0.01, 0.01]])
     for m in sel.METHODS:
         w = sel.weights(cov, np.array([0.1, 0.12, 0.05]), m)
@@ -139,12 +202,18 @@ def test_tail_measures(spark):
 
 
 def test_replies():
-    from tickloom.functions.text import is_code, parse_json_reply, strip_prose
+    from tickloom.functions.text import code_of, is_code, parse_json_reply
 
     assert parse_json_reply('```json\n{"a": 1}\n```') == '{"a": 1}'
-    assert parse_json_reply("so: {'a': {'b': 2}} ok") == '{"a": {"b": 2}}' or parse_json_reply("so: {'a': 1} ok") is None
+    assert parse_json_reply("so: {'a': {'b': 2}} ok") == '{"a": {"b": 2}}' and parse_json_reply("{'a': \"it's {\", 'b': None}") == '{"a": "it\'s {", "b": null}'
+    assert parse_json_reply('{"strategy_name": "Test", "confidence": "high"}') == '{"confidence": "high", "strategy_name": "Test"}'
+    assert parse_json_reply('Here is the result:\n{"strategy_name": "Test3"}') == '{"strategy_name": "Test3"}' and parse_json_reply("This is not JSON at all.") is None
+    assert parse_json_reply("{ {bad} {\"a\": 1}") == '{"a": 1}' and parse_json_reply("{" * 50) is None and parse_json_reply("```\n[1, 2]") == "[1, 2]"
     assert parse_json_reply("nothing") is None and parse_json_reply(None) is None
-    assert strip_prose("Sure:\n```python\nimport x\nclass A:\n    pass\nEnd.\n```") == "import x\nclass A:\n    pass"
+    assert code_of("Sure:\n```python\nimport x\nclass A:\n    pass\nEnd.\n```") == "import x\nclass A:\n    pass"
+    assert code_of("```python\nimport b as bt\n\nclass T(bt.S):\n    pass\n```").startswith("import b")
+    assert code_of("Here is the code:\n\nimport b as bt\n\nclass T(bt.S):\n    pass\n\nThis strategy uses RSI for entries.") == "import b as bt\n\nclass T(bt.S):\n    pass"
+    assert code_of("no code at all") == "" and code_of("") == ""
     assert is_code("a = 1") and not is_code("a =") and not is_code("") and not is_code(None)
 
 
@@ -234,7 +303,7 @@ def test_cycles_end(spark):
     from tickloom.operators.lineage import ancestors
 
     s = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "strategy_id long, parent_id long")
-    assert sorted(r["node"] for r in ancestors(spark, s, s.filter("strategy_id = 3")).collect()) == [1, 2, 3]
+    assert sorted(r["node"] for r in ancestors(s, s.filter("strategy_id = 3")).collect()) == [1, 2, 3]
 
 
 def test_semantic_duplicates_are_all_found_in_order(spark, tmp_path):
@@ -264,3 +333,56 @@ def test_semantic_duplicates_are_all_found_in_order(spark, tmp_path):
     got = catalog.queries()["T9_semantic_near_duplicates"](spark, str(tmp_path))
     assert dict(map(tuple, got.select("vec_id", "duplicate_of").collect())) == want
     assert dict(map(tuple, semantic_duplicates(docs, block=40).select("vec_id", "duplicate_of").collect())) == want
+
+
+def test_running_and_ranks_over_ranges(spark):
+    """Range partitions with offsets equal one window over the whole table, whatever the number of ranges."""
+    from tickloom.operators.ordering import neighbours, numbered, running
+
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.integers(0, 3)), float(rng.integers(0, 50)), float(rng.normal())) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, g long, v double, x double").repartition(7)
+    got = sorted((r["k"], r["rank"]) for r in numbered(df, [F.desc("v"), "k"]).collect())
+    want = {r[0]: n + 1 for n, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[0])))}
+    assert got == sorted(want.items())
+    by_group = {r["k"]: (r["s"], r["m"]) for r in running(df, ["v", "k"], sums={"s": F.col("x")}, most={"m": F.col("x")}, by=["g"]).collect()}
+    total, top = {}, {}
+    for k, g, _, x in sorted(rows, key=lambda r: (r[2], r[0])):
+        total[g], top[g] = total.get(g, 0.0) + x, max(top.get(g, -9.0), x)
+        assert math.isclose(by_group[k][0], total[g], abs_tol=1e-9) and by_group[k][1] == top[g]
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    near = {r["k"]: (r["before"], r["after"]) for r in neighbours(df, "v", "k").collect()}
+    assert near == {r[0]: (order[i - 1][2] if i else None, order[i + 1][2] if i + 1 < len(order) else None) for i, r in enumerate(order)}
+    assert numbered(df.filter("false"), ["k"]).count() == 0
+
+
+def test_long_chains_are_walked_whole(spark):
+    from tickloom.operators.lineage import ancestors, descendants
+
+    s = spark.createDataFrame([(i, i - 1 if i else None) for i in range(90)], "strategy_id long, parent_id long")
+    down = sorted((r["node"], r["depth"]) for r in descendants(s, s.filter("strategy_id = 0")).collect())
+    assert down == [(i, i) for i in range(90)]
+    assert ancestors(s, s.filter("strategy_id = 89")).count() == 90
+
+
+def test_pairs_and_searches_in_blocks(spark, monkeypatch):
+    from tickloom.operators import pairs
+
+    rng = np.random.default_rng(6)
+    series = [rng.normal(0, 1, n).tolist() for n in (30, 25, 40, 2)] + [[0.5] * 20]
+    days = [sorted(set(rng.integers(0, 12, 5).tolist())) for _ in series]
+    p = spark.createDataFrame([(i, s, d) for i, (s, d) in enumerate(zip(series, days, strict=True))], "strategy_id long, r array<double>, days array<int>")
+    monkeypatch.setattr(pairs, "BLOCK", 2)
+    corr = {}
+    for i in range(5):
+        for j in range(5):
+            n = min(len(series[i]), len(series[j]))
+            a, b = np.array(series[i][:n]), np.array(series[j][:n])
+            if i != j and n >= 3 and a.std() > 1e-9 and b.std() > 1e-9:
+                corr[i, j] = abs(np.corrcoef(a, b)[0, 1])
+    got = {r["strategy_id"]: r for r in pairs.pair_summary(p, "corr").collect()}
+    for i in range(5):
+        own = {j: c for (x, j), c in corr.items() if x == i}
+        assert (i in got) == bool(own)
+        if own:
+            assert got[i]["pairs"] == len(own) and math.isclose(got[i]["most"], max(own.values()), abs_tol=1e-8) and got[i]["partner"] == max(own, key=own.get) and math.isclose(got[i]["mean"], np.mean(list(own.values())), abs_tol=1e-8)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tickloom.plans.market", "tickloom.plans.results_queries", "tickloom.plans.trading_queries", "tickloom.plans.stats_queries", "tickloom.plans.selection_queries", "tickloom.plans.text_queries", "tickloom.plans.live_queries", "tickloom.plans.more_queries")
+MODULES = tuple(f"tickloom.plans.{m}" for m in ("market", "results_queries", "trading_queries", "stats_queries", "selection_queries", "text_queries", "live_queries", "more_queries", "surface_queries"))
 
 
 def queries() -> dict:

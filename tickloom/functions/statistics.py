@@ -5,9 +5,13 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running
+from ..sources.storage import cut
 from .normal import chi2_sf_even, norm_cdf, ppf
 
 BY = "strategy_id"
@@ -23,29 +27,102 @@ def draw(sim: Column, k: Column, n: Column) -> Column:
     return F.pmod(a * 7919 + sim * 31 + k * 17, F.lit(999_983)) % n + 1
 
 
-def bootstrap(returns: DataFrame, sims: int = 100) -> DataFrame:
-    """Resampled mean, Sharpe (population deviation), win rate and profit factor of every series: a join of drawn places with the series."""
-    n = returns.groupBy(BY).agg(F.max("t").alias("n"))
-    drawn = n.withColumn("sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(sims).cast("long")))).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-    picked = drawn.withColumn("t", draw(F.col("sim"), F.col("k"), F.col("n"))).join(returns, [BY, "t"])
-    up, down = F.sum(F.when(F.col("r") > 0, F.col("r"))), F.sum(F.when(F.col("r") < 0, -F.col("r")))
-    return picked.groupBy(BY, "sim").agg(F.avg("r").alias("mean"), F.when(F.stddev_pop("r") > 1e-9, F.avg("r") / F.stddev_pop("r")).otherwise(0.0).alias("sharpe"), (F.count_if(F.col("r") > 0) / F.count(F.lit(1))).alias("win"), F.when(down.isNull(), 10.0).otherwise(F.coalesce(up, F.lit(0.0)) / down).alias("profit_factor"))
+def _series(returns: DataFrame) -> DataFrame:
+    """One row for each series: its returns in order, as an array."""
+    return returns.groupBy(BY).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "r"))), lambda x: x["r"]).alias("r"))
 
 
-def intervals(sims: DataFrame, columns: list[str], level: float = 0.95) -> DataFrame:
-    """Percentile intervals and the share of simulations that are not above 0 (profit factor: 1)."""
-    a = (1 - level) / 2
-    return sims.groupBy(BY).agg(*[x for c in columns for x in (F.percentile(c, a).alias(f"{c}_low"), F.percentile(c, 1 - a).alias(f"{c}_high"), (F.count_if(F.round(c, 12) <= (1 if c == "profit_factor" else 0)) / F.count(F.lit(1))).alias(f"{c}_p"))])
+def _drawn(sim: np.ndarray, k: np.ndarray, n: int) -> np.ndarray:
+    """`draw` over arrays."""
+    a = (sim * 1103515 + k * 12345 + 6789) % 1_000_003
+    return (a * 7919 + sim * 31 + k * 17) % 999_983 % n + 1
 
 
-def monte_carlo(returns: DataFrame, sims: int = 50, cost: float = 0.0, ruin: float = 0.5) -> DataFrame:
+def _each_series(make, columns: list[str]):
+    """A task's function: `make` gives a row of numbers for each series; series without returns give none."""
+
+    def run(batches):
+        for batch in batches:
+            ids, rows = [], []
+            for key, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.array(r, np.float64)
+                if len(x):
+                    ids.append(key)
+                    rows.append(make(x))
+            cols = np.array(rows, np.float64).reshape(len(rows), len(columns))
+            yield pa.record_batch([pa.array(ids, batch.schema.types[0]), *(pa.array(c) for c in cols.T)], names=[BY, *columns])
+
+    return run
+
+
+def _per_series(returns: DataFrame, make, columns: list[str]) -> DataFrame:
+    return _series(returns).mapInArrow(_each_series(make, columns), f"{BY} {returns.schema[BY].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in columns))
+
+
+BOOTSTRAPPED = ["mean", "sharpe", "win", "profit_factor"]
+
+
+def bootstrap(returns: DataFrame, columns: list[str], sims: int = 1000, level: float = 0.95) -> DataFrame:
+    """Percentile intervals of resampled statistics of every series, and the share of simulations not above 0 (profit factor: 1).
+
+    Statistics: mean, Sharpe ratio (population deviation; 0 without deviation), win rate, profit factor (10 without losses).
+    A series is one row, and its simulations are made where it lies: nothing is shuffled but the returns, once.
+    """
+    low, high = 100 * (1 - level) / 2, 100 * (1 + level) / 2
+
+    def make(x: np.ndarray) -> list[float]:
+        n, out = len(x), []
+        parts = []
+        for lo in range(1, sims + 1, max(1, (1 << 20) // n)):  # bounded memory for long series
+            sim = np.arange(lo, min(sims + 1, lo + max(1, (1 << 20) // n)), dtype=np.int64)
+            y = x[_drawn(sim[:, None], np.arange(1, n + 1, dtype=np.int64)[None, :], n) - 1]
+            sd, mean = y.std(1), y.mean(1)
+            gain, loss = np.where(y > 0, y, 0).sum(1), np.where(y < 0, -y, 0).sum(1)
+            with np.errstate(all="ignore"):
+                parts.append(np.stack([mean, np.where(sd > 1e-9, mean / sd, 0.0), (y > 0).mean(1), np.where((y < 0).any(1), gain / loss, 10.0)]))
+        values = dict(zip(BOOTSTRAPPED, np.concatenate(parts, axis=1), strict=True))
+        for c in columns:
+            v = values[c]
+            out += [*np.percentile(v, [low, high]), float((np.round(v, 12) <= (1 if c == "profit_factor" else 0)).mean())]
+        return out
+
+    return _per_series(returns, make, [f"{c}_{x}" for c in columns for x in ("low", "high", "p")])
+
+
+def _permuted(x: np.ndarray, sims: np.ndarray, cost: float) -> np.ndarray:
+    """The running sums of a series, less costs, in the order of a seeded key, for each simulation."""
+    t = np.arange(1, len(x) + 1, dtype=np.int64)
+    key = _drawn(sims[:, None], t[None, :], 999_983)
+    return np.cumsum(x[np.argsort(key, axis=1, kind="stable")] - cost, axis=1)
+
+
+def monte_carlo(returns: DataFrame, sims: int = 1000, cost: float = 0.0, ruin: float = 0.5) -> DataFrame:
     """Orders permuted by a seeded key: drawdown mean and 95th percentile, shares of profit and of ruin; returns are added, less costs."""
-    s = returns.withColumn("sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(sims).cast("long")))).withColumn("key", draw(F.col("sim"), F.col("t"), F.lit(999_983)))
-    w = Window.partitionBy(BY, "sim").orderBy("key", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.withColumn("equity", 1 + F.sum(F.col("r") - cost).over(w)).withColumn("place", F.row_number().over(w))
-    s = s.withColumn("dd", 1 - F.col("equity") / F.greatest(F.lit(1.0), F.max("equity").over(w)))
-    one = s.groupBy(BY, "sim").agg(F.max("dd").alias("dd"), F.max_by("equity", "place").alias("final"))
-    return one.groupBy(BY).agg(F.avg("dd").alias("dd_mean"), F.percentile("dd", 0.95).alias("dd_95"), (F.count_if(F.round("final", 9) > 1) / F.count(F.lit(1))).alias("p_profit"), (F.count_if(F.round("dd", 9) >= ruin) / F.count(F.lit(1))).alias("p_ruin"))
+
+    def make(x: np.ndarray) -> list[float]:
+        dd, final, step = [], [], max(1, (1 << 20) // len(x))
+        for lo in range(1, sims + 1, step):
+            e = 1 + _permuted(x, np.arange(lo, min(sims + 1, lo + step), dtype=np.int64), cost)
+            dd.append((1 - e / np.maximum(1.0, np.maximum.accumulate(e, axis=1))).max(1))
+            final.append(e[:, -1])
+        d, f = np.concatenate(dd), np.concatenate(final)
+        return [d.mean(), np.percentile(d, 95), (np.round(f, 9) > 1).mean(), (np.round(d, 9) >= ruin).mean()]
+
+    return _per_series(returns, make, ["dd_mean", "dd_95", "p_profit", "p_ruin"])
+
+
+def pass_rate(returns: DataFrame, sims: int = 1000, target: float = 0.1, limit: float = 0.1) -> DataFrame:
+    """Share of permuted accounts that reach `target` before they lose `limit`."""
+
+    def make(x: np.ndarray) -> list[float]:
+        passed, step = 0, max(1, (1 << 20) // len(x))
+        for lo in range(1, sims + 1, step):
+            e = np.round(_permuted(x, np.arange(lo, min(sims + 1, lo + step), dtype=np.int64), 0.0), 9)
+            first = lambda hit: np.where(hit.any(1), hit.argmax(1), 1 << 30)
+            passed += int((first(e >= target) < first(e <= -limit)).sum())
+        return [passed / sims]
+
+    return _per_series(returns, make, ["pass_rate"])
 
 
 def walk_forward(returns: DataFrame, folds: int = 3, share: float = 0.7) -> DataFrame:
@@ -107,18 +184,20 @@ def pbo(returns: DataFrame, parts: int = 8) -> DataFrame:
     those. No combination reads the series again. Combinations: C(parts, parts / 2) rows.
     """
     spark = returns.sparkSession
-    cut = returns.withColumn("part", F.ntile(parts).over(Window.partitionBy(BY).orderBy("t")))
-    stats = cut.groupBy(BY, "part").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss"))
+    parted = returns.withColumn("part", F.ntile(parts).over(Window.partitionBy(BY).orderBy("t")))
+    stats = parted.groupBy(BY, "part").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss"))
     combos = [(i, p, int(p in c)) for i, c in enumerate(itertools.combinations(range(1, parts + 1), parts // 2)) for p in range(1, parts + 1)]
     table = spark.createDataFrame(combos, "combo int, part int, inside int")
     g = stats.join(F.broadcast(table), "part").groupBy("combo", BY, "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     var = (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     g = g.withColumn("sharpe", F.round(F.when((F.col("n") > 1) & (var > 1e-18), F.col("s") / F.col("n") / F.sqrt(var) * math.sqrt(252)).otherwise(0.0), 9))
     both = g.groupBy("combo", BY).agg(F.max(F.when(F.col("inside") == 1, F.col("sharpe"))).alias("is_"), F.max(F.when(F.col("inside") == 0, F.col("sharpe"))).alias("oos"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("combo"))
-    w = Window.partitionBy("combo")
-    ranked = both.withColumn("n", n).withColumn("rank", F.rank().over(w.orderBy("oos")) + (F.count(F.lit(1)).over(Window.partitionBy("combo", "oos")) - 1) / 2)
-    best = ranked.withColumn("first", F.row_number().over(w.orderBy(F.desc("is_"), BY))).filter("first = 1")
+    # the pick of each combination, then its rank among all strategies by counting: no combination is one group of all strategies
+    both = cut(both, "pbo")
+    best = both.groupBy("combo").agg(F.max_by(BY, F.struct("is_", -F.col(BY))).alias(BY), F.max("is_").alias("is_"), F.max_by("oos", F.struct("is_", -F.col(BY))).alias("oos"))
+    all_ = both.select("combo", F.col("oos").alias("other")).join(F.broadcast(best.select("combo", "oos")), "combo")  # a row for each combination
+    ranks = all_.groupBy("combo").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("other") < F.col("oos")) + (F.count_if(F.col("other") == F.col("oos")) + 1) / 2).alias("rank"))
+    best = best.join(ranks, "combo")
     p = F.least(F.greatest(F.col("rank") / F.col("n"), F.lit(1e-6)), F.lit(1 - 1e-6))
     return best.select("combo", BY, F.col("is_").alias("best_is"), "oos", F.log(p / (1 - p)).alias("logit"))
 
@@ -164,8 +243,10 @@ def population_stability(reference: DataFrame, live: DataFrame, by: str, value:
     grid = grid.withColumn("pa", F.greatest(F.col("a") / F.sum("a").over(w), F.lit(1e-6))).withColumn("pb", F.greatest(F.col("b") / F.sum("b").over(w), F.lit(1e-6)))
     psi = grid.groupBy(by).agg(F.sum((F.col("pb") - F.col("pa")) * F.log(F.col("pb") / F.col("pa"))).alias("psi"))
     n = both.groupBy(by, value).agg(F.sum("ref").alias("a"), F.sum(1 - F.col("ref")).alias("b"))
-    at = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ks = n.withColumn("d", F.abs(F.sum("a").over(at) / F.sum("a").over(w) - F.sum("b").over(at) / F.sum("b").over(w))).groupBy(by).agg(F.max("d").alias("ks"), F.sum("a").alias("n_ref"), F.sum("b").alias("n_live"))
+    summed = running(n, [value], sums={"ca": F.col("a"), "cb": F.col("b")}, by=[by])
+    whole = n.groupBy(by).agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_live"))
+    far = F.max(F.abs(F.col("ca") / F.col("n_ref") - F.col("cb") / F.col("n_live"))).alias("ks")
+    ks = summed.join(whole, by).groupBy(by).agg(far, F.first("n_ref").alias("n_ref"), F.first("n_live").alias("n_live"))
     return psi.join(ks, by)
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut
+from .selection import crowding, pareto_front
+
 
 def tournament(rng: np.random.Generator, fitness: np.ndarray, k: int = 3) -> int:
     """Index of the best of k drawn."""
@@ -43,16 +46,37 @@ def diversity(population: np.ndarray) -> float:
     return float(np.linalg.norm(population - population.mean(0), axis=1).mean())
 
 
-def evolve(spark: SparkSession, size: int = 24, generations: int = 5, seed: int = 42) -> DataFrame:
-    """Best and mean fitness and diversity by generation on a smooth surface with its peak at (0.3, 0.7)."""
-    rng = np.random.default_rng(seed)
-    population, rows = rng.random((size, 2)), []
-    for g in range(generations):
-        table = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(population)], "i int, a double, b double")
-        scored = table.withColumn("f", -F.pow(F.col("a") - 0.3, F.lit(2.0)) - F.pow(F.col("b") - 0.7, F.lit(2.0))).orderBy("i").collect()
-        fitness = np.array([r["f"] for r in scored])
-        rows.append((g, float(fitness.max()), float(fitness.mean()), diversity(population)))
-        elite = population[np.argsort(-fitness)[:2]]
-        children = [mutate(rng, np.clip(blend(rng, population[tournament(rng, fitness)], population[tournament(rng, fitness)]), 0, 1)) for _ in range(size - 2)]
-        population = np.clip(np.vstack([elite, *children]), 0, 1)
-    return spark.createDataFrame(rows, "generation int, best double, mean double, diversity double")
+def select_fronts(pool: DataFrame, high: list[str], low: list[str], key: str, n: int) -> DataFrame:
+    """NSGA-II's choice of `n` rows of a stored pool: front after front, and of the last one those with most room around them.
+
+    Returns key, `front` (from 1) and `crowding` (null at the ends of a front, which come first). Every front is found over the
+    whole pool that is left; the chosen rows are as few as asked for.
+    """
+    rest, out, count, front = cut(pool.select(key, *high, *low).na.drop(), "pool"), None, 0, 0
+    while count < n and not rest.isEmpty():
+        front += 1
+        found = cut(crowding(pareto_front(rest, high, low, key), [*high, *low], key).withColumn("front", F.lit(front)), "front")
+        if found.isEmpty():
+            break
+        taken = found if count + found.count() <= n else found.orderBy(F.col("crowding").isNotNull(), F.desc("crowding"), key).limit(n - count)
+        taken = cut(taken.select(key, "front", "crowding"), "chosen")
+        out, count = taken if out is None else out.unionByName(taken), count + taken.count()
+        rest = cut(rest.join(found.select(key), key, "left_anti"), "pool")
+    return out if out is not None else rest.select(key, F.lit(0).alias("front"), F.lit(None).cast("double").alias("crowding"))
+
+
+def unit(*parts) -> F.Column:
+    """A number in [0, 1) from the hash of the parts: the same on every run and machine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def next_generation(parents: DataFrame, key: str, genes: list[str], generation: int, scale: float = 0.1) -> DataFrame:
+    """A child of each two parents that follow each other in rank (`place`, from 1, the last with the first): a blend, then mutation.
+
+    A gene lies between the parents' at a place of its own, and moves by up to `scale` of their distance either way.
+    """
+    n = parents.count()
+    other = parents.select((F.col("place") % n + 1).alias("place"), *[F.col(g).alias(f"o_{g}") for g in genes])
+    both = parents.join(other, "place")
+    child = lambda g: F.col(g) + unit(F.lit(g), F.lit(str(generation)), F.col(key).cast("string")) * (F.col(f"o_{g}") - F.col(g)) + scale * (2 * unit(F.lit(f"m{g}"), F.lit(str(generation)), F.col(key).cast("string")) - 1) * F.abs(F.col(f"o_{g}") - F.col(g))
+    return both.select(F.col(key).alias("parent"), "place", *[child(g).alias(g) for g in genes])

@@ -105,3 +105,15 @@ def ichimoku(df: DataFrame, a: int = 9, b: int = 26, c: int = 52) -> DataFrame:
 
 def bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
     return df.withColumns({"bb_mid": mean("close", n), "bb_dev": std("close", n)}).withColumns({"bb_upper": F.col("bb_mid") + width * F.col("bb_dev"), "bb_lower": F.col("bb_mid") - width * F.col("bb_dev")})
+
+
+#: Indicators by name: each adds `value` to bars of symbols.
+CATALOGUE = {
+    "sma": lambda df: df.withColumn("value", mean("close", 20)),
+    "ema": lambda df: ema(df, value=("close", 20)),
+    "rsi": lambda df: wilder_rsi(df).withColumn("value", F.col("rsi")),
+    "macd": lambda df: ema(df, fast=("close", 12), slow=("close", 26)).withColumn("value", F.col("fast") - F.col("slow")),
+    "bollinger": lambda df: df.withColumn("value", (F.col("close") - mean("close", 20)) / F.nullif(std("close", 20), F.lit(0.0))),
+    "atr": lambda df: recursive_mean(df.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - lagged("close")), F.abs(F.col("low") - lagged("close")))), {"value": ("tr", 1 / 14)}),
+    "obv": lambda df: df.withColumn("value", F.sum(F.signum(F.col("close") - lagged("close")) * F.col("volume")).over(series().rowsBetween(-(1 << 30), 0))),
+}

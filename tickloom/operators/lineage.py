@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut
+from ..sources.storage import cut, new_folder
 
 
 def best_metrics(results: DataFrame) -> DataFrame:
@@ -80,35 +80,42 @@ def best_mutation_by_symbol(strategies: DataFrame, results: DataFrame) -> DataFr
     return means.groupBy("symbol").agg(F.max_by("mutation_type", at).alias("mutation_type"), F.max("mean_sharpe").alias("mean_sharpe"))
 
 
-def _walk(spark: SparkSession, strategies: DataFrame, start: DataFrame, down: bool, most: int = 60) -> DataFrame:
-    """Breadth-first walk: one join a level, over the frontier only; an id met again is not followed, so cycles end."""
-    edges = strategies.filter("parent_id is not null").select(F.col("parent_id" if down else "strategy_id").alias("at"), F.col("strategy_id" if down else "parent_id").alias("to"))
-    front = start.select(F.col("strategy_id").alias("root"), F.col("strategy_id").alias("node"), F.lit(0).cast("long").alias("depth"))
-    seen = front
-    for _ in range(most):
-        step = front.join(edges, front["node"] == edges["at"]).select("root", F.col("to").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
-    return seen
-
-
-def descendants(spark: SparkSession, strategies: DataFrame, roots: DataFrame) -> DataFrame:
+def _walk(strategies: DataFrame, start: DataFrame, down: bool, levels: int = 4) -> DataFrame:
+    """Breadth-first walk of any depth, `levels` at a time; an id met again is not followed, so cycles end.
+
+    A round joins the edges `levels` times to the frontier and keeps the least depth of every new (root, node). What is found
+    goes to one stored table, which the next round reads, so that no plan grows with the depth.
+    """
+    spark = strategies.sparkSession
+    edges = strategies.filter("parent_id is not null").select(F.col("parent_id" if down else "strategy_id").alias("node"), F.col("strategy_id" if down else "parent_id").alias("to"))
+    edges = cut(edges.filter("to is not null").distinct(), "lineage-edges")
+    path, kind = new_folder(spark, "lineage"), "root long, node long, depth long"
+    known = lambda where: spark.read.schema(kind).parquet(f"{path}{where}").select("root", "node", "depth")
+    at = start.select(F.col("strategy_id").alias("root"), F.col("strategy_id").alias("node"), F.lit(0).cast("long").alias("depth")).distinct()
+    at.write.parquet(f"{path}/from=0")
+    depth = 0
+    while True:
+        seen = known("")
+        step = known(f"/from={depth}").filter(F.col("depth") == depth)
+        found = None
+        for _ in range(levels):
+            step = step.join(edges, "node").select("root", F.col("to").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+            found = step if found is None else found.union(step)
+        new = found.groupBy("root", "node").agg(F.min("depth").alias("depth")).join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        depth += levels
+        new.write.parquet(f"{path}/from={depth}")
+        if known(f"/from={depth}").filter(F.col("depth") == depth).isEmpty():
+            return known("")
+
+
+def descendants(strategies: DataFrame, roots: DataFrame) -> DataFrame:
     """root, node, depth of everything below each root (and itself, at depth 0)."""
-    return _walk(spark, strategies, roots, down=True)
+    return _walk(strategies, roots, down=True)
 
 
-def ancestors(spark: SparkSession, strategies: DataFrame, of: DataFrame) -> DataFrame:
+def ancestors(strategies: DataFrame, of: DataFrame) -> DataFrame:
     """root, node, depth of each strategy's ancestors (and itself)."""
-    return _walk(spark, strategies, of, down=False)
-
-
-def recursive_descendants(spark: SparkSession, strategies: DataFrame, root: int, most_depth: int = 60) -> DataFrame:
-    """The same for one root by a recursive query."""
-    strategies.createOrReplaceTempView("lineage_edges")
-    return spark.sql(f"""WITH RECURSIVE d AS (SELECT strategy_id, CAST(0 AS BIGINT) AS depth FROM lineage_edges WHERE strategy_id = {int(root)}
-      UNION ALL SELECT e.strategy_id, d.depth + 1 FROM d JOIN lineage_edges e ON e.parent_id = d.strategy_id WHERE d.depth < {int(most_depth)}) SELECT strategy_id, depth FROM d""")
+    return _walk(strategies, of, down=False)
 
 
 def top_lineages(strategies: DataFrame, results: DataFrame, n: int, generation: int = 3) -> DataFrame:

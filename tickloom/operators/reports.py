@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 CRYPTO, FOREX, INDEX, METAL = ["BTCUSDT", "ETHUSDT"], ["EURUSD", "GBPUSD", "USDJPY"], ["SPX500"], ["XAUUSD"]
 #: Suffixes of crypto pairs and prefixes of indices, for symbols that are in no list.
 QUOTES, INDEX_HINTS = ["USDT", "BTC", "ETH"], ["SPX", "NAS", "US30", "GER", "UK1", "DAX"]
@@ -78,9 +80,10 @@ def variant_stats(results: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, directions: dict[str, bool], key: str) -> DataFrame:
-    """A rank for each metric; True: the higher the better."""
-    cols = {f"rank_{m}": F.row_number().over(Window.orderBy(F.col(m).desc_nulls_last() if high else F.col(m).asc_nulls_last(), key)) for m, high in directions.items()}
-    return df.withColumns(cols)
+    """A rank for each metric; True: the higher the better. Nulls come last, ties go by `key`."""
+    for m, high in directions.items():
+        df = numbered(df, [F.col(m).desc_nulls_last() if high else F.col(m).asc_nulls_last(), F.col(key)], f"rank_{m}")
+    return df.withColumns({f"rank_{m}": F.col(f"rank_{m}").cast("int") for m in directions})
 
 
 def batch_summary(results: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import cut
+from .ordering import neighbours, running
+from .pairs import similarity_matrix
 
 #: Metric, weight, least and greatest, whether high is good.
 SCORE = [("sharpe_ratio", 1.0, 0.0, 3.0, True), ("max_drawdown_pct", 0.8, 0.0, 50.0, False), ("profit_factor", 0.6, 0.0, 3.0, True), ("win_rate", 0.3, 0.0, 100.0, True), ("total_trades", 0.2, 0.0, 500.0, True)]
@@ -33,11 +35,17 @@ def composite_score(df: DataFrame) -> DataFrame:
 
 
 def rank_top(df: DataFrame, n: int) -> DataFrame:
-    """The n best of those without reasons; the rest of them get `below_top_n_cutoff`."""
+    """The n best of those without reasons have a `rank` and are `selected`; the rest of them get `below_top_n_cutoff`.
+
+    Only the n best are ordered; their keys are broadcast. `strategy_id` and `symbol` make a row's key.
+    """
     ok = composite_score(hard_filters(df))
-    rank = F.row_number().over(Window.orderBy((F.size("reasons") > 0).cast("int"), F.desc("score"), "strategy_id", "symbol"))
-    ok = ok.withColumn("rank", rank)
-    return ok.withColumn("selected", (F.size("reasons") == 0) & (F.col("rank") <= n)).withColumn("reasons", F.when((F.size("reasons") == 0) & (F.col("rank") > n), F.array(F.lit("below_top_n_cutoff"))).otherwise(F.col("reasons")))
+    order = (F.desc("score"), "strategy_id", "symbol")
+    best = ok.filter(F.size("reasons") == 0).orderBy(*order).limit(n)
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(F.col("strategy_id").alias("__s"), F.col("symbol").alias("__y"), "rank")
+    both = ok.join(F.broadcast(best), ok["strategy_id"].eqNullSafe(F.col("__s")) & ok["symbol"].eqNullSafe(F.col("__y")), "left").drop("__s", "__y")
+    below = (F.size("reasons") == 0) & F.col("rank").isNull()
+    return both.withColumn("selected", F.col("rank").isNotNull()).withColumn("reasons", F.when(below, F.array(F.lit("below_top_n_cutoff"))).otherwise(F.col("reasons")))
 
 
 def pair_correlations(returns: DataFrame, ids: DataFrame) -> DataFrame:
@@ -61,22 +69,43 @@ def similarities(returns: DataFrame, trades: DataFrame, ids: DataFrame, weight:
     return c.select("a", "b", F.round((1 - weight) * F.coalesce("corr", F.lit(0.0)) + weight * F.coalesce("jaccard", F.lit(0.0)) + 3e-11, 9).alias("similarity"))
 
 
-def greedy(scored: DataFrame, similar: DataFrame, threshold: float = 0.5, most: int = 50, least: int = 5) -> DataFrame:
-    """The best first, then each that is similar to none chosen; relaxed to `least`. Sequential by nature, so over the short list only.
+def greedy(scored: DataFrame, profiles: DataFrame, threshold: float = 0.5, most: int = 50, least: int = 5, block: int = 256) -> DataFrame:
+    """The best first, then each that is similar to none chosen, up to `most`; relaxed to `least`.
 
-    `scored` (strategy_id, score) is bounded by the ranking that made it; pairs below the threshold are not sent.
+    `scored` has strategy_id and score; all of them are candidates. The driver decides the best `block` candidates left;
+    the executors compare all others with what it chose and drop the similar ones. Every round chooses one at least, so
+    there are at most `most` rounds, and the driver holds a block and the chosen profiles only.
     """
-    order = [r[0] for r in scored.orderBy(F.desc("score"), "strategy_id").limit(1000).collect()]
-    clash: dict[int, set[int]] = {}
-    for a, b in similar.filter(F.col("similarity") >= threshold).select("a", "b").collect():
-        clash.setdefault(a, set()).add(b)
-        clash.setdefault(b, set()).add(a)
-    chosen: list[int] = []
-    for s in order:
-        if len(chosen) < most and not clash.get(s, set()) & set(chosen):
-            chosen.append(s)
-    chosen += [s for s in order if s not in chosen][: max(0, least - len(chosen))]
-    return scored.sparkSession.createDataFrame([(s, i + 1) for i, s in enumerate(chosen)], "strategy_id long, pick int")
+    rest = cut(scored.join(profiles, "strategy_id").select("strategy_id", "score", "r", "days"), "candidates")
+    kind = rest.select("strategy_id", "score", "r", "days").schema
+    chosen: list[tuple] = []
+    while len(chosen) < most:
+        rows = rest.orderBy(F.desc("score"), "strategy_id").limit(block).toArrow()
+        if not rows.num_rows:
+            break
+        new: list[tuple] = []
+        items = list(zip(*(rows[c].to_pylist() for c in ("strategy_id", "r", "days")), strict=True))
+        sims = similarity_matrix([x[1] for x in items], [x[2] for x in items], [x[1] for x in items], [x[2] for x in items])
+        for i, x in enumerate(items):
+            if len(chosen) + len(new) < most and all(sims[i, j] < threshold for j, _ in new):
+                new.append((i, x))
+        fresh = [x for _, x in new]
+        chosen += fresh
+        last = rows["strategy_id"].to_pylist()
+        rest = cut(rest.filter(~F.col("strategy_id").isin(last)).mapInArrow(_unlike(fresh, threshold), kind), "candidates")
+    ids = [x[0] for x in chosen]
+    if len(ids) < least:
+        ids += [r[0] for r in scored.filter(~F.col("strategy_id").isin(ids)).orderBy(F.desc("score"), "strategy_id").limit(least - len(ids)).collect()]
+    return scored.sparkSession.createDataFrame([(s, i + 1) for i, s in enumerate(ids)], "strategy_id long, pick int")
+
+
+def _unlike(chosen: list[tuple], threshold: float):
+    def run(batches):
+        for batch in batches:
+            sims = similarity_matrix(batch.column(2).to_pylist(), batch.column(3).to_pylist(), [x[1] for x in chosen], [x[2] for x in chosen])
+            yield batch.filter(pa.array((sims < threshold).all(1)))
+
+    return run
 
 
 def average_linkage(distance: np.ndarray, cut: float) -> list[int]:
@@ -103,33 +132,68 @@ def clusters(similar: DataFrame, ids: list[int], cut: float = 0.7) -> DataFrame:
     return similar.sparkSession.createDataFrame(list(zip(ids, average_linkage(d, cut), strict=True)), "strategy_id long, cluster int")
 
 
-def pareto_front(df: DataFrame, high: list[str], low: list[str], key: str) -> DataFrame:
-    """Rows that no other row dominates (at least as good everywhere, better somewhere): a left anti join on dominance.
+def pareto_front(df: DataFrame, high: list[str], low: list[str], key: str, block: int = 4096) -> DataFrame:
+    """Rows that no other row dominates (at least as good everywhere, better somewhere); rows with a null objective are left out.
 
-    The candidates that can dominate are first cut to the best row of each value of the first objective, so the
-    right side is the skyline of two objectives, not the table.
+    Two objectives: of each value of the first the best of the second, kept if it beats the running best of all better values of
+    the first. More: every task cuts its rows to their own front; what is left is compared with itself a block at a time.
     """
-    first, rest = high[0], high[1:]
     slim = df.select(key, *high, *low).na.drop()
-    other = slim.select([F.col(c).alias(f"o_{c}") for c in slim.columns])
-    w = Window.partitionBy(f"o_{first}").orderBy(*[F.desc(f"o_{c}") for c in rest], *[F.asc(f"o_{c}") for c in low])
-    other = other.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n") if len(rest) + len(low) == 1 else other
-    as_good, better = F.lit(True), F.lit(False)
-    for c in high:
-        as_good, better = as_good & (F.col(f"o_{c}") >= F.col(c)), better | (F.col(f"o_{c}") > F.col(c))
-    for c in low:
-        as_good, better = as_good & (F.col(f"o_{c}") <= F.col(c)), better | (F.col(f"o_{c}") < F.col(c))
-    return slim.join(other, as_good & better, "left_anti")
+    signed = slim.withColumns({f"__o{i}": F.col(c) if c in high else -F.col(c) for i, c in enumerate([*high, *low])})
+    count = len(high) + len(low)
+    if count == 2:
+        best = running(signed.groupBy("__o0").agg(F.max("__o1").alias("__o1")), [F.desc("__o0")], most={"__top": F.col("__o1")})
+        # the running best is its own only where it is higher than all before it, or ties with one: then the earlier dominates
+        first = best.groupBy("__top").agg(F.max("__o0").alias("__o0"))
+        front = first.select("__o0", F.col("__top").alias("__o1"))
+        return signed.join(front, ["__o0", "__o1"], "left_semi").select(slim.columns)
+    names = [f"__o{i}" for i in range(count)]
+    rest = cut(signed.mapInArrow(_local_front(names), signed.schema), "fronts")
+    blocks = max(1, -(-rest.count() // block))
+    rest = cut(rest.withColumn("__block", F.pmod(F.xxhash64(key, *names), F.lit(blocks))), "fronts")
+    whole = rest
+    for b in range(blocks):  # a block of the fronts is held at a time; every row meets all blocks
+        others = whole.filter(F.col("__block") == b).select(*names).toArrow()
+        rest = rest.mapInArrow(_not_dominated(np.stack([others[n].to_numpy() for n in names], axis=1) if others.num_rows else np.zeros((0, count)), names), rest.schema)
+    return rest.select(slim.columns)
+
+
+def _dominated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of x some row of y dominates."""
+    out = np.zeros(len(x), bool)
+    for i in range(0, len(x), 256):
+        a = x[i : i + 256, None, :]
+        out[i : i + 256] = ((y[None] >= a).all(2) & (y[None] > a).any(2)).any(1)
+    return out
+
+
+def _not_dominated(others: np.ndarray, names: list[str]):
+    def run(batches):
+        for batch in batches:
+            x = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
+            yield batch.filter(pa.array(~_dominated(x, others))) if len(x) else batch
+
+    return run
+
+
+def _local_front(names: list[str]):
+    def run(batches):
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                x = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
+                yield batch.filter(pa.array(~_dominated(x, x)))
+
+    return run
 
 
 def crowding(front: DataFrame, objectives: list[str], key: str) -> DataFrame:
     """Crowding distance: neighbours' gap over each objective's range; ends are infinite (null)."""
-    total = F.lit(0.0)
+    spans = front.agg(*[(F.max(c) - F.min(c)).alias(c) for c in objectives]).first()
+    out, total = front, F.lit(0.0)
     for c in objectives:
-        w = Window.orderBy(c, key)  # a front, not a table
-        span = F.max(c).over(Window.partitionBy()) - F.min(c).over(Window.partitionBy())
-        total = total + (F.lead(c).over(w) - F.lag(c).over(w)) / F.nullif(span, F.lit(0.0))
-    return front.withColumn("crowding", total)
+        out = out.join(neighbours(front, c, key).select(key, ((F.col("after") - F.col("before")) / F.nullif(F.lit(spans[c]), F.lit(0.0))).alias(f"__{c}")), key)
+        total = total + F.col(f"__{c}")
+    return out.withColumn("crowding", total).drop(*[f"__{c}" for c in objectives])
 
 
 METHODS = ["equal", "inverse_vol", "risk_parity", "min_variance", "max_sharpe", "hrp"]

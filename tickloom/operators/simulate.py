@@ -99,42 +99,3 @@ def simulate(df: DataFrame, rule: str) -> DataFrame:
         return pd.DataFrame([(key[0], *x) for x in found], columns=[c.split()[0] for c in TRADES.split(", ")])
 
     return df.groupBy("symbol").applyInPandas(run, TRADES)
-
-
-ACCOUNT = "strategy_id long, symbol string, fills long, realised double, position double, average double, rejected long"
-
-
-def net(rows: list[tuple[float, float]], cash: float = CASH, most: float = 0.1) -> tuple[int, float, float, float, int]:
-    """(fills, realised, position, average price, rejected) of one symbol's orders (size, price): adding averages, reducing realises, reversing opens the rest.
-
-    An order beyond `most` of the cash, in notional, is rejected.
-    """
-    fills, realised, position, average, rejected = 0, 0.0, 0.0, 0.0, 0
-    for size, price in rows:
-        if abs(size) * price > cash * most * 10:
-            rejected += 1
-            continue
-        fills += 1
-        if position * size >= 0:
-            average = (average * abs(position) + price * abs(size)) / (abs(position) + abs(size))
-            position += size
-        else:
-            closed = min(abs(position), abs(size))
-            realised += closed * (price - average) * (1 if position > 0 else -1)
-            position += size
-            if abs(position) < 1e-12:
-                position, average = 0.0, 0.0
-            elif position * size > 0:
-                average = price
-    return fills, realised, position, average, rejected
-
-
-def paper_account(trades: DataFrame) -> DataFrame:
-    """Netting paper account: every trade's entry is an order of its strategy and symbol, in the order of entries."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["entry_ts", "order_key", "line", "variant_key", "entry_price", "size"])
-        out = [(key[0], symbol, *net(list(zip(g["size"], g["entry_price"], strict=True)))) for symbol, g in pdf.groupby("symbol")]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ACCOUNT.split(", ")])
-
-    return trades.select("strategy_id", "symbol", "entry_ts", "order_key", "line", "variant_key", "entry_price", "size").groupBy("strategy_id").applyInPandas(run, ACCOUNT)

@@ -62,7 +62,17 @@ BARS = "SELECT symbol, date_trunc('hour', ts) AS ts, round(first(price ORDER BY
 add("R1_stream_bars", lambda s, d: live.latest(live.run_available(live.stream_bars(live.tick_stream(s, d))), ["symbol", "ts"]), "ticks", BARS)
 add("R3_stream_drift", lambda s, d: live.latest(live.run_available(live.stream_drift(live.tick_stream(s, d), 50.0, 50.0)), ["symbol"]))
 add("R4_stream_paper", lambda s, d: live.latest(live.run_available(live.stream_paper(live.tick_stream(s, d), 20.0, 60.0)), ["symbol"]))
-QUERIES["R2_stream_ticks"] = QUERIES["R4_stream_paper"]
+
+
+def _live(s, d):
+    """The loop over ticks: the account that the signals make and the drift beside it, and what the kill rules say to both."""
+    account = live.latest(live.run_available(live.stream_paper(live.tick_stream(s, d), 20.0, 60.0)), ["symbol"])
+    drift = live.latest(live.run_available(live.stream_drift(live.tick_stream(s, d), 50.0, 50.0)), ["symbol"]).select("symbol", "cusum_up", "cusum_down")
+    drifted = F.greatest("cusum_up", "cusum_down") > 5
+    return account.join(drift, "symbol").select("symbol", "fills", "cash", F.when(F.col("cash") < 900, "LIQUIDATE").when(drifted, "PAUSE").otherwise("NONE").alias("action"))
+
+
+add("R2_live_loop", _live)
 add("R8_daily_rollover", lambda s, d: ticks(s, d).groupBy("symbol", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("ticks"), F.sum("price").alias("turnover")).select("symbol", F.col("w.start").alias("day"), "ticks", "turnover"), "ticks", f"SELECT symbol, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS ticks, {r('sum(price) AS turnover')} FROM ticks GROUP BY ALL")
 SESSIONS = "SELECT symbol, min(ts) AS start, count(*) AS ticks, round(sum(price) + 3.05e-8, 6) + 0.0 AS turnover FROM (SELECT *, sum(CASE WHEN ts < prev + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY ts, tick_id) AS n FROM (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY ts, tick_id) AS prev FROM ticks)) GROUP BY symbol, n"
 add("R14_sessions", lambda s, d: live.stream_sessions(ticks(s, d)), "ticks", SESSIONS)
@@ -70,5 +80,5 @@ add("R14_sessions", lambda s, d: live.stream_sessions(ticks(s, d)), "ticks", SES
 # stored tables
 add("S15_upsert", lambda s, d: files.upsert(strategies(s, d).select("strategy_id", "status"), strategies(s, d).filter("strategy_id % 10 = 0").select("strategy_id", F.lit("updated").alias("status")), ["strategy_id"]), "strategies", "SELECT strategy_id, CASE WHEN strategy_id % 10 = 0 THEN 'updated' ELSE status END AS status FROM strategies")
 add("S23_synthetic_bars", lambda s, d: files.synthetic_bars(s, 200).select("symbol", "ts", "close", "high", "volume"), "ticks", f", g AS (SELECT i, (i * (7919 + 42) + 104729) % 1000 / 1000.0::DOUBLE - 0.5 AS n FROM generate_series(0, 199) t(i)), c AS (SELECT i, 100 + sum(n) OVER (ORDER BY i) AS close FROM g) SELECT 'SYNTH' AS symbol, TIMESTAMP '2020-01-01' + to_days(CAST(i AS INTEGER)) AS ts, {r('close', 'close + 0.6 AS high')}, (1000 + i % 100)::DOUBLE AS volume FROM c")
-add("S28_schema_evolution", lambda s, d: strategies(s, d).select("strategy_id").unionByName(results(s, d).select("strategy_id", "symbol").filter("strategy_id < 5"), allowMissingColumns=True), "strategies results", "SELECT strategy_id, NULL::VARCHAR AS symbol FROM strategies UNION ALL SELECT strategy_id, symbol FROM results WHERE strategy_id < 5")
+add("S28_schema_evolution", lambda s, d: strategies(s, d).select("strategy_id").unionByName(results(s, d).select("strategy_id", "symbol"), allowMissingColumns=True), "strategies results", "SELECT strategy_id, NULL::VARCHAR AS symbol FROM strategies UNION ALL SELECT strategy_id, symbol FROM results")
 add("S7_merge_years", lambda s, d: files.merge_years(trades(s, d).select("symbol", F.col("entry_ts").alias("ts"), F.col("order_key").alias("year"), F.lit(1).alias("one")).groupBy("symbol", "ts", "year").agg(F.max("one").alias("one"))).groupBy("symbol").agg(F.count(F.lit(1)).alias("bars")), "trades", "SELECT symbol, count(DISTINCT entry_ts) AS bars FROM trades GROUP BY 1")

@@ -9,10 +9,12 @@ from pyspark.sql import types as T
 
 from ..functions.kernels import _cross_returns
 from ..functions.normal import chi2_sf_even, norm_cdf, norm_pdf
+from ..functions.statistics import pass_rate
 from ..operators.bars import resample
 from ..operators.reports import asset_class
 from ..operators.simulate import RULES, simulate
 from ..sources import files
+from ..sources.storage import cut
 from ..sources.views import SYMBOLS, returns, strategies, table, trades
 from ..sql import with_views
 from .common import SHIFT, rounded
@@ -43,21 +45,9 @@ add("S2_symbol_files", lambda s, d: files.resolve_files(s.createDataFrame([(f"/d
 add("S13_asset_router", lambda s, d: trades(s, d).groupBy("symbol").agg(F.max(asset_class("symbol")).alias("asset_class")), "trades", f"SELECT symbol, max({CLASS}) AS asset_class FROM trades GROUP BY 1")
 
 
-def _nearest(s, d):
-    """Nearest of a fixed set of 20 reference vectors for every vector: 20 rows beside each, no pair of tables that both grow."""
-    e = table(s, d, "embeddings").select("vec_id", "embedding")
-    ref = F.broadcast(e.filter("vec_id < 20").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref")))
-    dist = F.sqrt(F.aggregate(F.zip_with("embedding", "ref", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda x, y: x + y))
-    x = e.join(ref, F.col("vec_id") != F.col("ref_id")).withColumn("d", F.round(dist + 3.05e-11, 9))
-    return x.groupBy("vec_id").agg(F.min_by("ref_id", F.struct("d", "ref_id")).alias("ref_id"), F.min("d").alias("d"))
-
-
-add("J6_nearest_vector", _nearest, "ticks", f", e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), x AS (SELECT a.vec_id, b.vec_id AS ref_id, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) + 3.05e-11, 9) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE b.vec_id < 20) SELECT vec_id, first(ref_id ORDER BY d, ref_id) AS ref_id, round(min(d) + {SHIFT}, 6) + 0.0 AS d FROM x GROUP BY vec_id")
-
-
 def _batch(s, d):
     """The cross of moving averages for every symbol and timeframe."""
-    h = hourly(s, d)
+    h = cut(hourly(s, d), "bars")
     out = _cross_returns(h, 10, 30).withColumn("timeframe", F.lit("1hour"))
     for tf in ("4hour", "1day"):
         out = out.unionByName(_cross_returns(resample(h, tf), 10, 30).withColumn("timeframe", F.lit(tf)))
@@ -79,29 +69,36 @@ def _rule_trades(s, d):
 add("B-4_trade_union", _rule_trades)
 
 
-def _grid(s, d):
-    """Parameters as a table: every (fast, slow) scored, the best first; a search with a budget reads the same table."""
-    h, out = hourly(s, d), None
-    for fast, slow in ((5, 20), (5, 30), (10, 30), (10, 50), (20, 50)):
-        g = _cross_returns(h, fast, slow).withColumns({"fast": F.lit(fast), "slow": F.lit(slow)})
-        out = g if out is None else out.unionByName(g)
-    return out
-
-
-add("B-5_parameter_objective", lambda s, d: _grid(s, d).groupBy("fast", "slow").agg(F.avg("metric").alias("objective")))
-add("P21_budgeted_search", lambda s, d: _grid(s, d).groupBy("fast", "slow").agg(F.avg("metric").alias("objective")).orderBy(F.desc("objective"), "fast", "slow").limit(3))
-
+BUDGET = 12
 
-def _pass_rate(s, d):
-    """Share of resampled accounts that reach 10 % before losing 10 %: profits permuted over the slots of a strategy's trades."""
-    t = returns(s, d).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("key", F.pmod(F.col("t") * 7919 + F.col("sim") * 104729 + F.col("t") * F.col("sim") * 31, F.lit(100_003)))
-    w = Window.partitionBy("strategy_id", "sim").orderBy("key", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("e", F.sum("r").over(w)).withColumn("place", F.row_number().over(w))
-    g = t.groupBy("strategy_id", "sim").agg(F.min(F.when(F.round("e", 9) >= 0.1, F.col("place"))).alias("hit"), F.min(F.when(F.round("e", 9) <= -0.1, F.col("place"))).alias("ruin"))
-    return g.groupBy("strategy_id").agg((F.count_if(F.col("hit") < F.coalesce("ruin", F.lit(1 << 30))) / F.count(F.lit(1))).alias("pass_rate"))
 
-
-add("K10_pass_rate", _pass_rate, "returns", f", x AS (SELECT *, (t * 7919 + sim * 104729 + t * sim * 31) % 100003 AS key FROM returns, generate_series(1, 20) g(sim)), e AS (SELECT *, sum(r) OVER w AS e, row_number() OVER w AS place FROM x WINDOW w AS (PARTITION BY strategy_id, sim ORDER BY key, t ROWS UNBOUNDED PRECEDING)), g AS (SELECT strategy_id, sim, min(place) FILTER (round(e, 9) >= 0.1) AS hit, min(place) FILTER (round(e, 9) <= -0.1) AS ruin FROM e GROUP BY ALL) SELECT strategy_id, {r('count(*) FILTER (hit < coalesce(ruin, 1 << 30)) / count(*) AS pass_rate')} FROM g GROUP BY 1")
+def _grid(s, d, tried: list[tuple[int, int]]):
+    """Mean metric of every tried (fast, slow), from bars that are made once."""
+    h, out = cut(hourly(s, d), "bars"), None
+    for fast, slow in tried:
+        g = _cross_returns(h, fast, slow).withColumns({"fast": F.lit(fast), "slow": F.lit(slow)})
+        out = g if out is None else out.unionByName(g)
+    return out.groupBy("fast", "slow").agg(F.avg("metric").alias("objective"))
+
+
+def _search(s, d):
+    """A search with a budget of evaluations: four corners first, then halving steps around the best so far."""
+    known: dict[tuple[int, int], float] = {}
+    ask, step = [(5, 20), (5, 50), (20, 30), (20, 50)], 8
+    while ask and len(known) < BUDGET:
+        for row in _grid(s, d, ask[: BUDGET - len(known)]).collect():
+            known[row["fast"], row["slow"]] = row["objective"] if row["objective"] is not None else float("-inf")
+        (f, w), step = max(known, key=lambda k: (known[k], (-k[0], -k[1]))), step // 2
+        ask = [p for p in ((f + step, w), (f - step, w), (f, w + step), (f, w - step)) if step and 1 < p[0] < p[1] and p not in known]
+    best = max(known.values())
+    rows = [(i + 1, *k, v if v > float("-inf") else None, v == best) for i, (k, v) in enumerate(known.items())]
+    return s.createDataFrame(rows, "trial int, fast int, slow int, objective double, best boolean")
+
+
+add("B-5_parameter_objective", lambda s, d: _grid(s, d, [(5, 20), (5, 30), (10, 30), (10, 50), (20, 50)]))
+add("P21_budgeted_search", _search)
+KEY = "((sim * 1103515 + t * 12345 + 6789) % 1000003 * 7919 + sim * 31 + t * 17) % 999983 % 999983 + 1"
+add("K10_pass_rate", lambda s, d: pass_rate(returns(s, d)), "returns", f", x AS (SELECT *, {KEY} AS key FROM returns, generate_series(1, 1000) g(sim)), e AS (SELECT *, sum(r) OVER w AS e, row_number() OVER w AS place FROM x WINDOW w AS (PARTITION BY strategy_id, sim ORDER BY key, t ROWS UNBOUNDED PRECEDING)), g AS (SELECT strategy_id, sim, min(place) FILTER (round(e, 9) >= 0.1) AS hit, min(place) FILTER (round(e, 9) <= -0.1) AS ruin FROM e GROUP BY ALL) SELECT strategy_id, {r('count(*) FILTER (hit < coalesce(ruin, 1 << 30)) / count(*) AS pass_rate')} FROM g GROUP BY 1")
 
 
 def _hook(s, d):

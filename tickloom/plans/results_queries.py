@@ -73,8 +73,8 @@ on_both("J4_parent_child", lambda a, b: lin.improvements(a, b).select("strategy_
 def _asof(spark, d):
     """Each entry with the nearest bar: the later one if two are as near. A union and two windows; no pair of tables is crossed."""
     bars = classify(hourly(spark, d)).select("symbol", F.unix_seconds("ts").alias("at"), "regime")
-    # entries: ticks that are purchases, every 7th, looked up in the bars of all symbols' own series
-    e = table(spark, d, "events").filter("event_id % 7 = 0").select("event_id", F.col("event_type").alias("symbol"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    # entries: all events, looked up in the bars of their own symbol
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("symbol"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
     both = bars.select("symbol", "at", F.struct(F.col("at").alias("bar_at"), "regime").alias("bar"), F.lit(None).cast("long").alias("event_id")).unionByName(e.select("symbol", "at", F.lit(None).cast("struct<bar_at:bigint,regime:string>").alias("bar"), "event_id"))
     w = Window.partitionBy("symbol").orderBy("at", F.col("event_id").asc_nulls_first())
     back = F.last("bar", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -84,7 +84,7 @@ def _asof(spark, d):
     return x.withColumn("b", near).select("event_id", "symbol", F.col("b.bar_at").alias("bar_at"), F.col("b.regime").alias("regime"))
 
 
-add("J3_asof_nearest", _asof, "bars", STEPS + """, e AS (SELECT event_id, event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS tsec FROM events WHERE event_id % 7 = 0),
+add("J3_asof_nearest", _asof, "bars", STEPS + """, e AS (SELECT event_id, event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS tsec FROM events),
 x AS (SELECT symbol, CAST(epoch(ts) AS BIGINT) AS bar_at, regime FROM i10), p AS (SELECT e.*, x.bar_at AS pb, x.regime AS pr FROM e ASOF LEFT JOIN x ON e.symbol = x.symbol AND e.tsec >= x.bar_at),
 q AS (SELECT p.*, x.bar_at AS nb, x.regime AS nr FROM p ASOF LEFT JOIN x ON p.symbol = x.symbol AND p.tsec <= x.bar_at)
 SELECT event_id, symbol, CASE WHEN nb IS NULL OR tsec - pb < nb - tsec THEN pb ELSE nb END AS bar_at, CASE WHEN nb IS NULL OR tsec - pb < nb - tsec THEN pr ELSE nr END AS regime FROM q""")
@@ -120,7 +120,10 @@ FAIL = "CASE WHEN total_trades < 3 THEN 'too_few_trades' WHEN total_return_pct <
 on_results("A25_failure_patterns", lambda t: t.withColumn("failure", F.expr(FAIL)).filter("failure is not null").groupBy("failure").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("variant_id").alias("variants")).filter("n > 2"), f"SELECT failure, count(*) AS n, count(DISTINCT variant_id) AS variants FROM (SELECT *, {FAIL} AS failure FROM results) WHERE failure IS NOT NULL GROUP BY 1 HAVING count(*) > 2")
 QUERIES["F19_failure_log"] = lambda s, d: results(s, d).withColumn("failure", F.expr(FAIL)).filter("failure is not null").select(*KEY, "failure")
 ORACLE["F19_failure_log"] = with_views("results", f"SELECT strategy_id, symbol, {FAIL} AS failure FROM results WHERE {FAIL} IS NOT NULL")
-QUERIES["P5_failure_ladder"], ORACLE["P5_failure_ladder"] = QUERIES["F19_failure_log"], ORACLE["F19_failure_log"]
+LADDER = [("too_few_trades", "total_trades < 3"), ("large_loss", "total_return_pct < -5"), ("drawdown", "max_drawdown_pct > 10"), ("negative_sharpe", "sharpe_ratio < 0"), ("low_win_rate", "win_rate < 40")]
+# the first rule that a result breaks, how many it breaks, and all of them
+_ladder = lambda t: t.withColumn("broken", F.array_compact(F.array(*[F.when(F.expr(c), n) for n, c in LADDER]))).select(*KEY, F.try_element_at("broken", F.lit(1)).alias("failure"), F.size("broken").alias("rules"), F.concat_ws(";", "broken").alias("all_rules"))
+on_results("P5_failure_ladder", _ladder, ", b AS (SELECT strategy_id, symbol, list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in LADDER) + "], lambda x: x IS NOT NULL) AS b FROM results) SELECT strategy_id, symbol, b[1] AS failure, CAST(len(b) AS INTEGER) AS rules, array_to_string(b, ';') AS all_rules FROM b")
 on_both("A26_mutation_effectiveness", lambda a, b: lin.improvements(a, b).groupBy("mutation_type").agg(F.avg("improvement").alias("mean"), F.count(F.lit(1)).alias("n")), IMPROVED + f" SELECT mutation_type, {r('avg(improvement) AS mean')}, count(*) AS n FROM i GROUP BY 1")
 on_both("A27_prune_hypotheses", lambda a, b: lin.prune_hypotheses(a, b, 3, 0.5), f", q AS (SELECT strategy_id, max(sharpe_ratio) AS bt, avg(sharpe_ratio) AS lv FROM results GROUP BY 1), g AS (SELECT hypothesis_id, count(*) AS strategies, count(*) FILTER (lv > 0.8 * bt) / count(*) AS holding FROM strategies JOIN q USING (strategy_id) GROUP BY 1) SELECT hypothesis_id, strategies, {r('holding')} FROM g WHERE strategies >= 3 AND holding < 0.5")
 on_results("A28_compare_runs", lambda t: t.select("timeframe", F.explode(F.create_map(F.lit("sharpe"), "sharpe_ratio", F.lit("return"), "total_return_pct")).alias("metric", "v")).groupBy("timeframe", "metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.max("v").alias("best"), F.min("v").alias("worst"), F.count("v").alias("n")), f"SELECT timeframe, metric, {r('avg(v) AS mean', 'stddev_samp(v) AS std', 'max(v) AS best', 'min(v) AS worst')}, count(v) AS n FROM (SELECT timeframe, 'sharpe' AS metric, sharpe_ratio AS v FROM results UNION ALL SELECT timeframe, 'return', total_return_pct FROM results) GROUP BY ALL")
@@ -157,7 +160,16 @@ on_results("L6_best_run", lambda t: t.orderBy(F.coalesce("sharpe_ratio", F.lit(0
 on_both("L7_due_jobs", lambda a, b: a.filter("status = 'active'").orderBy(F.desc("cost"), "strategy_id").limit(30).select("strategy_id", "cost"), "SELECT strategy_id, cost FROM strategies WHERE status = 'active' ORDER BY cost DESC, strategy_id LIMIT 30")
 on_results("L10_argmax_cell", lambda t: t.groupBy("timeframe", "symbol").agg(F.avg("sharpe_ratio").alias("m")).groupBy("timeframe").agg(F.min_by("symbol", F.struct(-F.col("m"), "symbol")).alias("best"), F.min_by("symbol", F.struct("m", "symbol")).alias("worst")), ", g AS (SELECT timeframe, symbol, avg(sharpe_ratio) AS m FROM results GROUP BY ALL) SELECT timeframe, first(symbol ORDER BY m DESC, symbol) AS best, first(symbol ORDER BY m, symbol) AS worst FROM g GROUP BY 1")
 on_results("L11_report_listing", lambda t: rep.top(t, "total_return_pct", 10).select(*KEY, F.lit("top").alias("part")).unionByName(rep.top(t, "total_return_pct", 10, True).select(*KEY, F.lit("bottom").alias("part"))), "(SELECT strategy_id, symbol, 'top' AS part FROM results ORDER BY total_return_pct DESC, strategy_id, symbol LIMIT 10) UNION ALL (SELECT strategy_id, symbol, 'bottom' FROM results ORDER BY total_return_pct, strategy_id, symbol LIMIT 10)")
-on_results("W19_rank_split", lambda t: t.groupBy("strategy_id").agg(F.avg("sharpe_ratio").alias("s")).filter("s is not null").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "strategy_id"))).withColumn("pool", F.when(F.col("rank") <= 50, "live").otherwise("reserve")).groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean")), f", g AS (SELECT strategy_id, avg(sharpe_ratio) AS s FROM results GROUP BY 1 HAVING avg(sharpe_ratio) IS NOT NULL), k AS (SELECT *, row_number() OVER (ORDER BY s DESC, strategy_id) AS rank FROM g) SELECT CASE WHEN rank <= 50 THEN 'live' ELSE 'reserve' END AS pool, count(*) AS n, {r('avg(s) AS mean')} FROM k GROUP BY 1")
+
+
+def _pools(t):
+    """The 50 best by mean Sharpe ratio, and the rest: the short list is broadcast, the rest is not ranked."""
+    g = t.groupBy("strategy_id").agg(F.avg("sharpe_ratio").alias("s")).filter("s is not null")
+    best = g.orderBy(F.desc("s"), "strategy_id").limit(50).select("strategy_id", F.lit("live").alias("pool"))
+    return g.join(F.broadcast(best), "strategy_id", "left").groupBy(F.coalesce("pool", F.lit("reserve")).alias("pool")).agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean"))
+
+
+on_results("W19_rank_split", _pools, f", g AS (SELECT strategy_id, avg(sharpe_ratio) AS s FROM results GROUP BY 1 HAVING avg(sharpe_ratio) IS NOT NULL), k AS (SELECT *, row_number() OVER (ORDER BY s DESC, strategy_id) AS rank FROM g) SELECT CASE WHEN rank <= 50 THEN 'live' ELSE 'reserve' END AS pool, count(*) AS n, {r('avg(s) AS mean')} FROM k GROUP BY 1")
 
 # sets
 on_results("U1_union_all", lambda t: t.filter("total_trades > 5").select(*KEY).unionByName(t.filter("total_return_pct > 5").select(*KEY)), "SELECT strategy_id, symbol FROM results WHERE total_trades > 5 UNION ALL SELECT strategy_id, symbol FROM results WHERE total_return_pct > 5")
@@ -168,9 +180,9 @@ on_both("U6_set_difference", lambda a, b: a.select("strategy_id").join(b.filter(
 
 # lineage
 on_both("G1_register", lambda a, b: a.select("strategy_id", F.substring(F.sha2(F.concat_ws("|", "name", F.col("strategy_id").cast("string")), 256), 1, 16).alias("code"), (F.col("level")).alias("generation")), "SELECT strategy_id, substr(sha256(name || '|' || strategy_id), 1, 16) AS code, level AS generation FROM strategies")
-add("G2_descendants", lambda s, d: lin.recursive_descendants(s, strategies(s, d), 5), "strategies", ", d AS (SELECT strategy_id, 0::BIGINT AS depth FROM strategies WHERE strategy_id = 5 UNION ALL SELECT e.strategy_id, d.depth + 1 FROM d JOIN strategies e ON e.parent_id = d.strategy_id) SELECT strategy_id, depth FROM d", True)
-add("G6_descendants_of_many", lambda s, d: lin.descendants(s, strategies(s, d), strategies(s, d).filter("strategy_id IN (3, 9, 12)")), "strategies", ", d AS (SELECT strategy_id AS root, strategy_id AS node, 0::BIGINT AS depth FROM strategies WHERE strategy_id IN (3, 9, 12) UNION ALL SELECT d.root, e.strategy_id, d.depth + 1 FROM d JOIN strategies e ON e.parent_id = d.node) SELECT root, node, depth FROM d", True)
+add("G2_descendants", lambda s, d: lin.descendants(strategies(s, d), strategies(s, d).filter("strategy_id = 5")).select(F.col("node").alias("strategy_id"), "depth"), "strategies", ", d AS (SELECT strategy_id, 0::BIGINT AS depth FROM strategies WHERE strategy_id = 5 UNION ALL SELECT e.strategy_id, d.depth + 1 FROM d JOIN strategies e ON e.parent_id = d.strategy_id) SELECT strategy_id, depth FROM d", True)
+add("G6_descendants_of_many", lambda s, d: lin.descendants(strategies(s, d), strategies(s, d).filter("strategy_id IN (3, 9, 12)")), "strategies", ", d AS (SELECT strategy_id AS root, strategy_id AS node, 0::BIGINT AS depth FROM strategies WHERE strategy_id IN (3, 9, 12) UNION ALL SELECT d.root, e.strategy_id, d.depth + 1 FROM d JOIN strategies e ON e.parent_id = d.node) SELECT root, node, depth FROM d", True)
 on_both("G3_best_metrics", lambda a, b: lin.best_metrics(b), f"SELECT strategy_id, max_by(symbol, k) AS symbol, {r('max_by(sharpe_ratio, k) AS sharpe_ratio', 'max_by(total_return_pct, k) AS total_return_pct', 'max_by(max_drawdown_pct, k) AS max_drawdown_pct')}, max_by(total_trades, k) AS total_trades, count(*) AS runs FROM (SELECT *, struct_pack(a := coalesce(sharpe_ratio, '-inf'::DOUBLE), b := symbol) AS k FROM results) GROUP BY 1")
-add("G4_family_tree", lambda s, d: lin.descendants(s, strategies(s, d), strategies(s, d).filter("strategy_id = 7")).join(strategies(s, d), F.col("node") == F.col("strategy_id")).select("node", "depth", "parent_id", "mutation_type"), "strategies", ", d AS (SELECT strategy_id AS node, 0::BIGINT AS depth, parent_id, mutation_type FROM strategies WHERE strategy_id = 7 UNION ALL SELECT e.strategy_id, d.depth + 1, e.parent_id, e.mutation_type FROM d JOIN strategies e ON e.parent_id = d.node) SELECT * FROM d", True)
-add("G5_ancestors", lambda s, d: lin.ancestors(s, strategies(s, d), strategies(s, d).filter("strategy_id IN (101, 150)")), "strategies", ", d AS (SELECT strategy_id AS root, strategy_id AS node, 0::BIGINT AS depth FROM strategies WHERE strategy_id IN (101, 150) UNION ALL SELECT d.root, e.parent_id, d.depth + 1 FROM d JOIN strategies e ON e.strategy_id = d.node WHERE e.parent_id IS NOT NULL) SELECT root, node, depth FROM d", True)
+add("G4_family_tree", lambda s, d: lin.descendants(strategies(s, d), strategies(s, d).filter("strategy_id = 7")).join(strategies(s, d), F.col("node") == F.col("strategy_id")).select("node", "depth", "parent_id", "mutation_type"), "strategies", ", d AS (SELECT strategy_id AS node, 0::BIGINT AS depth, parent_id, mutation_type FROM strategies WHERE strategy_id = 7 UNION ALL SELECT e.strategy_id, d.depth + 1, e.parent_id, e.mutation_type FROM d JOIN strategies e ON e.parent_id = d.node) SELECT * FROM d", True)
+add("G5_ancestors", lambda s, d: lin.ancestors(strategies(s, d), strategies(s, d).filter("strategy_id IN (101, 150)")), "strategies", ", d AS (SELECT strategy_id AS root, strategy_id AS node, 0::BIGINT AS depth FROM strategies WHERE strategy_id IN (101, 150) UNION ALL SELECT d.root, e.parent_id, d.depth + 1 FROM d JOIN strategies e ON e.strategy_id = d.node WHERE e.parent_id IS NOT NULL) SELECT root, node, depth FROM d", True)
 on_both("G7_top_lineages", lambda a, b: lin.top_lineages(a, b, 3), BEST + f", s AS (SELECT strategy_id >> (level - 3) AS family, strategy_id, sharpe_ratio FROM strategies JOIN b USING (strategy_id) WHERE level >= 3 AND sharpe_ratio IS NOT NULL), o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY family ORDER BY sharpe_ratio DESC, strategy_id) = 1 ORDER BY sharpe_ratio DESC, strategy_id LIMIT 3) SELECT family, strategy_id, {r('sharpe_ratio')} FROM o")

@@ -28,7 +28,7 @@ def add(name: str, query, views: str = "", sql: str = "") -> None:
 
 
 DRAW = "((({s} * 1103515 + {k} * 12345 + 6789) % 1000003) * 7919 + {s} * 31 + {k} * 17) % 999983 % {n} + 1"
-BOOT = f""", n AS (SELECT strategy_id, max(t) AS n FROM returns GROUP BY 1), d AS (SELECT strategy_id, sim, k, {DRAW.format(s='sim', k='k', n='n')} AS t FROM (SELECT strategy_id, n, sim, unnest(generate_series(1, n)) AS k FROM n, generate_series(1, 100) g(sim))),
+BOOT = f""", n AS (SELECT strategy_id, max(t) AS n FROM returns GROUP BY 1), d AS (SELECT strategy_id, sim, k, {DRAW.format(s='sim', k='k', n='n')} AS t FROM (SELECT strategy_id, n, sim, unnest(generate_series(1, n)) AS k FROM n, generate_series(1, 1000) g(sim))),
 b AS (SELECT strategy_id, sim, avg(r) AS mean, CASE WHEN stddev_pop(r) > 1e-9 THEN avg(r) / stddev_pop(r) ELSE 0 END AS sharpe, count(*) FILTER (r > 0) / count(*) AS win, CASE WHEN count(*) FILTER (r < 0) = 0 THEN 10.0 ELSE coalesce(sum(r) FILTER (r > 0), 0) / sum(-r) FILTER (r < 0) END AS profit_factor FROM d JOIN returns USING (strategy_id, t) GROUP BY ALL)
 """
 
@@ -37,14 +37,13 @@ def interval(c: str) -> str:
     return r(f"quantile_cont({c}, 0.025) AS {c}_low", f"quantile_cont({c}, 0.975) AS {c}_high", f"count(*) FILTER (round({c}, 12) <= {1 if c == 'profit_factor' else 0}) / count(*) AS {c}_p")
 
 
-boot = lambda s, d: st.bootstrap(returns(s, d))
-add("V1_bootstrap_mean", lambda s, d: st.intervals(boot(s, d), ["mean"]), "returns", BOOT + f"SELECT strategy_id, {interval('mean')} FROM b GROUP BY 1")
-add("V2_bootstrap_sharpe", lambda s, d: st.intervals(boot(s, d), ["sharpe"]), "returns", BOOT + f"SELECT strategy_id, {interval('sharpe')} FROM b GROUP BY 1")
-add("V3_bootstrap_win_profit", lambda s, d: st.intervals(boot(s, d), ["win", "profit_factor"]), "returns", BOOT + f"SELECT strategy_id, {interval('win')}, {interval('profit_factor')} FROM b GROUP BY 1")
+add("V1_bootstrap_mean", lambda s, d: st.bootstrap(returns(s, d), ["mean"]), "returns", BOOT + f"SELECT strategy_id, {interval('mean')} FROM b GROUP BY 1")
+add("V2_bootstrap_sharpe", lambda s, d: st.bootstrap(returns(s, d), ["sharpe"]), "returns", BOOT + f"SELECT strategy_id, {interval('sharpe')} FROM b GROUP BY 1")
+add("V3_bootstrap_win_profit", lambda s, d: st.bootstrap(returns(s, d), ["win", "profit_factor"]), "returns", BOOT + f"SELECT strategy_id, {interval('win')}, {interval('profit_factor')} FROM b GROUP BY 1")
 
 
 def mc(cost: float) -> str:
-    return f""", s AS (SELECT strategy_id, t, r, sim, {DRAW.format(s='sim', k='t', n='999983')} AS key FROM returns, generate_series(1, 50) g(sim)),
+    return f""", s AS (SELECT strategy_id, t, r, sim, {DRAW.format(s='sim', k='t', n='999983')} AS key FROM returns, generate_series(1, 1000) g(sim)),
 e AS (SELECT *, 1 + sum(r - {cost}) OVER w AS equity, row_number() OVER w AS place FROM s WINDOW w AS (PARTITION BY strategy_id, sim ORDER BY key, t ROWS UNBOUNDED PRECEDING)),
 q AS (SELECT *, 1 - equity / greatest(1.0, max(equity) OVER (PARTITION BY strategy_id, sim ORDER BY key, t ROWS UNBOUNDED PRECEDING)) AS dd FROM e), o AS (SELECT strategy_id, sim, max(dd) AS dd, max_by(equity, place) AS final FROM q GROUP BY ALL)
 SELECT strategy_id, {r('avg(dd) AS dd_mean', 'quantile_cont(dd, 0.95) AS dd_95', 'count(*) FILTER (round(final, 9) > 1) / count(*) AS p_profit', 'count(*) FILTER (round(dd, 9) >= 0.5) / count(*) AS p_ruin')} FROM o GROUP BY 1"""

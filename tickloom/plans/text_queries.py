@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.pairs import nearest
 from ..operators.selection import semantic_duplicates
 from ..sources.views import strategies, table
 from ..sql import with_views
@@ -52,7 +53,7 @@ PATH = "lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1))"
 pages = lambda s, d: table(s, d, "pages").withColumn("url", F.when(F.col("page_id") % 4 == 0, F.regexp_replace("url", "example\\.com", "github.com")).when(F.col("page_id") % 7 == 0, F.regexp_replace("url", "example\\.net", "medium.com")).otherwise(F.col("url")))
 PAGES = "WITH p AS (SELECT page_id, html, CASE WHEN page_id % 4 = 0 THEN replace(url, 'example.com', 'github.com') WHEN page_id % 7 = 0 THEN replace(url, 'example.net', 'medium.com') ELSE url END AS url FROM pages)"
 add("T7_url_rules", lambda s, d: pages(s, d).select("page_id", tx.source_type("url").alias("source_type"), tx.skip_url("url").alias("skip")), PAGES + " SELECT page_id, CASE " + " ".join(f"WHEN contains({HOST}, '{a}') THEN '{b}'" for a, b in tx.SOURCES) + " ELSE 'general' END AS source_type, " + " OR ".join([f"contains({HOST}, '{x}')" for x in tx.SKIP_DOMAINS] + [f"ends_with({PATH}, '{x}')" for x in tx.SKIP_ENDINGS]) + " AS skip FROM p")
-add("T8_html_to_text", lambda s, d: table(s, d, "pages").select("page_id", F.md5(tx.html_to_text("html")).alias("digest"), F.length(tx.html_to_text("html")).alias("n")), r"""WITH t AS (SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')), 1, 50000) AS t FROM pages) SELECT page_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n FROM t""")
+add("T8_html_to_text", lambda s, d: table(s, d, "pages").select("page_id", F.md5(tx.html_to_text("html", None)).alias("digest"), F.length(tx.html_to_text("html", None)).alias("n")), r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS t FROM pages) SELECT page_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n FROM t""")
 add("T14_slug", lambda s, d: strategies(s, d).select("strategy_id", tx.slug("name").alias("slug")), with_views("strategies", "SELECT strategy_id, regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g') AS slug FROM strategies"))
 add("T15_hash_feature", lambda s, d: strategies(s, d).select("strategy_id", tx.hash_feature(F.col("name")).alias("x")), with_views("strategies", f"SELECT strategy_id, round(('0x' || substr(md5(name), 1, 8))::BIGINT / 4294967295.0::DOUBLE + {SHIFT}, 6) + 0.0 AS x FROM strategies"))
 add("T17_mojibake", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(tx.fix_mojibake("text")).alias("digest")), "SELECT doc_id, md5(" + "replace(" * len(tx.MOJIBAKE) + "text" + "".join(f", '{a}', '{b}')" for a, b in tx.MOJIBAKE) + ") AS digest FROM documents")
@@ -60,37 +61,49 @@ add("T18_idea_lines", lambda s, d: table(s, d, "documents").select("doc_id", F.p
 add("S8_year_of_name", lambda s, d: strategies(s, d).select("strategy_id", F.regexp_extract(F.concat("name", F.lit("_2"), F.lpad((F.col("strategy_id") % 1000).cast("string"), 3, "0"), F.lit(".csv")), r"(\d{4})", 1).alias("year")), with_views("strategies", r"SELECT strategy_id, regexp_extract(name || '_2' || lpad(CAST(strategy_id % 1000 AS VARCHAR), 3, '0') || '.csv', '(\d{4})', 1) AS year FROM strategies"))
 
 
-def _embeddings(s, d):
-    return table(s, d, "embeddings").filter("vec_id < 100000000").select("vec_id", "embedding", "label")
+COS = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e)"
+vectors = lambda s, d: table(s, d, "embeddings")
+hundredth = lambda s, d: vectors(s, d).filter("vec_id % 100 = 0")  # noqa: E731  the queries, against all rows
+add("J7_top1_cosine", lambda s, d: nearest(vectors(s, d), hundredth(s, d), "cosine").select(F.col("query_id").alias("vec_id"), "ref_id", F.col("value").alias("sim")), COS + f", x AS (SELECT a.vec_id, b.vec_id AS ref_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.norm * b.norm) + 3.05e-11, 9) AS sim FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) SELECT vec_id, first(ref_id ORDER BY sim DESC, ref_id) AS ref_id, round(max(sim) + {SHIFT}, 6) + 0.0 AS sim FROM x GROUP BY vec_id")
+add("J6_nearest_vector", lambda s, d: nearest(vectors(s, d), hundredth(s, d), "distance").select(F.col("query_id").alias("vec_id"), "ref_id", F.col("value").alias("d")), COS + f", x AS (SELECT a.vec_id, b.vec_id AS ref_id, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) + 3.05e-11, 9) AS d FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) SELECT vec_id, first(ref_id ORDER BY d, ref_id) AS ref_id, round(min(d) + {SHIFT}, 6) + 0.0 AS d FROM x GROUP BY vec_id")
+add("X11_vector_norms", lambda s, d: vectors(s, d).select("vec_id", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm")), COS + f" SELECT vec_id, round(norm + {SHIFT}, 6) + 0.0 AS norm FROM n")
+REPLIES = [
+    ("{{'id': {i}, 'ok': True}}", '{{"id": {i}, "ok": true}}'), ('```json\n{{"b": [{i}], "a": null}}\n```\nDone.', '{{"a": null, "b": [{i}]}}'),
+    ('Here: {{"a": {{"b": {i}}}}} and more', '{{"a": {{"b": {i}}}}}'), ("no object, {i}", None), ('{{"n": {i}, "open": ', None), ('[{i}, "x"]', '[{i}, "x"]'),
+]
 
 
-def _nearest(s, d):
-    """Nearest other vector of the same label, by cosine: the pairs are bounded by the label's block of accepted items (vec_id divisible by 25)."""
-    e = _embeddings(s, d)
-    ref = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref"), "label")
-    x = e.join(ref, "label").filter("vec_id <> ref_id").withColumn("sim", F.round(tx.cosine("embedding", "ref") + 3e-11, 9))
-    return x.groupBy("vec_id").agg(F.max("sim").alias("sim"), F.max_by("ref_id", F.struct("sim", -F.col("ref_id"))).alias("ref_id"))
+def _replies(column: str, at: int) -> str:
+    """The reply, or what it holds, of a strategy: by its id modulo the number of kinds."""
+    show = lambda t: "NULL" if t is None else "replace(" + quote(t.format(i="#")) + ", '#', CAST(strategy_id AS STRING))"
+    return "CASE strategy_id % " + str(len(REPLIES)) + "".join(f" WHEN {i} THEN {show(x[at])}" for i, x in enumerate(REPLIES)) + f" END AS {column}"
 
 
-COS = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e), "
-add("J7_top1_cosine", _nearest, COS + f"x AS (SELECT a.vec_id, b.vec_id AS ref_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.norm * b.norm) + 3e-11, 9) AS sim FROM n a JOIN n b USING (label) WHERE b.vec_id % 25 = 0 AND a.vec_id <> b.vec_id) SELECT vec_id, round(max(sim) + {SHIFT}, 6) + 0.0 AS sim, first(ref_id ORDER BY sim DESC, ref_id) AS ref_id FROM x GROUP BY vec_id")
-add("X11_vector_norms", lambda s, d: _embeddings(s, d).select("vec_id", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm")), COS + f"y AS (SELECT 1) SELECT vec_id, round(norm + {SHIFT}, 6) + 0.0 AS norm FROM n")
-add("T11_json_reply", lambda s, d: strategies(s, d).select("strategy_id", tx.json_reply(F.concat(F.lit("```json\n{'id': "), F.col("strategy_id").cast("string"), F.lit("}\n```"))).alias("parsed")), with_views("strategies", """SELECT strategy_id, '{"id": ' || strategy_id || '}' AS parsed FROM strategies"""))
-add("T12_code_of_reply", lambda s, d: strategies(s, d).select("strategy_id", tx.code_of_reply(F.concat(F.lit("Here:\n```python\nimport x\nclass A:\n    n = "), F.col("strategy_id").cast("string"), F.lit("\nThat is all.\n```"))).alias("code")).withColumn("ok", tx.code_ok("code")))
+spark_text = lambda t: t.replace("\n", "\\n")  # noqa: E731  Spark reads the escape in a literal
+add("T11_json_reply", lambda s, d: strategies(s, d).selectExpr("strategy_id", spark_text(_replies("reply", 0)).replace("''", "\\'")).select("strategy_id", tx.json_reply("reply").alias("parsed")), with_views("strategies", "SELECT strategy_id, " + _replies("parsed", 1) + " FROM strategies"))
+CODES = [("Here:\n```python\nimport x\nclass A:\n    n = #\nThat is all.\n```", "import x\nclass A:\n    n = #"), ("Sure, the code:\n\nimport y\nn = #\n\nThis uses y.", "import y\nn = #"), ("nothing here, #", "")]
+
+
+def _codes(column: str, at: int) -> str:
+    return "CASE strategy_id % 3" + "".join(f" WHEN {i} THEN replace({quote(x[at])}, '#', CAST(strategy_id AS STRING))" for i, x in enumerate(CODES)) + f" END AS {column}"
+
+
+add("T12_code_of_reply", lambda s, d: strategies(s, d).selectExpr("strategy_id", spark_text(_codes("reply", 0))).select("strategy_id", tx.code_of_reply("reply").alias("code")).withColumn("ok", tx.code_ok("code")), with_views("strategies", "SELECT *, code <> '' AS ok FROM (SELECT strategy_id, " + _codes("code", 1) + " FROM strategies)"))
 add("T13_variants", lambda s, d: strategies(s, d).select("strategy_id", F.size(F.regexp_extract_all(F.concat_ws(" ", "name", "hypothesis_id"), F.lit("([A-Za-z]+)"), F.lit(1))).alias("words"), F.col("name").contains("widget").alias("widget")), with_views("strategies", "SELECT strategy_id, CAST(len(regexp_extract_all(name || ' ' || hypothesis_id, '([A-Za-z]+)')) AS INTEGER) AS words, contains(name, 'widget') AS widget FROM strategies"))
 
 
-def _tf(s, d):
-    from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
+BUCKETS = 5000
 
-    t = Tokenizer(inputCol="text", outputCol="w").transform(table(s, d, "documents").select("doc_id", "text"))
-    v = Normalizer(inputCol="tf", outputCol="v").transform(HashingTF(inputCol="w", outputCol="tf", numFeatures=5000).transform(t))
-    from pyspark.ml.functions import vector_to_array
 
-    return v.select("doc_id", F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x * x).alias("squared"))
+def _tf(s, d):
+    """Hashed term frequencies, each text of length 1: buckets by MD5, counts combined in the map tasks."""
+    words = table(s, d, "documents").select("doc_id", F.explode(F.filter(F.split(F.lower("text"), "[ \\t\\n\\r\\f]+"), lambda w: w != "")).alias("w"))
+    tf = words.groupBy("doc_id", (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % BUCKETS).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")))
+    return tf.groupBy("doc_id").agg(F.count(F.lit(1)).alias("buckets"), F.sum("n").alias("words"), (F.max("n") / norm).alias("most"), (F.sum("n") / norm).alias("total"), F.sum("bucket").alias("places"))
 
 
-add("T10_hashed_tf", _tf, "SELECT doc_id, 1.0::DOUBLE AS squared FROM documents")
+add("T10_hashed_tf", _tf, f"WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS w FROM documents), t AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {BUCKETS} AS bucket, count(*) AS n FROM w GROUP BY ALL) SELECT doc_id, count(*) AS buckets, CAST(sum(n) AS BIGINT) AS words, round(max(n) / sqrt(sum(n * n)) + {SHIFT}, 6) + 0.0 AS most, round(sum(n) / sqrt(sum(n * n)) + {SHIFT}, 6) + 0.0 AS total, CAST(sum(bucket) AS BIGINT) AS places FROM t GROUP BY 1")
 
 
 add("T9_semantic_near_duplicates", lambda s, d: semantic_duplicates(table(s, d, "embeddings")))

@@ -10,7 +10,7 @@ from ..operators import costs
 from ..operators.bars import lagged, mean, series
 from ..operators.indicators import cross
 from ..operators.reports import asset_class
-from ..operators.simulate import POSITION_SQL, paper_account, simulate, simulate_signals, summarise
+from ..operators.simulate import POSITION_SQL, simulate, simulate_signals, summarise
 from ..sources.views import results, returns, trades
 from ..sql import with_views
 from .common import SHIFT, rounded
@@ -90,9 +90,23 @@ def _marked(s, d):
 
 
 add("K4_unrealised", _marked, "trades", f"SELECT a.strategy_id, a.symbol, {r('coalesce(sum((a.exit_price - b.entry_price) * b.size) FILTER (b.size IS NOT NULL), 0) / 100000.0 AS unrealised')}, count(b.size) AS marks FROM trades a LEFT JOIN trades b ON a.strategy_id = b.strategy_id AND a.symbol = b.symbol AND b.entry_ts <= a.exit_ts AND a.exit_ts < b.exit_ts GROUP BY ALL")
-QUERIES["W21_equity_events"], ORACLE["W21_equity_events"] = QUERIES["K4_unrealised"], ORACLE["K4_unrealised"]
+add("W21_equity_events", lambda s, d: comp.equity_events(fees(s, d)).select("strategy_id", F.col("seq").cast("long").alias("seq"), "equity", "open_trades"), "trades", EVENTS + f"SELECT strategy_id, seq, {r('equity')}, open_trades FROM q")
 add("A19_daily_equity", lambda s, d: comp.daily_stats(comp.equity_events(fees(s, d))).groupBy("strategy_id").agg(F.count(F.lit(1)).alias("days"), F.max("loss_pct").alias("worst")), "trades", EVENTS + f"SELECT strategy_id, count(*) AS days, {r('max(loss_pct) AS worst')} FROM d3 GROUP BY 1")
-QUERIES["K5_daily_loss"], ORACLE["K5_daily_loss"] = QUERIES["A19_daily_equity"], ORACLE["A19_daily_equity"]
+#: Exits at all hours of the day, so that days of Prague begin at 22 or 23 o'clock UTC; summer time from the last Sunday of March to that of October, 1 o'clock.
+SUNDAY = lambda m: f"(make_date(year(ts), {m}, 31) - CAST(dayofweek(make_date(year(ts), {m}, 31)) AS INTEGER) + INTERVAL 1 HOUR)"
+LOSSES = f""", x AS (SELECT strategy_id, pnl, exit_ts + to_hours(CAST(order_key % 24 AS INTEGER)) AS ts FROM trades),
+y AS (SELECT strategy_id, pnl, CAST(ts + CASE WHEN ts >= {SUNDAY(3)} AND ts < {SUNDAY(10)} THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS DATE) AS day FROM x),
+z AS (SELECT strategy_id, day, greatest(0.0, -sum(pnl) / 100000.0 * 100) AS loss_pct FROM y GROUP BY ALL)"""
+
+
+def _daily_losses(s, d):
+    """Worst realised loss of a Prague day against the initial balance, and whether all days stay within 5 percent."""
+    t = trades(s, d).withColumn("ts", F.col("exit_ts") + F.make_dt_interval(hours=(F.col("order_key") % 24).cast("int")))
+    g = t.groupBy("strategy_id", comp.civil_day("ts").alias("day")).agg(F.greatest(F.lit(0.0), -F.sum("pnl") / 100_000 * 100).alias("loss_pct"))
+    return g.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("days"), F.max("loss_pct").alias("worst"), (F.round(F.max("loss_pct"), 6) <= 5).alias("ok"))
+
+
+add("K5_daily_loss", _daily_losses, "trades", LOSSES + f" SELECT strategy_id, count(*) AS days, {r('max(loss_pct) AS worst')}, round(max(loss_pct), 6) <= 5 AS ok FROM z GROUP BY 1")
 add("K6_total_drawdown", lambda s, d: comp.equity_events(fees(s, d)).groupBy("strategy_id").agg(F.min("equity").alias("low"), F.min_by("seq", F.struct("equity", "seq")).cast("long").alias("at")), "trades", EVENTS + f"SELECT strategy_id, {r('min(equity) AS low')}, first(seq ORDER BY equity, seq) AS at FROM q GROUP BY 1")
 add("K7_trading_days", lambda s, d: trades(s, d).groupBy("strategy_id").agg(F.countDistinct(comp.civil_day("entry_ts")).alias("days")), "trades", "SELECT strategy_id, count(DISTINCT CAST(entry_ts + INTERVAL 1 HOUR AS DATE)) AS days FROM trades GROUP BY 1")
 VERDICT = EVENTS + f""", v AS (SELECT * FROM (SELECT strategy_id, max(loss_pct) AS worst_day_pct FROM d3 GROUP BY 1) JOIN (SELECT strategy_id, greatest(0.0, (100000.0 - min(equity)) / 100000.0 * 100) AS max_loss_pct, (max_by(equity, seq) - 100000.0) / 100000.0 * 100 AS profit_pct FROM q GROUP BY 1) USING (strategy_id)
@@ -119,7 +133,6 @@ add("W13_equity_from_pnl", lambda s, d: returns(s, d).withColumn("e", 1 + F.sum(
 add("W14_compound_drawdown", lambda s, d: returns(s, d).withColumn("e", F.exp(F.sum(F.log1p(F.greatest("r", F.lit(-0.99)))).over(so_far()))).withColumn("dd", 1 - F.col("e") / F.greatest(F.lit(1.0), F.max("e").over(so_far()))).groupBy("strategy_id").agg(F.max("dd").alias("max_dd"), F.max_by("e", "t").alias("final")), "returns", f", e AS (SELECT *, exp(sum(ln(1 + greatest(r, -0.99))) OVER (PARTITION BY strategy_id ORDER BY t)) AS e FROM returns), p AS (SELECT *, 1 - e / greatest(1.0, max(e) OVER (PARTITION BY strategy_id ORDER BY t)) AS dd FROM e) SELECT strategy_id, {r('max(dd) AS max_dd', 'max_by(e, t) AS final')} FROM p GROUP BY 1")
 add("W12_drawdown", lambda s, d: hourly(s, d).withColumn("dd", F.col("close") / F.max("close").over(series()) - 1).withColumn("ret", F.try_divide(F.col("close"), lagged("close")) - 1).select("symbol", "ts", "dd", "ret"), "bars", f"SELECT symbol, ts, {r('close / max(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS dd', 'close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS ret')} FROM bars")
 
-# path-dependent accounts: a grouped pandas function; tested against a plain loop
-add("B-6_paper_account", lambda s, d: paper_account(trades(s, d)))
+# exits that depend on the path: one sorted pass a symbol
 for name, kind in (("I3_atr_bracket", "bracket"), ("I6_trailing_stop", "trailing"), ("I8_partial_exits", "partial"), ("I13_max_hold", "hold"), ("I15_pyramid", "pyramid")):
     add(name, (lambda k: lambda s, d: simulate(_signals(s, d).select("symbol", "ts", "open", "high", "low", "close", "signal"), k))(kind))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -47,7 +50,7 @@ def normalised(raw: DataFrame) -> DataFrame:
     return out.na.drop(subset=["ts", "open", "high", "low", "close"])
 
 
-def read_bars(spark: SparkSession, path: str, fmt: str = "csv", encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+def read_bars(spark: SparkSession, path: str, fmt: str = "csv", encodings: tuple[str, ...] = ("UTF-8", "windows-1252", "ISO-8859-1")) -> DataFrame:
     """Bars of CSV or Parquet files below a folder; the first encoding whose header is known is taken."""
     glob = {"csv": "*.{csv,CSV}", "parquet": "*.parquet"}[fmt]
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
@@ -60,6 +63,76 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "csv", encodings: tuple
     return normalised(raw)
 
 
+def discover(spark: SparkSession, path: str, endings: tuple[str, ...] = ("csv", "parquet", "xlsx")) -> DataFrame:
+    """`path`, `ending` (lower case) and `length` of every file of the given kinds below a folder; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return files.withColumn("ending", F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))).filter(F.col("ending").isin(*endings))
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Read-through cache: what is stored at `path`, or what `make` gives, stored there first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing is stored yet
+        make().write.parquet(path)
+        return spark.read.parquet(path)
+
+
+def clear_cache(spark: SparkSession, path: str) -> bool:
+    """Delete what is stored at `path`; whether there was something."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def write_merged(bars: DataFrame, path: str) -> None:
+    """Bars as CSV with headers, sorted by symbol and time within files of bounded size."""
+    bars.repartitionByRange("symbol", "ts").sortWithinPartitions("symbol", "ts").write.option("header", True).option("maxRecordsPerFile", 1_000_000).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines; nulls are left out."""
+    df.write.option("maxRecordsPerFile", 1_000_000).json(path)
+
+
+def export_strategies(strategies: DataFrame, path: str) -> None:
+    """A JSON line for each strategy, in a folder for each origin, with its id, name and what it descends from."""
+    strategies.select("origin", F.to_json(F.struct("strategy_id", "name", "parent_id", "mutation_type")).alias("value")).write.partitionBy("origin").option("maxRecordsPerFile", 100_000).text(path)
+
+
+def markdown(df: DataFrame, columns: list[str], order: list[str], title: str) -> DataFrame:
+    """`n`, `line`: a Markdown table of a short report, numbered in order. The report is an aggregate, and is sorted as one."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
+    head = [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
+    rows = df.select((F.row_number().over(Window.orderBy(*order)) + len(head)).cast("long").alias("n"), cells.alias("line"))
+    return df.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(head)], "n long, line string").unionByName(rows)
+
+
+def manual_strategies(rows: DataFrame, name: str, code: str) -> DataFrame:
+    """Rows to append to the table of strategies: id (16 digits of the SHA-256 of name and code), origin, whether Python accepts the code."""
+    from ..functions.text import code_ok
+
+    key = F.substring(F.sha2(F.concat_ws("|", F.col(name), F.col(code)), 256), 1, 16)
+    return rows.select(key.alias("code_id"), F.col(name).alias("name"), F.lit("manual").alias("origin"), code_ok(F.col(code)).alias("valid"))
+
+
+def resumable(spark: SparkSession, path: str, steps: int, first: Callable[[], DataFrame], step: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """The table after `steps` steps, each stored below `path`; a run that finds some of them goes on from the last.
+
+    A step counts as stored when Spark has marked its folder as a success.
+    """
+    def stored(i: int) -> DataFrame | None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/step-{i}/_SUCCESS")
+        there = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+        return spark.read.parquet(f"{path}/step-{i}") if there else None
+
+    done = next((i for i in range(steps, -1, -1) if stored(i) is not None), None)
+    state = stored(done) if done is not None else None
+    for i in range(0 if done is None else done + 1, steps + 1):
+        (first() if state is None else step(state, i)).write.mode("overwrite").parquet(f"{path}/step-{i}")
+        state = stored(i)
+    return state
+
+
 def year_of(path: str | Column) -> Column:
     return F.regexp_extract(F.col(path) if isinstance(path, str) else path, r"(\d{4})", 1)
 

@@ -1,21 +1,34 @@
-"""Stored intermediates."""
+"""Stored intermediates, below the folder that all machines share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names in spark.checkpoint.dir; sessions without one, as in tests, get a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
-    return df.checkpoint()
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tickloom-shared-')}"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share; a session without one gets a temporary folder."""
+    """The folder that `spark.checkpoint.dir` names; only a session on one machine may do without, with a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (base or f"file://{tempfile.mkdtemp(prefix='tickloom-shared-')}").rstrip("/")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (base or _own_folder()).rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder name of its own below the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write `df` below the shared folder and read it back: this cuts its lineage, and no executor need survive."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
