@@ -386,3 +386,29 @@ def test_pairs_and_searches_in_blocks(spark, monkeypatch):
         assert (i in got) == bool(own)
         if own:
             assert got[i]["pairs"] == len(own) and math.isclose(got[i]["most"], max(own.values()), abs_tol=1e-8) and got[i]["partner"] == max(own, key=own.get) and math.isclose(got[i]["mean"], np.mean(list(own.values())), abs_tol=1e-8)
+
+
+def test_fronts_and_children(spark):
+    """NSGA-II's fronts against pairwise dominance; children lie near their parents and repeat."""
+    from tickloom.operators.evolution import next_generation, select_fronts
+
+    rng = np.random.default_rng(12)
+    pts = rng.integers(0, 12, (60, 2)).astype(float)
+    pool = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "k long, a double, b double")
+    left, fronts = set(range(60)), {}
+    dominates = lambda x, y: pts[x][0] >= pts[y][0] and pts[x][1] <= pts[y][1] and tuple(pts[x]) != tuple(pts[y])
+    for level in range(1, 60):
+        now = {i for i in left if not any(dominates(j, i) for j in left)}
+        fronts |= {i: level for i in now}
+        left -= now
+    got = {r["k"]: r["front"] for r in select_fronts(pool, ["a"], ["b"], "k", 25).collect()}
+    assert len(got) == 25 and all(fronts[i] == f for i, f in got.items())
+    last = max(got.values())
+    assert {i for i, f in fronts.items() if f < last} <= set(got)
+    assert select_fronts(pool.filter("false"), ["a"], ["b"], "k", 5).count() == 0
+    parents = pool.filter("k < 6").withColumn("place", F.col("k") + 1)
+    once, again = (sorted(map(tuple, next_generation(parents.repartition(n), "k", ["a", "b"], 3).collect())) for n in (1, 4))
+    assert once == again and len(once) == 6
+    for parent, place, a, _ in once:
+        x, y = pts[parent][0], pts[(place - 2) % 6][0]
+        assert min(x, y) - 0.1 * abs(x - y) - 1e-9 <= a <= max(x, y) + 0.1 * abs(x - y) + 1e-9

@@ -71,7 +71,7 @@ def unit(*parts) -> F.Column:
 
 
 def next_generation(parents: DataFrame, key: str, genes: list[str], generation: int, scale: float = 0.1) -> DataFrame:
-    """A child of each two parents that follow each other in rank (`place`, from 1, the last with the first): a blend, then mutation.
+    """A child of each parent and the one before it in rank (`place`, from 1; before the first comes the last): a blend, then mutation.
 
     A gene lies between the parents' at a place of its own, and moves by up to `scale` of their distance either way.
     """

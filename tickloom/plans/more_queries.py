@@ -17,7 +17,7 @@ from ..sources import files
 from ..sources.storage import cut
 from ..sources.views import SYMBOLS, returns, strategies, table, trades
 from ..sql import with_views
-from .common import SHIFT, rounded
+from .common import duck_normal, rounded
 from .market import hourly
 from .results_queries import CLASS, r
 from .trading_queries import _signals
@@ -35,7 +35,7 @@ def add(name: str, query, views: str = "", sql: str = "") -> None:
 add("X1_clip", lambda s, d: trades(s, d).groupBy("symbol").agg(F.avg(F.least(F.greatest("return_pct", F.lit(-5.0)), F.lit(5.0))).alias("clipped")), "trades", f"SELECT symbol, {r('avg(least(greatest(return_pct, -5.0), 5.0)) AS clipped')} FROM trades GROUP BY 1")
 add("X2_numeric", lambda s, d: s.range(1, 21).select("id", F.log(F.col("id").cast("double")).alias("ln"), F.sqrt(F.col("id").cast("double")).alias("root"), F.pow(F.col("id").cast("double"), F.lit(0.6)).alias("power"), F.sinh(F.col("id") / 10).alias("sinh"), F.log(F.col("id") / (21 - F.col("id"))).alias("logit")), "ticks", f"SELECT id, {r('ln(id) AS ln', 'sqrt(id) AS root', 'pow(id, 0.6) AS power', 'sinh(id / 10) AS sinh', 'ln(id / (21 - id)) AS logit')} FROM generate_series(1, 20) g(id)")
 add("X3_chi_squared", lambda s, d: s.range(1, 21).select("id", chi2_sf_even(F.col("id").cast("double"), 2).alias("p2"), chi2_sf_even(F.col("id").cast("double"), 4).alias("p4")), "ticks", f"SELECT id, {r('exp(-id / 2) AS p2', 'exp(-id / 2) * (1 + id / 2) AS p4')} FROM generate_series(1, 20) g(id)")
-add("X3_normal", lambda s, d: s.range(-20, 21).select("id", norm_cdf(F.col("id") / 5.0).alias("cdf"), norm_pdf(F.col("id") / 5.0).alias("pdf")))
+add("X3_normal", lambda s, d: s.range(-20, 21).select("id", norm_cdf(F.col("id") / 5.0).alias("cdf"), norm_pdf(F.col("id") / 5.0).alias("pdf")), "ticks", f"SELECT id, {r(duck_normal('(id / 5)') + ' AS cdf', 'exp(-id * id / 50) / sqrt(2 * pi()) AS pdf')} FROM generate_series(-20, 20) g(id)")
 add("X7_time_zones", lambda s, d: trades(s, d).select(F.from_utc_timestamp(F.col("entry_ts") + F.expr("INTERVAL 90 MINUTES"), "Asia/Tokyo").alias("t")).groupBy(F.hour("t").alias("hour")).count(), "trades", "SELECT CAST(hour(entry_ts + INTERVAL 90 MINUTE + INTERVAL 9 HOUR) AS INTEGER) AS hour, count(*) AS count FROM trades GROUP BY 1")
 add("X8_strings", lambda s, d: strategies(s, d).select("strategy_id", F.upper("name").alias("u"), F.replace("name", F.lit(" "), F.lit("-")).alias("dashed"), F.concat_ws("/", F.split("name", " ")).alias("joined"), F.substring("name", 1, 3).alias("head"), F.startswith("name", F.lit("red")).alias("red")), "strategies", "SELECT strategy_id, upper(name) AS u, replace(name, ' ', '-') AS dashed, array_to_string(string_split(name, ' '), '/') AS joined, substr(name, 1, 3) AS head, starts_with(name, 'red') AS red FROM strategies")
 add("X9_case", lambda s, d: strategies(s, d).select("strategy_id", F.coalesce("parent_id", F.lit(-1)).alias("parent"), (F.col("status") == "active").cast("int").alias("active")), "strategies", "SELECT strategy_id, coalesce(parent_id, -1) AS parent, CAST(status = 'active' AS INTEGER) AS active FROM strategies")

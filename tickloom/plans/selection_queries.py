@@ -13,7 +13,7 @@ from ..operators.pairs import pair_summary, profiles
 from ..sources.storage import cut
 from ..sources.views import results, returns, strategies, trades
 from ..sql import with_views
-from .common import rounded
+from .common import duck_normal, rounded
 from .results_queries import r
 
 QUERIES: dict = {}
@@ -144,9 +144,11 @@ def _acquire(s, d):
     return x.withColumn("ei", (F.col("mu") - 3.0) * F.col("pi") + F.col("sigma") * norm_pdf(F.col("z"))).select("strategy_id", "ucb", "pi", "ei").orderBy(F.desc("ei"), "strategy_id").limit(25)
 
 
-add("P19_acquisition", _acquire)
+add("P19_acquisition", _acquire, "results", f""", p AS (SELECT strategy_id, avg(sharpe_ratio) AS mu, stddev_samp(sharpe_ratio) AS sigma FROM results GROUP BY 1 HAVING stddev_samp(sharpe_ratio) > 0),
+q AS (SELECT *, (mu - 3.0) / sigma AS z FROM p), c AS (SELECT *, {duck_normal('z')} AS pi FROM q), e AS (SELECT strategy_id, mu + 2.0 * sigma AS ucb, pi, (mu - 3.0) * pi + sigma * exp(-z * z / 2) / sqrt(2 * pi()) AS ei FROM c ORDER BY ei DESC, strategy_id LIMIT 25)
+SELECT strategy_id, {r('ucb', 'pi', 'ei')} FROM e""")
 add("P19_upper_confidence", lambda s, d: pred(s, d).select("strategy_id", (F.col("mu") + 2.0 * F.col("sigma")).alias("ucb")), "results", f", p AS (SELECT strategy_id, avg(sharpe_ratio) AS mu, stddev_samp(sharpe_ratio) AS sigma FROM results GROUP BY 1 HAVING stddev_samp(sharpe_ratio) > 0) SELECT strategy_id, {r('mu + 2.0 * sigma AS ucb')} FROM p")
-QUERIES["L8_acquisition_top_k"] = QUERIES["P19_acquisition"]
+QUERIES["L8_acquisition_top_k"], ORACLE["L8_acquisition_top_k"] = QUERIES["P19_acquisition"], ORACLE["P19_acquisition"]
 add("P20_kappa_schedule", lambda s, d: s.range(11).select(F.col("id").alias("step"), (4 - 3.5 * F.col("id") / 10).alias("linear"), (4 * F.pow(F.lit(0.125), F.col("id") / 10)).alias("exponential"), (0.5 + 1.75 * (1 + F.cos(F.pi() * F.col("id") / 10))).alias("cosine")), "ticks", f"SELECT step, {r('4 - 3.5 * step / 10 AS linear', '4 * pow(0.125, step / 10) AS exponential', '0.5 + 1.75 * (1 + cos(pi() * step / 10)) AS cosine')} FROM generate_series(0, 10) g(step)")
 FP = ["sharpe_ratio", "total_return_pct", "max_drawdown_pct", "win_rate"]
 

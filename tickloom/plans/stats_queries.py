@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Window
@@ -13,7 +14,7 @@ from ..functions.normal import ppf
 from ..operators.regimes import indicators
 from ..sources.views import returns, trades
 from ..sql import with_views
-from .common import rounded
+from .common import duck_normal, rounded
 from .market import STEPS, hourly
 from .results_queries import r
 
@@ -67,9 +68,17 @@ add("V10_value_at_risk", lambda s, d: st.value_at_risk(returns(s, d)), "returns"
 E_MAX = (1 - st.GAMMA) * ppf(0.99) + st.GAMMA * ppf(1 - 1 / (100 * math.e))
 SR = MOM + ", x AS (SELECT *, mean / sd AS sr, sqrt(greatest((1 - skew * mean / sd + (kurt + 2) / 4 * pow(mean / sd, 2)) / (n - 1), 1e-12)) AS se FROM g WHERE sd > 1e-9)"
 add("V12_deflated_sharpe", lambda s, d: st.sharpe_tests(returns(s, d)).select("strategy_id", "sr", F.round("dsr_z", 4).alias("dsr_z"), "min_track"), "returns", SR + f" SELECT strategy_id, {r('sr')}, round(round((sr - {E_MAX!r} / sqrt(n)) / se, 4) + 3.05e-8, 6) + 0.0 AS dsr_z, CASE WHEN abs(sr) < 1e-9 THEN 999999 ELSE CAST(least(999999.0, ceil(pow({E_MAX!r} / sr, 2) - 1e-9)) AS BIGINT) END AS min_track FROM x")
-add("V13_probabilistic_sharpe", lambda s, d: st.sharpe_tests(returns(s, d)).select("strategy_id", "psr", "dsr_p"))
-add("V11_pbo_combinations", lambda s, d: st.pbo(returns(s, d)))
-add("V11_pbo", lambda s, d: st.pbo_summary(st.pbo(returns(s, d))))
+add("V13_probabilistic_sharpe", lambda s, d: st.sharpe_tests(returns(s, d)).select("strategy_id", "psr", "dsr_p"), "returns", SR + f", z AS (SELECT strategy_id, sr / se AS a, (sr - {E_MAX!r} / sqrt(n)) / se AS b FROM x) SELECT strategy_id, {r(duck_normal('a') + ' AS psr', '1 - (' + duck_normal('b') + ') AS dsr_p')} FROM z")
+COMBOS = ", ".join(f"({i}, {p}, {int(p in c)})" for i, c in enumerate(itertools.combinations(range(1, 9), 4)) for p in range(1, 9))
+PBO = f""", combos(combo, part, inside) AS (VALUES {COMBOS}), pt AS (SELECT strategy_id, r, ntile(8) OVER (PARTITION BY strategy_id ORDER BY t) AS part FROM returns),
+ps AS (SELECT strategy_id, part, count(*) AS n, sum(r) AS s, sum(r * r) AS ss FROM pt GROUP BY ALL), pg AS (SELECT combo, strategy_id, inside, sum(n) AS n, sum(s) AS s, sum(ss) AS ss FROM ps JOIN combos USING (part) GROUP BY ALL),
+pv AS (SELECT *, (ss - s * s / n) / nullif(n - 1, 0) AS var FROM pg), ph AS (SELECT *, round(CASE WHEN n > 1 AND var > 1e-18 THEN s / n / sqrt(var) * sqrt(252) ELSE 0.0 END, 9) AS sharpe FROM pv),
+pb AS (SELECT combo, strategy_id, max(sharpe) FILTER (inside = 1) AS i, max(sharpe) FILTER (inside = 0) AS o FROM ph GROUP BY ALL),
+best AS (SELECT * FROM pb QUALIFY row_number() OVER (PARTITION BY combo ORDER BY i DESC NULLS LAST, strategy_id) = 1),
+pr AS (SELECT combo, count(*) AS n, count(*) FILTER (pb.o < best.o) + (count(*) FILTER (pb.o = best.o) + 1) / 2 AS rank FROM pb JOIN best USING (combo) GROUP BY combo),
+pl AS (SELECT combo, strategy_id, i AS best_is, o AS oos, least(greatest(rank / n, 1e-6), 1 - 1e-6) AS p FROM best JOIN pr USING (combo))"""
+add("V11_pbo_combinations", lambda s, d: st.pbo(returns(s, d)), "returns", PBO + f" SELECT combo, strategy_id, {r('best_is', 'oos', 'ln(p / (1 - p)) AS logit')} FROM pl")
+add("V11_pbo", lambda s, d: st.pbo_summary(st.pbo(returns(s, d))), "returns", PBO + f" SELECT count(*) AS combos, {r('count(*) FILTER (p < 0.5) / count(*) AS pbo', 'count(*) FILTER (oos < 0) / count(*) AS share_negative')} FROM pl")
 QUERIES["W22_ntile"] = lambda s, d: returns(s, d).withColumn("part", F.ntile(8).over(Window.partitionBy("strategy_id").orderBy("t"))).groupBy("strategy_id", "part").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last"))
 ORACLE["W22_ntile"] = with_views("returns", ", p AS (SELECT *, CAST(ntile(8) OVER (PARTITION BY strategy_id ORDER BY t) AS INTEGER) AS part FROM returns) SELECT strategy_id, part, count(*) AS n, max(t) AS last FROM p GROUP BY ALL")
 add("V14_tearsheet", lambda s, d: returns(s, d).groupBy("strategy_id").agg((F.avg("r") * 252).alias("annual"), (F.stddev_samp("r") * math.sqrt(252)).alias("vol"), (F.count_if(F.col("r") > 0) / F.count(F.lit(1))).alias("win"), F.percentile("r", 0.05).alias("var95"), (F.exp(F.sum(F.log1p("r"))) - 1).alias("total")), "returns", f"SELECT strategy_id, {r('avg(r) * 252 AS annual', 'stddev_samp(r) * sqrt(252.0) AS vol', 'count(*) FILTER (r > 0) / count(*) AS win', 'quantile_cont(r, 0.05) AS var95', 'exp(sum(ln(1 + r))) - 1 AS total')} FROM returns GROUP BY 1")

@@ -117,8 +117,8 @@ def _read_back(s, d):
 
 add("S3_read_bars", lambda s, d: _read_back(s, d).agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("close"), F.sum("volume").alias("volume")), "bars", f"SELECT count(*) AS rows, {r('sum(close) AS close', '0.0::DOUBLE AS volume')} FROM bars")
 _odd = lambda s, d: files.normalised(table(s, d, "events").select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_id") % 9 == 0, " x").otherwise("")).alias(" DateTime"), F.col("value").alias("O"), (F.col("value") + 1).alias("H"), F.col("value").alias("l"), F.when(F.col("event_id") % 7 != 0, F.col("value").cast("string")).otherwise("bad").alias("Adj Close"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("tick_volume")))
-add("S4_S5_S6_normalise", lambda s, d: _odd(s, d).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.sum("high").alias("high"), F.sum("volume").alias("volume")), "ticks",
-    f"SELECT CAST(ts AS DATE) AS day, count(*) AS rows, {r('sum(value + 1) AS high', 'sum(CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END)::DOUBLE AS volume')} FROM events WHERE event_id % 9 <> 0 AND event_id % 7 <> 0 GROUP BY 1")
+add("S4_S5_S6_normalise", lambda s, d: _odd(s, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.sum("high").alias("high"), F.sum("volume").alias("volume")), "ticks",
+    f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows, {r('sum(value + 1) AS high', 'sum(CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END)::DOUBLE AS volume')} FROM events WHERE event_id % 9 <> 0 AND event_id % 7 <> 0 GROUP BY 1")
 
 
 def _merged(s, d):
