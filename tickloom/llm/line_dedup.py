@@ -9,14 +9,14 @@ each component of lines linked by a Jaccard similarity of 0.8 or more, the first
    hash under 18 masks, over all shingles of a line, whatever its length and however it repeats itself.
 2. 6 bands of 3 values: a pair at 0.8 misses all with a probability of 0.014, a pair at 0.9 with one of 0.0004, equal sets never.
 3. Every line of a band is verified, exactly, against two centres: the band's most frequent line (often what the others are
-   edits of) and its smallest. The links' components are found by distributed union-find. Where a band of four lines or
-   more still holds several components, they are verified across, too: as pairs of rows in a band of up to 16 lines; in a larger
-   one line by line until a link is found, tile by tile (256 lines against 256) inside one expression. No two components
-   that a band shows to be linked stay apart.
+   edits of) and its smallest. The links' components are found by distributed union-find. Where a band still holds
+   lines of several components, all pairs across them are verified, too, so no link that a band shows is lost: as rows in a
+   band of up to 16 lines; in a larger one tile by tile, 256 lines against 256 inside one expression, which gives
+   links and never pairs, and a pair only in the first band that it shares.
 4. Components' first occurrences stay.
 
-Lines, bands, centres and tiles that hold many rows are joined by broadcast of those few keys, or salted, so that no task
-gathers them. Verification compares sets of 32-bit hashes.
+Lines that hold many rows meet their component by broadcast of those few lines, and every two tiles of a band meet under a key
+of their own, so that no task gathers them. Verification compares sets of 32-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,92 +29,84 @@ from .shared import forget, saved, setting, spread_join, table
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 6, 3
-VALUES = BANDS * ROWS
-#: Bands of up to SMALL lines give pairs as rows; lines of a tile; rows that one copy of a centre meets.
-SMALL, TILE, FAN = 16, 256, 4096
+#: Bands of up to SMALL lines are compared by rows, larger ones in tiles of about TILE lines.
+SMALL, TILE = 16, 256
 #: Masks of the MinHash values: the fractional parts of multiples of the golden ratio, as 32-bit numbers.
-MASKS = [((i + 1) * 0x9E3779B97F4A7C15 >> 20) % (1 << 32) - (1 << 31) for i in range(VALUES)]
+MASKS = [((i + 1) * 0x9E3779B97F4A7C15 >> 20) % (1 << 32) - (1 << 31) for i in range(BANDS * ROWS)]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`doc`, `at` (from 0), `k` (hash) and `line` for every line that is not blank."""
+    """`doc`, `at` (from 0), `line` and its hash `k` for every line that is not blank."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
-    return rows.filter(F.col("line").rlike("\\S")).select("doc", "at", F.xxhash64("line").alias("k"), "line")
+    return rows.filter(F.col("line").rlike("\\S")).withColumn("k", F.xxhash64("line"))
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """`k`, `h`: a row for each place of a line, with the hash of the shingle there."""
-    units = lines.select("k", F.encode("line", "UTF-16BE").alias("u"))
-    last = F.greatest(F.floor(F.octet_length("u") / 2).cast("int") - SHINGLE, F.lit(0))
-    placed = units.select("k", "u", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    return placed.select("k", F.expr(f"hash(substring(u, i * 2 + 1, {2 * SHINGLE}))").alias("h"))
+def _last(units: str) -> Column:
+    return F.greatest(F.floor(F.octet_length(units) / 2).cast("int") - SHINGLE, F.lit(0))
 
 
-def _sketches(lines: DataFrame, places: DataFrame) -> DataFrame:
+def _shingle(units: str, i: str) -> str:
+    return f"hash(substring({units}, {i} * 2 + 1, {2 * SHINGLE}))"
+
+
+def _sketches(lines: DataFrame) -> DataFrame:
     """`k`, `n` (occurrences), `doc` (the smallest that has it) and `bands` of every distinct line.
 
     Two lines with one hash `k` (expected for one pair in 2**64) are told by a second hash and left out: they stay.
     """
+    units = lines.select("doc", "k", F.xxhash64(F.lit(1), "line").alias("k2"), F.encode("line", "UTF-16BE").alias("u"))
+    placed = units.select("doc", "k", "k2", "u", F.explode(F.sequence(F.lit(0), _last("u"))).alias("i"))
+    hashed = placed.select("doc", "k", "k2", (F.col("i") == 0).cast("long").alias("one"), F.expr(_shingle("u", "i")).alias("h"))
     mins = [F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{j}") for j, m in enumerate(MASKS)]
+    out = hashed.groupBy("k").agg(F.sum("one").alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), *mins)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    signed = _hashed(lines).groupBy("k").agg(*mins).select("k", F.array(*bands).alias("bands"))
-    known = places.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"))
-    return signed.join(known.filter("lo = hi").drop("lo", "hi").hint("shuffle_hash"), "k")
-
-
-def _members(sketches: DataFrame) -> DataFrame:
-    """`band`, `k`, `top`, `lo`, `size` of every line of a band with others."""
-    bands = sketches.select("k", "n", F.explode("bands").alias("band"))
-    # frequency first; the low bits of the hash decide ties
-    weight = F.shiftleft(F.least("n", F.lit((1 << 31) - 1)), 31) + F.col("k").bitwiseAND(F.lit((1 << 31) - 1))
-    found = bands.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max_by("k", weight).alias("top"), F.count(F.lit(1)).alias("size"))
-    shared = saved(found.filter("lo < hi").drop("hi").withColumn("n", F.col("size")), "line-bands")
-    members = saved(spread_join(bands.select("k", "band"), shared, "band", BANDS * sketches.count()), "line-members")
-    forget(shared)
-    return members
-
-
-def _salted(members: DataFrame, centre: str) -> DataFrame:
-    return members.filter(F.col("k") != F.col(centre)).select(F.col("k").alias("a"), F.col(centre).alias("b"), F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / FAN)).alias("salt"))
+    return out.filter("lo = hi").select("k", "n", "doc", F.array(*bands).alias("bands"))
 
 
 def _sets(members: DataFrame, lines: DataFrame, sketches: DataFrame) -> DataFrame:
     """`k`, `s`: the distinct shingle hashes of every line that shares a band."""
     # one document that has the line: no hot key, whatever the copies
     where = members.select("k").distinct().join(sketches.select("k", "doc"), "k").hint("shuffle_hash")
-    texts = lines.join(where, ["k", "doc"]).groupBy("k").agg(F.first("line").alias("line"))
+    texts = lines.join(where, ["k", "doc"]).groupBy("k").agg(F.first("line").alias("line")).select("k", F.encode("line", "UTF-16BE").alias("u"))
+    placed = texts.select("k", "u", F.explode(F.sequence(F.lit(0), _last("u"))).alias("i"))
     # a sorted aggregate collects one line at a time; a hashed one would fall back to sorting, later
     with setting(members.sparkSession, "spark.sql.execution.useObjectHashAggregateExec", "false"):
-        return saved(_hashed(texts).groupBy("k").agg(F.collect_list("h").alias("s")).select("k", F.array_distinct("s").alias("s")), "line-sets")
-
-
-def _near(x: Column, y: Column) -> Column:
-    """Whether two sets reach the threshold: their sizes bound the similarity, so most intersections are not made."""
-    small, both = F.least(F.size(x), F.size(y)), F.size(x) + F.size(y)
-    common = F.size(F.array_intersect(x, y))
-    return (small >= F.lit(THRESHOLD) * (both - small)) & (common >= F.lit(THRESHOLD) * (both - common))
+        return saved(placed.select("k", F.expr(_shingle("u", "i")).alias("h")).groupBy("k").agg(F.collect_list("h").alias("s")).select("k", F.array_distinct("s").alias("s")), "line-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (`a`, `b`) among `pairs` (`a`, its centre `b`, `salt`): a centre is copied once for each salt."""
-    centres = pairs.select("b", "salt").distinct().join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    met = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(centres, ["b", "salt"])
-    return met.filter(_near(F.col("sa"), F.col("sb"))).select("a", "b")
+    """The pairs (`a`, `b`) of line hashes whose shingle sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    # sizes bound the similarity: no intersection where it can't reach the threshold
+    near = both.filter(F.least(F.size("sa"), F.size("sb")) >= F.lit(THRESHOLD) * F.greatest(F.size("sa"), F.size("sb")))
+    return saved(near.filter(common >= F.lit(THRESHOLD) * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "line-links")
 
 
-def _across(known: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (`a`, `b`) between components of bands: `known` has band, k, size and component c."""
+def _across_tiles(known: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links (`a`, `b`) between components of large bands: `known` has band, k, size and component c."""
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = known.join(sets, "k").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("k"), tiles).cast("int"))
-    of_one = dealt.groupBy("band", "tile", "tiles", "c").agg(F.collect_list("s").alias("m"))
-    packed = saved(of_one.groupBy("band", "tile", "tiles").agg(F.collect_list(F.struct("c", "m")).alias("g")), "line-tiles")
+    one = known.join(sets, "k").join(sketches.select("k", "bands"), "k")
+    item = F.struct("k", "c", "s", "bands", F.array_position("bands", F.col("band")).cast("int").alias("place"))
+    dealt = one.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("k"), tiles).cast("int"))
+    packed = saved(dealt.groupBy("band", "tile", "tiles").agg(F.collect_list(item).alias("items")), "line-tiles")
     # every two tiles of a band meet under a key of their own
-    left = packed.select("band", F.col("tile").alias("ta"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tb"), "g")
-    right = packed.select("band", F.explode(F.sequence(F.lit(0), "tile")).alias("ta"), F.col("tile").alias("tb"), F.col("g").alias("g2"))
-    linked = lambda p, q: F.exists(p["m"], lambda x: F.exists(q["m"], lambda y: _near(x, y)))
-    apart = lambda p, q: (p["c"] != q["c"]) & ((F.col("ta") < F.col("tb")) | (p["c"] < q["c"]))
-    links = F.flatten(F.transform("g", lambda p: F.transform(F.filter("g2", lambda q: apart(p, q) & linked(p, q)), lambda q: F.struct(p["c"].alias("a"), q["c"].alias("b")))))
-    return left.join(right, ["band", "ta", "tb"]).select(F.explode(links).alias("p")).select("p.a", "p.b")
+    left = packed.select("band", F.col("tile").alias("ta"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tb"), "items")
+    right = packed.select("band", F.explode(F.sequence(F.lit(0), "tile")).alias("ta"), F.col("tile").alias("tb"), F.col("items").alias("items2"))
+
+    def linked(x, y):
+        small, large = F.least(F.size(x["s"]), F.size(y["s"])), F.greatest(F.size(x["s"]), F.size(y["s"]))
+        first = ~F.arrays_overlap(F.slice(x["bands"], F.lit(1), x["place"] - 1), F.slice(y["bands"], F.lit(1), x["place"] - 1))
+        common = F.size(F.array_intersect(x["s"], y["s"]))
+        return (x["c"] != y["c"]) & (small >= F.lit(THRESHOLD) * large) & first & (common >= F.lit(THRESHOLD) / (1 + THRESHOLD) * (small + large) - 1e-9)
+
+    met = left.join(right, ["band", "ta", "tb"])
+    pairs = F.flatten(F.transform("items", lambda x: F.transform(F.filter("items2", lambda y: linked(x, y)), lambda y: F.struct(x["k"].alias("x"), y["k"].alias("y")))))
+    return saved(met.select(F.explode(pairs).alias("p")).select(*_ordered("p.x", "p.y")).distinct(), "line-links")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,34 +117,32 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     length are hashed whole; an empty table gives no rows; other columns are ignored.
     """
     lines = _lines(docs, id_col, text_col)
-    places = saved(lines.select("doc", "at", "k", F.xxhash64(F.lit(1), "line").alias("k2")), "line-places")
-    sketches = saved(_sketches(lines, places), "line-sketches")
-    members = _members(sketches)
-    pairs = saved(_salted(members, "top").union(_salted(members, "lo")).groupBy("a", "b").agg(F.min("salt").alias("salt")), "line-pairs")
+    sketches = saved(_sketches(lines), "line-sketches")
+    bands = sketches.select("k", "n", F.explode("bands").alias("band"))
+    # frequency first; the low bits of the hash decide ties
+    weight = F.shiftleft(F.least("n", F.lit((1 << 31) - 1)), 31) + F.col("k").bitwiseAND(F.lit((1 << 31) - 1))
+    shared = bands.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max_by("k", weight).alias("top"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+    members = saved(bands.select("k", "band").join(saved(shared.drop("hi"), "line-bands").hint("shuffle_hash"), "band"), "line-members")
+    first = members.filter("k <> top").select(*_ordered("k", "top")).union(members.filter("k <> lo").select(*_ordered("k", "lo"))).distinct()
+    first = saved(first, "line-pairs")
     sets = _sets(members, lines, sketches)
-    links = saved(_verified(pairs, sets), "line-links")
-    found = saved(connected_components(links).withColumnRenamed("v", "k"), "line-components")
-    forget(pairs, links)
-    # bands that still hold several components; of three lines or fewer all pairs are verified
-    known = members.filter("size > 3").join(found, "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-    open_ = known.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 < c1").select("band", "n")
-    open_ = saved(open_, "line-open-bands")
-    known = saved(spread_join(known, open_, "band", members.count()), "line-open")
-    # a band of a few lines gives pairs as rows, a larger one is compared tile by tile
-    few = known.filter((F.col("size") <= SMALL) & (F.col("k") != F.col("lo")) & (F.col("k") != F.col("top")))
-    x, y = few.select("band", F.col("k").alias("x"), F.col("c").alias("cx")), few.select("band", F.col("k").alias("y"), F.col("c").alias("cy"))
-    more = x.join(y, "band").filter("cx < cy").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).cast("long").alias("salt"), "cx", "cy").distinct()
-    more = saved(more, "line-pairs")
-    whole = _verified(more.drop("cx", "cy"), sets).join(more, ["a", "b"]).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
-    across = saved(whole.union(_across(known.filter(F.col("size") > SMALL).select("band", "k", "size", "c"), sets)), "line-links")
-    forget(members, sets, open_, known, more)
-    joined = connected_components(across).select(F.col("v").alias("component"), F.col("component").alias("whole"))
-    # every line that is not alone in its component; one without links of its own may be whole with others
-    named = sketches.select("k", "n").join(found, "k", "left").withColumn("near", F.col("component").isNotNull())
-    named = named.withColumn("component", F.coalesce("component", "k")).join(joined, "component", "left").filter("n > 1 or near or whole is not null")
-    groups = saved(named.select("k", "n", F.coalesce("whole", "component").alias("component")), "line-groups")
-    placed = saved(spread_join(places.select("doc", "at", "k"), groups, "k", places.count()).select("component", "doc", "at"), "line-grouped")
-    forget(sketches, places, groups, found, across)
+    links = _verified(first, sets)
+    found = connected_components(links)
+    # bands that still hold several components
+    known = members.join(found.withColumnRenamed("v", "k"), "k", "left").select("band", "k", "size", F.coalesce("component", "k").alias("c"))
+    open_ = known.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band")
+    known = saved(known.join(open_, "band"), "line-open")
+    x, y = known.filter(F.col("size") <= SMALL).select("band", F.col("k").alias("x"), F.col("c").alias("cx")), known.filter(F.col("size") <= SMALL).select("band", F.col("k").alias("y"), F.col("c").alias("cy"))
+    across = x.join(y, "band").filter("cx < cy").select("x", "y")
+    more = saved(across.select(*_ordered("x", "y")).distinct().join(first, ["a", "b"], "left_anti"), "line-pairs")
+    links = links.union(_verified(more, sets)).union(_across_tiles(known.filter(F.col("size") > SMALL), sets, sketches))
+    found = connected_components(links).withColumnRenamed("v", "k")
+    # every line that is not alone in its component
+    groups = sketches.select("k", "n").join(found, "k", "left").filter("n > 1 or component is not null").select("k", F.coalesce("component", "k").alias("component"), "n")
+    groups, total = saved(groups, "line-groups"), sketches.agg(F.sum("n")).first()[0] or 0
+    forget(sketches, members, first, sets, known)
+    placed = saved(spread_join(lines.select("doc", "at", "k"), groups, "k", total).select("component", "doc", "at"), "line-places")
+    forget(groups)
     keep = placed.groupBy("component").agg(F.min("doc").alias("doc"))
     keep = placed.join(keep, ["component", "doc"]).groupBy("component", "doc").agg(F.min("at").alias("at"))
     return placed.join(keep, ["component", "doc", "at"], "left_anti").select("doc", "at", "component")
