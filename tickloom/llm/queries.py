@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("suffix_dedup", "topk_index", "decontamination", "ngram_join", "line_dedup", "language_id", "warc", "mixing", "token_scan", "chat", "filter_audit")
+MODULES = ("suffix_dedup", "topk_index", "decontamination", "ngram_join", "line_dedup", "language_id", "warc", "mixing", "token_scan", "chat", "url_rules", "prefix_trie", "filter_audit")
 
 
 def queries() -> dict:
