@@ -8,39 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _garch(x: np.ndarray) -> tuple[float, float, float, float]:
-    """GARCH(1,1) by Gaussian likelihood over a refined grid of (alpha, beta) with the variance targeted; and the next variance."""
-    x = x - x.mean()
-    var, sq = x.var(), x * x
-
-    def score(a: float, b: float) -> tuple[float, float]:
-        omega, h, total = var * (1 - a - b), var, 0.0
-        for s in sq:
-            total += np.log(h) + s / h
-            h = omega + a * s + b * h
-        return total, h
-
-    centre, width = (0.1, 0.8), 0.2
-    for _ in range(4):
-        grid = [(a, b) for a in np.linspace(centre[0] - width, centre[0] + width, 5) for b in np.linspace(centre[1] - width, centre[1] + width, 5) if a > 0.001 and b >= 0 and a + b < 0.999]
-        centre, width = min(grid, key=lambda p: score(*p)[0]), width / 2.5
-    a, b = centre
-    return var * (1 - a - b), a, b, score(a, b)[1]
-
-
-def garch(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """omega, alpha, beta and the forecast of the next deviation; series under 30 rows or without variance have none."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy()
-        if len(x) < 30 or not x.var() > 0:
-            return pd.DataFrame({by: [], "omega": [], "alpha": [], "beta": [], "forecast": []})
-        o, a, b, h = _garch(x)
-        return pd.DataFrame({by: [key[0]], "omega": [o], "alpha": [a], "beta": [b], "forecast": [h**0.5]})
-
-    return df.groupBy(by).applyInPandas(run, f"{by} string, omega double, alpha double, beta double, forecast double")
-
-
 def permutation_test(df: DataFrame, by: str, order: str, value: str, sims: int = 100, block: int = 20) -> DataFrame:
     """A momentum rule's mean return against permuted, block-permuted and rotated series: p = share at least as good."""
 

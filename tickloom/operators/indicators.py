@@ -1,16 +1,16 @@
 """Technical indicators of the strategies: recursive averages, oscillators, channels and volume measures.
 
 Everything that a window can express is a window over the symbol's bars. Exponential and Wilder averages are
-recursions; they run in a grouped pandas function, one group for each symbol.
+recursions; they run as scans over ranges of a symbol's bars (`scans.py`).
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import full, greatest_of, lagged, least_of, mean, rolling, series, std
+from .scans import recursive_means
 
 
 def recursive_mean(df: DataFrame, spec: dict[str, tuple[str, float]], by: str = "symbol", order: str = "ts") -> DataFrame:
@@ -18,15 +18,7 @@ def recursive_mean(df: DataFrame, spec: dict[str, tuple[str, float]], by: str =
 
     Nulls before the first value stay null, later ones carry the average on. A Wilder average of n has alpha 1/n, an EMA 2/(n+1).
     """
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{n} double" for n in spec])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        for name, (column, alpha) in spec.items():
-            pdf[name] = pdf[column].ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
-        return pdf
-
-    return df.groupBy(by).applyInPandas(run, schema)
+    return recursive_means(df, spec, by, order)
 
 
 def ema(df: DataFrame, **spans: tuple[str, int]) -> DataFrame:
@@ -38,7 +30,7 @@ def cross(diff: Column) -> Column:
     """+1 or -1 where the sign of `diff` differs from its last sign that was not 0; else 0."""
     w = series()
     sign = F.signum(diff)
-    before = F.last(F.when(sign != 0, sign), ignorenulls=True).over(w.rowsBetween(-(1 << 30), -1))
+    before = F.last(F.when(sign != 0, sign), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return F.when((sign != 0) & before.isNotNull() & (sign != before), sign).otherwise(F.lit(0.0)).cast("int")
 
 
@@ -115,5 +107,5 @@ CATALOGUE = {
     "macd": lambda df: ema(df, fast=("close", 12), slow=("close", 26)).withColumn("value", F.col("fast") - F.col("slow")),
     "bollinger": lambda df: df.withColumn("value", (F.col("close") - mean("close", 20)) / F.nullif(std("close", 20), F.lit(0.0))),
     "atr": lambda df: recursive_mean(df.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - lagged("close")), F.abs(F.col("low") - lagged("close")))), {"value": ("tr", 1 / 14)}),
-    "obv": lambda df: df.withColumn("value", F.sum(F.signum(F.col("close") - lagged("close")) * F.col("volume")).over(series().rowsBetween(-(1 << 30), 0))),
+    "obv": lambda df: df.withColumn("value", F.sum(F.signum(F.col("close") - lagged("close")) * F.col("volume")).over(series().rowsBetween(Window.unboundedPreceding, Window.currentRow))),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.storage import cut
 
 
-def _dealt(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+def dealt(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """Stored in ranges of (`by`, `order`), with the number of each row's range."""
     return cut(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()), "ordered")
 
@@ -21,12 +21,12 @@ def running(df: DataFrame, order: list, sums: dict[str, Column] | None = None, m
     """
     by, sums, most = by or [], sums or {}, most or {}
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    dealt = _dealt(df.withColumns({f"__v_{n}": c for n, c in {**sums, **most}.items()}), by, order)
-    totals = dealt.groupBy("__part", *by).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums], *[F.max(f"__v_{n}").alias(f"__t_{n}") for n in most])
+    rows = dealt(df.withColumns({f"__v_{n}": c for n, c in {**sums, **most}.items()}), by, order)
+    totals = rows.groupBy("__part", *by).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums], *[F.max(f"__v_{n}").alias(f"__t_{n}") for n in most])
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     before = totals.select("__part", *by, *[F.sum(f"__t_{n}").over(earlier).alias(f"__b_{n}") for n in sums], *[F.max(f"__t_{n}").over(earlier).alias(f"__b_{n}") for n in most])
     here = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = dealt.withColumns({**{f"__s_{n}": F.sum(f"__v_{n}").over(here) for n in sums}, **{f"__s_{n}": F.max(f"__v_{n}").over(here) for n in most}})
+    local = rows.withColumns({**{f"__s_{n}": F.sum(f"__v_{n}").over(here) for n in sums}, **{f"__s_{n}": F.max(f"__v_{n}").over(here) for n in most}})
     both = local.alias("l").join(before.alias("r"), (F.col("l.__part") == F.col("r.__part")) & _same(by), "left")
     out = [F.col(f"l.`{c}`") for c in df.columns]
     out += [(F.coalesce(F.col(f"__s_{n}"), F.lit(0)) + F.coalesce(F.col(f"__b_{n}"), F.lit(0))).alias(n) for n in sums]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import lagged, series
@@ -17,7 +17,7 @@ def simulate_signals(df: DataFrame, cash: float = CASH, fee: float = FEE) -> Dat
     The position is the last signal that is not 0, a bar late: one window, no loop. Equity compounds open-to-open returns while in position.
     """
     w = series()
-    held = F.coalesce(F.last(F.when(F.col("signal") != 0, F.col("signal")), ignorenulls=True).over(w.rowsBetween(-(1 << 30), -1)), F.lit(0))
+    held = F.coalesce(F.last(F.when(F.col("signal") != 0, F.col("signal")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = df.withColumn("position", F.when(held == 1, 1).otherwise(0)).withColumn("before", F.coalesce(lagged("position"), F.lit(0)))
     ahead = F.lead("open").over(w)
     growth = F.when(F.col("position") == 1, F.try_divide(F.coalesce(ahead, F.col("close")), F.col("open"))).otherwise(1.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import lineage as lin
 from ..operators import reports as rep
 from ..operators.regimes import classify
+from ..operators.scans import asof
 from ..sources.views import results, strategies, table, trades
 from ..sql import ORDER, with_views
 from .common import SHIFT, rounded
@@ -71,17 +72,10 @@ on_both("J4_parent_child", lambda a, b: lin.improvements(a, b).select("strategy_
 
 
 def _asof(spark, d):
-    """Each entry with the nearest bar: the later one if two are as near. A union and two windows; no pair of tables is crossed."""
-    bars = classify(hourly(spark, d)).select("symbol", F.unix_seconds("ts").alias("at"), "regime")
-    # entries: all events, looked up in the bars of their own symbol
+    """Each event with the regime of the bar of its symbol that is nearest in time: the later one if two are as near."""
+    bars = classify(hourly(spark, d)).select("symbol", F.unix_seconds("ts").alias("at"), "regime", F.unix_seconds("ts").alias("bar_at"))
     e = table(spark, d, "events").select("event_id", F.col("event_type").alias("symbol"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
-    both = bars.select("symbol", "at", F.struct(F.col("at").alias("bar_at"), "regime").alias("bar"), F.lit(None).cast("long").alias("event_id")).unionByName(e.select("symbol", "at", F.lit(None).cast("struct<bar_at:bigint,regime:string>").alias("bar"), "event_id"))
-    w = Window.partitionBy("symbol").orderBy("at", F.col("event_id").asc_nulls_first())
-    back = F.last("bar", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("bar", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    x = both.withColumns({"p": back, "n": ahead}).filter("event_id is not null")
-    near = F.when(F.col("n").isNull() | (F.col("at") - F.col("p.bar_at") < F.col("n.bar_at") - F.col("at")), F.col("p")).otherwise(F.col("n"))
-    return x.withColumn("b", near).select("event_id", "symbol", F.col("b.bar_at").alias("bar_at"), F.col("b.regime").alias("regime"))
+    return asof(e, bars, "symbol", "at", ["bar_at", "regime"]).select("event_id", "symbol", "bar_at", "regime")
 
 
 add("J3_asof_nearest", _asof, "bars", STEPS + """, e AS (SELECT event_id, event_type AS symbol, CAST(floor(epoch(ts)) AS BIGINT) AS tsec FROM events),

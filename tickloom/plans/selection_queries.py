@@ -126,7 +126,7 @@ def _outer(s, d):
     last = x.agg(F.max("t")).first()[0] or 0
     grid = x.select("strategy_id").distinct().withColumn("t", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(last).cast("long"))))
     w = Window.partitionBy("strategy_id").orderBy("t")
-    f = F.coalesce(F.last("r", ignorenulls=True).over(w), F.first("r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    f = F.coalesce(F.last("r", ignorenulls=True).over(w), F.last("r", ignorenulls=True).over(Window.partitionBy("strategy_id").orderBy(F.desc("t"))))
     return grid.join(x, ["strategy_id", "t"], "left").select("strategy_id", "t", f.alias("f"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions import statistics as st
 from ..functions.normal import ppf
+from ..operators import scans
 from ..operators.regimes import indicators
 from ..sources.views import returns, trades
 from ..sql import with_views
@@ -112,7 +113,7 @@ add("X4_percentiles", lambda s, d: trades(s, d).groupBy("symbol").agg(F.median("
 add("X5_slope", lambda s, d: returns(s, d).groupBy("strategy_id").agg(F.regr_slope("r", "t").alias("slope"), F.corr("r", "t").alias("corr")), "returns", f"SELECT strategy_id, {r('regr_slope(r, t) AS slope', 'corr(r, t) AS corr')} FROM returns GROUP BY 1")
 add("X6_dates", lambda s, d: trades(s, d).groupBy(F.date_format("exit_ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.datediff("exit_ts", "entry_ts")).alias("days")), "trades", "SELECT strftime(exit_ts, '%Y-%m') AS month, count(*) AS n, CAST(sum(date_diff('day', entry_ts, exit_ts)) AS BIGINT) AS days FROM trades GROUP BY 1")
 # kernels in numpy, one series a group
-add("V9_garch", lambda s, d: kernels.garch(bars_r(s, d), "symbol", "ts", "r"))
+add("V9_garch", lambda s, d: scans.garch(bars_r(s, d), "symbol", "ts", "r"))
 add("V15_permutation_test", lambda s, d: kernels.permutation_test(bars_r(s, d), "symbol", "ts", "r"))
 add("V17_latency", lambda s, d: kernels.latency(hourly(s, d)))
 add("V18_slippage_stress", lambda s, d: kernels.slippage_stress(hourly(s, d)))
