@@ -177,8 +177,8 @@ def sharpe_tests(returns: DataFrame, trials: int = 100, benchmark: float = 0.0)
     return g.withColumns({"psr": norm_cdf("psr_z"), "dsr_p": 1 - norm_cdf("dsr_z"), "min_track": F.when(F.abs("sr") < 1e-9, F.lit(999_999)).otherwise(F.least(F.lit(999_999.0), F.ceil(F.pow(e_max / F.col("sr"), F.lit(2.0)) - 1e-9)).cast("long"))})
 
 
-def pbo(returns: DataFrame, parts: int = 8) -> DataFrame:
-    """Probability of backtest overfitting by combinatorially symmetric cross-validation.
+def combination_sharpes(returns: DataFrame, parts: int = 8) -> DataFrame:
+    """The Sharpe ratio of every strategy in (`is_`) and out of (`oos`) each half of its parts, stored.
 
     Per (part, strategy) only n, sum and sum of squares are kept; every combination of half the parts sums
     those. No combination reads the series again. Combinations: C(parts, parts / 2) rows.
@@ -192,8 +192,19 @@ def pbo(returns: DataFrame, parts: int = 8) -> DataFrame:
     var = (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
     g = g.withColumn("sharpe", F.round(F.when((F.col("n") > 1) & (var > 1e-18), F.col("s") / F.col("n") / F.sqrt(var) * math.sqrt(252)).otherwise(0.0), 9))
     both = g.groupBy("combo", BY).agg(F.max(F.when(F.col("inside") == 1, F.col("sharpe"))).alias("is_"), F.max(F.when(F.col("inside") == 0, F.col("sharpe"))).alias("oos"))
-    # the pick of each combination, then its rank among all strategies by counting: no combination is one group of all strategies
-    both = cut(both, "pbo")
+    return cut(both, "pbo")
+
+
+def pbo(returns: DataFrame, parts: int = 8) -> DataFrame:
+    """Probability of backtest overfitting by combinatorially symmetric cross-validation.
+
+    The pick of each combination, then its rank among all strategies by counting: no combination is one group of all strategies.
+    """
+    return picked(combination_sharpes(returns, parts))
+
+
+def picked(both: DataFrame) -> DataFrame:
+    """The strategy that each combination picks in sample, and the logit of its rank out of sample."""
     best = both.groupBy("combo").agg(F.max_by(BY, F.struct("is_", -F.col(BY))).alias(BY), F.max("is_").alias("is_"), F.max_by("oos", F.struct("is_", -F.col(BY))).alias("oos"))
     all_ = both.select("combo", F.col("oos").alias("other")).join(F.broadcast(best.select("combo", "oos")), "combo")  # a row for each combination
     ranks = all_.groupBy("combo").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("other") < F.col("oos")) + (F.count_if(F.col("other") == F.col("oos")) + 1) / 2).alias("rank"))
@@ -207,6 +218,52 @@ def pbo_summary(combos: DataFrame) -> DataFrame:
     return combos.agg(F.count(F.lit(1)).alias("combos"), (F.count_if(F.col("logit") < 0) / F.count(F.lit(1))).alias("pbo"), (F.count_if(F.col("oos") < 0) / F.count(F.lit(1))).alias("share_negative"))
 
 
+def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Add `name`, the rank of `value` in its group, from 1, the mean of the ranks of equal values; rows without a value go.
+
+    Ranks are running counts over ranges of (group, value), one row for each distinct value, so that no group is one task's.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    upto = running(counts, [value], sums={"__c": F.col("__n")}, by=by)
+    return known.join(upto.select(*by, value, (F.col("__c") - (F.col("__n") - 1) / 2).alias(name)), [*by, value])
+
+
+def rank_correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Spearman's correlation of two columns in each group; rows that lack either are left out."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = average_ranks(average_ranks(both, by, x, "__rx"), by, y, "__ry")
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("__rx", "__ry").alias("spearman"))
+
+
+def overfitting(returns: DataFrame, parts: int = 8) -> DataFrame:
+    """What picking by the in-sample Sharpe ratio does: PBO, the mean and deviation of logits, the mean rank correlation between
+    in-sample and out-of-sample Sharpe ratios, and the share of combinations whose pick loses out of sample."""
+    both = combination_sharpes(returns, parts)
+    picks = picked(both)
+    ranks = rank_correlation(both, ["combo"], "is_", "oos")
+    return picks.join(ranks, "combo").agg(
+        F.count(F.lit(1)).alias("combos"), (F.count_if(F.col("logit") < 0) / F.count(F.lit(1))).alias("pbo"), F.avg("logit").alias("logit_mean"), F.stddev_pop("logit").alias("logit_std"),
+        F.avg("spearman").alias("degradation"), (F.count_if(F.col("oos") < 0) / F.count(F.lit(1))).alias("share_negative"),
+    )
+
+
+def tail_dependence(df: DataFrame, by: str, x: str, y: str, q: float = 0.05) -> DataFrame:
+    """Empirical tail dependence by group: of the rows with `x` in its lowest (highest) share `q`, how many have `y` there, too.
+
+    Limits are interpolated percentiles; both are counted in one pass over the rows. Rows that lack either value are left out.
+    """
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    limit = known.groupBy(by).agg(F.percentile(x, [q, 1 - q]).alias("__x"), F.percentile(y, [q, 1 - q]).alias("__y"))
+    low = lambda c, e: F.col(c) <= F.get(e, F.lit(0)) + 1e-12
+    high = lambda c, e: F.col(c) >= F.get(e, F.lit(1)) - 1e-12
+    g = known.join(limit, by).groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(low(x, "__x")).alias("low"), F.count_if(low(x, "__x") & low(y, "__y")).alias("both_low"),
+        F.count_if(high(x, "__x")).alias("high"), F.count_if(high(x, "__x") & high(y, "__y")).alias("both_high"),
+    )
+    return g.select(by, "n", "both_low", "both_high", F.try_divide("both_low", "low").alias("lambda_low"), F.try_divide("both_high", "high").alias("lambda_high"))
+
+
 def tail_risk(returns: DataFrame) -> DataFrame:
     """VaR and CVaR at 95 and 99 %, drawdown at risk, and a tail score from skew, kurtosis, CVaR / VaR and drawdown."""
     w = run()
@@ -276,7 +333,7 @@ def drift(reference: DataFrame, live: DataFrame, by: str = "symbol", value: str
 
 def attribution(df: DataFrame, by: str, y: str, x: str) -> DataFrame:
     """Ordinary least squares of returns on a benchmark, with compounded returns."""
-    return df.groupBy(by).agg(F.regr_slope(y, x).alias("beta"), F.regr_intercept(y, x).alias("alpha"), F.regr_r2(y, x).alias("r2"), (F.exp(F.sum(F.log1p(y))) - 1).alias("total"), F.corr(y, x).alias("corr"), F.covar_samp(y, x).alias("cov"))
+    return df.groupBy(by).agg(F.regr_slope(y, x).alias("beta"), F.regr_intercept(y, x).alias("alpha"), F.regr_r2(y, x).alias("r2"), (F.exp(F.sum(F.log1p(y))) - 1).alias("total"), correlation(y, x).alias("corr"), F.covar_samp(y, x).alias("cov"))
 
 
 def losing_streak(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
@@ -286,6 +343,11 @@ def losing_streak(df: DataFrame, by: str, order: list[str], value: str) -> DataF
     return df.filter("lost").groupBy(by, "island").count().groupBy(by).agg(F.max("count").alias("longest"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation as an aggregate; null without deviation on both sides, where Spark's own divides by zero."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def zscore(value: str, by: str) -> Column:
     w = Window.partitionBy(by)
     return (F.col(value) - F.avg(value).over(w)) / F.stddev_samp(value).over(w)

@@ -110,7 +110,7 @@ DAY = ", dd AS (SELECT symbol, CAST(exit_ts AS DATE) AS day, avg(return_pct / 10
 add("V24_attribution", lambda s, d: st.attribution(_factor(s, d), "symbol", "r", "b"), "trades", DAY + f" SELECT symbol, {r('regr_slope(r, b) AS beta', 'regr_intercept(r, b) AS alpha', 'regr_r2(r, b) AS r2', 'exp(sum(ln(1 + r))) - 1 AS total', 'corr(r, b) AS corr', 'covar_samp(r, b) AS cov')} FROM f GROUP BY 1")
 add("X13_compounding", lambda s, d: returns(s, d).groupBy("strategy_id").agg((F.product(1 + F.col("r")) - 1).alias("total")), "returns", f"SELECT strategy_id, {r('product(1 + r) - 1 AS total')} FROM returns GROUP BY 1")
 add("X4_percentiles", lambda s, d: trades(s, d).groupBy("symbol").agg(F.median("return_pct").alias("median"), F.percentile("return_pct", 0.9).alias("p90"), F.count_if(F.col("return_pct") > 5).alias("tail")), "trades", f"SELECT symbol, {r('median(return_pct) AS median', 'quantile_cont(return_pct, 0.9) AS p90')}, count(*) FILTER (return_pct > 5) AS tail FROM trades GROUP BY 1")
-add("X5_slope", lambda s, d: returns(s, d).groupBy("strategy_id").agg(F.regr_slope("r", "t").alias("slope"), F.corr("r", "t").alias("corr")), "returns", f"SELECT strategy_id, {r('regr_slope(r, t) AS slope', 'corr(r, t) AS corr')} FROM returns GROUP BY 1")
+add("X5_slope", lambda s, d: returns(s, d).groupBy("strategy_id").agg(F.regr_slope("r", "t").alias("slope"), st.correlation("r", "t").alias("corr")), "returns", f"SELECT strategy_id, {r('regr_slope(r, t) AS slope', 'corr(r, t) AS corr')} FROM returns GROUP BY 1")
 add("X6_dates", lambda s, d: trades(s, d).groupBy(F.date_format("exit_ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.datediff("exit_ts", "entry_ts")).alias("days")), "trades", "SELECT strftime(exit_ts, '%Y-%m') AS month, count(*) AS n, CAST(sum(date_diff('day', entry_ts, exit_ts)) AS BIGINT) AS days FROM trades GROUP BY 1")
 # kernels in numpy, one series a group
 add("V9_garch", lambda s, d: scans.garch(bars_r(s, d), "symbol", "ts", "r"))
