@@ -116,6 +116,31 @@ def _read_back(s, d):
 
 
 add("S3_read_bars", lambda s, d: _read_back(s, d).agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("close"), F.sum("volume").alias("volume")), "bars", f"SELECT count(*) AS rows, {r('sum(close) AS close', '0.0::DOUBLE AS volume')} FROM bars")
+
+
+def _encoded(s, d):
+    """A note of Latin-1 bytes beside the bars: whole only in the right encoding."""
+    path = new_folder(s, "bars")
+    _sorted(s, d).select("ts", "close", F.concat(F.lit("é ü "), "symbol").alias("note")).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return files.read_text(s, path).groupBy("note").agg(F.count(F.lit(1)).alias("rows"))
+
+
+add("S3_encodings", _encoded, "bars", "SELECT 'é ü ' || symbol AS note, count(*) AS rows FROM bars GROUP BY symbol")
+
+
+def _workbooks(s, d):
+    """Bars of each symbol as workbooks without headers, times as Excel's day numbers, read again and united."""
+    from ..sources import xlsx
+
+    path = new_folder(s, "workbooks")
+    days = F.unix_micros("ts") / 86_400_000_000 + 25_569
+    sheet = _sorted(s, d).repartition("symbol").sortWithinPartitions("symbol", "ts").select(days.alias("day"), "open", "high", "low", "close", "volume", "symbol")
+    xlsx.write(sheet, path, header=False).write.format("noop").mode("overwrite").save()
+    back = xlsx.table(xlsx.read_cells(s, path), header=False, names=["day", "open", "high", "low", "close", "volume", "symbol"])
+    return back.select("symbol", xlsx.when(F.col("day")).alias("ts"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")])
+
+
+add("S3_read_xlsx", _workbooks, "bars", f"SELECT symbol, ts, {r('open', 'high', 'low', 'close', 'volume')} FROM bars")
 _odd = lambda s, d: files.normalised(table(s, d, "events").select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_id") % 9 == 0, " x").otherwise("")).alias(" DateTime"), F.col("value").alias("O"), (F.col("value") + 1).alias("H"), F.col("value").alias("l"), F.when(F.col("event_id") % 7 != 0, F.col("value").cast("string")).otherwise("bad").alias("Adj Close"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("tick_volume")))
 add("S4_S5_S6_normalise", lambda s, d: _odd(s, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.sum("high").alias("high"), F.sum("volume").alias("volume")), "ticks",
     f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows, {r('sum(value + 1) AS high', 'sum(CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END)::DOUBLE AS volume')} FROM events WHERE event_id % 9 <> 0 AND event_id % 7 <> 0 GROUP BY 1")

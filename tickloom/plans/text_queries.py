@@ -54,6 +54,15 @@ pages = lambda s, d: table(s, d, "pages").withColumn("url", F.when(F.col("page_i
 PAGES = "WITH p AS (SELECT page_id, html, CASE WHEN page_id % 4 = 0 THEN replace(url, 'example.com', 'github.com') WHEN page_id % 7 = 0 THEN replace(url, 'example.net', 'medium.com') ELSE url END AS url FROM pages)"
 add("T7_url_rules", lambda s, d: pages(s, d).select("page_id", tx.source_type("url").alias("source_type"), tx.skip_url("url").alias("skip")), PAGES + " SELECT page_id, CASE " + " ".join(f"WHEN contains({HOST}, '{a}') THEN '{b}'" for a, b in tx.SOURCES) + " ELSE 'general' END AS source_type, " + " OR ".join([f"contains({HOST}, '{x}')" for x in tx.SKIP_DOMAINS] + [f"ends_with({PATH}, '{x}')" for x in tx.SKIP_ENDINGS]) + " AS skip FROM p")
 add("T8_html_to_text", lambda s, d: table(s, d, "pages").select("page_id", F.md5(tx.html_to_text("html", None)).alias("digest"), F.length(tx.html_to_text("html", None)).alias("n")), r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS t FROM pages) SELECT page_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n FROM t""")
+NESTED = "(?is)</?(?:" + "|".join(tx.NESTED_BLOCKS) + r")(?:[\s/][^>]*)?>"
+add("T8_page_text", lambda s, d: table(s, d, "pages").withColumn("t", tx.page_text("html")).filter("t is not null").select("page_id", F.md5("t").alias("digest"), F.length("t").alias("n")), rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<script(?:[\s/][^>]*)?>.*?</script\s*>', chr(10), 'g'), '(?is)<style(?:[\s/][^>]*)?>.*?</style\s*>', chr(10), 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_split_to_array(h, '{NESTED}') AS p, regexp_extract_all(h, '{NESTED}') AS g FROM a),
+c AS (SELECT *, list_prepend(0, list_transform(g, lambda t: CASE WHEN starts_with(t, '</') THEN -1 WHEN ends_with(t, '/>') THEN 0 ELSE 1 END)) AS m FROM b),
+d AS (SELECT *, list_transform(range(1, len(m) + 1), lambda i: list_sum(m[1:i])) AS s FROM c),
+e AS (SELECT page_id, array_to_string(list_filter(p, lambda x, i: s[i] - least(0, list_min(s[1:i])) = 0), chr(10)) AS h FROM d),
+f AS (SELECT page_id, {"replace(" * len(tx.ENTITIES)}regexp_replace(h, '<[^>]+>', chr(10), 'g'){"".join(f", '{x}', '{quote(y)[1:-1] if y == chr(39) else y}')" for x, y in tx.ENTITIES)} AS h FROM e),
+g AS (SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(h, '[\r\n]'), lambda x: regexp_replace(x, '^[ \t\f]+|[ \t\f]+$', '', 'g')), lambda x: x <> ''), chr(10)) AS t FROM f)
+SELECT page_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n FROM g WHERE length(t) >= 200""")
 add("T14_slug", lambda s, d: strategies(s, d).select("strategy_id", tx.slug("name").alias("slug")), with_views("strategies", "SELECT strategy_id, regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g') AS slug FROM strategies"))
 add("T15_hash_feature", lambda s, d: strategies(s, d).select("strategy_id", tx.hash_feature(F.col("name")).alias("x")), with_views("strategies", f"SELECT strategy_id, round(('0x' || substr(md5(name), 1, 8))::BIGINT / 4294967295.0::DOUBLE + {SHIFT}, 6) + 0.0 AS x FROM strategies"))
 add("T17_mojibake", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(tx.fix_mojibake("text")).alias("digest")), "SELECT doc_id, md5(" + "replace(" * len(tx.MOJIBAKE) + "text" + "".join(f", '{a}', '{b}')" for a, b in tx.MOJIBAKE) + ") AS digest FROM documents")
@@ -89,7 +98,27 @@ def _codes(column: str, at: int) -> str:
 
 
 add("T12_code_of_reply", lambda s, d: strategies(s, d).selectExpr("strategy_id", spark_text(_codes("reply", 0))).select("strategy_id", tx.code_of_reply("reply").alias("code")).withColumn("ok", tx.code_ok("code")), with_views("strategies", "SELECT *, code <> '' AS ok FROM (SELECT strategy_id, " + _codes("code", 1) + " FROM strategies)"))
-add("T13_variants", lambda s, d: strategies(s, d).select("strategy_id", F.size(F.regexp_extract_all(F.concat_ws(" ", "name", "hypothesis_id"), F.lit("([A-Za-z]+)"), F.lit(1))).alias("words"), F.col("name").contains("widget").alias("widget")), with_views("strategies", "SELECT strategy_id, CAST(len(regexp_extract_all(name || ' ' || hypothesis_id, '([A-Za-z]+)')) AS INTEGER) AS words, contains(name, 'widget') AS widget FROM strategies"))
+GOOD = "class VariantNN(bt.Strategy):\n    def next(self):\n        if len(self) < 5:\n            return\n        self.buy()"
+FLAWED = "class V(bt.Strategy):\n    def __init__(self):\n        self.o = bt.ind.OnBalanceVolume(self.data)\n    def next(self):\n        self.sell(price=self.position.price)"
+BROKEN = "class VariantNN(bt.Strategy)\n    pass"
+OTHER = "class Helper:\n    pass"
+PART = lambda n, code: f"### VARIANT_{n} ###\n```python\n{code}\n```\n"
+#: Replies of a model, and (number, ok, warnings) of the variants in them.
+VARIED = [
+    (PART("01", GOOD) + "And:\n" + PART("2", FLAWED), [(1, True, []), (2, True, ["obv", "price", "bars"])]), ("No variants today, NN.", []),
+    (PART("07", BROKEN) + PART("08", OTHER), [(7, False, [])]), (PART("10", GOOD).lower().replace("variant_10", "Variant_10").replace("bt.strategy", "bt.Strategy"), [(10, True, [])]),
+]
+
+
+def _varied(s, d):
+    reply = F.get(F.array(*[F.lit(t) for t, _ in VARIED]), (F.col("strategy_id") % len(VARIED)).cast("int"))
+    x = strategies(s, d).select("strategy_id", F.replace(reply, F.lit("NN"), F.lpad((F.col("strategy_id") % 100).cast("string"), 2, "0")).alias("reply"))
+    v = x.select("strategy_id", F.explode(tx.variants_of_reply("reply")).alias("v"))
+    return v.select("strategy_id", F.col("v.number").alias("number"), F.col("v.ok").alias("ok"), F.concat_ws(",", "v.warnings").alias("warnings"))
+
+
+ROWS = ", ".join(f"({i}, {n}, {str(ok).lower()}, '{','.join(w)}')" for i, (_, vs) in enumerate(VARIED) for n, ok, w in vs)
+add("T13_variants", _varied, with_views("strategies", f"SELECT strategy_id, number, ok, warnings FROM strategies JOIN (VALUES {ROWS}) v(kind, number, ok, warnings) ON strategy_id % {len(VARIED)} = kind"))
 
 
 BUCKETS = 5000

@@ -50,17 +50,36 @@ def normalised(raw: DataFrame) -> DataFrame:
     return out.na.drop(subset=["ts", "open", "high", "low", "close"])
 
 
-def read_bars(spark: SparkSession, path: str, fmt: str = "csv", encodings: tuple[str, ...] = ("UTF-8", "windows-1252", "ISO-8859-1")) -> DataFrame:
-    """Bars of CSV or Parquet files below a folder; the first encoding whose header is known is taken."""
-    glob = {"csv": "*.{csv,CSV}", "parquet": "*.parquet"}[fmt]
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    if fmt == "parquet":
-        return normalised(reader.parquet(path))
+def read_text(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """CSV files below a folder, all columns as text, in the first encoding that has a known header and reads every field whole.
+
+    A byte that an encoding doesn't have shows as U+FFFD: a search that stops at the first one decides.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,CSV}").option("header", True)
+    raw = None
     for e in encodings:
-        raw = reader.option("header", True).option("encoding", e).csv(path)
-        if any(h.strip().lower() in HEADERS["close"] for h in raw.columns):
+        raw = reader.option("encoding", e).csv(path)
+        if not any(h.strip().lower() in HEADERS["close"] for h in raw.columns):
+            continue
+        broken = F.lit(any("\ufffd" in h for h in raw.columns))
+        for c in raw.columns:
+            broken = broken | F.coalesce(F.col(f"`{c}`").contains("\ufffd"), F.lit(False))
+        if raw.filter(broken).isEmpty():
             break
-    return normalised(raw)
+    return raw
+
+
+def read_bars(spark: SparkSession, path: str, fmt: str = "csv", encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """Bars of CSV, Parquet or Excel files below a folder; of CSV in the first encoding that reads them whole."""
+    if fmt == "parquet":
+        return normalised(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path))
+    if fmt == "xlsx":
+        from . import xlsx
+
+        return normalised(xlsx.table(xlsx.read_cells(spark, path)).drop("path", "row"))
+    if fmt != "csv":
+        raise ValueError(f"unknown kind of file {fmt}")
+    return normalised(read_text(spark, path, encodings))
 
 
 def discover(spark: SparkSession, path: str, endings: tuple[str, ...] = ("csv", "parquet", "xlsx")) -> DataFrame:
