@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kernels import _cross_returns
+from ..functions.kernels import cross_grid, cross_grid_sql
 from ..functions.normal import chi2_sf_even, norm_cdf, norm_pdf
 from ..functions.statistics import pass_rate
 from ..operators.bars import resample
@@ -48,13 +50,17 @@ add("S13_asset_router", lambda s, d: trades(s, d).groupBy("symbol").agg(F.max(as
 def _batch(s, d):
     """The cross of moving averages for every symbol and timeframe."""
     h = cut(hourly(s, d), "bars")
-    out = _cross_returns(h, 10, 30).withColumn("timeframe", F.lit("1hour"))
-    for tf in ("4hour", "1day"):
-        out = out.unionByName(_cross_returns(resample(h, tf), 10, 30).withColumn("timeframe", F.lit(tf)))
+    out = None
+    for tf in ("1hour", "4hour", "1day"):
+        g = cross_grid(h if tf == "1hour" else resample(h, tf), [(10, 30, 0, 0.0)]).withColumn("timeframe", F.lit(tf))
+        out = g if out is None else out.unionByName(g)
     return out.select("symbol", "timeframe", "mean", "metric")
 
 
-add("B-3_batch", _batch)
+COARSER = {"4hour": "time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '2000-01-01')", "1day": "date_trunc('day', ts)"}
+_each = "".join(f", b_{tf} AS (SELECT symbol, {t} AS ts, last(close ORDER BY bars.ts) AS close FROM bars GROUP BY symbol, {t})" for tf, t in COARSER.items())
+_grids = "".join(re.sub(r"\b(g\d|grid)\b", rf"\1_{tf}", cross_grid_sql([(10, 30, 0, 0.0)], "bars" if tf == "1hour" else f"b_{tf}")) for tf in ("1hour", *COARSER))
+add("B-3_batch", _batch, "bars", _each + _grids + " " + " UNION ALL ".join(f"SELECT symbol, '{tf}' AS timeframe, {r('mean', 'metric')} FROM grid_{tf}" for tf in ("1hour", *COARSER)))
 
 
 def _rule_trades(s, d):
@@ -73,12 +79,8 @@ BUDGET = 12
 
 
 def _grid(s, d, tried: list[tuple[int, int]]):
-    """Mean metric of every tried (fast, slow), from bars that are made once."""
-    h, out = cut(hourly(s, d), "bars"), None
-    for fast, slow in tried:
-        g = _cross_returns(h, fast, slow).withColumns({"fast": F.lit(fast), "slow": F.lit(slow)})
-        out = g if out is None else out.unionByName(g)
-    return out.groupBy("fast", "slow").agg(F.avg("metric").alias("objective"))
+    """Mean metric of every tried (fast, slow), in one pass over the bars."""
+    return cross_grid(hourly(s, d), [(f, w, 0, 0.0) for f, w in tried]).groupBy("fast", "slow").agg(F.avg("metric").alias("objective"))
 
 
 def _search(s, d):
@@ -95,7 +97,8 @@ def _search(s, d):
     return s.createDataFrame(rows, "trial int, fast int, slow int, objective double, best boolean")
 
 
-add("B-5_parameter_objective", lambda s, d: _grid(s, d, [(5, 20), (5, 30), (10, 30), (10, 50), (20, 50)]))
+TRIED = [(5, 20), (5, 30), (10, 30), (10, 50), (20, 50)]
+add("B-5_parameter_objective", lambda s, d: _grid(s, d, TRIED), "bars", cross_grid_sql([(f, w, 0, 0.0) for f, w in TRIED]) + f" SELECT fast, slow, {r('avg(metric) AS objective')} FROM grid GROUP BY fast, slow")
 add("P21_budgeted_search", _search)
 KEY = "((sim * 1103515 + t * 12345 + 6789) % 1000003 * 7919 + sim * 31 + t * 17) % 999983 % 999983 + 1"
 add("K10_pass_rate", lambda s, d: pass_rate(returns(s, d)), "returns", f", x AS (SELECT *, {KEY} AS key FROM returns, generate_series(1, 1000) g(sim)), e AS (SELECT *, sum(r) OVER w AS e, row_number() OVER w AS place FROM x WINDOW w AS (PARTITION BY strategy_id, sim ORDER BY key, t ROWS UNBOUNDED PRECEDING)), g AS (SELECT strategy_id, sim, min(place) FILTER (round(e, 9) >= 0.1) AS hit, min(place) FILTER (round(e, 9) <= -0.1) AS ruin FROM e GROUP BY ALL) SELECT strategy_id, {r('count(*) FILTER (hit < coalesce(ruin, 1 << 30)) / count(*) AS pass_rate')} FROM g GROUP BY 1")

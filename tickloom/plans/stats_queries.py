@@ -115,10 +115,11 @@ add("X6_dates", lambda s, d: trades(s, d).groupBy(F.date_format("exit_ts", "yyyy
 # kernels in numpy, one series a group
 add("V9_garch", lambda s, d: scans.garch(bars_r(s, d), "symbol", "ts", "r"))
 add("V15_permutation_test", lambda s, d: kernels.permutation_test(bars_r(s, d), "symbol", "ts", "r"))
-add("V17_latency", lambda s, d: kernels.latency(hourly(s, d)))
-add("V18_slippage_stress", lambda s, d: kernels.slippage_stress(hourly(s, d)))
-add("V19_combined_stress", lambda s, d: kernels.combined_stress(hourly(s, d)))
-add("V20_parameter_sweep", lambda s, d: kernels.parameter_sweep(hourly(s, d)))
-add("V21_heat_map", lambda s, d: kernels.heat_map(hourly(s, d)))
+GRID = lambda cells: kernels.cross_grid_sql(cells)
+add("V17_latency", lambda s, d: kernels.latency(hourly(s, d)), "bars", GRID(kernels.LATENCY_CELLS) + f", l AS (SELECT *, first_value(metric) OVER (PARTITION BY symbol ORDER BY delay) AS base FROM grid), q AS (SELECT symbol, delay, metric, CASE WHEN delay > 0 AND abs(base) > 1e-12 THEN (base - metric) / abs(base) / delay END AS loss_per_bar FROM l) SELECT symbol, delay, {r('metric', 'loss_per_bar')}, coalesce(loss_per_bar, 0) > 0.2 AS fragile FROM q")
+add("V18_slippage_stress", lambda s, d: kernels.slippage_stress(hourly(s, d)), "bars", GRID(kernels.SLIPPAGE_CELLS) + f", l AS (SELECT *, round(cost / 0.001, 6) AS factor FROM grid), p AS (SELECT *, lag(mean) OVER w AS pm, lag(factor) OVER w AS pf FROM l WINDOW w AS (PARTITION BY symbol ORDER BY factor)) SELECT symbol, {r('factor', 'mean', 'metric', 'CASE WHEN pm > 0 AND mean <= 0 THEN pf + (factor - pf) * pm / (pm - mean) END AS break_even')} FROM p")
+add("V19_combined_stress", lambda s, d: kernels.combined_stress(hourly(s, d)), "bars", GRID(kernels.STRESS_CELLS) + f", l AS (SELECT symbol, delay, {', '.join(f'max(mean) FILTER (round(cost / 0.001) = {k}) AS cost_{k}' for k in (1, 2, 3))} FROM grid GROUP BY ALL), v AS (SELECT symbol, 100.0 * count(*) FILTER (mean > 0) / count(*) AS survival_pct FROM grid GROUP BY symbol) SELECT symbol, delay, {r('cost_1', 'cost_2', 'cost_3', 'survival_pct')} FROM l JOIN v USING (symbol)")
+add("V20_parameter_sweep", lambda s, d: kernels.parameter_sweep(hourly(s, d)), "bars", GRID(kernels.SWEEP_CELLS) + f", l AS (SELECT symbol, fast, round(metric, 9) AS m FROM grid), p AS (SELECT *, abs(m - lag(m) OVER (PARTITION BY symbol ORDER BY fast)) AS step FROM l) SELECT symbol, first(fast ORDER BY m DESC NULLS LAST, fast) AS best, {r('max(m) AS metric', 'avg(step) AS mean_step')} FROM p GROUP BY symbol")
+add("V21_heat_map", lambda s, d: kernels.heat_map(hourly(s, d)), "bars", GRID(kernels.HEAT_CELLS) + f", l AS (SELECT symbol, fast, slow, round(metric, 9) AS m FROM grid), p AS (SELECT *, greatest(abs(m - lag(m) OVER (PARTITION BY symbol, fast ORDER BY slow)), abs(m - lag(m) OVER (PARTITION BY symbol, slow ORDER BY fast))) AS step, max(m) OVER (PARTITION BY symbol) AS top FROM l) SELECT symbol, first(fast ORDER BY m DESC NULLS LAST, fast, slow) AS fast, first(slow ORDER BY m DESC NULLS LAST, fast, slow) AS slow, {r('max(m) AS metric', '100.0 * count(*) FILTER (m >= 0.9 * top) / count(*) AS plateau_pct', 'max(step) AS cliff')} FROM p GROUP BY symbol")
 add("V23_extreme_value", lambda s, d: kernels.extreme_value(returns(s, d)))
 add("V25_feature_table", lambda s, d: st.distribution(returns(s, d)).join(st.value_at_risk(returns(s, d)), "strategy_id").join(st.losing_streak(returns(s, d), "strategy_id", ["t"], "r"), "strategy_id", "left"))
