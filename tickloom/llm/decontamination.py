@@ -77,7 +77,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         return docs.sparkSession.createDataFrame([], f"{id_col} {kind[1]}, {item_id} {kind[0]}, n_shingles long, n_found long, containment double")
     # by partition: the least words a document must have, and the highest hash worth a lookup
     parts = sketch.groupBy("part").agg(F.min("need").alias("need"), F.max("h").alias("top")).collect()  # at most 65 rows
-    base = docs.select(F.col(id_col).alias("id"), _words(text_col).alias("w"))
+    # a row of words each: what generates rows isn't repeated in the filters above it, so that a text is split once
+    base = docs.select(F.col(id_col).alias("id"), F.explode(F.array(_words(text_col))).alias("w"))
     places = F.greatest(F.size("w") - WORDS + 1, F.lit(1))
     top = F.lit(None).cast("long")
     for p in sorted(parts, key=lambda p: p["need"]):
