@@ -72,7 +72,8 @@ def _writer(folder: str, tokenizer: str, pattern: str, eod: int, width: int):
 def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN, eod: int = EOD, width: int = 2) -> DataFrame:
     """Tokenise texts into flat files in the shared folder; returns which document lies where (file, ordinal, id).
 
-    A null text is a document without tokens. `width` is the bytes of an identifier (2 or 4). The
+    A null text is a document without tokens, and so is an empty one; rows that repeat an id are documents of their own; a text
+    of any length is tokenised whole; an empty table gives no files. Every executor reads the vocabulary at `tokenizer`. `width` is the bytes of an identifier (2 or 4). The
     returned table is stored, so the files are written once.
     """
     spark = docs.sparkSession
@@ -122,16 +123,17 @@ def count_tokens(files: DataFrame, eod: int = EOD, width: int = 2, block_bytes:
     offset = F.col("block") * block_bytes
     blocks = blocks.select("file", "block", offset.alias("offset"), F.least(F.lit(block_bytes), F.col("bytes") - offset).alias("length"))
     found = blocks.repartition("file", "block").mapInArrow(_scan_blocks(eod, width), "file string, block long, start long, n long, first long, last long, inner array<long>")
-    # The prefix scan: what lies before a block in its file.
+    found = saved(found, "token-blocks")
+    # The prefix scan: what lies before a block in its file, from a few numbers a block; the separators stay where they are.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    n_seps = F.when(F.col("first").isNull(), F.lit(0)).otherwise(F.size("inner") + 1)
+    n_seps = F.when(F.col("first").isNull(), F.lit(0)).otherwise(F.col("n_inner") + 1)
     scanned = (
-        found.withColumn("done", F.coalesce(F.sum(n_seps).over(before), F.lit(0)))
+        found.select("file", "block", "start", "n", "first", "last", F.size("inner").alias("n_inner")).withColumn("done", F.coalesce(F.sum(n_seps).over(before), F.lit(0)))
         .withColumn("open_from", F.coalesce(F.max(F.col("start") + F.col("last") + 1).over(before), F.lit(0).cast("long")))
         .withColumn("is_last", F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull())
     )
     head = F.col("start") + F.col("first") - F.col("open_from")
-    ended = scanned.filter("first is not null").select("file", "done", F.posexplode(F.concat(F.array(head), "inner")).alias("i", "n_tokens")).select("file", (F.col("done") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("closed"))
+    ended = scanned.filter("first is not null").join(found.select("file", "block", "inner"), ["file", "block"]).select("file", "done", F.posexplode(F.concat(F.array(head), "inner")).alias("i", "n_tokens")).select("file", (F.col("done") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("closed"))
     rest = F.col("start") + F.col("n") - F.coalesce(F.col("start") + F.col("last") + 1, F.col("open_from"))
     tail = scanned.filter("is_last").select("file", (F.col("done") + n_seps).alias("ordinal"), rest.alias("n_tokens"), F.lit(False).alias("closed")).filter("n_tokens > 0")
     return ended.unionByName(tail)
