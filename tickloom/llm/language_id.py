@@ -231,7 +231,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         learn = sample.filter(~back)
     else:
         learn = sample
-    models = {r["lang"]: pickle.loads(r["model"]) for r in learn.groupBy("lang").applyInArrow(_train_one(most_chars), "lang string, model binary").collect()}
+    cut = learn.withColumn("text", F.substring("text", 1, most_chars))  # a text that is longer is the whole sample of its language
+    models = {r["lang"]: pickle.loads(r["model"]) for r in cut.groupBy("lang").applyInArrow(_train_one(most_chars), "lang string, model binary").collect()}
     names = sorted(models)
     out = Languages(names, [models[k] for k in names], [(0.0, float("inf"))] * len(names))
     if not names:
