@@ -264,3 +264,19 @@ def test_sql(name, spark, duck, data, rows_of):
         if "parent_conv_id" in frame:
             frame["parent_conv_id"] = frame["parent_conv_id"].astype("Int64")
     assert sorted(got.columns) == sorted(wanted.columns) and rows_of(got) == rows_of(wanted)
+
+
+# -- 10: long texts ----------------------------------------------------------------------------------
+
+
+def test_chat_texts_of_millions(spark):
+    import time
+
+    from tickloom.llm.chat import as_events, fold_and_render
+
+    text = "line\n😀\r x" * 300_000  # 2,700,000 characters with all that a dot may not match
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text[:1_000_001]), (2, 0, None, ""), (None, 0, "user", "a" * 200), (None, None, "user", "b" * 201)], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    back = collections.Counter((r["conv_id"], r["role"], r["text"]) for r in fold_and_render(as_events(df)).collect())
+    assert back == collections.Counter({(1, "user", text): 1, (1, "assistant", text[:1_000_001]): 1, (2, "", ""): 1, (None, "user", "a" * 200): 1, (None, "user", "b" * 201): 1})
+    assert time.time() - began < 60 and as_events(df.filter("false")).count() == 0

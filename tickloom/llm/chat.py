@@ -129,20 +129,22 @@ def as_events(messages: DataFrame, chunk: int = 200) -> DataFrame:
     Every message starts, then streams its text in deltas of `chunk` characters. Before that, an
     assistant message is first streamed wrongly and regenerated; a user message is first sent with a
     slip and edited. Rows of one (conversation, turn) are numbered apart, so that repeated rows stay
-    messages of their own.
+    messages of their own. Null roles and texts are empty; messages with a null conversation are one conversation, and a
+    null turn comes first; a text of any length is cut in one pass; no messages give no events.
     """
     m = messages.select("conv_id", F.col("turn").alias("__t"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(chunk))).cast("int")
+    # one pass over a text, whatever its length; an empty one is one empty delta
+    parts = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)))
     # seq leaves room for the events of each turn; equal turns are told apart by their place
     place = Window.partitionBy("conv_id").orderBy(F.col("__t").asc_nulls_first(), "role", "text")
-    m = m.withColumn("turn", F.row_number().over(place).cast("long")).withColumn("n", n)
+    m = m.withColumn("turn", F.row_number().over(place).cast("long"))
     ev = lambda kind, role, text: F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
     none = F.lit(None).cast("string")
     first = F.when(
         F.col("role") == LOSS_ROLE, F.array(ev("start", F.col("role"), none), ev("delta", none, F.lit("Let me")), ev("delta", none, F.lit(" see.")), ev("regenerate", none, none))
     ).when(F.col("role") == "user", F.array(ev("start", F.col("role"), none), ev("delta", none, F.concat(F.lit("teh "), F.substring("text", 1, 20))), ev("edit", none, F.lit(""))))
     first = first.otherwise(F.array(ev("start", F.col("role"), none)))
-    deltas = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: ev("delta", none, F.substring(F.col("text"), i * chunk + 1, F.lit(chunk))))
+    deltas = F.transform(parts, lambda x: ev("delta", none, x))
     log = m.select("conv_id", "turn", F.posexplode(F.concat(first, deltas)).alias("__p", "e"))
     return log.select("conv_id", (F.col("turn") * (1 << 32) + F.col("__p")).alias("seq"), "turn", "e.kind", "e.role", "e.text")
 
