@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = tuple(f"tickloom.plans.{m}" for m in ("market", "results_queries", "trading_queries", "stats_queries", "selection_queries", "text_queries", "live_queries", "more_queries", "surface_queries", "models_queries", "stream_queries"))
+MODULES = tuple(f"tickloom.plans.{m}" for m in ("market", "results_queries", "trading_queries", "stats_queries", "selection_queries", "text_queries", "live_queries", "more_queries", "surface_queries", "models_queries", "stream_queries", "report_queries"))
 
 
 def queries() -> dict:

@@ -125,6 +125,21 @@ def pass_rate(returns: DataFrame, sims: int = 1000, target: float = 0.1, limit:
     return _per_series(returns, make, ["pass_rate"])
 
 
+def sign_flip(returns: DataFrame, sims: int = 40) -> DataFrame:
+    """`p`: the share of simulations whose mean, with signs flipped by a seeded draw, is at least the real one."""
+
+    def make(x: np.ndarray) -> list[float]:
+        n, hits, step = len(x), 0, max(1, (1 << 20) // len(x))
+        real = round(float(x.mean()), 12)
+        for lo in range(1, sims + 1, step):
+            sim = np.arange(lo, min(sims + 1, lo + step), dtype=np.int64)
+            sign = np.where(_drawn(sim[:, None], np.arange(1, n + 1, dtype=np.int64)[None, :], 2) == 1, 1.0, -1.0)
+            hits += int((np.round((sign * x).mean(1), 12) >= real).sum())
+        return [hits / sims]
+
+    return _per_series(returns, make, ["p"])
+
+
 def walk_forward(returns: DataFrame, folds: int = 3, share: float = 0.7) -> DataFrame:
     """Per fold: in-sample and out-of-sample mean; then degradation, share of positive folds, correlation."""
     n = F.max("t").over(Window.partitionBy(BY))
@@ -357,3 +372,19 @@ def example_frame(spark: SparkSession, rows: list[tuple[int, int, float]]) -> Da
     """A small long table of returns."""
     return spark.createDataFrame(rows, "strategy_id long, t long, r double")
 
+
+
+def classified(df: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
+    """What a classifier said and what came, by bin of its probability: `bin`, `n`, mean `said`, share `came`; and over all bins the
+    `precision` and `recall` of p >= 0.5, the Brier score and the expected calibration error."""
+    b = df.withColumn("bin", F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int"))
+    hit = F.col(p) >= 0.5
+    g = b.groupBy("bin").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(p).alias("said"), F.avg(label).alias("came"), F.count_if(hit & (F.col(label) == 1)).alias("tp"), F.count_if(hit & (F.col(label) == 0)).alias("fp"),
+        F.count_if(~hit & (F.col(label) == 1)).alias("fn"), F.sum(F.pow(F.col(p) - F.col(label), F.lit(2.0))).alias("sq"),
+    )
+    total = g.agg(
+        F.try_divide(F.sum("tp"), F.sum(F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide(F.sum("tp"), F.sum(F.col("tp") + F.col("fn"))).alias("recall"),
+        (F.sum("sq") / F.sum("n")).alias("brier"), (F.sum(F.col("n") * F.abs(F.col("said") - F.col("came"))) / F.sum("n")).alias("calibration_error"),
+    )
+    return g.select("bin", "n", "said", "came").join(F.broadcast(total), how="cross")  # one row

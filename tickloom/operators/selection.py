@@ -331,3 +331,52 @@ def _nearest_of(refs: np.ndarray, ref_ids: np.ndarray, threshold: float):
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.where(better, top, old)), pa.array(of, pa.int64())], names=["vec_id", "embedding", "sim", "duplicate_of"])
 
     return run
+
+
+def knee_point(front: DataFrame, x: str, y: str, key: str) -> DataFrame:
+    """The row of a two-dimensional front that is farthest from the line between its ends (by `x`, then `y`, then key), and how far
+    (`bend`); ties go to the smaller key. Two ends at one place have no line, and the first row is taken."""
+    place = F.struct(x, y, key)
+    ends = front.agg(F.min_by(F.struct(x, y), place).alias("a"), F.max_by(F.struct(x, y), place).alias("b"))
+    f = front.join(F.broadcast(ends), how="cross")  # one row
+    dx, dy = F.col(f"b.{x}") - F.col(f"a.{x}"), F.col(f"b.{y}") - F.col(f"a.{y}")
+    away = F.abs(dx * (F.col(f"a.{y}") - F.col(y)) - dy * (F.col(f"a.{x}") - F.col(x)))
+    bend = F.round(F.try_divide(away, F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0))), 9)
+    return f.select(key, bend.alias("bend")).orderBy(F.col("bend").desc_nulls_last(), key).limit(1)
+
+
+def volatility_target(df: DataFrame, order: str, value: str, target: float, window: int, most: float) -> DataFrame:
+    """A return series scaled to a yearly deviation: `scale` is the target over the deviation of the `window` values before, at most
+    `most`, and 1 until there are so many. The window reads neighbours by their number, so that no task holds the series."""
+    from .ordering import numbered
+
+    rows = cut(numbered(df.select(order, value), [order], "n"), "series")
+    before = rows.select(F.col(value).alias("v"), F.explode(F.sequence(F.col("n") + 1, F.col("n") + window)).alias("n"))
+    sd = before.groupBy("n").agg(F.count("v").alias("c"), F.stddev_samp("v").alias("sd"))
+    x = rows.join(sd, "n", "left")
+    scale = F.when((F.col("c") == window) & (F.col("sd") > 1e-9), F.least(F.lit(most), target / (F.col("sd") * 252.0**0.5))).otherwise(1.0)
+    return x.select(order, value, scale.alias("scale"), (F.col(value) * scale).alias("scaled"))
+
+
+def compare_methods(returns: DataFrame, ids: list[int]) -> DataFrame:
+    """A row for each way of weighting a short list: what its portfolio is expected to do, and how spread it is.
+
+    Moments come from sums in Spark; the worst drawdown walks the weighted returns of the list, place by place, as running sums."""
+    from .ordering import running
+
+    mean, cov = covariance(returns, ids)
+    w = portfolios(returns, ids)
+    rows, vol = [], np.sqrt(np.diag(cov))
+    for method, g in w.toPandas().groupby("method", sort=True):  # six rows for each of the short list
+        x = g.set_index("strategy_id")["weight"].reindex(ids).to_numpy()
+        total, gain = float(np.sqrt(x @ cov @ x)), float(x @ mean)
+        corr = cov / np.maximum(np.outer(vol, vol), 1e-18)
+        pairs = corr[np.triu_indices(len(ids), 1)]
+        rows.append((method, gain * 252 * 100, total * 252**0.5 * 100, gain / total * 252**0.5 if total > 1e-12 else None, float(x @ vol / max(total, 1e-12)), float(1 / (x * x).sum()), float(x.max() * 100), float(pairs.mean()) if len(pairs) else None))
+    out = returns.sparkSession.createDataFrame(rows, "method string, expected_return double, volatility double, sharpe double, diversification double, effective_n double, max_weight double, avg_correlation double")
+    common = returns.filter(F.col("strategy_id").isin(ids)).join(w.select("method", "strategy_id", "weight"), "strategy_id")
+    whole = common.groupBy("method", "t").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("r") * F.col("weight")).alias("r")).filter(F.col("k") == len(ids))
+    e = cut(running(whole, ["t"], sums={"s": F.log1p("r")}, by=["method"]), "curves")
+    top = running(e, ["t"], most={"top": F.col("s")}, by=["method"])
+    dd = top.groupBy("method").agg(F.max(1 - F.exp(F.col("s") - F.greatest(F.lit(0.0), F.col("top")))).alias("max_drawdown"))
+    return out.join(dd, "method")

@@ -83,7 +83,7 @@ add("V11_pbo", lambda s, d: st.pbo_summary(st.pbo(returns(s, d))), "returns", PB
 QUERIES["W22_ntile"] = lambda s, d: returns(s, d).withColumn("part", F.ntile(8).over(Window.partitionBy("strategy_id").orderBy("t"))).groupBy("strategy_id", "part").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last"))
 ORACLE["W22_ntile"] = with_views("returns", ", p AS (SELECT *, CAST(ntile(8) OVER (PARTITION BY strategy_id ORDER BY t) AS INTEGER) AS part FROM returns) SELECT strategy_id, part, count(*) AS n, max(t) AS last FROM p GROUP BY ALL")
 add("V14_tearsheet", lambda s, d: returns(s, d).groupBy("strategy_id").agg((F.avg("r") * 252).alias("annual"), (F.stddev_samp("r") * math.sqrt(252)).alias("vol"), (F.count_if(F.col("r") > 0) / F.count(F.lit(1))).alias("win"), F.percentile("r", 0.05).alias("var95"), (F.exp(F.sum(F.log1p("r"))) - 1).alias("total")), "returns", f"SELECT strategy_id, {r('avg(r) * 252 AS annual', 'stddev_samp(r) * sqrt(252.0) AS vol', 'count(*) FILTER (r > 0) / count(*) AS win', 'quantile_cont(r, 0.05) AS var95', 'exp(sum(ln(1 + r))) - 1 AS total')} FROM returns GROUP BY 1")
-add("V16_sign_flip", lambda s, d: returns(s, d).withColumn("sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long")))).withColumn("x", F.col("r") * F.when(st.draw(F.col("sim"), F.col("t"), F.lit(2)) == 1, 1).otherwise(-1)).groupBy("strategy_id", "sim").agg(F.avg("x").alias("m"), F.avg("r").alias("real")).groupBy("strategy_id").agg((F.count_if(F.round("m", 12) >= F.round("real", 12)) / F.count(F.lit(1))).alias("p")), "returns", f", x AS (SELECT strategy_id, sim, avg(r * CASE WHEN {DRAW.format(s='sim', k='t', n='2')} = 1 THEN 1 ELSE -1 END) AS m, avg(r) AS real FROM returns, generate_series(1, 40) g(sim) GROUP BY ALL) SELECT strategy_id, {r('count(*) FILTER (round(m, 12) >= round(real, 12)) / count(*) AS p')} FROM x GROUP BY 1")
+add("V16_sign_flip", lambda s, d: st.sign_flip(returns(s, d)), "returns", f", x AS (SELECT strategy_id, sim, avg(r * CASE WHEN {DRAW.format(s='sim', k='t', n='2')} = 1 THEN 1 ELSE -1 END) AS m, avg(r) AS real FROM returns, generate_series(1, 40) g(sim) GROUP BY ALL) SELECT strategy_id, {r('count(*) FILTER (round(m, 12) >= round(real, 12)) / count(*) AS p')} FROM x GROUP BY 1")
 add("V23_tail_risk", lambda s, d: st.tail_risk(returns(s, d)).select("strategy_id", "var95", "var99", "cvar95", "cvar99", "dar95", "max_dd"), "returns", TAIL + f", e AS (SELECT *, exp(sum(ln(1 + greatest(r, -0.99))) OVER (PARTITION BY strategy_id ORDER BY t)) AS e FROM returns), p AS (SELECT *, 1 - e / greatest(1.0, max(e) OVER (PARTITION BY strategy_id ORDER BY t)) AS dd FROM e), h AS (SELECT strategy_id, quantile_cont(dd, 0.95) AS dar95, max(dd) AS max_dd FROM p GROUP BY 1) SELECT strategy_id, {r('v95 AS var95', 'v99 AS var99', 'cvar95', 'cvar99', 'dar95', 'max_dd')} FROM v JOIN t USING (strategy_id) JOIN h USING (strategy_id)")
 add("V23_tail_score", lambda s, d: st.tail_risk(returns(s, d)).select("strategy_id", "score"))
 CUM = STEPS + ", z AS (SELECT symbol, ts, ret_1 AS r, (ret_1 - avg(ret_1) OVER (PARTITION BY symbol)) / stddev_samp(ret_1) OVER (PARTITION BY symbol) AS z FROM i2 WHERE ret_1 IS NOT NULL), u AS (SELECT *, sum(z - 0.5) OVER w AS u, sum(-z - 0.5) OVER w AS d, sum(z) OVER w AS plain, r - avg(r) OVER w - 0.005 AS x FROM z WINDOW w AS (PARTITION BY symbol ORDER BY ts)), s AS (SELECT *, sum(x) OVER (PARTITION BY symbol ORDER BY ts) AS s FROM u)"
