@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kernels import cross_grid, cross_grid_sql
-from ..functions.normal import chi2_sf_even, norm_cdf, norm_pdf
-from ..functions.statistics import pass_rate
+from ..functions.normal import chi2_sf_even, norm_cdf, norm_pdf, norm_ppf
+from ..functions.statistics import distribution, pass_rate
 from ..operators.bars import resample
 from ..operators.reports import asset_class
 from ..operators.simulate import RULES, simulate
 from ..sources import files
 from ..sources.storage import cut
-from ..sources.views import SYMBOLS, returns, strategies, table, trades
+from ..sources.views import SYMBOLS, results, returns, strategies, table, trades
 from ..sql import with_views
 from .common import duck_normal, rounded
 from .market import hourly
 from .results_queries import CLASS, r
+from .stats_queries import MOM
 from .trading_queries import _signals
 
 QUERIES: dict = {}
@@ -35,15 +36,28 @@ def add(name: str, query, views: str = "", sql: str = "") -> None:
 
 
 add("X1_clip", lambda s, d: trades(s, d).groupBy("symbol").agg(F.avg(F.least(F.greatest("return_pct", F.lit(-5.0)), F.lit(5.0))).alias("clipped")), "trades", f"SELECT symbol, {r('avg(least(greatest(return_pct, -5.0), 5.0)) AS clipped')} FROM trades GROUP BY 1")
-add("X2_numeric", lambda s, d: s.range(1, 21).select("id", F.log(F.col("id").cast("double")).alias("ln"), F.sqrt(F.col("id").cast("double")).alias("root"), F.pow(F.col("id").cast("double"), F.lit(0.6)).alias("power"), F.sinh(F.col("id") / 10).alias("sinh"), F.log(F.col("id") / (21 - F.col("id"))).alias("logit")), "ticks", f"SELECT id, {r('ln(id) AS ln', 'sqrt(id) AS root', 'pow(id, 0.6) AS power', 'sinh(id / 10) AS sinh', 'ln(id / (21 - id)) AS logit')} FROM generate_series(1, 20) g(id)")
-add("X3_chi_squared", lambda s, d: s.range(1, 21).select("id", chi2_sf_even(F.col("id").cast("double"), 2).alias("p2"), chi2_sf_even(F.col("id").cast("double"), 4).alias("p4")), "ticks", f"SELECT id, {r('exp(-id / 2) AS p2', 'exp(-id / 2) * (1 + id / 2) AS p4')} FROM generate_series(1, 20) g(id)")
-add("X3_normal", lambda s, d: s.range(-20, 21).select("id", norm_cdf(F.col("id") / 5.0).alias("cdf"), norm_pdf(F.col("id") / 5.0).alias("pdf")), "ticks", f"SELECT id, {r(duck_normal('(id / 5)') + ' AS cdf', 'exp(-id * id / 50) / sqrt(2 * pi()) AS pdf')} FROM generate_series(-20, 20) g(id)")
+NUMERIC = "SELECT strategy_id, symbol, total_trades AS n, win_rate / 100 AS p, total_return_pct AS x FROM results"
+add("X2_numeric", lambda s, d: results(s, d).select("strategy_id", "symbol", F.log(F.col("total_trades").cast("double")).alias("ln"), F.sqrt(F.col("total_trades").cast("double")).alias("root"), F.pow(F.col("total_trades").cast("double"), F.lit(0.6)).alias("power"), F.sinh(F.greatest(F.lit(-3.0), F.least(F.lit(3.0), F.col("total_return_pct")))).alias("sinh"), F.when((F.col("win_rate") > 0) & (F.col("win_rate") < 100), F.log(F.try_divide(F.col("win_rate"), 100 - F.col("win_rate")))).alias("logit")), "results", f", v AS ({NUMERIC}) SELECT strategy_id, symbol, {r('ln(n) AS ln', 'sqrt(n) AS root', 'pow(n, 0.6) AS power', 'sinh(greatest(-3.0, least(3.0, x))) AS sinh', 'CASE WHEN p > 0 AND p < 1 THEN ln(p / (1 - p)) END AS logit')} FROM v")
+JB = "g.n / 6 * (skew * skew + kurt * kurt / 4)"
+add("X3_chi_squared", lambda s, d: distribution(returns(s, d)).filter("jb is not null").select("strategy_id", chi2_sf_even(F.col("jb"), 2).alias("p2"), chi2_sf_even(F.col("jb"), 4).alias("p4")), "returns", MOM + f", j AS (SELECT strategy_id, {JB} AS x FROM g) SELECT strategy_id, {r('exp(-x / 2) AS p2', 'exp(-x / 2) * (1 + x / 2) AS p4')} FROM j WHERE x IS NOT NULL")
+add("X3_normal", lambda s, d: results(s, d).filter("abs(sharpe_ratio) < 100").select("strategy_id", "symbol", norm_cdf(F.col("sharpe_ratio") / 5.0).alias("cdf"), norm_pdf(F.col("sharpe_ratio") / 5.0).alias("pdf"), norm_ppf(F.col("win_rate") / 100).alias("quantile")).withColumn("back", norm_cdf("quantile")).drop("quantile"), "results", f", z AS (SELECT strategy_id, symbol, sharpe_ratio / 5 AS z, win_rate / 100 AS w FROM results WHERE abs(sharpe_ratio) < 100) SELECT strategy_id, symbol, {r(duck_normal('z') + ' AS cdf', 'exp(-z * z / 2) / sqrt(2 * pi()) AS pdf', 'CASE WHEN w > 0 AND w < 1 THEN w END AS back')} FROM z")
 add("X7_time_zones", lambda s, d: trades(s, d).select(F.from_utc_timestamp(F.col("entry_ts") + F.expr("INTERVAL 90 MINUTES"), "Asia/Tokyo").alias("t")).groupBy(F.hour("t").alias("hour")).count(), "trades", "SELECT CAST(hour(entry_ts + INTERVAL 90 MINUTE + INTERVAL 9 HOUR) AS INTEGER) AS hour, count(*) AS count FROM trades GROUP BY 1")
 add("X8_strings", lambda s, d: strategies(s, d).select("strategy_id", F.upper("name").alias("u"), F.replace("name", F.lit(" "), F.lit("-")).alias("dashed"), F.concat_ws("/", F.split("name", " ")).alias("joined"), F.substring("name", 1, 3).alias("head"), F.startswith("name", F.lit("red")).alias("red")), "strategies", "SELECT strategy_id, upper(name) AS u, replace(name, ' ', '-') AS dashed, array_to_string(string_split(name, ' '), '/') AS joined, substr(name, 1, 3) AS head, starts_with(name, 'red') AS red FROM strategies")
 add("X9_case", lambda s, d: strategies(s, d).select("strategy_id", F.coalesce("parent_id", F.lit(-1)).alias("parent"), (F.col("status") == "active").cast("int").alias("active")), "strategies", "SELECT strategy_id, coalesce(parent_id, -1) AS parent, CAST(status = 'active' AS INTEGER) AS active FROM strategies")
 add("X10_json", lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k INT").alias("j")).select("event_id", F.col("j.k").alias("k"), F.to_json("j").alias("again"), F.size(F.map_keys(F.create_map(F.lit("k"), F.col("j.k")))).alias("keys")), "ticks", """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, '{"k":' || CAST(json_extract(props, '$.k') AS INTEGER) || '}' AS again, 1 AS keys FROM events""")
 add("X12_hashes", lambda s, d: strategies(s, d).select("strategy_id", F.substring(F.sha2("name", 256), 1, 16).alias("short"), F.md5("name").alias("m")), "strategies", "SELECT strategy_id, substr(sha256(name), 1, 16) AS short, md5(name) AS m FROM strategies")
-add("S2_symbol_files", lambda s, d: files.resolve_files(s.createDataFrame([(f"/data/{n}.csv",) for n in ("eur_usd_1h", "GBPUSD-2020", "usdjpy", "btc_hourly", "spx daily", "gold")], "path string"), s.createDataFrame([(x, files.spellings(x)) for x in SYMBOLS], "symbol string, spellings array<string>")), "ticks", "SELECT * FROM (VALUES ('EURUSD', '/data/eur_usd_1h.csv'), ('GBPUSD', '/data/GBPUSD-2020.csv'), ('USDJPY', '/data/usdjpy.csv'), ('BTCUSDT', '/data/btc_hourly.csv'), ('SPX500', '/data/spx daily.csv'), ('XAUUSD', '/data/gold.csv')) t(symbol, path)")
+FILES = "SELECT DISTINCT '/data/' || lower(symbol) || '_' || timeframe || '.csv' AS path, symbol FROM results"
+
+
+def _symbol_files(s, d):
+    """The file of each symbol among those that results were made of, named by symbol and timeframe."""
+    seen = results(s, d).select("symbol", "timeframe").distinct()
+    paths = seen.select(F.concat(F.lit("/data/"), F.lower("symbol"), F.lit("_"), "timeframe", F.lit(".csv")).alias("path"))
+    names = s.createDataFrame([(x, files.spellings(x)) for x in SYMBOLS], "symbol string, spellings array<string>")
+    return files.resolve_files(paths, seen.select("symbol").distinct().join(F.broadcast(names), "symbol"))
+
+
+add("S2_symbol_files", _symbol_files, "results", f", f AS ({FILES}) SELECT symbol, min(path) AS path FROM f GROUP BY symbol")
 add("S13_asset_router", lambda s, d: trades(s, d).groupBy("symbol").agg(F.max(asset_class("symbol")).alias("asset_class")), "trades", f"SELECT symbol, max({CLASS}) AS asset_class FROM trades GROUP BY 1")
 
 

@@ -91,7 +91,7 @@ def _trade_regimes(spark, d):
 
 add("A15_regime_trades", _trade_regimes, "bars", ORACLE["J3_asof_nearest"].split(STEPS)[1].replace("SELECT event_id, symbol, CASE", ", z AS (SELECT event_id, symbol, CASE", 1).join([STEPS, ""]) + f") SELECT regime, count(*) AS trades, {r('sum(value) AS total', 'avg(value) AS mean', '100.0 * count(*) FILTER (value > 50) / count(*) AS win_pct', 'max(value) AS best', 'min(value) AS worst')} FROM z JOIN events USING (event_id) GROUP BY regime")
 on_results("A16_rollup_of_means", lambda t: t.groupBy("timeframe", "symbol").agg(F.avg("total_return_pct").alias("m")).groupBy("timeframe").agg(F.avg("m").alias("mean_of_means"), F.count(F.lit(1)).alias("groups")), f"SELECT timeframe, {r('avg(m) AS mean_of_means')}, count(*) AS groups FROM (SELECT timeframe, symbol, avg(total_return_pct) AS m FROM results GROUP BY ALL) GROUP BY timeframe")
-add("J8_grid", lambda s, d: s.range(7).crossJoin(s.range(4).withColumnRenamed("id", "tf")).select(F.element_at(F.array(*[F.lit(x) for x in ("EURUSD", "GBPUSD", "USDJPY", "BTCUSDT", "ETHUSDT", "SPX500", "XAUUSD")]), F.col("id").cast("int") + 1).alias("symbol"), F.element_at(F.array(*[F.lit(x) for x in ("15min", "1hour", "4hour", "1day")]), F.col("tf").cast("int") + 1).alias("timeframe")), "ticks", "SELECT s AS symbol, t AS timeframe FROM unnest(['EURUSD', 'GBPUSD', 'USDJPY', 'BTCUSDT', 'ETHUSDT', 'SPX500', 'XAUUSD']) a(s), unnest(['15min', '1hour', '4hour', '1day']) b(t)")
+add("J8_grid", lambda s, d: results(s, d).select("symbol").distinct().join(F.broadcast(results(s, d).select("timeframe").distinct()), how="cross"), "results", "SELECT symbol, timeframe FROM (SELECT DISTINCT symbol FROM results), (SELECT DISTINCT timeframe FROM results)")  # names of both, a few
 
 # aggregates
 on_results("A1_variant_summary", rep.variant_summary, f"SELECT variant_id, count(*) AS tests, {r('avg(total_return_pct) AS avg_return', 'max(total_return_pct) AS max_return', 'min(total_return_pct) AS min_return', 'avg(sharpe_ratio) AS avg_sharpe', 'avg(win_rate) AS avg_win_rate', 'avg(max_drawdown_pct) AS avg_drawdown')} FROM results WHERE variant_id IS NOT NULL GROUP BY variant_id")
@@ -169,7 +169,7 @@ on_results("W19_rank_split", _pools, f", g AS (SELECT strategy_id, avg(sharpe_ra
 on_results("U1_union_all", lambda t: t.filter("total_trades > 5").select(*KEY).unionByName(t.filter("total_return_pct > 5").select(*KEY)), "SELECT strategy_id, symbol FROM results WHERE total_trades > 5 UNION ALL SELECT strategy_id, symbol FROM results WHERE total_return_pct > 5")
 on_results("U2_distinct_pairs", lambda t: t.select("variant_id", "timeframe").distinct(), "SELECT DISTINCT variant_id, timeframe FROM results")
 add("U3_keep_first", lambda s, d: trades(s, d).withColumn("n", F.row_number().over(Window.partitionBy("strategy_id", "entry_ts").orderBy("exit_ts", "order_key", "line", "variant_key", "entry_price", "size"))).filter("n = 1").groupBy("strategy_id").agg(F.count(F.lit(1)).alias("kept"), F.sum("pnl").alias("pnl")), "trades", f", k AS (SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY strategy_id, entry_ts ORDER BY {ORDER}) = 1) SELECT strategy_id, count(*) AS kept, {r('sum(pnl) AS pnl')} FROM k GROUP BY 1")
-add("U5_seen_suppression", lambda s, d: table(s, d, "pages").withColumn("host", F.parse_url("url", F.lit("HOST"))).withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("page_id"))).filter("n = 1").select("page_id", "host"), "ticks", "SELECT page_id, host FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages) QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) = 1")
+add("U5_seen_suppression", lambda s, d: table(s, d, "pages").withColumn("host", F.parse_url("url", F.lit("HOST"))).groupBy("host").agg(F.min("page_id").alias("page_id")).select("page_id", "host"), "ticks", "SELECT page_id, host FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages) QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) = 1")
 on_both("U6_set_difference", lambda a, b: a.select("strategy_id").join(b.filter("total_return_pct > 0").select("strategy_id"), "strategy_id", "left_anti"), "SELECT strategy_id FROM strategies WHERE strategy_id NOT IN (SELECT strategy_id FROM results WHERE total_return_pct > 0)")
 
 # lineage

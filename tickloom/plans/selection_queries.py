@@ -149,7 +149,7 @@ q AS (SELECT *, (mu - 3.0) / sigma AS z FROM p), c AS (SELECT *, {duck_normal('z
 SELECT strategy_id, {r('ucb', 'pi', 'ei')} FROM e""")
 add("P19_upper_confidence", lambda s, d: pred(s, d).select("strategy_id", (F.col("mu") + 2.0 * F.col("sigma")).alias("ucb")), "results", f", p AS (SELECT strategy_id, avg(sharpe_ratio) AS mu, stddev_samp(sharpe_ratio) AS sigma FROM results GROUP BY 1 HAVING stddev_samp(sharpe_ratio) > 0) SELECT strategy_id, {r('mu + 2.0 * sigma AS ucb')} FROM p")
 QUERIES["L8_acquisition_top_k"], ORACLE["L8_acquisition_top_k"] = QUERIES["P19_acquisition"], ORACLE["P19_acquisition"]
-add("P20_kappa_schedule", lambda s, d: s.range(11).select(F.col("id").alias("step"), (4 - 3.5 * F.col("id") / 10).alias("linear"), (4 * F.pow(F.lit(0.125), F.col("id") / 10)).alias("exponential"), (0.5 + 1.75 * (1 + F.cos(F.pi() * F.col("id") / 10))).alias("cosine")), "ticks", f"SELECT step, {r('4 - 3.5 * step / 10 AS linear', '4 * pow(0.125, step / 10) AS exponential', '0.5 + 1.75 * (1 + cos(pi() * step / 10)) AS cosine')} FROM generate_series(0, 10) g(step)")
+add("P20_kappa_schedule", lambda s, d: strategies(s, d).withColumn("x", F.col("level") / F.lit(20.0)).select("strategy_id", (4 - 3.5 * F.col("x")).alias("linear"), (4 * F.pow(F.lit(0.125), F.col("x"))).alias("exponential"), (0.5 + 1.75 * (1 + F.cos(F.pi() * F.col("x")))).alias("cosine")), "strategies", f", k AS (SELECT strategy_id, level / 20.0 AS x FROM strategies) SELECT strategy_id, {r('4 - 3.5 * x AS linear', '4 * pow(0.125, x) AS exponential', '0.5 + 1.75 * (1 + cos(pi() * x)) AS cosine')} FROM k")
 FP = ["sharpe_ratio", "total_return_pct", "max_drawdown_pct", "win_rate"]
 
 

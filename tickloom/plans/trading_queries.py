@@ -38,7 +38,7 @@ REASONS = "array_to_string(list_filter([CASE WHEN net_return_pct < 0 THEN 'negat
 adjusted = lambda s, d: costs.adjusted(results(s, d), s, asset_class("symbol"))
 add("C-1_cost_adjusted", lambda s, d: adjusted(s, d).select("strategy_id", "symbol", "cost_pct", "net_return_pct", "net_sharpe", "cost_ratio_pct", "viable", "reasons"), "results", ADJ + f"SELECT strategy_id, symbol, {r('cost_pct', 'net_return_pct', 'net_sharpe', 'cost_ratio_pct')}, {REASONS} = '' AS viable, {REASONS} AS reasons FROM a4")
 add("C-2_rank_net", lambda s, d: adjusted(s, d).withColumn("v", F.round(F.col("net_return_pct") + 3.05e-8, 6)).orderBy(F.desc("v"), "strategy_id", "symbol").limit(40).select("strategy_id", "symbol", "v"), "results", ADJ + f"SELECT strategy_id, symbol, round(v + {SHIFT}, 6) + 0.0 AS v FROM (SELECT strategy_id, symbol, round(net_return_pct + 3.05e-8, 6) AS v FROM a4) ORDER BY v DESC, strategy_id, symbol LIMIT 40")
-add("C-3_profiles", lambda s, d: costs.profiles(s), "ticks", f"SELECT asset_class, {r('commission', 'spread', 'slippage', 'financing')} FROM (VALUES {VALUES(costs.PROFILES)}) p(asset_class, commission, spread, slippage, financing)")
+add("C-3_profiles", lambda s, d: trades(s, d).select(asset_class("symbol").alias("asset_class")).groupBy("asset_class").agg(F.count(F.lit(1)).alias("trades")).join(F.broadcast(costs.profiles(s)), "asset_class"), "trades", f", c AS (SELECT {CLASS} AS asset_class, count(*) AS trades FROM trades GROUP BY 1) SELECT asset_class, trades, {r('commission', 'spread', 'slippage', 'financing')} FROM c JOIN (VALUES {VALUES(costs.PROFILES)}) p(asset_class, commission, spread, slippage, financing) USING (asset_class)")
 add("J9_profile_lookup", lambda s, d: adjusted(s, d).groupBy("symbol", "asset_class").agg(F.max("commission").alias("commission")), "results", ADJ + f"SELECT symbol, asset_class, {r('max(commission) AS commission')} FROM a1 GROUP BY ALL")
 FEE = f"CASE WHEN {CLASS} = 'forex' THEN abs(size) / 100000 * 5.0 * 2 ELSE abs(size) * (entry_price + exit_price) * 0.00035 END"
 fees = lambda s, d: costs.trade_fees(trades(s, d), asset_class("symbol"))
@@ -53,7 +53,7 @@ Q = "abs(size) / greatest(1000.0, 1.0)"
 imp = lambda m: costs.impact_bps(m, F.col("size"), F.lit(1000.0), F.lit(0.02))
 add("C-5_impact_models", lambda s, d: trades(s, d).groupBy("symbol").agg(*[F.avg(imp(m)).alias(m) for m in ("sqrt", "almgren", "linear", "kyle")]), "trades", f"SELECT symbol, {r(f'avg(0.1 * 0.02 * 1e4 * sqrt({Q})) AS sqrt', f'avg(0.1 * 0.02 * 1e4 * pow({Q}, 0.6) + 0.1 * 0.02 * 1e4 * {Q}) AS almgren', f'avg(0.1 * 0.02 * 1e4 * {Q}) AS linear', f'avg(0.1 * 0.02 * 1e4 * sqrt({Q})) AS kyle')} FROM trades GROUP BY 1")
 add("C-6_round_trip", lambda s, d: trades(s, d).groupBy("symbol").agg(F.avg(costs.round_trip_bps(imp("sqrt"))).alias("bps")), "trades", f"SELECT symbol, {r(f'avg(1.7 * 0.1 * 0.02 * 1e4 * sqrt({Q}) + 2.0) AS bps')} FROM trades GROUP BY 1")
-add("C-7_execution_schedule", lambda s, d: costs.execution_schedule(s.createDataFrame([(1, 1000.0), (2, 250.0)], "order_id long, size double")).select("order_id", "slice", "quantity"), "ticks", f", o(order_id, size) AS (VALUES (1::BIGINT, 1000.0::DOUBLE), (2, 250.0)), s AS (SELECT *, (sinh(0.5 * (10 - slice + 1)) - sinh(0.5 * (10 - slice))) / sinh(5.0) AS share FROM o, (SELECT CAST(unnest(generate_series(1, 10)) AS INTEGER) AS slice)) SELECT order_id, slice, {r('size * share / sum(share) OVER (PARTITION BY order_id) AS quantity')} FROM s")
+add("C-7_execution_schedule", lambda s, d: costs.execution_schedule(trades(s, d).groupBy(F.col("order_key").alias("order_id")).agg(F.sum(F.abs("size")).alias("size"))).select("order_id", "slice", "quantity"), "trades", f", o AS (SELECT order_key AS order_id, sum(abs(size)) AS size FROM trades GROUP BY 1), s AS (SELECT *, (sinh(0.5 * (10 - slice + 1)) - sinh(0.5 * (10 - slice))) / sinh(5.0) AS share FROM o, (SELECT CAST(unnest(generate_series(1, 10)) AS INTEGER) AS slice)) SELECT order_id, slice, {r('size * share / sum(share) OVER (PARTITION BY order_id) AS quantity')} FROM s")
 add("C-8_impact_on_trades", lambda s, d: trades(s, d).withColumn("cost", costs.round_trip_bps(imp("almgren")) / 1e4 * F.abs("size") * F.col("entry_price")).groupBy("strategy_id").agg(F.sum("pnl").alias("gross"), F.sum("cost").alias("cost"), F.sum(F.col("pnl") - F.col("cost")).alias("net")), "trades", f", c AS (SELECT *, (1.7 * (0.1 * 0.02 * 1e4 * pow({Q}, 0.6) + 0.1 * 0.02 * 1e4 * {Q}) + 2.0) / 1e4 * abs(size) * entry_price AS cost FROM trades) SELECT strategy_id, {r('sum(pnl) AS gross', 'sum(cost) AS cost', 'sum(pnl - cost) AS net')} FROM c GROUP BY 1")
 
 

@@ -196,6 +196,17 @@ def synthetic_bars(spark: SparkSession, n: int = 200, seed: int = 42) -> DataFra
     return df.select("symbol", F.timestamp_seconds(1577836800 + F.col("id") * 86400).alias("ts"), (F.col("close") - noise(2) / 2).alias("open"), (F.col("close") + 0.6).alias("high"), (F.col("close") - 0.6).alias("low"), "close", (1000 + F.col("id") % 100).cast("double").alias("volume"))
 
 
+def synthetic_walks(symbols: DataFrame, n: int = 200) -> DataFrame:
+    """A repeatable walk of `n` days for each symbol of a table, to try strategies on before there are bars of it: the noise follows from
+    the symbol's name and the day."""
+    k = F.conv(F.substring(F.md5("symbol"), 1, 6), 16, 10).cast("long") % 1000
+    days = symbols.select("symbol", k.alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"))
+    noise = F.pmod(F.col("i") * (F.lit(7919) + F.col("k")) + F.lit(104729) + F.col("k"), F.lit(1000)) / 1000.0 - 0.5
+    w = Window.partitionBy("symbol").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walk = days.withColumn("close", 100 + F.sum(noise).over(w))
+    return walk.select("symbol", F.timestamp_seconds(1577836800 + F.col("i") * 86400).alias("ts"), "close", (F.col("close") + 0.6).alias("high"), (F.col("close") - 0.6).alias("low"))
+
+
 def evolve_schema(df: DataFrame, schema: StructType) -> DataFrame:
     """The frame with every column of `schema`, in its order and types; what was missing is null."""
     return df.select([(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
