@@ -309,7 +309,8 @@ def identify(docs: DataFrame, languages: Languages, text_col: str = "text", keep
     """Columns `keep`, `lang_pred`, `score` (0 to 1), `cross_entropy` (nats a character) and `rejected`.
 
     A text that is null or has no letter is `und`, score 0, null cross-entropy and rejected. Ties go to
-    the language that comes first by name. Without any training text all are `und`.
+    the language that comes first by name. Without any training text all are `und`. Letters beyond U+FFFE (rare historic
+    scripts, mostly) are one symbol: languages are told from others by having them, not from one another.
     """
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     rows = docs.select(*keep, F.col(text_col).alias("__text"))

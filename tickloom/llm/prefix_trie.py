@@ -284,7 +284,7 @@ def keyed_turns(messages: DataFrame) -> DataFrame:
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     key = F.substring(F.unhex(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256)), 1, 16)
-    turns = messages.filter(F.col("conv_id").isNotNull()).select("conv_id", "turn", key.alias("key"), F.length(text).cast("long").alias("chars"))
+    turns = messages.filter(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", key.alias("key"), F.length(text).cast("long").alias("chars"))
     listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "key", "chars"))).alias("t"))
     return listed.select("conv_id", F.transform("t", lambda t: F.struct(t["key"].alias("key"), t["chars"].alias("chars"))).alias("turns"))
 
