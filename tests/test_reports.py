@@ -97,3 +97,48 @@ def test_the_budgeted_search_keeps_to_its_budget(spark, data):
     assert all(r["objective"] == pytest.approx(again[r["fast"], r["slow"]]) for r in rows if r["objective"] is not None)
     best = max(v for v in again.values() if v is not None)
     assert [r["objective"] for r in rows if r["best"]] == [pytest.approx(best)]
+
+
+def brute_clusters(d, cut):
+    """Average linkage, pair by pair: the nearest two groups merge while they are nearer than `cut`."""
+    groups = [[i] for i in range(len(d))]
+    while len(groups) > 1:
+        far = lambda a, b: np.mean([d[i][j] for i in a for j in b])
+        x, y = min(((i, j) for j in range(len(groups)) for i in range(j)), key=lambda p: far(groups[p[0]], groups[p[1]]))
+        if far(groups[x], groups[y]) >= cut:
+            break
+        groups[x] += groups.pop(y)
+    return {frozenset(g) for g in groups}
+
+
+def test_clusters_by_average_linkage(spark):
+    from tickloom.operators.selection import clusters
+
+    rng = random.Random(5)
+    ids = [10 * i for i in range(14)]
+    near = {(a, b): round(rng.random(), 6) for i, a in enumerate(ids) for b in ids[:i]}
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in near.items()], "a long, b long, similarity double")
+    d = [[0.0 if a == b else 1 - near[max(a, b), min(a, b)] for b in ids] for a in ids]
+    for cut in (0.2, 0.45, 0.7):
+        got = {}
+        for r in clusters(df, ids, cut).collect():
+            got.setdefault(r["cluster"], set()).add(ids.index(r["strategy_id"]))
+        assert {frozenset(g) for g in got.values()} == brute_clusters(d, cut)
+
+
+def test_weights_do_what_their_names_say():
+    from tickloom.operators.selection import METHODS, weights
+
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(5, 5))
+    cov, mean = a @ a.T + 0.1 * np.eye(5), rng.normal(size=5) * 0.1
+    w = {m: weights(cov, mean, m) for m in METHODS}
+    assert all(x.min() >= -1e-9 and x.sum() == pytest.approx(1) for x in w.values())
+    assert np.allclose(w["equal"], 0.2) and np.allclose(w["inverse_vol"] * np.sqrt(np.diag(cov)), (w["inverse_vol"] * np.sqrt(np.diag(cov)))[0])
+    risk = w["risk_parity"] * (cov @ w["risk_parity"])
+    assert np.allclose(risk, risk.mean(), rtol=1e-3)
+    variance = lambda x: x @ cov @ x
+    tries = rng.dirichlet(np.ones(5), 3000)
+    assert variance(w["min_variance"]) <= min(map(variance, tries)) * 1.02
+    sharpe = lambda x: x @ mean / np.sqrt(variance(x))
+    assert sharpe(w["max_sharpe"]) >= max(map(sharpe, tries)) - 0.02
