@@ -11,7 +11,7 @@ from ..operators.bars import mean
 from ..operators.indicators import CATALOGUE
 from ..operators.simulate import POSITION_SQL
 from ..sources import files
-from ..sources.storage import new_folder
+from ..sources.storage import cut, new_folder
 from ..sources.views import TRADE_ORDER, results, returns, strategies, table, trades
 from ..sql import ORDER, with_views
 from .common import SHIFT, rounded
@@ -215,7 +215,7 @@ def _model(s, d):
     from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
     from pyspark.ml.feature import VectorAssembler
 
-    x = results(s, d).withColumn("label", (F.col("total_return_pct") > 1).cast("double")).select("label", "max_drawdown_pct", "win_rate")
+    x = cut(results(s, d).withColumn("label", (F.col("total_return_pct") > 1).cast("double")).select("label", "max_drawdown_pct", "win_rate"), "training")
     x = VectorAssembler(inputCols=["max_drawdown_pct", "win_rate"], outputCol="features").transform(x)
     model, path = LogisticRegression(maxIter=5).fit(x), new_folder(s, "model")
     model.write().save(path)
