@@ -9,6 +9,7 @@ from ..functions import statistics as st
 from ..operators import attribution as attr
 from ..operators import surrogate as sur
 from ..operators.regimes import classify
+from ..sources.storage import cut
 from ..sources.views import results, returns, trades
 from ..sql import with_views
 from .common import duck_normal, rounded
@@ -116,8 +117,8 @@ INPUTS = ["total_return_pct", "max_drawdown_pct", "win_rate", "total_trades"]
 
 
 def candidates(s: SparkSession, d: str) -> DataFrame:
-    """A row for each strategy: the means of its results, and their Sharpe ratio where there is one."""
-    return results(s, d).groupBy("strategy_id").agg(*[F.avg(c).alias(c) for c in INPUTS], F.avg("sharpe_ratio").alias("y"))
+    """A row for each strategy: the means of its results, and their Sharpe ratio where there is one. Stored: fits and predictions read it."""
+    return cut(results(s, d).groupBy("strategy_id").agg(*[F.avg(c).alias(c) for c in INPUTS], F.avg("sharpe_ratio").alias("y")), "rated")
 
 
 def _model(s: SparkSession, d: str) -> tuple[DataFrame, sur.Surrogate]:
