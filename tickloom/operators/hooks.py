@@ -2,26 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from .bars import mean, std
 from .simulate import simulate_signals, summarise
 
+#: Whole numbers as pandas has them.
+WHOLE = {ByteType: "int8", ShortType: "int16", IntegerType: "int32", LongType: "int64"}
 
-def backtest_each(frames: DataFrame, by: str, fn: Callable[[pd.DataFrame], dict[str, float]], metrics: list[str]) -> DataFrame:
-    """A caller's backtest (frame to metrics) of every group; a metric that it leaves out is null. A group is one task's frame."""
-    kind = frames.schema[by].dataType.simpleString()
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def backtest_each(frames: DataFrame, by: str, fn: Callable[[pd.DataFrame], dict[str, float]], metrics: list[str]) -> DataFrame:
+    """A caller's backtest (frame to metrics) of every group; a metric that it leaves out is null. A group is one task's frame.
+
+    Sorted groups come many to a batch, and a frame is a slice of it or, where a group goes on, of several: a group costs the
+    caller's function and not a batch of its own.
+    """
+    kind, columns = frames.schema[by].dataType.simpleString(), frames.columns
+    whole = {f.name: WHOLE[type(f.dataType)] for f in frames.schema.fields if type(f.dataType) in WHOLE}
+
+    def judged(key, pieces: list[pd.DataFrame]) -> list:
+        pdf = pieces[0] if len(pieces) == 1 else pd.concat(pieces)
+        pdf.index = pd.RangeIndex(len(pdf))
+        if whole:  # nulls of other groups in the batch made floats of these
+            mixed = {c: t for c, t in whole.items() if pdf[c].dtype.kind == "f" and pdf[c].notna().all()}
+            pdf = pdf.astype(mixed) if mixed else pdf
         found = fn(pdf)
-        return pd.DataFrame([[key[0], *(found.get(m) for m in metrics)]], columns=[by, *metrics])
-
-    return frames.groupBy(by).applyInPandas(run, f"{by} {kind}, " + ", ".join(f"{m} double" for m in metrics))
+        return [key, *(found.get(m) for m in metrics)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, pieces = None, []
+        for batch in batches:
+            rows, starts = [], np.flatnonzero(batch["__first"].to_numpy(bool)).tolist()
+            frame, keys = batch[columns], batch["__key"].tolist()
+            for i, (a, b) in enumerate(zip([0, *starts], [*starts, len(batch)], strict=True)):
+                if i and pieces:  # what comes before a group's first row is the rest of another
+                    rows.append(judged(key, pieces))
+                    pieces = []
+                if b > a:
+                    key = keys[a]
+                    pieces.append(frame.iloc[a:b])
+            yield pd.DataFrame(rows, columns=["__key", *metrics])
+        if pieces:
+            yield pd.DataFrame([judged(key, pieces)], columns=["__key", *metrics])
+
+    first = F.row_number().over(Window.partitionBy(by).orderBy(by)) == 1
+    marked = frames.select(*columns, F.col(by).cast("string").alias("__key"), first.alias("__first"))
+    found = marked.mapInPandas(run, "__key string, " + ", ".join(f"{m} double" for m in metrics))
+    return found.select(F.col("__key").cast(kind).alias(by), *metrics)
 
 
 def with_signal(bars: DataFrame, signal: Callable[[], Column] | Column) -> DataFrame:
