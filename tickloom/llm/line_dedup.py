@@ -4,15 +4,16 @@ Lines are compared by their sets of 8-character shingles (UTF-16 units; a shorte
 each component of lines linked by a Jaccard similarity of 0.8 or more, the first occurrence stays, by
 (document id, place); blank lines are never removed.
 
-1. One pass makes a row for each shingle, within generated code, and aggregates 18 MinHash values for each
+1. One pass makes a row for every 8 shingles, within generated code, and aggregates 18 MinHash values for each
    distinct line before any shuffle: copies of a line combine in the map tasks. The values are minima of a 32-bit
    hash under 18 masks, over all shingles of a line, whatever its length and however it repeats itself.
 2. 6 bands of 3 values: a pair at 0.8 misses all with a probability of 0.014, a pair at 0.9 with one of 0.0004, equal sets never.
 3. Every line of a band is verified, exactly, against two centres: the band's most frequent line (often what the others are
    edits of) and its smallest. The links' components are found by distributed union-find. Where a band still holds
-   lines of several components, all pairs across them are verified, too, so no link that a band shows is lost: as rows in a
-   band of up to 16 lines; in a larger one tile by tile, 256 lines against 256 inside one expression, which gives
-   links and never pairs, and a pair only in the first band that it shares.
+   lines of several components, all pairs across them are verified, too, so no link that a band shows is lost. They
+   meet as short rows, 1024 lines against 1024: a size and 1024 parities of the set's hashes. Parities that differ are at
+   most as many as the shingles that only one set has, so that they exclude pairs, but never a link; the rest is verified
+   exactly, once a pair. The links found are between components, and so is the second union-find.
 4. Components' first occurrences stay.
 
 Lines that hold many rows meet their component by broadcast of those few lines, and every two tiles of a band meet under a key
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import forget, saved, setting, spread_join, table
 
-SHINGLE, THRESHOLD = 8, 0.8
+SHINGLE = 8
+#: Lines are linked by a similarity of NEAR / OF, in whole numbers: their sets' common part is NEAR / (NEAR + OF) of both sizes' sum.
+NEAR, OF = 4, 5
 BANDS, ROWS = 6, 3
-#: Bands of up to SMALL lines are compared by rows, larger ones in tiles of about TILE lines.
-SMALL, TILE = 16, 256
+#: Shingles in a row, lines in a tile of a band, and words of 64 parities.
+BLOCK, TILE, WORDS = 8, 1024, 16
 #: Masks of the MinHash values: the fractional parts of multiples of the golden ratio, as 32-bit numbers.
 MASKS = [((i + 1) * 0x9E3779B97F4A7C15 >> 20) % (1 << 32) - (1 << 31) for i in range(BANDS * ROWS)]
 
@@ -38,15 +41,21 @@ MASKS = [((i + 1) * 0x9E3779B97F4A7C15 >> 20) % (1 << 32) - (1 << 31) for i in r
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`doc`, `at` (from 0), `line` and its hash `k` for every line that is not blank."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
-    return rows.filter(F.col("line").rlike("\\S")).withColumn("k", F.xxhash64("line"))
+    return rows.filter(F.trim("line", F.lit(" \t\n\x0b\f\r")) != "").withColumn("k", F.xxhash64("line"))
 
 
 def _last(units: str) -> Column:
     return F.greatest(F.floor(F.octet_length(units) / 2).cast("int") - SHINGLE, F.lit(0))
 
 
-def _shingle(units: str, i: str) -> str:
-    return f"hash(substring({units}, {i} * 2 + 1, {2 * SHINGLE}))"
+def _shingles(texts: DataFrame) -> DataFrame:
+    """Columns `h0` to `h7` in place of `u`: hashes of eight shingles a row, the last one again where a line has no more; `i` is the first one's place.
+
+    Places are bits set and shifted (2 (i + j) + 1, `i` a multiple of 8): checked additions cost as much as the hash.
+    """
+    keys = [c for c in texts.columns if c != "u"]
+    placed = texts.withColumn("last", _last("u")).select("*", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(BLOCK))).alias("i"))
+    return placed.select(*keys, "i", *[F.expr(f"hash(substring(u, shiftleft(least(i | {j}, last), 1) | 1, {2 * SHINGLE}))").alias(f"h{j}") for j in range(BLOCK)])
 
 
 def _sketches(lines: DataFrame) -> DataFrame:
@@ -54,11 +63,9 @@ def _sketches(lines: DataFrame) -> DataFrame:
 
     Two lines with one hash `k` (expected for one pair in 2**64) are told by a second hash and left out: they stay.
     """
-    units = lines.select("doc", "k", F.xxhash64(F.lit(1), "line").alias("k2"), F.encode("line", "UTF-16BE").alias("u"))
-    placed = units.select("doc", "k", "k2", "u", F.explode(F.sequence(F.lit(0), _last("u"))).alias("i"))
-    hashed = placed.select("doc", "k", "k2", (F.col("i") == 0).cast("long").alias("one"), F.expr(_shingle("u", "i")).alias("h"))
-    mins = [F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{j}") for j, m in enumerate(MASKS)]
-    out = hashed.groupBy("k").agg(F.sum("one").alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), *mins)
+    hashed = _shingles(lines.select("doc", "k", F.xxhash64(F.lit(1), "line").alias("k2"), F.encode("line", "UTF-16BE").alias("u")))
+    mins = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m).cast("int")) for j in range(BLOCK)])).alias(f"m{r}") for r, m in enumerate(MASKS)]
+    out = hashed.groupBy("k").agg(F.count_if(F.col("i") == 0).alias("n"), F.min("doc").alias("doc"), F.min("k2").alias("lo"), F.max("k2").alias("hi"), *mins)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return out.filter("lo = hi").select("k", "n", "doc", F.array(*bands).alias("bands"))
 
@@ -68,41 +75,45 @@ def _sets(members: DataFrame, lines: DataFrame, sketches: DataFrame) -> DataFram
     # one document that has the line: no hot key, whatever the copies
     where = members.select("k").distinct().join(sketches.select("k", "doc"), "k").hint("shuffle_hash")
     texts = lines.join(where, ["k", "doc"]).groupBy("k").agg(F.first("line").alias("line")).select("k", F.encode("line", "UTF-16BE").alias("u"))
-    placed = texts.select("k", "u", F.explode(F.sequence(F.lit(0), _last("u"))).alias("i"))
+    blocks = _shingles(texts).select("k", F.array(*[f"h{j}" for j in range(BLOCK)]).alias("h"))
     # a sorted aggregate collects one line at a time; a hashed one would fall back to sorting, later
     with setting(members.sparkSession, "spark.sql.execution.useObjectHashAggregateExec", "false"):
-        return saved(placed.select("k", F.expr(_shingle("u", "i")).alias("h")).groupBy("k").agg(F.collect_list("h").alias("s")).select("k", F.array_distinct("s").alias("s")), "line-sets")
+        return saved(blocks.groupBy("k").agg(F.collect_list("h").alias("s")).select("k", F.array_distinct(F.flatten("s")).alias("s")), "line-sets", **{"parquet.enable.dictionary": "false"})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (`a`, `b`) of line hashes whose shingle sets reach the threshold."""
+    """The rows of `pairs`, with line hashes `a` and `b`, whose shingle sets reach the threshold."""
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
     # sizes bound the similarity: no intersection where it can't reach the threshold
-    near = both.filter(F.least(F.size("sa"), F.size("sb")) >= F.lit(THRESHOLD) * F.greatest(F.size("sa"), F.size("sb")))
-    return saved(near.filter(common >= F.lit(THRESHOLD) * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "line-links")
+    near = both.filter(OF * F.least(F.size("sa"), F.size("sb")) >= NEAR * F.greatest(F.size("sa"), F.size("sb")))
+    # the common part is what a set has without its difference, which is short for a link
+    common = F.size("sa") - F.size(F.array_except("sa", "sb"))
+    return saved(near.filter((NEAR + OF) * common >= NEAR * (F.size("sa") + F.size("sb"))).select(*pairs.columns), "line-links")
 
 
-def _across_tiles(known: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links (`a`, `b`) between components of large bands: `known` has band, k, size and component c."""
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    one = known.join(sets, "k").join(sketches.select("k", "bands"), "k")
-    item = F.struct("k", "c", "s", "bands", F.array_position("bands", F.col("band")).cast("int").alias("place"))
-    dealt = one.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("k"), tiles).cast("int"))
-    packed = saved(dealt.groupBy("band", "tile", "tiles").agg(F.collect_list(item).alias("items")), "line-tiles")
-    # every two tiles of a band meet under a key of their own
-    left = packed.select("band", F.col("tile").alias("ta"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tb"), "items")
-    right = packed.select("band", F.explode(F.sequence(F.lit(0), "tile")).alias("ta"), F.col("tile").alias("tb"), F.col("items").alias("items2"))
+def _marked(known: DataFrame, sets: DataFrame) -> DataFrame:
+    """`known` with the sizes `z` of its lines' sets and their parities: bit i of `w0` to `w15` is the parity of the hashes that end on i."""
+    hashes = known.select("k").distinct().join(sets, "k").select("k", F.explode("s").alias("h"))
+    placed = hashes.select("k", F.expr(f"shiftrightunsigned(h, 6) & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, h & 63)").alias("bit"))
+    words = [F.expr(f"bit_xor(if(word = {w}, bit, 0L))").alias(f"w{w}") for w in range(WORDS)]
+    return saved(known.join(placed.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("z"), *words), "k"), "line-marks")
 
-    def linked(x, y):
-        small, large = F.least(F.size(x["s"]), F.size(y["s"])), F.greatest(F.size(x["s"]), F.size(y["s"]))
-        first = ~F.arrays_overlap(F.slice(x["bands"], F.lit(1), x["place"] - 1), F.slice(y["bands"], F.lit(1), x["place"] - 1))
-        common = F.size(F.array_intersect(x["s"], y["s"]))
-        return (x["c"] != y["c"]) & (small >= F.lit(THRESHOLD) * large) & first & (common >= F.lit(THRESHOLD) / (1 + THRESHOLD) * (small + large) - 1e-9)
 
-    met = left.join(right, ["band", "ta", "tb"])
-    pairs = F.flatten(F.transform("items", lambda x: F.transform(F.filter("items2", lambda y: linked(x, y)), lambda y: F.struct(x["k"].alias("x"), y["k"].alias("y")))))
-    return saved(met.select(F.explode(pairs).alias("p")).select(*_ordered("p.x", "p.y")).distinct(), "line-links")
+def _across(marked: DataFrame) -> DataFrame:
+    """Pairs (`a`, `b`) of lines of a band, in different components (`ca`, `cb`), that sizes and parities don't exclude."""
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    dealt = marked.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("k"), tiles).cast("int"))
+    names = ["k", "c", "z", *[f"w{w}" for w in range(WORDS)]]
+    # every two tiles of a band meet under a key of their own
+    x = dealt.select("band", F.col("tile").alias("ta"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tb"), *[F.col(c).alias(f"x{c}") for c in names])
+    y = dealt.select("band", F.explode(F.sequence(F.lit(0), "tile")).alias("ta"), F.col("tile").alias("tb"), *[F.col(c).alias(f"y{c}") for c in names])
+    differ = sum((F.bit_count(F.col(f"xw{w}").bitwiseXOR(F.col(f"yw{w}"))) for w in range(1, WORDS)), F.bit_count(F.col("xw0").bitwiseXOR(F.col("yw0"))))
+    met = x.join(y, ["band", "ta", "tb"]).filter("xc <> yc AND (ta < tb OR xk < yk)")
+    # sizes and counts of bits are small: no check of every addition
+    with setting(marked.sparkSession, "spark.sql.ansi.enabled", "false"):
+        met = met.filter(OF * F.least("xz", "yz") >= NEAR * F.greatest("xz", "yz")).filter((NEAR + OF) * differ <= (OF - NEAR) * (F.col("xz") + F.col("yz")))
+    swap = F.col("xk") > F.col("yk")
+    return met.select(*_ordered("xk", "yk"), F.when(swap, F.col("yc")).otherwise(F.col("xc")).alias("ca"), F.when(swap, F.col("xc")).otherwise(F.col("yc")).alias("cb")).distinct()
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -132,15 +143,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = members.join(found.withColumnRenamed("v", "k"), "k", "left").select("band", "k", "size", F.coalesce("component", "k").alias("c"))
     open_ = known.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band")
     known = saved(known.join(open_, "band"), "line-open")
-    x, y = known.filter(F.col("size") <= SMALL).select("band", F.col("k").alias("x"), F.col("c").alias("cx")), known.filter(F.col("size") <= SMALL).select("band", F.col("k").alias("y"), F.col("c").alias("cy"))
-    across = x.join(y, "band").filter("cx < cy").select("x", "y")
-    more = saved(across.select(*_ordered("x", "y")).distinct().join(first, ["a", "b"], "left_anti"), "line-pairs")
-    links = links.union(_verified(more, sets)).union(_across_tiles(known.filter(F.col("size") > SMALL), sets, sketches))
-    found = connected_components(links).withColumnRenamed("v", "k")
+    marked = _marked(known, sets)
+    more = saved(_across(marked).join(first, ["a", "b"], "left_anti"), "line-pairs")
+    second = connected_components(_verified(more, sets), "ca", "cb").select(F.col("v").alias("c"), F.col("component").alias("least"))
+    # a component of the first links, or a line without one, and what it is linked to by the second ones
+    found = found.select(F.col("v").alias("k"), F.col("component").alias("c")).union(second.select("c", "c")).distinct()
+    found = found.join(second, "c", "left").select("k", F.coalesce("least", "c").alias("component"))
     # every line that is not alone in its component
     groups = sketches.select("k", "n").join(found, "k", "left").filter("n > 1 or component is not null").select("k", F.coalesce("component", "k").alias("component"), "n")
     groups, total = saved(groups, "line-groups"), sketches.agg(F.sum("n")).first()[0] or 0
-    forget(sketches, members, first, sets, known)
+    forget(sketches, members, first, sets, known, marked, more)
     placed = saved(spread_join(lines.select("doc", "at", "k"), groups, "k", total).select("component", "doc", "at"), "line-places")
     forget(groups)
     keep = placed.groupBy("component").agg(F.min("doc").alias("doc"))
