@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators.pairs import nearest
 from ..operators.selection import semantic_duplicates
+from ..sources.storage import cut
 from ..sources.views import strategies, table
 from ..sql import with_views
 from .common import SHIFT, rounded
@@ -44,7 +45,8 @@ FAM = ", ".join(f"{k}_matches" for k in tx.FAMILIES)
 add("T1_pattern_counts", lambda s, d: scores(s, d).select("doc_id", *[f"{k}_matches" for k in tx.FAMILIES]), SCORED + f"SELECT doc_id, {FAM} FROM s")
 add("T2_clarity", lambda s, d: scores(s, d).select("doc_id", "clarity"), SCORED + f"SELECT doc_id, round(CAST(clarity AS DOUBLE) + {SHIFT}, 6) + 0.0 AS clarity FROM s")
 add("T3_document_score", lambda s, d: scores(s, d).select("doc_id", "quality_score"), SCORED + f"SELECT doc_id, round(CAST(quality_score AS DOUBLE) + {SHIFT}, 6) + 0.0 AS quality_score FROM s")
-add("T4_score_threshold", lambda s, d: scores(s, d).filter("quality_score >= 0.3").select("doc_id"), SCORED + "SELECT doc_id FROM s WHERE quality_score >= 0.3")
+# stored: a filter over the score itself would find the text in lower case anew for every pattern
+add("T4_score_threshold", lambda s, d: cut(scores(s, d).select("doc_id", "quality_score"), "scores").filter("quality_score >= 0.3").select("doc_id"), SCORED + "SELECT doc_id FROM s WHERE quality_score >= 0.3")
 WORDS = "len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))"
 add("T5_summary_quality", lambda s, d: docs(s, d).select("doc_id", tx.summary_quality(F.col("text")).alias("q")), DOCS + f" SELECT doc_id, round(CAST(CASE WHEN text IS NULL OR {WORDS} < 10 THEN 0.7 ELSE least(1.1, 0.8 + CASE WHEN {WORDS} >= 30 THEN 0.1 ELSE 0 END + CASE WHEN " + " OR ".join(f"contains(lower(text), '{a}')" for a in tx.ACTIONS) + f" THEN 0.1 ELSE 0 END) END AS DOUBLE) + {SHIFT}, 6) + 0.0 AS q FROM d")
 add("T6_exact_dedup", lambda s, d: table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash")).groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
